@@ -29,7 +29,7 @@ _TYPE_BY_SIZE = """CASE p_size % 8 WHEN 0 THEN 'integer' WHEN 1 THEN 'text' WHEN
       WHEN 6 THEN 'bigint' ELSE 'jsonb' END"""
 
 _CAT_BASE = f"""
-SELECT p_partkey, p_name, p_size, p_retailprice,
+SELECT p_partkey, p_name, p_type, p_size, p_retailprice,
        p_brand AS db_id,
        CASE WHEN p_size >= 49 THEN lower(p_type) || '_legacy'
             ELSE lower(p_type) || '_' || split_part(p_name, ' ', 2) END AS table_name,

@@ -52,3 +52,7 @@ def q_a7(spark, sf_dir):
     from tessera.operators.usage import usage_by_state
     _prep(spark, sf_dir, "usage_events")
     return usage_by_state(spark.table("usage_events"))
+
+
+# Registered query modules (imported last: they use ``query`` and ``_prep`` above).
+from tessera.workloads import q_catalog  # noqa: E402,F401
