@@ -104,6 +104,41 @@ FROM part WHERE p_retailprice > 985 GROUP BY 1, 2, 3""",
 SELECT 'customers/c' || CAST(o_custkey AS STRING) AS scenario,
        o_orderkey AS order_key, o_orderdate AS created_at, o_orderstatus AS status,
        o_orderpriority AS schema_fingerprint_seed, o_totalprice AS total
+FROM orders""",
+    "events_nulled": """
+SELECT event_id, ts,
+       CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS user_id,
+       NULLIF(event_type, 'view') AS event_type,
+       CASE WHEN value < 5 THEN NULL ELSE value END AS value,
+       props
+FROM events""",
+    "customer_marked": """
+SELECT c_custkey, c_name,
+       CASE WHEN c_acctbal > 5000 THEN '@env:SEG_' || c_mktsegment ELSE c_mktsegment END AS c_mktsegment,
+       CASE WHEN c_nationkey < 5 THEN '@env:NATION_' || CAST(c_nationkey AS STRING)
+            ELSE CAST(c_nationkey AS STRING) END AS c_nation
+FROM customer""",
+    "props_damaged": r"""
+SELECT event_id,
+       CASE WHEN event_id % 3 = 0 THEN replace(props, '"k"', 'k')
+            WHEN event_id % 2 = 1 THEN replace(props, '"', '''')
+            ELSE props END AS props
+FROM events""",
+    "array_cells": r"""
+SELECT p_partkey,
+       CASE WHEN p_size % 7 = 0 THEN '[' || p_brand || ', "' || p_type || '" ,]'
+            WHEN p_size % 5 = 0 THEN '[' || CAST(p_size AS STRING) || ',"' || p_type || '",null]'
+            WHEN p_size % 2 = 0 THEN '[''' || p_brand || ''',''' || p_type || ''']'
+            WHEN p_size % 3 = 0 THEN '{' || p_brand || ',' || p_type || '}'
+            ELSE '["' || p_brand || '","' || p_type || '"]' END AS cell
+FROM part""",
+    "check_clauses": r"""
+SELECT o_orderkey,
+       CASE WHEN o_orderstatus = 'F'
+            THEN 'CHECK ((priority = ANY (ARRAY[''' || o_orderpriority || '''::text, ''' || o_orderstatus || '''::text])))'
+            WHEN o_orderstatus = 'O'
+            THEN 'CHECK (priority in (''' || o_orderpriority || ''', ''x''))'
+            ELSE 'CHECK ((total > 0))' END AS clause
 FROM orders""",
     "observations": """
 SELECT 'db' || CAST(user_id AS STRING) AS db_id, event_type AS fingerprint, ts AS seen_at
@@ -142,7 +177,7 @@ def view(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def cte(*names: str) -> str:
+def cte(*names: str, recursive: bool = False) -> str:
     """``WITH`` prefix defining the named derived views, for oracle SQL."""
     parts = [f"{n} AS ({VIEWS[n]}\n)" for n in _closure(names)]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"

@@ -56,3 +56,5 @@ def q_a7(spark, sf_dir):
 
 # Registered query modules (imported last: they use ``query`` and ``_prep`` above).
 from tessera.workloads import q_catalog  # noqa: E402,F401
+from tessera.workloads import q_integrity  # noqa: E402,F401
+from tessera.workloads import q_functions  # noqa: E402,F401
