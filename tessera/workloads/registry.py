@@ -59,3 +59,4 @@ from tessera.workloads import q_catalog  # noqa: E402,F401
 from tessera.workloads import q_integrity  # noqa: E402,F401
 from tessera.workloads import q_functions  # noqa: E402,F401
 from tessera.workloads import q_io  # noqa: E402,F401
+from tessera.workloads import q_revisions  # noqa: E402,F401
