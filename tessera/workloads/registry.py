@@ -60,3 +60,5 @@ from tessera.workloads import q_integrity  # noqa: E402,F401
 from tessera.workloads import q_functions  # noqa: E402,F401
 from tessera.workloads import q_io  # noqa: E402,F401
 from tessera.workloads import q_revisions  # noqa: E402,F401
+from tessera.workloads import q_scripts  # noqa: E402,F401
+from tessera.workloads import q_streaming  # noqa: E402,F401
