@@ -24,6 +24,11 @@ def refresh_revision(spark: SparkSession, root: str, scenario: str, old_cols: Da
     """Returns (drift report, new revision row counts or None when nothing changed)."""
     old_cols = exclude_tables(old_cols, excluded or [])
     live_cols = exclude_tables(live_cols, excluded or [])
+    old_fp = schema_fingerprint(old_cols).select("db_id", "fingerprint")
+    live_fp = schema_fingerprint(live_cols).select("db_id", "fingerprint")
+    if old_fp.exceptAll(live_fp).limit(1).count() == 0 and live_fp.exceptAll(old_fp).limit(1).count() == 0:
+        pairs = old_cols.select("db_id").distinct()
+        return D.drift_report(D.classify_drift(D.schema_diff(old_cols, old_cols), old_cols, old_cols), pairs), None
 
 
     changes = D.schema_diff(old_cols, live_cols)
@@ -34,8 +39,8 @@ def refresh_revision(spark: SparkSession, root: str, scenario: str, old_cols: Da
         return report, None
     tables = store.read_revision(spark, root, scenario, revision)
     new = apply_refresh_plan(tables, plan, key_cols)
-    live_fp = schema_fingerprint(live_cols).collect()
+    fp_rows = live_fp.collect()  # one row per database
     counts = store.write_snapshot(spark, root, scenario, new, source="refresh",
-                                  schema_fingerprint=live_fp[0].fingerprint if live_fp else "")
+                                  schema_fingerprint=fp_rows[0].fingerprint if fp_rows else "")
 
     return report, counts
