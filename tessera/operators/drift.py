@@ -38,7 +38,22 @@ def _change(kind: str, detail: Column | None, seq: int, cond: Column) -> Column:
 
 
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """changes(db_id, kind, table_name, column_name, detail, seq), sorted by table then column.
+    """changes(db_id, kind, table_name, column_name, detail, seq); see :func:`diff_with_meta`."""
+    return diff_with_meta(old, new).drop("o", "n")
+
+
+def drift_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """:func:`diff_with_meta` materialized once in the shared checkpoint folder, for the several
+    consumers of a refresh (renames, classification, reports) that would otherwise each recompute
+    the full catalog joins."""
+    from tessera.session import cut_lineage
+    return cut_lineage(diff_with_meta(old, new))
+
+
+def diff_with_meta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """J2 with the old (``o``) and new (``n``) column attributes kept on every change row.
+
+    Rows: (db_id, kind, table_name, column_name, detail, seq, o, n), ordered by table then column.
 
     An added or removed table gives one table-level row and no column rows; an
     added column with a foreign key gives a column row and an FK row; a column
@@ -95,10 +110,13 @@ def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         _change("column_changed", bits, 1, present & (bits != "")),
         F.when(present & fk_differs, F.struct(fk_kind.alias("kind"), fk_detail.alias("detail"), F.lit(2).alias("seq"))),
     )
-    col_changes = (cols.select("db_id", "table_name", "column_name",
+    col_changes = (cols.select("db_id", "table_name", "column_name", "o", "n",
                                F.explode(F.filter(candidates, lambda x: x.isNotNull())).alias("c"))
                    .select("db_id", F.col("c.kind").alias("kind"), "table_name", "column_name",
-                           F.col("c.detail").alias("detail"), F.col("c.seq").alias("seq")))
+                           F.col("c.detail").alias("detail"), F.col("c.seq").alias("seq"), "o", "n"))
+    meta = cols.schema["o"].dataType
+    table_changes = (table_changes.withColumn("o", F.lit(None).cast(meta))
+                     .withColumn("n", F.lit(None).cast(meta)))
     return table_changes.unionByName(col_changes)
 
 
@@ -147,7 +165,7 @@ def summary_text(at: Column, rt: Column, ac: Column, rc: Column, cc: Column) ->
 
 # ----------------------------------------------------------------------- J3
 
-def detect_renames(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+def detect_renames(changes: DataFrame, old: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
     """For each added column, the first (by name) dropped column of the same table and type
     whose name is similar: one is a prefix or suffix of the other (case-insensitive), or
     shorter/longer length >= 0.6.
@@ -160,12 +178,22 @@ def detect_renames(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     bounded by identifier length, not by table width.
     """
     key = ["db_id", "table_name", "col_type"]
-    added = (changes.where(F.col("kind") == "column_added").select("db_id", "table_name", "column_name")
-             .join(new.select("db_id", "table_name", "column_name", "col_type"), ["db_id", "table_name", "column_name"])
-             .select(*key, F.col("column_name").alias("added"), F.lower("column_name").alias("al")))
-    dropped = (changes.where(F.col("kind") == "column_removed").select("db_id", "table_name", "column_name")
-               .join(old.select("db_id", "table_name", "column_name", "col_type"), ["db_id", "table_name", "column_name"])
-               .select(*key, F.col("column_name").alias("dropped"), F.lower("column_name").alias("dl")))
+    if "n" in changes.columns:  # change rows carry the column attributes (diff_with_meta)
+        added = (changes.where(F.col("kind") == "column_added")
+                 .select("db_id", "table_name", F.col("n.col_type").alias("col_type"),
+                         F.col("column_name").alias("added"), F.lower("column_name").alias("al")))
+        dropped = (changes.where(F.col("kind") == "column_removed")
+                   .select("db_id", "table_name", F.col("o.col_type").alias("col_type"),
+                           F.col("column_name").alias("dropped"), F.lower("column_name").alias("dl")))
+    else:
+        added = (changes.where(F.col("kind") == "column_added").select("db_id", "table_name", "column_name")
+                 .join(new.select("db_id", "table_name", "column_name", "col_type"),
+                       ["db_id", "table_name", "column_name"])
+                 .select(*key, F.col("column_name").alias("added"), F.lower("column_name").alias("al")))
+        dropped = (changes.where(F.col("kind") == "column_removed").select("db_id", "table_name", "column_name")
+                   .join(old.select("db_id", "table_name", "column_name", "col_type"),
+                         ["db_id", "table_name", "column_name"])
+                   .select(*key, F.col("column_name").alias("dropped"), F.lower("column_name").alias("dl")))
 
     # length-ratio rule: smallest dropped name of each length
     by_len = dropped.groupBy(*key, F.length("dl").alias("dlen")).agg(F.min("dropped").alias("dropped"))
@@ -222,7 +250,8 @@ def _column_changed_category(detail: Column) -> Column:
             .otherwise(F.lit("likely")))
 
 
-def classify_drift(changes: DataFrame, old: DataFrame, new: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+def classify_drift(changes: DataFrame, old: DataFrame | None = None, new: DataFrame | None = None,
+                   renames: DataFrame | None = None) -> DataFrame:
     """Category (auto / likely / decision / breaking), reason and suggested operation per change.
 
     Rules follow the source's order and read the detail text for changed
@@ -233,10 +262,15 @@ def classify_drift(changes: DataFrame, old: DataFrame, new: DataFrame, renames:
 
     if renames is None:
         renames = detect_renames(changes, old, new)
-    meta = new.select("db_id", "table_name", "column_name",
-                      F.struct("col_type", "nullable", "col_default", "is_generated", "fk_table", "fk_column").alias("m"))
-    ch = (changes.join(meta, ["db_id", "table_name", "column_name"], "left")
-          .join(renames, ["db_id", "table_name", "column_name"], "left"))
+    if "n" in changes.columns:  # attributes of the new column travel with the change row
+        ch = (changes.withColumn("m", F.when(F.col("kind") == "column_added", F.col("n")))
+              .join(renames, ["db_id", "table_name", "column_name"], "left"))
+    else:
+        meta = new.select("db_id", "table_name", "column_name",
+                          F.struct("col_type", "nullable", "col_default", "is_generated", "fk_table",
+                                   "fk_column").alias("m"))
+        ch = (changes.join(meta, ["db_id", "table_name", "column_name"], "left")
+              .join(renames, ["db_id", "table_name", "column_name"], "left"))
     kind, m = F.col("kind"), F.col("m")
     is_add = kind == "column_added"
     has_default = m.col_default.isNotNull()

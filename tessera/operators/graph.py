@@ -39,15 +39,13 @@ def fk_load_order(edges: DataFrame, tables: DataFrame, max_rounds: int | None =
         blocked = (e.join(remaining.withColumnRenamed("table_name", "parent"), ["db_id", "parent"], "left_semi")
                    .select("db_id", F.col("child").alias("table_name")).distinct())
         ready = remaining.join(blocked, ["db_id", "table_name"], "left_anti").withColumn("_ready", F.lit(True))
-        if ready.limit(1).count() == 0:
-            break
-        nodes = cut_lineage(
+        nxt = cut_lineage(  # one job per round: place this level, persist the state
             nodes.join(ready, ["db_id", "table_name"], "left")
             .select("db_id", "table_name", "input_pos",
                     F.when(F.col("_ready"), F.lit(level)).otherwise(F.col("level")).alias("level")))
-        # edges whose child is placed can never block again
-        e = cut_lineage(e.join(nodes.where(F.col("level").isNotNull())
-                               .select("db_id", F.col("table_name").alias("child")), ["db_id", "child"], "left_anti"))
+        if nxt.where(F.col("level") == level).limit(1).count() == 0:  # cheap scan of the checkpoint
+            break
+        nodes = nxt
         level += 1
     return (nodes.withColumn("in_cycle", F.col("level").isNull())
             .orderBy("db_id", F.col("level").asc_nulls_last(), "input_pos"))

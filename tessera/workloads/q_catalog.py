@@ -111,10 +111,10 @@ changes AS (
 """
 
 
-def _diff(spark, sf_dir):
+def _diff(spark, sf_dir, materialize=False):
     _prep(spark, sf_dir, "cat_old", "cat_new")
     old, new = spark.table("cat_old"), spark.table("cat_new")
-    return old, new, D.schema_diff(old, new)
+    return old, new, (D.drift_changes(old, new) if materialize else D.schema_diff(old, new))
 
 
 @query("j2_schema_diff", DIFF_CTE + "SELECT db_id, kind, table_name, column_name, detail, seq FROM changes")
@@ -164,8 +164,8 @@ renames AS (
 
 @query("j3_detect_renames", RENAME_CTE + "SELECT db_id, table_name, column_name, from_column FROM renames")
 def q_j3(spark, sf_dir):
-    old, new, ch = _diff(spark, sf_dir)
-    return D.detect_renames(ch, old, new)
+    old, new, ch = _diff(spark, sf_dir, materialize=True)
+    return D.detect_renames(ch)
 
 
 _DEFAULT_STRATEGY_SQL = """CASE
@@ -232,8 +232,8 @@ classified AS (
 @query("j4_classify_drift", CLASSIFY_CTE +
        "SELECT db_id, kind, table_name, column_name, detail, seq, category, op, op_strategy FROM classified")
 def q_j4(spark, sf_dir):
-    old, new, ch = _diff(spark, sf_dir)
-    return D.classify_drift(ch, old, new).drop("reason", "op_value")
+    old, new, ch = _diff(spark, sf_dir, materialize=True)
+    return D.classify_drift(ch).drop("reason", "op_value")
 
 
 @query("a6_drift_report", CLASSIFY_CTE + """,
@@ -250,9 +250,9 @@ SELECT p.db_id, coalesce(n_auto, 0) AS n_auto, coalesce(n_likely, 0) AS n_likely
        coalesce(n_decision, 0) > 0 AS needs_decision, coalesce(n_breaking, 0) > 0 AS has_breaking
 FROM pairs p LEFT JOIN agg a ON p.db_id = a.db_id""")
 def q_a6(spark, sf_dir):
-    old, new, ch = _diff(spark, sf_dir)
+    old, new, ch = _diff(spark, sf_dir, materialize=True)
     pairs = old.select("db_id").union(new.select("db_id")).distinct()
-    return D.drift_report(D.classify_drift(ch, old, new), pairs)
+    return D.drift_report(D.classify_drift(ch), pairs)
 
 
 @query("p9_exclude_tables", derived.cte("cat_new") + """
