@@ -317,3 +317,74 @@ def classify_defaults(cols: DataFrame) -> DataFrame:
     return (cols.where(F.col("col_default").isNotNull())
             .select("db_id", "table_name", "column_name", "col_type", "col_default",
                     default_strategy(F.col("col_default"), F.col("col_type")).alias("strategy")))
+
+
+# ----------------------------------------------------------------------- J1
+
+def assemble_schema(tables: DataFrame, columns: DataFrame, table_constraints: DataFrame,
+                    key_column_usage: DataFrame, constraint_column_usage: DataFrame,
+                    enum_types: DataFrame | None = None, check_constraints: DataFrame | None = None,
+                    schema: str = "public") -> DataFrame:
+    """information_schema-shaped catalog tables of many databases -> ``schema_columns``.
+
+    Inputs carry ``db_id``; their columns follow information_schema names
+    (``table_type``, ``ordinal_position``, ``data_type``, ``udt_name``,
+    ``is_nullable``, ``column_default``, ``character_maximum_length``,
+    ``is_generated``, ``identity_generation``, ``constraint_type`` ...).
+    Base tables only (trap Q24 fixed: views are not extracted). Columns whose
+    ``udt_name`` names an enum become type ``enum``. Composite constraints are
+    deduplicated to one row per column (trap Q9): an FK that fans out keeps its
+    smallest target. ``check_constraints(db_id, table_name, column_name,
+    check_clause)`` fills ``allowed_values`` (P11). All joins are on
+    (db, table[, column]) keys; constraint sides are aggregated per column first.
+    """
+    from tessera.functions.parse import allowed_values
+
+    t = tables.where((F.col("table_schema") == schema) & (F.col("table_type") == "BASE TABLE")) \
+              .select("db_id", "table_name")
+    c = columns.where(F.col("table_schema") == schema).join(t, ["db_id", "table_name"], "left_semi")
+    tc = table_constraints.where(F.col("table_schema") == schema).select(
+        "db_id", "constraint_name", "table_name", "constraint_type")
+    kcu = key_column_usage.where(F.col("table_schema") == schema).select(
+        "db_id", "constraint_name", "table_name", "column_name")
+    ccu = constraint_column_usage.where(F.col("table_schema") == schema).select(
+        "db_id", "constraint_name", F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"))
+
+    fk = (tc.where(F.col("constraint_type") == "FOREIGN KEY").join(kcu, ["db_id", "constraint_name", "table_name"])
+          .join(ccu, ["db_id", "constraint_name"])
+          .groupBy("db_id", "table_name", "column_name")
+          .agg(F.min(F.struct("ref_table", "ref_column")).alias("_fk")))
+
+    def flagged(kind, name):
+        return (tc.where(F.col("constraint_type") == kind)
+                .join(ccu.withColumnRenamed("ref_table", "table_name").withColumnRenamed("ref_column", "column_name"),
+                      ["db_id", "constraint_name", "table_name"])
+                .select("db_id", "table_name", "column_name").distinct().withColumn(name, F.lit(True)))
+
+    out = (c.join(fk, ["db_id", "table_name", "column_name"], "left")
+           .join(flagged("PRIMARY KEY", "_pk"), ["db_id", "table_name", "column_name"], "left")
+           .join(flagged("UNIQUE", "_uq"), ["db_id", "table_name", "column_name"], "left"))
+    enum_col = F.lit(None).cast("string")
+    if enum_types is not None:
+        names = enum_types.select("db_id", F.col("enum_name").alias("udt_name")).distinct() \
+                          .withColumn("_is_enum", F.lit(True))
+        out = out.join(names, ["db_id", "udt_name"], "left")
+        enum_col = F.when(F.col("_is_enum"), F.col("udt_name"))
+    dt = F.col("data_type")
+    res = out.select(
+        "db_id", "table_name", F.col("ordinal_position").cast("long").alias("ordinal"), "column_name",
+        F.when(enum_col.isNotNull(), F.lit("enum")).otherwise(dt).alias("col_type"),
+        F.when(dt.isin("character varying", "varchar"), F.col("character_maximum_length").cast("int")).alias("varchar_len"),
+        (F.col("is_nullable") == "YES").alias("nullable"), F.col("column_default").alias("col_default"),
+        F.coalesce(F.col("_pk"), F.lit(False)).alias("is_primary"),
+        F.coalesce(F.col("_uq"), F.lit(False)).alias("is_unique"),
+        ((F.coalesce(F.col("is_generated"), F.lit("NEVER")) == "ALWAYS")
+         | F.col("identity_generation").isNotNull()).alias("is_generated"),
+        enum_col.alias("enum_name"), F.col("_fk.ref_table").alias("fk_table"), F.col("_fk.ref_column").alias("fk_column"))
+    if check_constraints is not None:
+        av = (check_constraints.select("db_id", "table_name", "column_name",
+                                       allowed_values(F.col("check_clause")).alias("allowed_values"))
+              .where(F.col("allowed_values").isNotNull())
+              .groupBy("db_id", "table_name", "column_name").agg(F.first("allowed_values").alias("allowed_values")))
+        res = res.join(av, ["db_id", "table_name", "column_name"], "left")
+    return res

@@ -181,3 +181,63 @@ def cte(*names: str, recursive: bool = False) -> str:
     """``WITH`` prefix defining the named derived views, for oracle SQL."""
     parts = [f"{n} AS ({VIEWS[n]}\n)" for n in _closure(names)]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
+
+
+# information_schema-shaped catalog tables decomposed from cat_new (input of J1); every table of
+# the fleet also gets a view over it, which extraction must skip.
+VIEWS.update({
+    "is_tables": """
+SELECT DISTINCT db_id, 'public' AS table_schema, table_name, 'BASE TABLE' AS table_type FROM cat_new
+UNION ALL
+SELECT DISTINCT db_id, 'public', 'v_' || table_name, 'VIEW' FROM cat_new""",
+    "is_columns": """
+SELECT db_id, 'public' AS table_schema, table_name, column_name, ordinal AS ordinal_position,
+       CASE WHEN enum_name IS NOT NULL THEN 'USER-DEFINED' ELSE col_type END AS data_type,
+       coalesce(enum_name, col_type) AS udt_name,
+       CASE WHEN nullable THEN 'YES' ELSE 'NO' END AS is_nullable, col_default AS column_default,
+       varchar_len AS character_maximum_length,
+       CASE WHEN is_generated THEN 'ALWAYS' ELSE 'NEVER' END AS is_generated,
+       CAST(NULL AS STRING) AS identity_generation
+FROM cat_new
+UNION ALL
+SELECT db_id, 'public', 'v_' || table_name, column_name, ordinal, col_type, col_type, 'YES', NULL, NULL, 'NEVER', NULL
+FROM cat_new""",
+    "is_table_constraints": """
+SELECT DISTINCT db_id, 'public' AS table_schema, table_name || '_pkey' AS constraint_name, table_name,
+       'PRIMARY KEY' AS constraint_type FROM cat_new WHERE is_primary
+UNION ALL
+SELECT db_id, 'public', table_name || '_' || column_name || '_key', table_name, 'UNIQUE' FROM cat_new WHERE is_unique
+UNION ALL
+SELECT db_id, 'public', table_name || '_' || column_name || '_fkey', table_name, 'FOREIGN KEY'
+FROM cat_new WHERE fk_table IS NOT NULL""",
+    "is_key_column_usage": """
+SELECT db_id, 'public' AS table_schema, table_name || '_pkey' AS constraint_name, table_name, column_name
+FROM cat_new WHERE is_primary
+UNION ALL
+SELECT db_id, 'public', table_name || '_' || column_name || '_key', table_name, column_name FROM cat_new WHERE is_unique
+UNION ALL
+SELECT db_id, 'public', table_name || '_' || column_name || '_fkey', table_name, column_name
+FROM cat_new WHERE fk_table IS NOT NULL""",
+    "is_constraint_column_usage": """
+SELECT db_id, 'public' AS table_schema, table_name || '_pkey' AS constraint_name, table_name, column_name
+FROM cat_new WHERE is_primary
+UNION ALL
+SELECT db_id, 'public', table_name || '_' || column_name || '_key', table_name, column_name FROM cat_new WHERE is_unique
+UNION ALL
+SELECT db_id, 'public', table_name || '_' || column_name || '_fkey', fk_table, fk_column
+FROM cat_new WHERE fk_table IS NOT NULL""",
+})
+DEPENDS.update({v: ["cat_new"] for v in ("is_tables", "is_columns", "is_table_constraints", "is_key_column_usage",
+                                         "is_constraint_column_usage")})
+
+
+# the live side of G4: enum renamed in brands ending in 1 (fingerprint-only change), nullability
+# flipped in brands ending in 2 (a structural change)
+VIEWS["cat_live"] = """
+SELECT db_id, table_name, ordinal, column_name, col_type, varchar_len,
+       CASE WHEN db_id LIKE '%2' AND col_type = 'boolean' THEN NOT nullable ELSE nullable END AS nullable,
+       col_default, is_primary, is_unique, is_generated,
+       CASE WHEN db_id LIKE '%1' AND enum_name IS NOT NULL THEN enum_name || '_v2' ELSE enum_name END AS enum_name,
+       fk_table, fk_column
+FROM cat_new"""
+DEPENDS["cat_live"] = ["cat_new"]

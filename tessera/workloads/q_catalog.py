@@ -16,32 +16,35 @@ def _bool(c):
     return _B.format(f"coalesce({c}, false)")
 
 
-# DuckDB: canonical JSON fingerprint per database of cat_new + enum_new
-FP_SQL = derived.cte("cat_new", "enum_new") + """,
-colj AS (
+# DuckDB: canonical JSON fingerprint per database of a catalog + enum view; CTEs suffixed by ``s``
+def fp_ctes(cat: str, enum: str, s: str) -> str:
+    return f"""
+colj_{s} AS (
   SELECT db_id, table_name, column_name,
-    '{"name":"' || column_name || '","type":"' || col_type || '","nullable":' || """ + _bool("nullable") + """
-    || ',"isPrimary":' || """ + _bool("is_primary") + """ || ',"isUnique":' || """ + _bool("is_unique") + """
+    '{{"name":"' || column_name || '","type":"' || col_type || '","nullable":' || {_bool("nullable")}
+    || ',"isPrimary":' || {_bool("is_primary")} || ',"isUnique":' || {_bool("is_unique")}
     || ',"default":' || CASE WHEN col_default IS NULL THEN 'null' ELSE '"' || col_default || '"' END
     || ',"foreignKey":' || CASE WHEN fk_table IS NULL THEN 'null'
-         ELSE '{"table":"' || fk_table || '","column":"' || fk_column || '"}' END
-    || ',"enum":' || CASE WHEN enum_name IS NULL THEN 'null' ELSE '"' || enum_name || '"' END || '}' AS j
-  FROM cat_new),
-tj AS (SELECT db_id, table_name,
-         '{"name":"' || table_name || '","columns":[' || string_agg(j, ',' ORDER BY column_name) || ']}' AS j
-       FROM colj GROUP BY db_id, table_name),
-dbj AS (SELECT db_id, '[' || string_agg(j, ',' ORDER BY table_name) || ']' AS tables FROM tj GROUP BY db_id),
-ev AS (SELECT db_id, enum_name, '{"name":"' || enum_name || '","values":['
-         || string_agg('"' || enum_value || '"', ',' ORDER BY enum_value) || ']}' AS j
-       FROM enum_new GROUP BY db_id, enum_name),
-ej AS (SELECT db_id, '[' || string_agg(j, ',' ORDER BY enum_name) || ']' AS enums FROM ev GROUP BY db_id),
-doc AS (SELECT d.db_id, '{"enums":' || coalesce(e.enums, '[]') || ',"tables":' || d.tables || '}' AS c
-        FROM dbj d LEFT JOIN ej e ON d.db_id = e.db_id)
-"""
+         ELSE '{{"table":"' || fk_table || '","column":"' || fk_column || '"}}' END
+    || ',"enum":' || CASE WHEN enum_name IS NULL THEN 'null' ELSE '"' || enum_name || '"' END || '}}' AS j
+  FROM {cat}),
+tj_{s} AS (SELECT db_id, table_name,
+         '{{"name":"' || table_name || '","columns":[' || string_agg(j, ',' ORDER BY column_name) || ']}}' AS j
+       FROM colj_{s} GROUP BY db_id, table_name),
+dbj_{s} AS (SELECT db_id, '[' || string_agg(j, ',' ORDER BY table_name) || ']' AS tables FROM tj_{s} GROUP BY db_id),
+ev_{s} AS (SELECT db_id, enum_name, '{{"name":"' || enum_name || '","values":['
+         || string_agg('"' || enum_value || '"', ',' ORDER BY enum_value) || ']}}' AS j
+       FROM {enum} GROUP BY db_id, enum_name),
+ej_{s} AS (SELECT db_id, '[' || string_agg(j, ',' ORDER BY enum_name) || ']' AS enums FROM ev_{s} GROUP BY db_id),
+doc_{s} AS (SELECT d.db_id, '{{"enums":' || coalesce(e.enums, '[]') || ',"tables":' || d.tables || '}}' AS c
+        FROM dbj_{s} d LEFT JOIN ej_{s} e ON d.db_id = e.db_id)"""
+
+
+FP_SQL = derived.cte("cat_new", "enum_new") + "," + fp_ctes("cat_new", "enum_new", "n") + "\n"
 
 
 @query("a8_schema_fingerprint", FP_SQL + """
-SELECT db_id, sha256(c) AS fingerprint, substr(sha256(c), 1, 12) AS short_id, length(c) AS canonical_len FROM doc""")
+SELECT db_id, sha256(c) AS fingerprint, substr(sha256(c), 1, 12) AS short_id, length(c) AS canonical_len FROM doc_n""")
 def q_a8(spark, sf_dir):
     _prep(spark, sf_dir, "cat_new", "enum_new")
     return C.schema_fingerprint(spark.table("cat_new"), spark.table("enum_new"))
@@ -377,3 +380,41 @@ FROM cat_new WHERE col_default IS NOT NULL""")
 def q_p13(spark, sf_dir):
     _prep(spark, sf_dir, "cat_new")
     return C.classify_defaults(spark.table("cat_new"))
+
+
+@query("j1_assemble_schema", derived.cte("cat_new", "enum_new") + """,
+en AS (SELECT DISTINCT db_id, enum_name FROM enum_new)
+SELECT c.db_id, c.table_name, c.ordinal, c.column_name,
+       CASE WHEN en.enum_name IS NOT NULL THEN 'enum' ELSE c.col_type END AS col_type,
+       CAST(NULL AS INTEGER) AS varchar_len, c.nullable, c.col_default, c.is_primary, c.is_unique, c.is_generated,
+       en.enum_name, c.fk_table, c.fk_column
+FROM cat_new c LEFT JOIN en ON en.db_id = c.db_id AND en.enum_name = c.enum_name""")
+def q_j1(spark, sf_dir):
+    """Catalog tables decomposed from the derived fleet (plus a view per table) reassembled."""
+    _prep(spark, sf_dir, "enum_new", "is_tables", "is_columns", "is_table_constraints", "is_key_column_usage",
+          "is_constraint_column_usage")
+    t = spark.table
+    return C.assemble_schema(t("is_tables"), t("is_columns"), t("is_table_constraints"), t("is_key_column_usage"),
+                             t("is_constraint_column_usage"), t("enum_new"))
+
+
+@query("g4_sync_fingerprint", derived.cte("cat_new", "enum_new", "cat_live") + "," + fp_ctes("cat_new", "enum_new", "a")
+       + "," + fp_ctes("cat_live", "enum_new", "b") + """,
+d AS (SELECT DISTINCT n.db_id FROM cat_new n JOIN cat_live l
+      ON n.db_id = l.db_id AND n.table_name = l.table_name AND n.column_name = l.column_name
+      WHERE n.nullable <> l.nullable),
+f AS (SELECT a.db_id, sha256(a.c) AS stored, sha256(b.c) AS live, d.db_id IS NOT NULL AS has_diff
+      FROM doc_a a JOIN doc_b b ON a.db_id = b.db_id LEFT JOIN d ON d.db_id = a.db_id)
+SELECT db_id, 'r001' AS revision,
+       CASE WHEN live <> stored AND NOT has_diff THEN live ELSE stored END AS schema_fingerprint,
+       live <> stored AND NOT has_diff AS fingerprint_synced
+FROM f""")
+def q_g4(spark, sf_dir):
+    """Stored revisions fingerprinted from the fleet; the live fleet renames some enums (fingerprint
+    changes, structural diff empty -> resync) and flips nullability elsewhere (real drift -> kept)."""
+    _prep(spark, sf_dir, "cat_new", "enum_new", "cat_live")
+    stored_cols, live_cols, enums = spark.table("cat_new"), spark.table("cat_live"), spark.table("enum_new")
+    revisions = C.schema_fingerprint(stored_cols, enums).select(
+        "db_id", F.lit("r001").alias("revision"), F.col("fingerprint").alias("schema_fingerprint"))
+    live = C.schema_fingerprint(live_cols, enums).select("db_id", "fingerprint")
+    return D.sync_fingerprint(revisions, live, D.schema_diff(stored_cols, live_cols))
