@@ -3,11 +3,17 @@
 * X1 ``stream_usage``: newest sighting per test key as a streaming aggregation
   (``max(struct(last_seen_at, ...))`` is order-independent, so any file split
   and any arrival order give the batch answer). State lives in the query's
-  checkpoint; each micro-batch publishes the complete per-key table through the
-  pointer swap of :func:`tessera.sources.store.publish_tables`.
+  checkpoint. ``update`` mode emits only the keys a micro-batch changed; each
+  batch writes them to its own ``deltas/batch_id=N`` folder (overwrite, so a
+  retried batch is idempotent). Readers fold the deltas with the same
+  ``max(struct)`` (:func:`read_usage_latest`); :func:`compact_usage` folds them
+  into a new base. Work per micro-batch grows with the changed keys, not with
+  the total state.
 * X2 ``stream_schema_history``: ``previous`` depends on order, so each
-  micro-batch appends its sightings to a log table and recomputes W4 only for
-  the databases it touched, from that log.
+  micro-batch appends its sightings to a log bucketed by database and
+  recomputes W4 only for the databases it touched, reading only their buckets;
+  their new history rows go to ``history/batch_id=N`` and readers keep, per
+  database, the rows of the newest batch that touched it.
 * X3 ``stream_restore``: marker resolution and coercion are stateless column
   expressions applied to the stream and appended to a Parquet sink.
 
@@ -36,51 +42,79 @@ def _file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str,
 
 def stream_usage(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
                  fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):
-    """Continuous latest-per-key usage table published under ``out`` (read with
-    ``store.read_published(spark, out, 'usage_latest')``). Returns the started query."""
+    """Continuous latest-per-key usage; read with :func:`read_usage_latest`. Returns the query."""
     ev = _file_stream(spark, source, schema, fmt, max_files_per_trigger)
     latest = (ev.groupBy(*USAGE_KEY).agg(F.max(F.struct("last_seen_at", "test_hash", "reset_mode")).alias("_n"))
               .select(*USAGE_KEY, F.col("_n.reset_mode").alias("reset_mode"),
                       F.col("_n.last_seen_at").alias("last_seen_at"), F.col("_n.test_hash").alias("test_hash")))
+    deltas = f"{out.rstrip('/')}/deltas"
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        store.publish_tables(batch.sparkSession, out, {"usage_latest": batch})
+    def write_delta(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{deltas}/batch_id={batch_id}")
 
-    w = latest.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
+    w = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_delta)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def read_usage_latest(spark: SparkSession, out: str) -> DataFrame:
+    """Fold of the base (if compacted) and every delta: newest sighting per test key."""
+    from tessera.operators.usage import latest_usage
+
+    root = out.rstrip("/")
+    parts = []
+    fs = store.FS(spark)
+    if fs.exists(f"{root}/base/_current"):
+        parts.append(store.read_published(spark, f"{root}/base", "usage_latest"))
+    if fs.exists(f"{root}/deltas"):
+        parts.append(spark.read.parquet(f"{root}/deltas").drop("batch_id"))
+    if not parts:
+        raise LookupError(f"no usage state under {out!r}")
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return latest_usage(union)
+
+
+def compact_usage(spark: SparkSession, out: str) -> None:
+    """Publish the current fold as the new base. Deltas folded in stay valid (the fold is
+    idempotent), so they can be removed afterwards by the caller at leisure."""
+    store.publish_tables(spark, f"{out.rstrip('/')}/base", {"usage_latest": read_usage_latest(spark, out)})
+
+
+LOG_BUCKETS = 64
+
+
 def stream_schema_history(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
                           fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):
-    """Continuous W4. ``out/log`` holds every sighting; ``out/history`` (published) the history.
-
-    Each micro-batch: append to the log, recompute W4 for the touched
-    databases from the log, keep the other databases' rows, publish.
-    """
+    """Continuous W4; read with :func:`read_schema_history`. Returns the query."""
     obs = _file_stream(spark, source, schema, fmt, max_files_per_trigger).select("db_id", "fingerprint", "seen_at")
-    log_path = f"{out.rstrip('/')}/log"
-    hist_root = f"{out.rstrip('/')}/history"
+    root = out.rstrip("/")
+    log_path, hist_path = f"{root}/log", f"{root}/history"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        batch.write.mode("append").parquet(log_path)
-        touched = batch.select("db_id").distinct()
-        log = s.read.parquet(log_path)
-        fresh = schema_history(log.join(touched, "db_id", "left_semi"))
-        try:
-            old = store.read_published(s, hist_root, "history")
-            keep = old.join(touched, "db_id", "left_anti")
-            merged = keep.unionByName(fresh)
-        except LookupError:
-            merged = fresh
-        store.publish_tables(s, hist_root, {"history": merged})
+        b = batch.withColumn("bucket", F.pmod(F.xxhash64("db_id"), F.lit(LOG_BUCKETS)))
+        # sightings of this batch: one folder per batch and bucket, overwritten on retry
+        b.write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch_id={batch_id}")
+        touched = b.select("db_id", "bucket").distinct()
+        buckets = sorted(r.bucket for r in touched.select("bucket").distinct().collect())  # <= LOG_BUCKETS ints
+        log = s.read.parquet(log_path).where(F.col("bucket").isin(buckets))
+        fresh = schema_history(log.join(touched.select("db_id"), "db_id", "left_semi").drop("bucket", "batch_id"))
+        fresh.write.mode("overwrite").parquet(f"{hist_path}/batch_id={batch_id}")
 
     w = obs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def read_schema_history(spark: SparkSession, out: str) -> DataFrame:
+    """Per database the history rows written by the newest micro-batch that touched it."""
+    h = spark.read.parquet(f"{out.rstrip('/')}/history")
+    newest = h.groupBy("db_id").agg(F.max("batch_id").alias("batch_id"))
+    return h.join(newest, ["db_id", "batch_id"], "left_semi").drop("batch_id")
+
+
 def stream_restore(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
                    values: Mapping[str, str], types: Mapping[str, str] | None = None, dialect: str = "postgres",
                    fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):

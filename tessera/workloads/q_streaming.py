@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.usage import state_summary
 from tessera.session import scratch_path
-from tessera.sources import store
 from tessera.streaming import jobs
 from tessera.workloads.q_functions import env_values
 from tessera.workloads.registry import ORACLE, _prep, query
@@ -26,7 +25,7 @@ def q_x1(spark, sf_dir):
     src = _split_files(ev, scratch_path(spark, "usage-src"), key="last_seen_at")
     out, ckpt = scratch_path(spark, "usage-out"), scratch_path(spark, "usage-ckpt")
     jobs.stream_usage(spark, src, ev.schema, out, ckpt).awaitTermination()
-    latest = store.read_published(spark, out, "usage_latest")
+    latest = jobs.read_usage_latest(spark, out)
     return latest.join(state_summary(latest), "state")
 
 
@@ -37,7 +36,7 @@ def q_x2(spark, sf_dir):
     src = _split_files(obs, scratch_path(spark, "obs-src"), key="seen_at")
     out, ckpt = scratch_path(spark, "hist-out"), scratch_path(spark, "hist-ckpt")
     jobs.stream_schema_history(spark, src, obs.schema, out, ckpt).awaitTermination()
-    return store.read_published(spark, f"{out}/history", "history")
+    return jobs.read_schema_history(spark, out)
 
 
 @query("x3_stream_restore", ORACLE["p7_resolve_markers"])

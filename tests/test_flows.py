@@ -93,3 +93,22 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "state" in df.columns
     assert F is not None
+
+
+def test_stream_usage_equals_batch_under_any_split_and_compaction(spark):
+    from tessera.operators.usage import latest_usage
+    from tessera.streaming import jobs
+
+    rows = [("s1", "f", f"t{i % 5}", "p", "keep", f"2024-01-0{1 + i % 9} 00:00:00", f"h{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "state string, file string, title string, project string, reset_mode string, "
+                                     "ts string, test_hash string") \
+        .withColumn("last_seen_at", F.to_timestamp("ts")).drop("ts")
+    want = sorted(tuple(r) for r in latest_usage(df).collect())
+    for n in (1, 3):
+        src = scratch_path(spark, "t-src")
+        df.repartition(n).write.parquet(src)
+        out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
+        jobs.stream_usage(spark, src, df.schema, out, ck).awaitTermination()
+        assert sorted(tuple(r) for r in jobs.read_usage_latest(spark, out).collect()) == want
+        jobs.compact_usage(spark, out)
+        assert sorted(tuple(r) for r in jobs.read_usage_latest(spark, out).collect()) == want
