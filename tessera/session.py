@@ -51,6 +51,14 @@ def build_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings a caller-provided session needs: UTC session time zone (snapshot text renders and
+    parses timestamps in it) and a checkpoint folder (only created when none is configured)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a private one only if unset."""
     sc = spark.sparkContext
