@@ -163,8 +163,10 @@ def coerce_value(s: Column, col_type: str, dialect: str = "postgres") -> Column:
         v = F.coalesce(*tries, _ts(s, _TS_RFC3339), _ts(s, _TS_PLAIN),
                        *([_ts(s, _DATE)] if fam == "time" else []))
     elif fam == "date":
+        # PostgreSQL: the time-family formats. MySQL (trap Q6, fixed): a date column exported in the
+        # timestamp form parses back too, not only ``yyyy-MM-dd``.
         ts = F.coalesce(F.when(F.instr(s, "UTC") > 0, _ts(s, _TS_EXPORT)), _ts(s, _TS_RFC3339), _ts(s, _TS_PLAIN),
-                        _ts(s, _DATE)) if dialect == "postgres" else _ts(s, _DATE)
+                        _ts(s, _DATE))
         v = F.to_date(ts)
     elif fam == "bool":
         lo = F.lower(s)

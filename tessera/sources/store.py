@@ -242,7 +242,8 @@ def read_snapshot(spark: SparkSession, path: str, table: str, types: Mapping[str
     """Read one CSV table, type it (P1/P2) and report problems.
 
     Returns (typed table, rejects, warnings). Warnings hold header columns
-    missing from the schema and ragged rows (the raw line).
+    missing from the schema (bound by name, so they are ignored), schema
+    columns missing from the header, and ragged rows (the raw line).
     """
     from tessera.functions.coerce import coerce_table
 
@@ -253,11 +254,15 @@ def read_snapshot(spark: SparkSession, path: str, table: str, types: Mapping[str
     typed = coerce_table(good, {c: t for c, t in types.items() if c in header}, dialect)
     rejects = (typed.where(F.size("_rejects") > 0).select(F.explode("_rejects").alias("r"))
                .select(F.lit(table).alias("table_name"), "r.column_name", "r.raw"))
-    warn_cols = spark.createDataFrame([(table, "unknown_column", c) for c in unknown],
+    missing = [c for c in types if c not in header]  # schema columns the file does not carry
+    warn_cols = spark.createDataFrame([(table, "unknown_column", c) for c in unknown]
+                                      + [(table, "missing_column", c) for c in missing],
                                       "table_name string, kind string, detail string")
-    ragged = raw.where(F.col(CORRUPT).isNotNull()).select(F.lit(table).alias("table_name"),
-                                                          F.lit("ragged_row").alias("kind"),
-                                                          F.col(CORRUPT).alias("detail"))
+    # the first data column stays referenced (as an empty suffix): Spark refuses a scan that reads
+    # only the corrupt-record column
+    ragged = raw.where(F.col(CORRUPT).isNotNull()).select(
+        F.lit(table).alias("table_name"), F.lit("ragged_row").alias("kind"),
+        F.concat(F.col(CORRUPT), F.substring(F.col(header[0]), 1, 0)).alias("detail"))
     return typed.drop("_rejects"), rejects, warn_cols.unionByName(ragged)
 
 

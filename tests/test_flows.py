@@ -112,3 +112,27 @@ def test_stream_usage_equals_batch_under_any_split_and_compaction(spark):
         assert sorted(tuple(r) for r in jobs.read_usage_latest(spark, out).collect()) == want
         jobs.compact_usage(spark, out)
         assert sorted(tuple(r) for r in jobs.read_usage_latest(spark, out).collect()) == want
+
+
+def test_hot_key_third_of_rows(spark):
+    """One FK value / key / state holds a third of all rows: results stay whole and exact."""
+    from tessera.operators import integrity as I
+    from tessera.operators.usage import usage_by_state
+
+    n = 3000
+    child = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100000)
+                                  .alias("fk"), F.col("id").alias("pk"), (F.col("id") % 2).alias("line"))
+    parent = spark.range(0, 50).select(F.col("id").alias("k"))  # 7 is present, the rest are orphans
+    v = {r.fk_value: r.rows for r in I.fk_violations(child, "c", "fk", parent, "p", "k").collect()}
+    assert "7" not in v and len(v) == n - n // 3 and set(v.values()) == {1}
+    dup = I.key_violations(child.select(F.col("fk").alias("a"), F.lit(1).alias("b")), "c", ["a", "b"])
+    hot = [r for r in dup.collect() if r.key_value == "7|1"]
+    assert hot and hot[0].dup_count == n // 3
+    ev = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.lit("cold")).alias("state"),
+                               (F.col("id") % 500).cast("string").alias("file"), F.lit("t").alias("title"),
+                               F.lit("p").alias("project"), F.lit("keep").alias("reset_mode"),
+                               F.timestamp_seconds(F.col("id")).alias("last_seen_at"),
+                               F.col("id").cast("string").alias("test_hash"))
+    u = {(r.state, r.file): (r.test_hash, r.state_n_tests) for r in usage_by_state(ev).collect()}
+    assert len(u) == 1000
+    assert u[("hot", "0")] == ("1500", 500)   # hot sightings of file 0 are ids 0 and 1500

@@ -91,3 +91,25 @@ def test_script_stats_and_split(spark):
     st = S.script_stats(sc).collect()[0]
     assert st.columns == ["a"] and st.row_count == 3
     assert S.split_statements(sc).count() == 3
+
+
+def test_mysql_date_reads_export_form(spark):
+    df = spark.createDataFrame([("2026-04-18",), ("2026-04-18 00:00:00 +0000 UTC",), ("x",)], "v string")
+    got = [str(r.x) for r in df.select(CO.coerce_value(F.col("v"), "date", "mysql").alias("x")).collect()]
+    assert got == ["2026-04-18", "2026-04-18", "None"]
+
+
+def test_csv_scan_warnings_and_ragged_rows(spark):
+    from tessera.session import scratch_path
+    from tessera.sources import store
+
+    path = scratch_path(spark, "csv")
+    spark.createDataFrame([("id,name,extra\n1,a,x\n2,b\n3,\"multi\nline\",z\n,,\n",)], "v string") \
+        .coalesce(1).write.text(path)
+    typed, rejects, warn = store.read_snapshot(spark, path, "t", {"id": "integer", "name": "text", "age": "integer"})
+    rows = sorted(((r.id if r.id is not None else -1), r.name) for r in typed.collect())
+    assert rows == [(-1, ""), (1, "a"), (3, "multi\nline")]
+    kinds = sorted((r.kind, r.detail) for r in warn.collect() if r.kind != "ragged_row")
+    assert kinds == [("missing_column", "age"), ("unknown_column", "extra")]
+    assert [r.kind for r in warn.collect()].count("ragged_row") == 1
+    assert rejects.count() == 0
