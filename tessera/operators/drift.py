@@ -250,13 +250,35 @@ def _column_changed_category(detail: Column) -> Column:
             .otherwise(F.lit("likely")))
 
 
+def _structured_changed_category(o: Column, n: Column) -> Column:
+    """Trap Q11, fixed: classify a changed column from its old/new attributes instead of the
+    detail text. Adding a unique constraint needs a decision (existing duplicates), dropping it is
+    safe; a type change is a widening only from the narrower to the wider type."""
+    ot, nt = F.lower(o.col_type), F.lower(n.col_type)
+    widening = F.lit(False)
+    for a, b in _WIDENINGS:
+        widening = widening | (ot.contains(a) & nt.contains(b) & ~ot.contains(b))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return (F.when(flag(o.is_primary) != flag(n.is_primary), F.lit("breaking"))
+            .when(~o.col_type.eqNullSafe(n.col_type), F.when(widening, F.lit("likely")).otherwise(F.lit("breaking")))
+            .when(flag(o.nullable) & ~flag(n.nullable), F.lit("decision"))
+            .when(flag(o.nullable) != flag(n.nullable), F.lit("auto"))
+            .when(~o.col_default.eqNullSafe(n.col_default), F.lit("auto"))
+            .when(flag(o.is_generated) != flag(n.is_generated), F.lit("likely"))
+            .when(~flag(o.is_unique) & flag(n.is_unique), F.lit("decision"))
+            .when(flag(o.is_unique) & ~flag(n.is_unique), F.lit("auto"))
+            .otherwise(F.lit("likely")))
+
+
 def classify_drift(changes: DataFrame, old: DataFrame | None = None, new: DataFrame | None = None,
-                   renames: DataFrame | None = None) -> DataFrame:
+                   renames: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """Category (auto / likely / decision / breaking), reason and suggested operation per change.
 
-    Rules follow the source's order and read the detail text for changed
-    columns (trap Q11 kept: the text test makes dropping a unique flag a
-    decision and treats widening pairs regardless of direction).
+    Rules follow the source's order. With ``compat=True`` (default) changed
+    columns are classified from the detail text as the source does (trap Q11:
+    dropping a unique flag is a decision, widening pairs match in either
+    direction); ``compat=False`` classifies from the structured attributes
+    (needs change rows from :func:`diff_with_meta`).
     """
     from tessera.operators.catalog import default_strategy
 
@@ -283,7 +305,9 @@ def classify_drift(changes: DataFrame, old: DataFrame | None = None, new: DataFr
            .when(is_add & F.coalesce(m.nullable, F.lit(False)), "auto")
            .when(is_add & has_default, "auto")
            .when(is_add, "decision")
-           .when(kind == "column_changed", _column_changed_category(F.col("detail")))
+           .when(kind == "column_changed",
+                 _column_changed_category(F.col("detail")) if compat or "o" not in changes.columns
+                 else _structured_changed_category(F.col("o"), F.col("n")))
            .when(kind == "fk_added", "decision").when(kind == "fk_removed", "auto")
            .when(kind == "fk_changed", "likely").otherwise("decision"))
     reason = (F.when(kind == "table_added", "new table — no existing data affected")

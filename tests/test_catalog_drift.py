@@ -142,3 +142,15 @@ def test_properties_fingerprint_shuffle_and_refresh_leaves_empty_diff(spark):
     out = apply_refresh_plan({"users": data}, plan)["users"]
     assert sorted(out.columns) == ["id", "name", "nick"]
     assert out.collect()[0].asDict() == {"id": 1, "name": "Ann", "nick": ""}
+
+
+def test_structured_classification_fixes_text_rules(spark):
+    old = [col("d", "t", "a", "text", uq=True), col("d", "t", "b", "text"), col("d", "t", "c", "bigint")]
+    new = [col("d", "t", "a", "text"), col("d", "t", "b", "text", uq=True), col("d", "t", "c", "integer")]
+    o = spark.createDataFrame(old, SCHEMA_COLUMNS)
+    n = spark.createDataFrame(new, SCHEMA_COLUMNS)
+    ch = D.diff_with_meta(o, n)
+    text = {r.column_name: r.category for r in D.classify_drift(ch).collect()}
+    fixed = {r.column_name: r.category for r in D.classify_drift(ch, compat=False).collect()}
+    assert text == {"a": "decision", "b": "auto", "c": "likely"}       # the source's text rules
+    assert fixed == {"a": "auto", "b": "decision", "c": "breaking"}    # direction-aware

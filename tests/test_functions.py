@@ -113,3 +113,12 @@ def test_csv_scan_warnings_and_ragged_rows(spark):
     assert kinds == [("missing_column", "age"), ("unknown_column", "extra")]
     assert [r.kind for r in warn.collect()].count("ragged_row") == 1
     assert rejects.count() == 0
+
+
+def test_script_contract_strict_order(spark):
+    sql = "INSERT INTO a VALUES (1); TRUNCATE a; TRUNCATE b; INSERT INTO b VALUES (2);"
+    scripts = spark.createDataFrame([("s", sql)], "script_id string, sql string")
+    pop = spark.createDataFrame([("s", "a", 1), ("s", "b", 1)], "script_id string, table_name string, rows int")
+    loose = {r.table_name: r.ok for r in S.script_contract_check(scripts, pop).collect()}
+    strict = {r.table_name: r.ok for r in S.script_contract_check(scripts, pop, strict_order=True).collect()}
+    assert loose == {"a": True, "b": True} and strict == {"a": False, "b": True}
