@@ -84,20 +84,20 @@ def canonical_schema_json(cols: DataFrame, enums: DataFrame | None = None) -> Da
     so no step holds more than one database's document.
     """
     per_table = (cols.groupBy("db_id", "table_name")
-                 .agg(F.array_sort(F.collect_list(_column_struct())).alias("columns"))
+                 .agg(F.sort_array(F.collect_list(_column_struct())).alias("columns"))
                  .select("db_id", "table_name",
                          F.to_json(F.struct(F.col("table_name").alias("name"), "columns"), _KEEP_NULLS)
                          .alias("tj")))
     tables = (per_table.groupBy("db_id")
-              .agg(F.array_sort(F.collect_list(F.struct("table_name", "tj"))).alias("ts"))
+              .agg(F.sort_array(F.collect_list(F.struct("table_name", "tj"))).alias("ts"))
               .select("db_id", F.concat(F.lit("["), F.array_join(F.col("ts.tj"), ","), F.lit("]")).alias("tables_json")))
     if enums is not None:
         per_enum = (enums.groupBy("db_id", "enum_name")
-                    .agg(F.array_sort(F.collect_list("enum_value")).alias("values"))
+                    .agg(F.sort_array(F.collect_list("enum_value")).alias("values"))
                     .select("db_id", "enum_name",
                             F.to_json(F.struct(F.col("enum_name").alias("name"), "values"), _KEEP_NULLS).alias("ej")))
         ens = (per_enum.groupBy("db_id")
-               .agg(F.array_sort(F.collect_list(F.struct("enum_name", "ej"))).alias("es"))
+               .agg(F.sort_array(F.collect_list(F.struct("enum_name", "ej"))).alias("es"))
                .select("db_id", F.concat(F.lit("["), F.array_join(F.col("es.ej"), ","), F.lit("]")).alias("enums_json")))
         tables = tables.join(ens, "db_id", "left")
     else:
@@ -178,10 +178,10 @@ def column_set_delta(old: DataFrame, new: DataFrame) -> DataFrame:
                                                            ["db_id", "table_name"])
     added = (n.join(o.select("db_id", "table_name", "column_name"), ["db_id", "table_name", "column_name"], "left_anti")
              .groupBy("db_id", "table_name")
-             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("_a")))
+             .agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))).alias("_a")))
     removed = (o.join(n.select("db_id", "table_name", "column_name"), ["db_id", "table_name", "column_name"], "left_anti")
                .groupBy("db_id", "table_name")
-               .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("_r")))
+               .agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))).alias("_r")))
     out = both.join(added, ["db_id", "table_name"], "left").join(removed, ["db_id", "table_name"], "left")
     empty = F.array().cast("array<string>")
     return out.select("db_id", "table_name",
@@ -287,7 +287,7 @@ def map_column_types(cols: DataFrame, enums: DataFrame | None = None) -> DataFra
     ev = None
     if enums is not None:
         vals = (enums.groupBy("db_id", "enum_name")
-                .agg(F.array_sort(F.collect_list("enum_value")).alias("_enum_values")))
+                .agg(F.sort_array(F.collect_list("enum_value")).alias("_enum_values")))
         out = out.join(vals, ["db_id", "enum_name"], "left")
         ev = F.col("_enum_values")
     return out.select("db_id", "table_name", "column_name", "col_type",

@@ -56,13 +56,13 @@ def schema_docs(cols: DataFrame, enums: DataFrame | None = None, database_type:
                  F.when(F.col("fk_table").isNotNull(), F.struct(F.col("fk_table").alias("table"),
                                                                 F.col("fk_column").alias("column"))).alias("foreignKey"),
                  F.col("enum_name").alias("enum"), F.col("is_generated").alias("isGenerated")).alias("c"))
-    per_table = (cols.groupBy("db_id", "table_name").agg(F.array_sort(F.collect_list(col)).alias("cs"))
+    per_table = (cols.groupBy("db_id", "table_name").agg(F.sort_array(F.collect_list(col)).alias("cs"))
                  .select("db_id", F.struct(F.col("table_name").alias("name"), F.col("cs.c").alias("columns")).alias("t")))
-    tables = per_table.groupBy("db_id").agg(F.array_sort(F.collect_list("t")).alias("tables"))
+    tables = per_table.groupBy("db_id").agg(F.sort_array(F.collect_list("t")).alias("tables"))
     if enums is not None:
-        e = (enums.groupBy("db_id", "enum_name").agg(F.array_sort(F.collect_list("enum_value")).alias("values"))
+        e = (enums.groupBy("db_id", "enum_name").agg(F.sort_array(F.collect_list("enum_value")).alias("values"))
              .select("db_id", F.struct(F.col("enum_name").alias("name"), "values").alias("e"))
-             .groupBy("db_id").agg(F.array_sort(F.collect_list("e")).alias("enums")))
+             .groupBy("db_id").agg(F.sort_array(F.collect_list("e")).alias("enums")))
         tables = tables.join(e, "db_id", "left")
     else:
         tables = tables.withColumn("enums", F.lit(None))

@@ -211,7 +211,7 @@ def q_j10(spark, sf_dir):
     def side(df):
         return (df.groupBy(F.col("db_id").alias("pair_id"), "table_name")
                 .agg(F.count(F.lit(1)).alias("row_count"),
-                     F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("_c"))
+                     F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))).alias("_c"))
                 .select("pair_id", "table_name", "row_count", F.col("_c.column_name").alias("columns")))
     return RV.revision_delta(side(spark.table("cat_old")), side(spark.table("cat_new")))
 

@@ -13,7 +13,7 @@ from tessera.workloads.registry import _prep, query
 def _assemble(df, group, order, stmt):
     """One script per group: statements concatenated in order (bounded by the group's rows)."""
     return (df.groupBy(F.col(group).alias("script_id"))
-            .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], stmt.alias("s")))).alias("_a"))
+            .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], stmt.alias("s")))).alias("_a"))
             .select("script_id", F.array_join(F.transform("_a", lambda x: x["s"]), "\n").alias("sql")))
 
 
@@ -54,7 +54,7 @@ def q_a11(spark, sf_dir):
     _prep(spark, sf_dir)
     n, r = spark.table("nation"), spark.table("region")
     tuples = (n.groupBy("n_regionkey")
-              .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.format_string(
+              .agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.format_string(
                   "(%d, '%s (n)')", F.col("n_nationkey"), F.col("n_name")).alias("t")))).alias("_t"))
               .select(F.col("n_regionkey").alias("rk"), F.array_join(F.transform("_t", lambda x: x["t"]), ", ").alias("vals")))
     sql = F.concat(F.lit('INSERT INTO "nation" ("n_nationkey") VALUES (0);\n'),
