@@ -25,8 +25,9 @@ PICK_MULTIPLIER = 2654435761  # Knuth multiplicative hash constant, spreads cons
 @dataclass
 class ColumnSpec:
     name: str
-    kind: str  # pool | format | timestamp | uuid | ref | expr
+    kind: str  # pool | skewed | format | timestamp | uuid | ref | expr
     values: Sequence = field(default_factory=list)
+    weights: Sequence[float] = field(default_factory=list)
     fmt: str = ""
     start: str = "2024-01-01 00:00:00"
     step_seconds: int = 60
@@ -44,6 +45,16 @@ def _expr(spec: ColumnSpec, i: Column) -> Column:
     if spec.kind == "pool":
         arr = F.array(*[F.lit(v) for v in spec.values])
         return F.element_at(arr, ((i - 1) % F.lit(len(spec.values)) + 1).cast("int"))
+    if spec.kind == "skewed":
+        # weighted pick: a hash of i mapped to [0, 1) against the cumulative weights (pool-sized)
+        total = float(sum(spec.weights))
+        cum, acc = [], 0.0
+        for w in spec.weights:
+            acc += w / total
+            cum.append(acc)
+        u = F.pmod(F.xxhash64(i, F.lit(spec.name)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+        idx = F.size(F.filter(F.array(*[F.lit(c) for c in cum[:-1]]), lambda c: c <= u)) + 1
+        return F.element_at(F.array(*[F.lit(v) for v in spec.values]), idx)
     if spec.kind == "format":
         return F.format_string(spec.fmt, i)
     if spec.kind == "timestamp":

@@ -274,7 +274,7 @@ PREVIEW_DEFAULT, PREVIEW_MAX, COUNT_CAP = 5, 50, 10_000
 def preview_snapshot(tables: Mapping[str, DataFrame], order_by: Mapping[str, list[str]] | None = None,
                      n: int = PREVIEW_DEFAULT) -> DataFrame:
     """Per table the first ``n`` rows (clamped to 1..50) as export text, the row count capped
-    at 10,000 and a ``truncated`` flag.
+    at 10,000, a ``truncated`` flag and the bytes of the table's files.
 
     With ``order_by`` the first rows are the smallest keys (a distributed
     top-k), otherwise the first rows in file order. The capped count scans
@@ -292,13 +292,26 @@ def preview_snapshot(tables: Mapping[str, DataFrame], order_by: Mapping[str, lis
         frames.append(text.select(
             F.lit(name).alias("table_name"), line.alias("row_text"),
             F.lit(min(capped, COUNT_CAP)).cast("long").alias("row_count"),
-            F.lit(capped > COUNT_CAP).alias("truncated")))
+            F.lit(capped > COUNT_CAP).alias("truncated"),
+            F.lit(_input_bytes(df)).cast("long").alias("bytes")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the files a file-based DataFrame reads (file-system metadata, no data read)."""
+    try:
+        files = df.inputFiles()
+    except Exception:  # noqa: BLE001 - not file based
+        return None
+    if not files:
+        return None
+    fs = FS(df.sparkSession)
+    return int(sum(fs._fs(f).getFileStatus(fs._p(f)).getLen() for f in files))
+
+
 # ----------------------------------------------------------------------- S4
 
 def read_revision_catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

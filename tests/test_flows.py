@@ -136,3 +136,27 @@ def test_hot_key_third_of_rows(spark):
     u = {(r.state, r.file): (r.test_hash, r.state_n_tests) for r in usage_by_state(ev).collect()}
     assert len(u) == 1000
     assert u[("hot", "0")] == ("1500", 500)   # hot sightings of file 0 are ids 0 and 1500
+
+
+def test_generate_pools_refs_and_preview_bytes(spark):
+    from tessera.operators import generate as G
+
+    parent = spark.range(10, 20).select(F.col("id").alias("pid"))
+    out = G.generate_rows(spark, 3000, [
+        G.ColumnSpec("status", "pool", values=["a", "b", "c"]),
+        G.ColumnSpec("tier", "skewed", values=["gold", "silver", "bronze"], weights=[1, 3, 6]),
+        G.ColumnSpec("ref", "ref", parent=parent, parent_key="pid"),
+        G.ColumnSpec("id", "uuid")])
+    rows = out.collect()
+    assert len(rows) == 3000 and len({r.id for r in rows}) == 3000
+    assert {r.ref for r in rows} <= set(range(10, 20)) and len({r.ref for r in rows}) == 10
+    assert [r.status for r in sorted(rows, key=lambda r: r.i)[:4]] == ["a", "b", "c", "a"]
+    share = {t: sum(r.tier == t for r in rows) / 3000 for t in ("gold", "silver", "bronze")}
+    assert 0.07 < share["gold"] < 0.13 and 0.54 < share["bronze"] < 0.66
+    again = G.generate_rows(spark, 3000, [G.ColumnSpec("tier", "skewed", values=["gold", "silver", "bronze"],
+                                                       weights=[1, 3, 6])]).orderBy("i").collect()
+    assert [r.tier for r in again] == [r.tier for r in sorted(rows, key=lambda r: r.i)]
+
+    prev = store.preview_snapshot({"nation": spark.read.parquet(f"{SF}/nation.parquet")}, {"nation": ["n_nationkey"]})
+    r = prev.collect()
+    assert len(r) == 5 and r[0].row_count == 25 and not r[0].truncated and r[0].bytes > 0
