@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.functions.coerce import coerce_table
 from tessera.functions.markers import resolve_markers
@@ -47,10 +48,17 @@ def restore_snapshot(spark: SparkSession, root: str, scenario: str, targets: lis
             vals = (env_values or {}).get(target, {})
             prepared = {}
             for name, df in source_tables.items():
+                if store.CORRUPT in df.columns:
+                    # a ragged CSV row is an error, as for the source's loader (not silently dropped);
+                    # the first data column stays referenced, Spark refuses corrupt-column-only scans
+                    first = [c for c in df.columns if c != store.CORRUPT][0]
+                    flag = F.concat(F.col(store.CORRUPT), F.substring(F.col(first), 1, 0))
+                    if df.where(flag.isNotNull()).limit(1).count():
+                        raise ValueError(f"table {name}: rows with a wrong number of cells")
+                    df = df.drop(store.CORRUPT)
                 t = resolve_markers(df, vals, env=target, table=name)
                 if manifest.get("format") == "csv" and types and name in types:
-                    t = coerce_table(t.drop(store.CORRUPT) if store.CORRUPT in t.columns else t,
-                                     types[name], dialect).drop("_rejects")
+                    t = coerce_table(t, types[name], dialect).drop("_rejects")
                 prepared[name] = t
             for check in checks or []:
                 bad = check(prepared)

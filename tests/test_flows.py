@@ -160,3 +160,26 @@ def test_generate_pools_refs_and_preview_bytes(spark):
     prev = store.preview_snapshot({"nation": spark.read.parquet(f"{SF}/nation.parquet")}, {"nation": ["n_nationkey"]})
     r = prev.collect()
     assert len(r) == 5 and r[0].row_count == 25 and not r[0].truncated and r[0].bytes > 0
+
+
+def test_restore_csv_types_checks_and_failure_modes(spark):
+    from tessera.operators import integrity as I
+    from tessera.plans.seed import restore_snapshot
+
+    root = scratch_path(spark, "rs")
+    a, b = scratch_path(spark, "ta"), scratch_path(spark, "tb")
+    df = spark.createDataFrame([(1, "@env:NAME"), (2, "x"), (2, "y")], "id long, name string")
+    store.write_snapshot(spark, root, "s", {"t": df}, fmt="csv", schema_fingerprint="f" * 64)
+    pk = lambda tables: I.key_violations(tables["t"], "t", ["id"])
+    st = restore_snapshot(spark, root, "s", [a, b], env_values={a: {"NAME": "n"}, b: {"NAME": "n"}},
+                          types={"t": {"id": "integer", "name": "text"}}, checks=[pk])
+    got = [(r.target, r.status) for r in st.collect()]
+    assert got == [(a, "failed"), (b, "skipped")]                      # duplicate key stops the run
+    st = restore_snapshot(spark, root, "s", [a, b], env_values={a: {"NAME": "n"}},
+                          types={"t": {"id": "integer", "name": "text"}}, continue_on_error=True,
+                          target_fingerprints={b: "0" * 64})
+    got = {r.target: r.status for r in st.collect()}
+    assert got == {a: "ok", b: "failed"}                               # b: schema mismatch guard
+    back = store.read_published(spark, a, "t")
+    assert dict(back.dtypes)["id"] == "bigint"
+    assert sorted((r.id, r.name) for r in back.collect()) == [(1, "n"), (2, "x"), (2, "y")]
