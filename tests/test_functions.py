@@ -122,3 +122,17 @@ def test_script_contract_strict_order(spark):
     loose = {r.table_name: r.ok for r in S.script_contract_check(scripts, pop).collect()}
     strict = {r.table_name: r.ok for r in S.script_contract_check(scripts, pop, strict_order=True).collect()}
     assert loose == {"a": True, "b": True} and strict == {"a": False, "b": True}
+
+
+def test_marker_env_fallback_rules(spark, monkeypatch):
+    """Trap Q17: an empty configured value counts as set; an empty process variable is missing."""
+    monkeypatch.setenv("FROM_PROCESS", "p")
+    monkeypatch.setenv("EMPTY_PROCESS", "")
+    df = spark.createDataFrame([("@env:FROM_PROCESS", "@env:EMPTY_CONFIG")], "a string, b string")
+    out = M.resolve_markers(df, {"EMPTY_CONFIG": ""}).collect()[0]
+    assert (out.a, out.b) == ("p", "")
+    with pytest.raises(ValueError, match="EMPTY_PROCESS"):
+        M.resolve_markers(spark.createDataFrame([("@env:EMPTY_PROCESS",)], "a string"), {})
+    assert M.has_any_marker(df) and not M.has_any_marker(spark.createDataFrame([("@env:lower",)], "a string"))
+    untouched = spark.createDataFrame([("plain",)], "a string")
+    assert M.resolve_markers(untouched, {}) is untouched            # marker fast path: input reused
