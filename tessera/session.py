@@ -91,3 +91,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_driver_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a job reading ``input_bytes``: about one shuffle partition per
+    ``partition_bytes`` of input (AQE coalesces small ones and splits skewed ones at run time),
+    file splits of the same size. Apply with ``spark.conf.set`` before running a job."""
+    n = max(200, int(input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
+def apply_scale(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20) -> None:
+    for k, v in scale_conf(input_bytes, partition_bytes).items():
+        spark.conf.set(k, v)
