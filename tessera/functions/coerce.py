@@ -18,6 +18,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Cell tokens and type names of the coercion rules.
+NULL_TOKENS = ("NULL", "null")
+PG_TRUE, PG_FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
+MYSQL_TRUE, MYSQL_FALSE = ("true", "t", "yes", "1"), ("false", "f", "no", "0")
+PG_TEXT_TYPES, PG_TEXT_PREFIXES = ("text", "char"), ("character varying", "varchar", "char(")
+MYSQL_TEXT_TYPES, MYSQL_TEXT_PREFIXES = ("text", "tinytext", "mediumtext", "longtext", "char"), ("varchar", "char(")
+MYSQL_BOOL_TYPES = ("tinyint", "bool", "boolean")
+
 _INT_RE = r"^[+-]?[0-9]+$"
 _FLOAT_RE = (r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?"
              r"|[nN][aA][nN])$")
@@ -33,7 +41,7 @@ def _ts(s: Column, fmt: str) -> Column:
 
 
 def _is_null_token(s: Column) -> Column:
-    return s.isNull() | s.isin("NULL", "null")
+    return s.isNull() | s.isin(*NULL_TOKENS)
 
 
 # ----------------------------------------------------------------------- P3
@@ -115,7 +123,7 @@ def family(col_type: str, dialect: str = "postgres") -> str:
     """Type family of a database type string (the source's rule order)."""
     t = (col_type or "").lower()
     if dialect == "postgres":
-        if t == "text" or t.startswith(("character varying", "varchar", "char(")) or t == "char":
+        if t in PG_TEXT_TYPES or t.startswith(PG_TEXT_PREFIXES):
             return "text"
         if t in ("json", "jsonb"):
             return "json"
@@ -130,11 +138,11 @@ def family(col_type: str, dialect: str = "postgres") -> str:
         if "float" in t or "numeric" in t or "decimal" in t or t in ("real", "double precision"):
             return "float"
         return "string"
-    if t in ("text", "tinytext", "mediumtext", "longtext") or t.startswith(("varchar", "char(")) or t == "char":
+    if t in MYSQL_TEXT_TYPES or t.startswith(MYSQL_TEXT_PREFIXES):
         return "text"
     if t == "json":
         return "json_raw"
-    if t in ("tinyint", "bool", "boolean"):
+    if t in MYSQL_BOOL_TYPES:
         return "tinybool"
     if "int" in t:
         return "int"
@@ -170,12 +178,10 @@ def coerce_value(s: Column, col_type: str, dialect: str = "postgres") -> Column:
         v = F.to_date(ts)
     elif fam == "bool":
         lo = F.lower(s)
-        v = (F.when(lo.isin("true", "t", "yes", "y", "1"), F.lit(True))
-             .when(lo.isin("false", "f", "no", "n", "0"), F.lit(False)))
+        v = F.when(lo.isin(*PG_TRUE), F.lit(True)).when(lo.isin(*PG_FALSE), F.lit(False))
     elif fam == "tinybool":
         lo = F.lower(s)
-        v = (F.when(lo.isin("true", "t", "yes", "1"), F.lit(1).cast("long"))
-             .when(lo.isin("false", "f", "no", "0"), F.lit(0).cast("long")))
+        v = F.when(lo.isin(*MYSQL_TRUE), F.lit(1).cast("long")).when(lo.isin(*MYSQL_FALSE), F.lit(0).cast("long"))
         if "int" in col_type.lower():  # tinyint falls through to the integer rule
             v = v.when(s.rlike(_INT_RE), s.try_cast("long"))
     elif fam == "int":

@@ -232,32 +232,44 @@ def fk_inventory_with_parents(cols: DataFrame, other: DataFrame | None = None) -
 
 # ----------------------------------------------------------------------- P10
 
+# Catalog type (lower-cased, exact match) -> MySQL DDL type, in rule order. Varchar /
+# char lengths, ``timestamp*`` (substring match) and the upper-cased fallback are handled in code.
+MYSQL_DDL_TYPES = [
+    (("text", "longtext", "mediumtext", "tinytext"), None),  # the type itself, upper-cased
+    (("integer", "int4"), "INT"),
+    (("bigint", "int8"), "BIGINT"),
+    (("smallint", "int2"), "SMALLINT"),
+    (("boolean", "bool"), "TINYINT(1)"),
+    (("numeric", "decimal"), "DECIMAL(18,6)"),
+    (("real", "float4"), "FLOAT"),
+    (("double precision", "float8"), "DOUBLE"),
+]
+MYSQL_DDL_AFTER_TIMESTAMP = [
+    (("date",), "DATE"),
+    (("time",), "TIME"),
+    (("json", "jsonb"), "JSON"),
+    (("uuid",), "CHAR(36)"),
+    (("bytea",), "BLOB"),
+]
+
+
 def mysql_column_ddl_type(col_type: Column, varchar_len: Column, enum_values: Column | None = None) -> Column:
-    """P10: catalog type -> MySQL DDL type (the source's 17 cases, enum fixed to print its values).
+    """P10: catalog type -> MySQL DDL type (``MYSQL_DDL_TYPES``), enum fixed to print its values.
 
     ``enum_values`` (array<string>) renders ``ENUM('a',...)`` for enum columns
     (trap Q28: the source printed the enum's name).
     """
     t = F.lower(col_type)
-    expr = (F.when(((t == "varchar") | (t == "character varying")) & varchar_len.isNotNull(),
-                   F.format_string("VARCHAR(%s)", varchar_len.cast("string")))
-            .when((t == "varchar") | (t == "character varying"), F.lit("VARCHAR(255)"))
-            .when((t == "char") & varchar_len.isNotNull(), F.format_string("CHAR(%s)", varchar_len.cast("string")))
-            .when(t.isin("text", "longtext", "mediumtext", "tinytext"), F.upper(t))
-            .when(t.isin("integer", "int4"), F.lit("INT"))
-            .when(t.isin("bigint", "int8"), F.lit("BIGINT"))
-            .when(t.isin("smallint", "int2"), F.lit("SMALLINT"))
-            .when(t.isin("boolean", "bool"), F.lit("TINYINT(1)"))
-            .when(t.isin("numeric", "decimal"), F.lit("DECIMAL(18,6)"))
-            .when(t.isin("real", "float4"), F.lit("FLOAT"))
-            .when(t.isin("double precision", "float8"), F.lit("DOUBLE"))
-            .when(t.contains("timestamp"), F.lit("DATETIME(6)"))
-            .when(t == "date", F.lit("DATE"))
-            .when(t == "time", F.lit("TIME"))
-            .when(t.isin("json", "jsonb"), F.lit("JSON"))
-            .when(t == "uuid", F.lit("CHAR(36)"))
-            .when(t == "bytea", F.lit("BLOB"))
-            .otherwise(F.upper(col_type)))
+    varchar = t.isin("varchar", "character varying")
+    expr = (F.when(varchar & varchar_len.isNotNull(), F.format_string("VARCHAR(%s)", varchar_len.cast("string")))
+            .when(varchar, F.lit("VARCHAR(255)"))
+            .when((t == "char") & varchar_len.isNotNull(), F.format_string("CHAR(%s)", varchar_len.cast("string"))))
+    for names, ddl in MYSQL_DDL_TYPES:
+        expr = expr.when(t.isin(*names), F.upper(t) if ddl is None else F.lit(ddl))
+    expr = expr.when(t.contains("timestamp"), F.lit("DATETIME(6)"))
+    for names, ddl in MYSQL_DDL_AFTER_TIMESTAMP:
+        expr = expr.when(t.isin(*names), F.lit(ddl))
+    expr = expr.otherwise(F.upper(col_type))
     if enum_values is not None:
         enum_ddl = F.concat(F.lit("ENUM("),
                             F.array_join(F.transform(enum_values, lambda v: F.concat(
@@ -297,6 +309,11 @@ def map_column_types(cols: DataFrame, enums: DataFrame | None = None) -> DataFra
 
 # ----------------------------------------------------------------------- P13
 
+# Default-expression keywords of the fill-strategy rule.
+UUID_DEFAULT_FUNCTIONS = ("gen_random_uuid", "uuid_generate")
+DYNAMIC_DEFAULT_KEYWORDS = ("current_timestamp", "current_date", "current_time", "localtime", "localtimestamp", "now")
+
+
 def default_strategy(col_default: Column, col_type: Column) -> Column:
     """Default expression -> ``uuid`` / ``timestamp`` / ``default``.
 
@@ -306,9 +323,11 @@ def default_strategy(col_default: Column, col_type: Column) -> Column:
     """
     s = F.lower(F.trim(F.regexp_replace(col_default, r"::[^:]*$", "")))
     ct = F.lower(col_type)
-    dynamic = (s.contains("(") | s.isin("current_timestamp", "current_date", "current_time",
-                                         "localtime", "localtimestamp", "now"))
-    return (F.when(s.contains("gen_random_uuid") | s.contains("uuid_generate"), F.lit("uuid"))
+    dynamic = s.contains("(") | s.isin(*DYNAMIC_DEFAULT_KEYWORDS)
+    is_uuid = F.lit(False)
+    for fn in UUID_DEFAULT_FUNCTIONS:
+        is_uuid = is_uuid | s.contains(fn)
+    return (F.when(is_uuid, F.lit("uuid"))
             .when(dynamic & (ct.contains("time") | ct.contains("date")), F.lit("timestamp"))
             .otherwise(F.lit("default")))
 

@@ -15,6 +15,23 @@ from pyspark.sql import functions as F
 CHANGE_KINDS = ("table_added", "table_removed", "column_added", "column_removed", "column_changed",
                 "fk_added", "fk_removed", "fk_changed")
 
+# Reason texts of the drift classification (``%s`` = formatted argument).
+DRIFT_REASONS = {
+    "table_added": "new table — no existing data affected",
+    "table_removed": "table removed — possible FK references from other tables",
+    "column_removed": "column removed — drop from CSV",
+    "added_no_metadata": "new column — schema metadata unavailable",
+    "added_generated": "generated column — no CSV value needed",
+    "added_rename": "possible rename from %s (same type)",
+    "added_nullable": "nullable column — fill with empty",
+    "added_default": "column has a default — fill with %s",
+    "added_required_fk": "required FK column references %s.%s — need a valid parent row",
+    "added_required": "NOT NULL column without default — need a fill strategy",
+    "fk_added": "FK added to existing column referencing %s — existing rows may violate constraint",
+    "fk_removed": "FK removed — no CSV transformation needed",
+    "fk_changed": "FK target changed to %s — existing references may need update",
+}
+
 _CMP = ["col_type", "nullable", "col_default", "is_primary", "is_unique", "is_generated", "fk_table", "fk_column"]
 
 
@@ -310,25 +327,21 @@ def classify_drift(changes: DataFrame, old: DataFrame | None = None, new: DataFr
                  else _structured_changed_category(F.col("o"), F.col("n")))
            .when(kind == "fk_added", "decision").when(kind == "fk_removed", "auto")
            .when(kind == "fk_changed", "likely").otherwise("decision"))
-    reason = (F.when(kind == "table_added", "new table — no existing data affected")
-              .when(kind == "table_removed", "table removed — possible FK references from other tables")
-              .when(kind == "column_removed", "column removed — drop from CSV")
-              .when(is_add & m.isNull(), "new column — schema metadata unavailable")
-              .when(is_add & F.coalesce(m.is_generated, F.lit(False)), "generated column — no CSV value needed")
+    reason = (F.when(kind == "table_added", DRIFT_REASONS["table_added"])
+              .when(kind == "table_removed", DRIFT_REASONS["table_removed"])
+              .when(kind == "column_removed", DRIFT_REASONS["column_removed"])
+              .when(is_add & m.isNull(), DRIFT_REASONS["added_no_metadata"])
+              .when(is_add & F.coalesce(m.is_generated, F.lit(False)), DRIFT_REASONS["added_generated"])
               .when(is_add & F.col("from_column").isNotNull(),
-                    F.format_string("possible rename from %s (same type)", F.col("from_column")))
-              .when(is_add & F.coalesce(m.nullable, F.lit(False)), "nullable column — fill with empty")
-              .when(is_add & has_default, F.concat(F.lit("column has a default — fill with "), strategy))
+                    F.format_string(DRIFT_REASONS["added_rename"], F.col("from_column")))
+              .when(is_add & F.coalesce(m.nullable, F.lit(False)), DRIFT_REASONS["added_nullable"])
+              .when(is_add & has_default, F.format_string(DRIFT_REASONS["added_default"], strategy))
               .when(is_add & m.fk_table.isNotNull(),
-                    F.format_string("required FK column references %s.%s — need a valid parent row",
-                                    m.fk_table, F.coalesce(m.fk_column, F.lit(""))))
-              .when(is_add, "NOT NULL column without default — need a fill strategy")
-              .when(kind == "fk_added",
-                    F.format_string("FK added to existing column referencing %s — existing rows may violate constraint",
-                                    F.col("detail")))
-              .when(kind == "fk_removed", "FK removed — no CSV transformation needed")
-              .when(kind == "fk_changed",
-                    F.format_string("FK target changed to %s — existing references may need update", F.col("detail")))
+                    F.format_string(DRIFT_REASONS["added_required_fk"], m.fk_table, F.coalesce(m.fk_column, F.lit(""))))
+              .when(is_add, DRIFT_REASONS["added_required"])
+              .when(kind == "fk_added", F.format_string(DRIFT_REASONS["fk_added"], F.col("detail")))
+              .when(kind == "fk_removed", DRIFT_REASONS["fk_removed"])
+              .when(kind == "fk_changed", F.format_string(DRIFT_REASONS["fk_changed"], F.col("detail")))
               .otherwise(F.lit("")))
     op = (F.when(kind == "column_removed", "drop_column")
           .when(is_add & m.isNotNull() & ~F.coalesce(m.is_generated, F.lit(False)),
