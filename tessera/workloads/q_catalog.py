@@ -227,16 +227,35 @@ classified AS (
     END AS op,
     CASE WHEN kind = 'column_added' AND has_m AND NOT m_gen AND from_column IS NULL AND m_null THEN 'constant'
          WHEN kind = 'column_added' AND has_m AND NOT m_gen AND from_column IS NULL AND m_def IS NOT NULL THEN strat
-    END AS op_strategy
+    END AS op_strategy,
+    CASE
+      WHEN kind = 'table_added' THEN 'new table — no existing data affected'
+      WHEN kind = 'table_removed' THEN 'table removed — possible FK references from other tables'
+      WHEN kind = 'column_removed' THEN 'column removed — drop from CSV'
+      WHEN kind = 'column_added' AND NOT has_m THEN 'new column — schema metadata unavailable'
+      WHEN kind = 'column_added' AND m_gen THEN 'generated column — no CSV value needed'
+      WHEN kind = 'column_added' AND from_column IS NOT NULL THEN 'possible rename from ' || from_column || ' (same type)'
+      WHEN kind = 'column_added' AND m_null THEN 'nullable column — fill with empty'
+      WHEN kind = 'column_added' AND m_def IS NOT NULL THEN 'column has a default — fill with ' || strat
+      WHEN kind = 'column_added' AND m_fkt IS NOT NULL
+        THEN 'required FK column references ' || m_fkt || '.' || m_fkc || ' — need a valid parent row'
+      WHEN kind = 'column_added' THEN 'NOT NULL column without default — need a fill strategy'
+      WHEN kind = 'fk_added' THEN 'FK added to existing column referencing ' || detail || ' — existing rows may violate constraint'
+      WHEN kind = 'fk_removed' THEN 'FK removed — no CSV transformation needed'
+      WHEN kind = 'fk_changed' THEN 'FK target changed to ' || detail || ' — existing references may need update'
+      ELSE '' END AS reason,
+    CASE WHEN kind = 'column_added' AND has_m AND NOT m_gen AND from_column IS NOT NULL THEN from_column
+         WHEN kind = 'column_added' AND has_m AND NOT m_gen AND m_null THEN '' END AS op_value
   FROM cm)
 """
 
 
 @query("j4_classify_drift", CLASSIFY_CTE +
-       "SELECT db_id, kind, table_name, column_name, detail, seq, category, op, op_strategy FROM classified")
+       "SELECT db_id, kind, table_name, column_name, detail, seq, category, reason, op, op_strategy, op_value "
+       "FROM classified")
 def q_j4(spark, sf_dir):
     old, new, ch = _diff(spark, sf_dir, materialize=True)
-    return D.classify_drift(ch).drop("reason", "op_value")
+    return D.classify_drift(ch)
 
 
 @query("a6_drift_report", CLASSIFY_CTE + """,
