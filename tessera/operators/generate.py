@@ -91,8 +91,11 @@ def derive_revision(spark: SparkSession, base: Mapping[str, DataFrame], statemen
     table. Every populated base table must be redefined (the script contract as a plan check);
     a missing one or a failing statement raises before anything is written. Tables not
     redefined and empty are carried over unchanged."""
+    from tessera.session import forget_driver_views
+
     for name, df in base.items():
         df.createOrReplaceTempView(name)
+    forget_driver_views(spark)  # views of these names now hold the base revision
     required = list(populated) if populated is not None else list(base)
     missing = sorted(t for t in required if t not in statements)
     if missing:

@@ -88,9 +88,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_REGISTERED: dict[int, tuple[str, frozenset]] = {}
+
+
+def forget_driver_views(spark: SparkSession) -> None:
+    """Drop the registration cache (call after replacing temp views that share driver names)."""
+    _REGISTERED.pop(id(spark), None)
+
+
 def register_driver_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
-    for n in names:
+    """Temp views over the driver tables; repeated calls for the same folder in the same session
+    reuse the views instead of listing files and reading footers again."""
+    key = id(spark)
+    done_dir, done = _REGISTERED.get(key, ("", frozenset()))
+    if done_dir != sf_dir:
+        done = frozenset()
+    todo = [n for n in names if n not in done or not spark.catalog.tableExists(n)]
+    for n in todo:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+    _REGISTERED[key] = (sf_dir, done | frozenset(todo))
 
 
 def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:

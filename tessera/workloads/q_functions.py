@@ -10,6 +10,7 @@ from tessera.functions import parse as P
 from tessera.functions import render as R
 from tessera.workloads import derived
 from tessera.workloads.registry import _prep, query
+from tessera.workloads.shared import ORDERS_PG_TYPES, env_values
 
 _TS_SQL = ("strftime({c}, '%Y-%m-%d %H:%M:%S') || regexp_replace('.' || strftime({c}, '%f'), '\\.?0+$', '')"
            " || ' +0000 UTC'")
@@ -24,11 +25,6 @@ def q_p5(spark, sf_dir):
     return R.render_cells(spark.table("events"))
 
 
-ORDERS_PG_TYPES = {"o_orderkey": "bigint", "o_custkey": "integer", "o_orderstatus": "char(1)",
-                   "o_totalprice": "numeric", "o_orderdate": "timestamp without time zone",
-                   "o_orderpriority": "text"}
-
-
 @query("p1_coerce_postgres", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 0 AS n_rejects
 FROM orders""")
@@ -101,16 +97,6 @@ def q_p6(spark, sf_dir):
                     R.sql_literal(F.col("c_mktsegment"), "character varying").alias("segment_literal"))
 
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
-def env_values(env: str = "staging") -> dict[str, str]:
-    """Environment configuration used by the marker queries (keys of the driver segments/nations)."""
-    vals = {f"SEG_{s}": f"{env}-{s.lower()}" for s in SEGMENTS}
-    vals.update({f"NATION_{i}": f"{env}-nation-{i}" for i in range(5)})
-    return vals
-
-
 @query("p7_resolve_markers", """
 SELECT c_custkey, c_name,
        CASE WHEN c_acctbal > 5000 THEN 'staging-' || lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment,

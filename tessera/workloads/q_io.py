@@ -13,7 +13,7 @@ from tessera.sources import sql_script as SQ
 from tessera.sources import store
 from tessera.sources import usage_events as UE
 from tessera.workloads import derived
-from tessera.workloads.q_functions import ORDERS_PG_TYPES, env_values
+from tessera.workloads.shared import ORDERS_PG_TYPES, env_values
 from tessera.workloads.registry import _prep, query
 
 _TS_SQL = ("strftime({c}, '%Y-%m-%d %H:%M:%S') || regexp_replace('.' || strftime({c}, '%f'), '\\.?0+$', '')"

@@ -13,7 +13,7 @@ from tessera.operators import history as H
 from tessera.operators import revisions as RV
 from tessera.operators import usage as U
 from tessera.workloads import derived
-from tessera.workloads.q_functions import env_values
+from tessera.workloads.shared import env_values
 from tessera.workloads.registry import _prep, query
 
 _SCEN = "'customers/c' || CAST({k} AS VARCHAR)"

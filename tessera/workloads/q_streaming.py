@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators.usage import state_summary
 from tessera.session import scratch_path
 from tessera.streaming import jobs
-from tessera.workloads.q_functions import env_values
-from tessera.workloads.registry import ORACLE, _prep, query
+from tessera.workloads.shared import env_values
+from tessera.workloads.registry import _prep, query
 
 
 def _split_files(df, path, n=4, key=None):
@@ -18,7 +18,7 @@ def _split_files(df, path, n=4, key=None):
     return path
 
 
-@query("x1_stream_usage", ORACLE["a7_usage_by_state"])
+@query("x1_stream_usage", same_oracle_as="a7_usage_by_state")
 def q_x1(spark, sf_dir):
     _prep(spark, sf_dir, "usage_events")
     ev = spark.table("usage_events")
@@ -29,7 +29,7 @@ def q_x1(spark, sf_dir):
     return latest.join(state_summary(latest), "state")
 
 
-@query("x2_stream_schema_history", ORACLE["w4_schema_history"])
+@query("x2_stream_schema_history", same_oracle_as="w4_schema_history")
 def q_x2(spark, sf_dir):
     _prep(spark, sf_dir, "observations")
     obs = spark.table("observations")
@@ -39,7 +39,7 @@ def q_x2(spark, sf_dir):
     return jobs.read_schema_history(spark, out)
 
 
-@query("x3_stream_restore", ORACLE["p7_resolve_markers"])
+@query("x3_stream_restore", same_oracle_as="p7_resolve_markers")
 def q_x3(spark, sf_dir):
     _prep(spark, sf_dir, "customer_marked")
     cm = spark.table("customer_marked")

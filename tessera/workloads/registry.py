@@ -17,17 +17,28 @@ from tessera.workloads import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+ORACLE_SAME_AS: dict[str, str] = {}  # query -> query whose oracle it shares (resolved lazily)
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, same_oracle_as: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
             ORACLE[name] = oracle
+        if same_oracle_as is not None:
+            ORACLE_SAME_AS[name] = same_oracle_as
         return fn
     return deco
 
 
+def oracles() -> dict[str, str]:
+    out = dict(ORACLE)
+    for name, other in ORACLE_SAME_AS.items():
+        if other in ORACLE:
+            out[name] = ORACLE[other]
+    return out
+
+
 def _prep(spark: SparkSession, sf_dir: str, *views: str) -> None:
     register_driver_views(spark, sf_dir)
     if views:
