@@ -41,3 +41,8 @@ def test_id(file: Column, title: Column, project: Column) -> Column:
     """sha1 of file, title and project joined by NUL."""
     return F.sha1(F.concat_ws("\u0000", F.coalesce(file, F.lit("")), F.coalesce(title, F.lit("")),
                               F.coalesce(project, F.lit(""))))
+
+
+def content_hash(text: Column) -> Column:
+    """sha1 of a test's content (the usage event's ``testHash``)."""
+    return F.sha1(F.coalesce(text, F.lit("")))

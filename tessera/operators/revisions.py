@@ -105,14 +105,15 @@ def catalog_status(latest: DataFrame, live: DataFrame, behind: DataFrame | None
     return out
 
 
-def sync_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
+def sync_plan(local: DataFrame, remote: DataFrame, direction: str = "push") -> DataFrame:
     """Match local datasets to remote ones by stable id first, else by name.
 
     ``local(name, remote_id, remote_updated_at)``, ``remote(id, name, updated_at)``.
     A name matching no remote dataset is ``missing`` (push creates it), more
     than one is ``ambiguous``. Matched datasets are ``up_to_date`` only when the
     remote id and the remote update time are equal and non-empty, else ``push``.
-    ``renamed`` marks an id match whose remote name differs.
+    ``renamed`` marks an id match whose remote name differs. ``direction``
+    (``push`` / ``pull``) names the transfer for datasets that are not up to date.
     """
     by_id = remote.select(F.col("id").alias("_id"), F.col("name").alias("_id_name"),
                           F.col("updated_at").alias("_id_upd"))
@@ -127,7 +128,7 @@ def sync_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
         & (F.coalesce(F.col("remote_updated_at"), F.lit("")) != "") & (F.col("remote_updated_at") == rupd)
     action = (F.when(~matched_id & (F.coalesce(F.col("_n_named"), F.lit(0)) > 1), "ambiguous")
               .when(~matched_id & F.col("_n_named").isNull(), "missing")
-              .when(up, "up_to_date").otherwise("push"))
+              .when(up, "up_to_date").otherwise(direction))
     return j.select("name", rid.alias("matched_remote_id"), action.alias("action"),
                     (matched_id & (F.col("_id_name") != F.col("name"))).alias("renamed"))
 

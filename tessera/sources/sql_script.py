@@ -42,6 +42,16 @@ def sql_statements(spark: SparkSession, tables: Mapping[str, DataFrame], types:
     return out
 
 
-def write_sql_script(statements: DataFrame, path: str) -> None:
-    """Range-partitioned global sort, then text part files in script order."""
-    statements.orderBy("table_name", "seq", "row_key").select("statement").write.mode("error").text(path)
+def write_sql_script(statements: DataFrame, path: str) -> dict:
+    """Range-partitioned global sort, then text part files in script order. Returns the number of
+    INSERT rows and whether it exceeds the size at which the source warns."""
+    from pyspark.sql import Observation
+
+    obs = Observation("sql_script_rows")
+    # observed after the sort: the range partitioner's sampling job re-runs the sort's input, so a
+    # metric placed below the sort would count rows twice
+    (statements.orderBy("table_name", "seq", "row_key")
+     .observe(obs, F.count_if(F.col("seq") == 1).alias("rows"))
+     .select("statement").write.mode("error").text(path))
+    rows = int(obs.get["rows"])
+    return {"rows": rows, "warning": rows > ROW_WARN_THRESHOLD}

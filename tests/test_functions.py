@@ -136,3 +136,17 @@ def test_marker_env_fallback_rules(spark, monkeypatch):
     assert M.has_any_marker(df) and not M.has_any_marker(spark.createDataFrame([("@env:lower",)], "a string"))
     untouched = spark.createDataFrame([("plain",)], "a string")
     assert M.resolve_markers(untouched, {}) is untouched            # marker fast path: input reused
+
+
+def test_sql_script_writer_and_hashes(spark):
+    from tessera.session import scratch_path
+    from tessera.sources import sql_script as SQ
+
+    df = spark.range(6000).select(F.col("id"), F.lit("it's").alias("name"))
+    st = SQ.sql_statements(spark, {"t": df}, {"t": {"id": "bigint", "name": "text"}})
+    info = SQ.write_sql_script(st, scratch_path(spark, "sql"))
+    assert info == {"rows": 6000, "warning": True}
+    first = st.where("seq = 1").orderBy("row_key").first().statement
+    assert first == 'INSERT INTO "t" ("id", "name") VALUES (0, \'it\'\'s\');'
+    h = spark.range(1).select(P.content_hash(F.lit("abc")).alias("h")).first().h
+    assert h == "a9993e364706816aba3e25717850c26c9cd0d89d"
