@@ -183,3 +183,34 @@ def test_restore_csv_types_checks_and_failure_modes(spark):
     back = store.read_published(spark, a, "t")
     assert dict(back.dtypes)["id"] == "bigint"
     assert sorted((r.id, r.name) for r in back.collect()) == [(1, "n"), (2, "x"), (2, "y")]
+
+
+def test_export_then_refresh_flow(spark):
+    from tessera.operators.catalog import SCHEMA_COLUMNS
+    from tessera.plans.export import export_revision
+    from tessera.plans.refresh import refresh_revision
+
+    def c(t, name, typ, o, nullable=False, default=None):
+        return ("db", t, o, name, typ, None, nullable, default, name == "id", False, False, None, None, None)
+    old = spark.createDataFrame([c("users", "id", "integer", 1), c("users", "fullName", "text", 2),
+                                 c("users", "age", "integer", 3)], SCHEMA_COLUMNS)
+    live = spark.createDataFrame([c("users", "id", "integer", 1), c("users", "name", "text", 2),
+                                  c("users", "bio", "text", 3, nullable=True),
+                                  c("users", "seen", "timestamp", 4, default="now()")], SCHEMA_COLUMNS)
+    users = spark.createDataFrame([(1, "Ann", 30), (2, "Bo", 40)], "id int, fullName string, age int")
+    root, obs = scratch_path(spark, "flow"), scratch_path(spark, "obs")
+    counts = export_revision(spark, root, "app/main", {"users": users}, old, observations_path=obs)
+    assert [(r.table_name, r.row_count) for r in counts.collect()] == [("users", 2)]
+    assert spark.read.parquet(obs).count() == 1
+
+    report, new_counts = refresh_revision(spark, root, "app/main", old, live)
+    rep = report.collect()[0]
+    assert rep.has_drift and not rep.needs_decision and not rep.has_breaking
+    assert [(r.table_name, r.row_count) for r in new_counts.collect()] == [("users", 2)]
+    assert store.latest_revision(spark, root, "app/main") == "r002"
+    t = store.read_revision(spark, root, "app/main")["users"]
+    assert sorted(t.columns) == ["bio", "id", "name", "seen"]
+    assert sorted((r.id, r.name, r.bio) for r in t.collect()) == [(1, "Ann", ""), (2, "Bo", "")]
+
+    same_report, nothing = refresh_revision(spark, root, "app/main", live, live)
+    assert nothing is None and not same_report.collect()[0].has_drift
