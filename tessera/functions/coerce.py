@@ -46,8 +46,21 @@ def _is_null_token(s: Column) -> Column:
 
 # ----------------------------------------------------------------------- P3
 
+# Strict JSON parsing: Spark's parsers stop after the first complete value and ignore what follows
+# (``{"a":1} x`` parses), and accept single quotes and NaN by default. A string is valid JSON here
+# when ``[<s>,"~json-end~"]`` parses as exactly two elements ending with the sentinel.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_SENTINEL = "~json-end~"
+
+
+def json_valid(s: Column) -> Column:
+    """True when ``s`` is one complete JSON value (surrounding whitespace allowed), as Go decodes it."""
+    arr = F.from_json(F.concat(F.lit("["), s, F.lit(f',"{_SENTINEL}"]')), "array<string>", _STRICT)
+    return F.coalesce((F.size(arr) == 2) & (F.element_at(arr, 2) == F.lit(_SENTINEL)), F.lit(False))
+
+
 def _json_ok(s: Column) -> Column:
-    return F.try_parse_json(s).isNotNull()
+    return json_valid(s)
 
 
 def _fix_simple_json(s: Column) -> Column:
@@ -99,7 +112,7 @@ def to_pg_array(s: Column) -> Column:
     """
     bracketed = (s.startswith("[") & s.endswith("]")) | (s.startswith("{") & s.endswith("}"))
     fixed = F.when((F.instr(s, "'") > 0) & (F.instr(s, '"') == 0), F.translate(s, "'", '"')).otherwise(s)
-    arr = F.from_json(fixed, "array<variant>")
+    arr = F.when(json_valid(fixed), F.from_json(fixed, "array<variant>", _STRICT))
 
     def render(x):
         kind = F.schema_of_variant(x)

@@ -150,3 +150,13 @@ def test_sql_script_writer_and_hashes(spark):
     assert first == 'INSERT INTO "t" ("id", "name") VALUES (0, \'it\'\'s\');'
     h = spark.range(1).select(P.content_hash(F.lit("abc")).alias("h")).first().h
     assert h == "a9993e364706816aba3e25717850c26c9cd0d89d"
+
+
+def test_strict_json_validity(spark):
+    cases = {'{"a":1}': True, ' [1, 2] ': True, "null": True, '"x"': True, '{"a":1} x': False, "[1]]": False,
+             "1 2": False, "{'a':1}": False, "NaN": False, "": False, '{"a":1,}': False}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r.v: r.ok for r in df.select("v", CO.json_valid(F.col("v")).alias("ok")).collect()}
+    assert got == cases
+    arr = spark.createDataFrame([("[1]]",)], "v string").select(CO.to_pg_array(F.col("v")).alias("x")).first().x
+    assert arr == "{1]}"   # not a JSON array: quote-aware split of the inner text, as the source
