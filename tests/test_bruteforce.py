@@ -135,3 +135,133 @@ def test_coercion_matches_model(spark):
         for r in rows:
             assert r.x == _pg_model(r.v, t), (r.v, t, r.x)
     assert df.count() == len(cases)
+
+
+def test_schema_history_matches_sequential_replay(spark):
+    """W4 against a replay of the sequential update rule on random sightings of several databases."""
+    from tessera.operators.history import schema_history
+
+    rng = random.Random(21)
+    obs = []
+    for db in range(5):
+        for t in rng.sample(range(10_000), 40):
+            obs.append((f"db{db}", rng.choice("ABCDE"), t))
+    want = {}
+    for db in {o[0] for o in obs}:
+        current, entries = "", {}
+        for _, fp, t in sorted((o for o in obs if o[0] == db), key=lambda o: o[2]):
+            if fp in entries:
+                entries[fp]["last"] = t
+            else:
+                entries[fp] = {"version": len(entries) + 1, "first": t, "last": t,
+                               "previous": current if current and current != fp else None}
+            current = fp
+        for fp, e in entries.items():
+            want[(db, fp)] = (e["version"], e["first"], e["last"], e["previous"])
+    df = spark.createDataFrame(obs, "db_id string, fingerprint string, seen_at int")
+    got = {(r.db_id, r.fingerprint): (r.version, r.first_seen, r.last_seen, r.previous)
+           for r in schema_history(df).collect()}
+    assert got == want
+
+
+def test_fk_load_order_matches_peeling_model(spark):
+    from tessera.operators.graph import fk_load_order
+
+    rng = random.Random(8)
+    tables, edges = [], []
+    for db in range(4):
+        names = [f"t{i}" for i in range(12)]
+        rng.shuffle(names)
+        tables += [(f"d{db}", n, i) for i, n in enumerate(names)]
+        for _ in range(14):
+            a, b = rng.sample(names, 2)
+            edges.append((f"d{db}", a, b))
+    want = {}
+    for db in {t[0] for t in tables}:
+        remaining = {t[1] for t in tables if t[0] == db}
+        es = [(c, p) for d, c, p in edges if d == db]
+        level = 0
+        while True:
+            ready = {t for t in remaining if not any(c == t and p in remaining for c, p in es)}
+            if not ready:
+                break
+            for t in ready:
+                want[(db, t)] = level
+            remaining -= ready
+            level += 1
+        for t in remaining:
+            want[(db, t)] = None
+    tdf = spark.createDataFrame(tables, "db_id string, table_name string, input_pos int")
+    edf = spark.createDataFrame(edges, "db_id string, child string, parent string")
+    out = fk_load_order(edf, tdf).collect()
+    assert {(r.db_id, r.table_name): r.level for r in out} == want
+    pos = {(r.db_id, r.table_name): i for i, r in enumerate(out)}
+    for d, c, p in edges:  # parents before children wherever both are placed
+        if want[(d, c)] is not None and want[(d, p)] is not None:
+            assert pos[(d, p)] < pos[(d, c)]
+
+
+def _diff_model(old, new):
+    out = []
+    ot = {(r[0], r[1]) for r in old}
+    nt = {(r[0], r[1]) for r in new}
+    for db, t in sorted(ot | nt):
+        if (db, t) not in ot:
+            out.append((db, "table_added", t, ""))
+            continue
+        if (db, t) not in nt:
+            out.append((db, "table_removed", t, ""))
+            continue
+        oc = {r[3]: r for r in old if (r[0], r[1]) == (db, t)}
+        nc = {r[3]: r for r in new if (r[0], r[1]) == (db, t)}
+        b = lambda v: "true" if v else "false"
+        for c in sorted(set(oc) | set(nc)):
+            o, n = oc.get(c), nc.get(c)
+            if o is None:
+                det = f"{n[4]} nullable={b(n[6])}" + (f' default="{n[7]}"' if n[7] is not None else "")
+                out.append((db, "column_added", t, c, det))
+                if n[12]:
+                    out.append((db, "fk_added", t, c, f"{n[12]}.{n[13]}"))
+                continue
+            if n is None:
+                out.append((db, "column_removed", t, c, ""))
+                continue
+            bits = []
+            if o[4] != n[4]:
+                bits.append(f"type changed {o[4]} -> {n[4]}")
+            if o[6] != n[6]:
+                bits.append(f"nullable {b(o[6])} -> {b(n[6])}")
+            if o[7] != n[7]:
+                disp = lambda v: "null" if v is None else f'"{v}"'
+                bits.append(f"default {disp(o[7])} -> {disp(n[7])}")
+            if o[8] != n[8]:
+                bits.append(f"isPrimary {b(o[8])} -> {b(n[8])}")
+            if bits:
+                out.append((db, "column_changed", t, c, ", ".join(bits)))
+            oref = f"{o[12]}.{o[13]}" if o[12] else ""
+            nref = f"{n[12]}.{n[13]}" if n[12] else ""
+            if oref != nref:
+                kind = "fk_added" if not oref else "fk_removed" if not nref else "fk_changed"
+                det = f"-> {nref}" if not oref else "(removed)" if not nref else f"{oref} -> {nref}"
+                out.append((db, kind, t, c, det))
+    return sorted(x if len(x) == 5 else x + ("",) for x in out)
+
+
+def test_schema_diff_matches_model(spark):
+    rng = random.Random(4)
+
+    def cat():
+        rows = []
+        for t in rng.sample(["a", "b", "c", "d"], rng.randint(1, 4)):
+            for i, c in enumerate(rng.sample(["x", "y", "z", "w", "v"], rng.randint(1, 5))):
+                fk = rng.choice([None, None, ("a", "x"), ("b", "y")])
+                rows.append(("db", t, i, c, rng.choice(["text", "integer"]), None, rng.random() < .5,
+                             rng.choice([None, "0", "now()"]), rng.random() < .2, False, False, None,
+                             fk[0] if fk else None, fk[1] if fk else None))
+        return rows
+    for _ in range(3):
+        old, new = cat(), cat()
+        got = sorted((r.db_id, r.kind, r.table_name, r.column_name, r.detail) for r in
+                     D.schema_diff(spark.createDataFrame(old, SCHEMA_COLUMNS),
+                                   spark.createDataFrame(new, SCHEMA_COLUMNS)).collect())
+        assert got == _diff_model(old, new)
