@@ -6,7 +6,8 @@ deepest FK chain (a schema property, tens at most), each round is one anti
 join, and the state is checkpointed to the shared checkpoint folder between
 rounds so lineage stays flat and a lost executor only recomputes one round.
 Tables caught in (or below) a cycle are never peeled and are appended last in
-input order, as the source does.
+input order, as the source does. Each placed table also carries the key that
+reproduces the source's exact FIFO queue order.
 """
 
 from __future__ import annotations
@@ -19,33 +20,53 @@ from tessera.session import cut_lineage
 
 def fk_load_order(edges: DataFrame, tables: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``tables(db_id, table_name, input_pos)``, ``edges(db_id, child, parent)`` ->
-    ``(db_id, table_name, input_pos, level, in_cycle)`` sorted by (db_id, level, input_pos).
+    ``(db_id, table_name, input_pos, level, in_cycle, kahn_key)`` in load order.
 
-    Parents come before children; ties keep input order. Self edges and
-    edges to tables outside ``tables`` are ignored. ``level`` is null for
-    tables that depend on a cycle (``in_cycle``).
+    Parents come before children. The order is exactly the source's FIFO Kahn
+    order (trap Q12): FIFO processing is level-monotone, and within a level a
+    table is released by its last-processed parent, tables released by the same
+    parent in input order. So each placed table carries ``kahn_key`` = its last
+    parent's key + [own input position] (roots: [input position]); ordering by
+    (level, kahn_key) reproduces the queue order. The key's length is the
+    table's level + 1, bounded by the FK depth. Self edges and edges to tables
+    outside ``tables`` are ignored; tables in or below a cycle get a null level
+    and come last in input order.
     """
     t = tables.select("db_id", "table_name", "input_pos")
     e = (edges.where(F.col("child") != F.col("parent"))
          .join(t.select("db_id", F.col("table_name").alias("child")), ["db_id", "child"], "left_semi")
          .join(t.select("db_id", F.col("table_name").alias("parent")), ["db_id", "parent"], "left_semi")
          .select("db_id", "child", "parent").distinct())
-    nodes = cut_lineage(t.withColumn("level", F.lit(None).cast("int")))
+    nodes = cut_lineage(t.withColumn("level", F.lit(None).cast("int"))
+                        .withColumn("kahn_key", F.lit(None).cast("array<bigint>")))
     e = cut_lineage(e)
     level = 0
     while max_rounds is None or level < max_rounds:
-        remaining = nodes.where(F.col("level").isNull()).select("db_id", "table_name")
+        remaining = nodes.where(F.col("level").isNull()).select("db_id", "table_name", "input_pos")
         # an edge still blocks its child while its parent is unplaced
-        blocked = (e.join(remaining.withColumnRenamed("table_name", "parent"), ["db_id", "parent"], "left_semi")
+        blocked = (e.join(remaining.select("db_id", F.col("table_name").alias("parent")), ["db_id", "parent"],
+                          "left_semi")
                    .select("db_id", F.col("child").alias("table_name")).distinct())
-        ready = remaining.join(blocked, ["db_id", "table_name"], "left_anti").withColumn("_ready", F.lit(True))
+        ready = remaining.join(blocked, ["db_id", "table_name"], "left_anti")
+        # key of the last-processed parent: highest level, then largest key
+        placed = nodes.where(F.col("level").isNotNull()).select(
+            "db_id", F.col("table_name").alias("parent"), F.struct(F.size("kahn_key").alias("n"), "kahn_key").alias("pk"))
+        last_parent = (e.join(ready.select("db_id", F.col("table_name").alias("child")), ["db_id", "child"], "left_semi")
+                       .join(placed, ["db_id", "parent"])
+                       .groupBy("db_id", F.col("child").alias("table_name")).agg(F.max("pk").alias("_lp")))
+        ready = (ready.join(last_parent, ["db_id", "table_name"], "left")
+                 .select("db_id", "table_name", F.lit(True).alias("_ready"),
+                         F.concat(F.coalesce(F.col("_lp.kahn_key"), F.array().cast("array<bigint>")),
+                                  F.array(F.col("input_pos").cast("long"))).alias("_key")))
         nxt = cut_lineage(  # one job per round: place this level, persist the state
             nodes.join(ready, ["db_id", "table_name"], "left")
             .select("db_id", "table_name", "input_pos",
-                    F.when(F.col("_ready"), F.lit(level)).otherwise(F.col("level")).alias("level")))
+                    F.when(F.col("_ready"), F.lit(level)).otherwise(F.col("level")).alias("level"),
+                    F.when(F.col("_ready"), F.col("_key")).otherwise(F.col("kahn_key")).alias("kahn_key")))
         if nxt.where(F.col("level") == level).limit(1).count() == 0:  # cheap scan of the checkpoint
             break
         nodes = nxt
         level += 1
     return (nodes.withColumn("in_cycle", F.col("level").isNull())
-            .orderBy("db_id", F.col("level").asc_nulls_last(), "input_pos"))
+            .select("db_id", "table_name", "input_pos", "level", "in_cycle", "kahn_key")
+            .orderBy("db_id", F.col("level").asc_nulls_last(), F.col("kahn_key").asc_nulls_last(), "input_pos"))

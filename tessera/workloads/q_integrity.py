@@ -128,4 +128,4 @@ def q_t2(spark, sf_dir):
     _prep(spark, sf_dir, "cat_new")
     cols = spark.table("cat_new")
     tables = cols.groupBy("db_id", "table_name").agg(F.min("ordinal").alias("input_pos"))
-    return fk_load_order(C.fk_edges(cols), tables)
+    return fk_load_order(C.fk_edges(cols), tables).drop("kahn_key")
