@@ -42,27 +42,22 @@ def fk_load_order(edges: DataFrame, tables: DataFrame, max_rounds: int | None =
     e = cut_lineage(e)
     level = 0
     while max_rounds is None or level < max_rounds:
-        remaining = nodes.where(F.col("level").isNull()).select("db_id", "table_name", "input_pos")
-        # an edge still blocks its child while its parent is unplaced
-        blocked = (e.join(remaining.select("db_id", F.col("table_name").alias("parent")), ["db_id", "parent"],
-                          "left_semi")
-                   .select("db_id", F.col("child").alias("table_name")).distinct())
-        ready = remaining.join(blocked, ["db_id", "table_name"], "left_anti")
-        # key of the last-processed parent: highest level, then largest key
-        placed = nodes.where(F.col("level").isNotNull()).select(
-            "db_id", F.col("table_name").alias("parent"), F.struct(F.size("kahn_key").alias("n"), "kahn_key").alias("pk"))
-        last_parent = (e.join(ready.select("db_id", F.col("table_name").alias("child")), ["db_id", "child"], "left_semi")
-                       .join(placed, ["db_id", "parent"])
-                       .groupBy("db_id", F.col("child").alias("table_name")).agg(F.max("pk").alias("_lp")))
-        ready = (ready.join(last_parent, ["db_id", "table_name"], "left")
-                 .select("db_id", "table_name", F.lit(True).alias("_ready"),
-                         F.concat(F.coalesce(F.col("_lp.kahn_key"), F.array().cast("array<bigint>")),
-                                  F.array(F.col("input_pos").cast("long"))).alias("_key")))
+        # per child: how many parents are still unplaced, and the key of the last-processed parent
+        # (highest level, then largest key) among the placed ones
+        pstate = nodes.select("db_id", F.col("table_name").alias("parent"), F.col("level").alias("_pl"),
+                              F.struct(F.size("kahn_key").alias("n"), "kahn_key").alias("_pk"))
+        per_child = (e.join(pstate, ["db_id", "parent"])
+                     .groupBy("db_id", F.col("child").alias("table_name"))
+                     .agg(F.count_if(F.col("_pl").isNull()).alias("_unplaced"),
+                          F.max(F.when(F.col("_pl").isNotNull(), F.col("_pk"))).alias("_lp")))
+        j = nodes.join(per_child, ["db_id", "table_name"], "left")
+        ready = F.col("level").isNull() & (F.coalesce(F.col("_unplaced"), F.lit(0)) == 0)
+        key = F.concat(F.coalesce(F.col("_lp.kahn_key"), F.array().cast("array<bigint>")),
+                       F.array(F.col("input_pos").cast("long")))
         nxt = cut_lineage(  # one job per round: place this level, persist the state
-            nodes.join(ready, ["db_id", "table_name"], "left")
-            .select("db_id", "table_name", "input_pos",
-                    F.when(F.col("_ready"), F.lit(level)).otherwise(F.col("level")).alias("level"),
-                    F.when(F.col("_ready"), F.col("_key")).otherwise(F.col("kahn_key")).alias("kahn_key")))
+            j.select("db_id", "table_name", "input_pos",
+                     F.when(ready, F.lit(level)).otherwise(F.col("level")).alias("level"),
+                     F.when(ready, key).otherwise(F.col("kahn_key")).alias("kahn_key")))
         if nxt.where(F.col("level") == level).limit(1).count() == 0:  # cheap scan of the checkpoint
             break
         nodes = nxt
