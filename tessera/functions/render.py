@@ -32,7 +32,7 @@ def render_cell(c: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.DateType):
         v = render_timestamp(c.cast("timestamp"))
     elif isinstance(dtype, T.BooleanType):
-        v = F.when(c, F.lit("true")).otherwise(F.lit("false"))
+        v = F.when(c.isNull(), F.lit(None)).when(c, F.lit("true")).otherwise(F.lit("false"))
     elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         v = F.to_json(c)
     else:

@@ -162,8 +162,10 @@ def _write_one(name: str, df: DataFrame, target: str, fmt: str) -> int:
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:6]}")
     df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     if fmt == "csv":
+        # Spark's CSV writer trims cell whitespace unless told not to; snapshot text is kept verbatim
         (render_cells(df).write.mode("error")
          .option("header", True).option("escape", '"').option("quoteAll", False)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .option("emptyValue", "").csv(target))
     else:
         df.write.mode("error").parquet(target)
@@ -232,6 +234,7 @@ def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
     schema = ", ".join(f"`{c}` string" for c in header) + f", `{CORRUPT}` string"
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .option("nullValue", _NULL_SENTINEL).option("emptyValue", "").csv(path))
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], CORRUPT)
@@ -258,11 +261,11 @@ def read_snapshot(spark: SparkSession, path: str, table: str, types: Mapping[str
     warn_cols = spark.createDataFrame([(table, "unknown_column", c) for c in unknown]
                                       + [(table, "missing_column", c) for c in missing],
                                       "table_name string, kind string, detail string")
-    # the first data column stays referenced (as an empty suffix): Spark refuses a scan that reads
-    # only the corrupt-record column
-    ragged = raw.where(F.col(CORRUPT).isNotNull()).select(
-        F.lit(table).alias("table_name"), F.lit("ragged_row").alias("kind"),
-        F.concat(F.col(CORRUPT), F.substring(F.col(header[0]), 1, 0)).alias("detail"))
+    # the first data column stays referenced (as an empty suffix, in the filter so that counts keep
+    # it too): Spark refuses a scan that reads only the corrupt-record column
+    flagged = F.concat(F.col(CORRUPT), F.substring(F.col(header[0]), 1, 0))
+    ragged = raw.where(flagged.isNotNull()).select(
+        F.lit(table).alias("table_name"), F.lit("ragged_row").alias("kind"), flagged.alias("detail"))
     return typed.drop("_rejects"), rejects, warn_cols.unionByName(ragged)
 
 

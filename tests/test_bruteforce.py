@@ -306,3 +306,43 @@ def test_fk_load_order_is_exact_kahn_order(spark):
     for r in out:
         got.setdefault(r.db_id, []).append(r.table_name)
     assert got == want
+
+
+def test_csv_round_trip_restores_typed_values(spark):
+    """read(write(x)) = x through the CSV snapshot form for values outside trap Q2."""
+    import datetime as dt
+
+    from tessera.session import scratch_path
+    from tessera.sources import store
+
+    rng = random.Random(17)
+    alphabet = ['a', 'Z', ' ', ',', '"', "'", '\n', 'é', ';', '\\']
+
+    def text():
+        s = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 8)))
+        return None if rng.random() < .1 or s in ("NULL", "null") else s
+
+    rows = []
+    for i in range(200):
+        ts = dt.datetime(2020, 1, 1) + dt.timedelta(seconds=rng.randint(0, 10**8), microseconds=rng.choice(
+            [0, 500000, 123456, 10]))
+        rows.append((i, text(), None if rng.random() < .1 else rng.randint(-10**12, 10**12),
+                     None if rng.random() < .1 else round(rng.uniform(-1e6, 1e6), 3),
+                     None if rng.random() < .1 else rng.random() < .5, None if rng.random() < .1 else ts))
+    schema = "id long, name string, big long, price double, flag boolean, at timestamp"
+    df = spark.createDataFrame(rows, schema)
+    root = scratch_path(spark, "rt")
+    store.write_snapshot(spark, root, "rt", {"t": df}, fmt="csv")
+    types = {"id": "bigint", "name": "text", "big": "bigint", "price": "double precision", "flag": "boolean",
+             "at": "timestamp with time zone"}
+    typed, rejects, warn = store.read_snapshot(
+        spark, f"{store.revision_dir(root, 'rt', 'r001')}/tables/t", "t", types)
+    assert rejects.count() == 0 and warn.count() == 0
+    got = {r.id: tuple(r) for r in typed.select("id", "name", "big", "price", "flag", "at").collect()}
+    want = {r[0]: r for r in rows}
+    for i, w in want.items():
+        g = got[i]
+        exp_name = "" if w[1] is None else w[1]    # a NULL text cell reads back as NULL only via the token
+        assert g[1] in (w[1], exp_name), (i, g[1], w[1])
+        assert g[2:5] == w[2:5], (i, g, w)
+        assert g[5] == w[5], (i, g[5], w[5])
