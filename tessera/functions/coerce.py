@@ -18,6 +18,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.parse import strip_ws
+
 # Cell tokens and type names of the coercion rules.
 NULL_TOKENS = ("NULL", "null")
 PG_TRUE, PG_FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
@@ -98,7 +100,7 @@ def _split_outside_quotes(inner: Column) -> Column:
                                          .otherwise(seg)), '"')
     parts = F.split(protected, ",", -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda p: F.trim(F.translate(p, "\u0001", ",")))
+    return F.transform(parts, lambda p: strip_ws(F.translate(p, "\u0001", ",")))
 
 
 def to_pg_array(s: Column) -> Column:

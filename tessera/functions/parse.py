@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def strip_ws(c: Column) -> Column:
+    """Leading and trailing whitespace removed, Unicode spaces, tabs and newlines included
+    (``F.trim`` removes only the space character)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 # First value region of a CHECK clause: IN (...) or ANY (ARRAY[...]).
 _REGION_RE = r"(?i)(?:\bIN\s*\(([^)]+)\)|ANY\s*\(\s*ARRAY\[([^\]]+)\]\s*\))"
 _QUOTED_RE = r"'([^']*)'"
@@ -27,7 +33,7 @@ def enum_values(col_type: Column) -> Column:
     start, end = F.instr(col_type, "("), F.length(col_type) - F.instr(F.reverse(col_type), ")") + 1
     ok = lower.startswith("enum") & (F.instr(col_type, "(") > 0) & (F.instr(col_type, ")") > 0) & (end > start)
     inner = F.substring(col_type, start + 1, end - start - 1)
-    parts = F.transform(F.split(inner, ",", -1), lambda p: F.regexp_replace(F.trim(p), r"^'+|'+$", ""))
+    parts = F.transform(F.split(inner, ",", -1), lambda p: F.regexp_replace(strip_ws(p), r"^'+|'+$", ""))
     vals = F.filter(parts, lambda v: v != "")
     return F.when(ok, F.when(F.size(vals) > 0, vals))
 

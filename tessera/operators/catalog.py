@@ -321,7 +321,9 @@ def default_strategy(col_default: Column, col_type: Column) -> Column:
     function call or a bare now/current_* keyword is dynamic and gives
     ``timestamp`` only on time/date columns.
     """
-    s = F.lower(F.trim(F.regexp_replace(col_default, r"::[^:]*$", "")))
+    from tessera.functions.parse import strip_ws
+
+    s = F.lower(strip_ws(F.regexp_replace(col_default, r"::[^:]*$", "")))
     ct = F.lower(col_type)
     dynamic = s.contains("(") | s.isin(*DYNAMIC_DEFAULT_KEYWORDS)
     is_uuid = F.lit(False)

@@ -160,3 +160,14 @@ def test_strict_json_validity(spark):
     assert got == cases
     arr = spark.createDataFrame([("[1]]",)], "v string").select(CO.to_pg_array(F.col("v")).alias("x")).first().x
     assert arr == "{1]}"   # not a JSON array: quote-aware split of the inner text, as the source
+
+
+def test_whitespace_trimming_covers_tabs_and_newlines(spark):
+    sql = "TRUNCATE a,\n\tb;\nINSERT INTO a VALUES (1);\nINSERT INTO b VALUES (1);"
+    scripts = spark.createDataFrame([("s", sql)], "script_id string, sql string")
+    pop = spark.createDataFrame([("s", "a", 1), ("s", "b", 1)], "script_id string, table_name string, rows int")
+    assert all(r.ok for r in S.script_contract_check(scripts, pop).collect())
+    e = spark.range(1).select(P.enum_values(F.lit("enum(\t'x',\n'y' )")).alias("e")).first().e
+    assert e == ["x", "y"]
+    arr = spark.createDataFrame([('[a,\t"b,c"\n]',)], "v string").select(CO.to_pg_array(F.col("v")).alias("x")).first().x
+    assert arr == '{a,"b,c"}'
