@@ -28,9 +28,10 @@ PG_TEXT_TYPES, PG_TEXT_PREFIXES = ("text", "char"), ("character varying", "varch
 MYSQL_TEXT_TYPES, MYSQL_TEXT_PREFIXES = ("text", "tinytext", "mediumtext", "longtext", "char"), ("varchar", "char(")
 MYSQL_BOOL_TYPES = ("tinyint", "bool", "boolean")
 
-_INT_RE = r"^[+-]?[0-9]+$"
+# ``\z``, not ``$``: in Java ``$`` also matches before a final newline, which Go's parsers reject
+_INT_RE = r"^[+-]?[0-9]+\z"
 _FLOAT_RE = (r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?"
-             r"|[nN][aA][nN])$")
+             r"|[nN][aA][nN])\z")
 # Export form: "2006-01-02 15:04:05.999999 -0700 UTC"; RFC 3339; plain datetime; date.
 _TS_EXPORT = "yyyy-MM-dd HH:mm:ss[.SSSSSS] xx 'UTC'"
 _TS_RFC3339 = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
@@ -202,7 +203,9 @@ def coerce_value(s: Column, col_type: str, dialect: str = "postgres") -> Column:
     elif fam == "int":
         v = F.when(s.rlike(_INT_RE), s.try_cast("long"))
     elif fam == "float":
-        v = F.when(s.rlike(_FLOAT_RE), s.try_cast("double"))
+        d = s.try_cast("double")
+        # out-of-range literals (1e400) are a parse error for the source, not infinity
+        v = F.when(s.rlike(_FLOAT_RE) & ((F.abs(d) != F.lit(float("inf"))) | s.rlike("(?i)inf")), d)
     else:
         v = s
     return F.when(empty_null, F.lit(None)).otherwise(v)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.operators.catalog import column_note
 from tessera.operators.sequence import ordered_index
 
-REV_NUMBER = r"^r([0-9]+)$"
+REV_NUMBER = r"^r([0-9]+)\z"
 
 
 def revision_number(rev):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.render import render_cells
 
-REVISION_RE = re.compile(r"^r(\d+)$")
+REVISION_RE = re.compile(r"r([0-9]+)")
 
 
 # ----------------------------------------------------------------------- file-system helpers
@@ -100,7 +100,7 @@ def revision_id(n: int) -> str:
 
 
 def parse_revision_id(name: str) -> int | None:
-    m = REVISION_RE.match(name)
+    m = REVISION_RE.fullmatch(name)
     return int(m.group(1)) if m else None
 
 

@@ -171,3 +171,22 @@ def test_whitespace_trimming_covers_tabs_and_newlines(spark):
     assert e == ["x", "y"]
     arr = spark.createDataFrame([('[a,\t"b,c"\n]',)], "v string").select(CO.to_pg_array(F.col("v")).alias("x")).first().x
     assert arr == '{a,"b,c"}'
+
+
+def test_trailing_newline_is_not_a_number(spark):
+    df = spark.createDataFrame([("42\n",), ("1.5\n",), ("42",)], "v string")
+    got = [r.x for r in df.select(CO.coerce_value(F.col("v"), "bigint").alias("x")).collect()]
+    assert got == [None, None, 42]
+    got = [r.x for r in df.select(CO.coerce_value(F.col("v"), "numeric").alias("x")).collect()]
+    assert got == [None, None, 42.0]
+    from tessera.sources.store import parse_revision_id
+    assert parse_revision_id("r007") == 7 and parse_revision_id("r007\n") is None
+
+
+def test_float_range_and_special_values(spark):
+    vals = ["inf", "-Infinity", "NaN", ".5", "5.", "1E+5", "1e400", "-1e400", "0x10"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = {r.v: r.x for r in df.select("v", CO.coerce_value(F.col("v"), "numeric").alias("x")).collect()}
+    assert got["inf"] == float("inf") and got["-Infinity"] == float("-inf") and got["NaN"] != got["NaN"]
+    assert (got[".5"], got["5."], got["1E+5"]) == (0.5, 5.0, 100000.0)
+    assert got["1e400"] is None and got["-1e400"] is None and got["0x10"] is None
