@@ -35,7 +35,8 @@ _FLOAT_RE = (r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF](
 # Export form: "2006-01-02 15:04:05.999999 -0700 UTC"; RFC 3339; plain datetime; date.
 _TS_EXPORT = "yyyy-MM-dd HH:mm:ss[.SSSSSS] xx 'UTC'"
 _TS_RFC3339 = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
-_TS_PLAIN = "yyyy-MM-dd HH:mm:ss"
+# a fraction after the seconds is accepted even where the layout has none, as Go's parser does
+_TS_PLAIN = "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]"
 _DATE = "yyyy-MM-dd"
 
 

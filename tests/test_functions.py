@@ -190,3 +190,10 @@ def test_float_range_and_special_values(spark):
     assert got["inf"] == float("inf") and got["-Infinity"] == float("-inf") and got["NaN"] != got["NaN"]
     assert (got[".5"], got["5."], got["1E+5"]) == (0.5, 5.0, 100000.0)
     assert got["1e400"] is None and got["-1e400"] is None and got["0x10"] is None
+
+
+def test_plain_timestamp_with_fraction(spark):
+    df = spark.createDataFrame([("2026-04-18 00:15:14.123",), ("2026-04-18 00:15:14.5",)], "v string")
+    for dialect, typ in (("postgres", "timestamp"), ("mysql", "datetime")):
+        got = [str(r.x) for r in df.select(CO.coerce_value(F.col("v"), typ, dialect).alias("x")).collect()]
+        assert got == ["2026-04-18 00:15:14.123000", "2026-04-18 00:15:14.500000"]
