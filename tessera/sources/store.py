@@ -271,13 +271,15 @@ def read_snapshot(spark: SparkSession, path: str, table: str, types: Mapping[str
 
 # ----------------------------------------------------------------------- S6
 
-PREVIEW_DEFAULT, PREVIEW_MAX, COUNT_CAP = 5, 50, 10_000
+# Preview rows (default, maximum), scanned-row cap, preview line cap (bytes).
+PREVIEW_DEFAULT, PREVIEW_MAX, COUNT_CAP, LINE_CAP = 5, 50, 10_000, 256 * 1024
 
 
 def preview_snapshot(tables: Mapping[str, DataFrame], order_by: Mapping[str, list[str]] | None = None,
                      n: int = PREVIEW_DEFAULT) -> DataFrame:
     """Per table the first ``n`` rows (clamped to 1..50) as export text, the row count capped
-    at 10,000, a ``truncated`` flag and the bytes of the table's files.
+    at 10,000, a ``truncated`` flag and the bytes of the table's files; preview lines are cut at
+    256 KiB. Counts are data rows (the source counted raw lines, header included).
 
     With ``order_by`` the first rows are the smallest keys (a distributed
     top-k), otherwise the first rows in file order. The capped count scans
@@ -291,7 +293,7 @@ def preview_snapshot(tables: Mapping[str, DataFrame], order_by: Mapping[str, lis
         head = df.orderBy(*keys).limit(n) if keys else df.limit(n)
         capped = df.limit(COUNT_CAP + 1).count()  # scans at most COUNT_CAP + 1 rows
         text = render_cells(head)
-        line = F.concat_ws(",", *[F.col(c) for c in text.columns])
+        line = F.substring(F.concat_ws(",", *[F.col(c) for c in text.columns]), 1, LINE_CAP)
         frames.append(text.select(
             F.lit(name).alias("table_name"), line.alias("row_text"),
             F.lit(min(capped, COUNT_CAP)).cast("long").alias("row_count"),
