@@ -108,18 +108,23 @@ def catalog_status(latest: DataFrame, live: DataFrame, behind: DataFrame | None
 def sync_plan(local: DataFrame, remote: DataFrame, direction: str = "push") -> DataFrame:
     """Match local datasets to remote ones by stable id first, else by name.
 
-    ``local(name, remote_id, remote_updated_at)``, ``remote(id, name, updated_at)``.
+    ``local(name, remote_id, remote_updated_at[, remote_scenario_id])``,
+    ``remote(id, name, updated_at[, scenario_id])``: the stable match is on the
+    scenario id when both sides carry it, else on the dataset id.
     A name matching no remote dataset is ``missing`` (push creates it), more
     than one is ``ambiguous``. Matched datasets are ``up_to_date`` only when the
     remote id and the remote update time are equal and non-empty, else ``push``.
     ``renamed`` marks an id match whose remote name differs. ``direction``
     (``push`` / ``pull``) names the transfer for datasets that are not up to date.
     """
+    stable = "remote_scenario_id" in local.columns and "scenario_id" in remote.columns
     by_id = remote.select(F.col("id").alias("_id"), F.col("name").alias("_id_name"),
-                          F.col("updated_at").alias("_id_upd"))
+                          F.col("updated_at").alias("_id_upd"),
+                          (F.col("scenario_id") if stable else F.col("id")).alias("_sid"))
     names = remote.groupBy(F.col("name").alias("_nm")).agg(
         F.count(F.lit(1)).alias("_n_named"), F.min("id").alias("_nm_id"), F.min("updated_at").alias("_nm_upd"))
-    j = (local.join(by_id, local.remote_id == by_id._id, "left")
+    local_key = F.col("remote_scenario_id") if stable else F.col("remote_id")
+    j = (local.join(by_id, (local_key == F.col("_sid")) & (F.coalesce(local_key, F.lit("")) != ""), "left")
          .join(names, local.name == names._nm, "left"))
     matched_id = F.col("_id").isNotNull()
     rid = F.when(matched_id, F.col("_id")).when(F.col("_n_named") == 1, F.col("_nm_id"))

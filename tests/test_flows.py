@@ -214,3 +214,21 @@ def test_export_then_refresh_flow(spark):
 
     same_report, nothing = refresh_revision(spark, root, "app/main", live, live)
     assert nothing is None and not same_report.collect()[0].has_drift
+
+
+def test_sync_plan_rules(spark):
+    from tessera.operators.revisions import sync_plan
+
+    local = spark.createDataFrame([
+        ("a", "s1", "d1", "t1"),    # stable id match, same dataset and time -> up to date
+        ("b", "s2", "d2", "t0"),    # stable id match, remote newer -> push
+        ("c", "", "", ""),          # no id, one remote named c -> push (first sync)
+        ("dup", None, None, None),  # two remotes named dup -> ambiguous
+        ("new", None, None, None),  # nothing -> missing
+    ], "name string, remote_scenario_id string, remote_id string, remote_updated_at string")
+    remote = spark.createDataFrame([("d1", "s1", "a", "t1"), ("d2", "s2", "b-renamed", "t2"), ("d3", "s3", "c", "t3"),
+                                    ("d4", "s4", "dup", "t4"), ("d5", "s5", "dup", "t5")],
+                                   "id string, scenario_id string, name string, updated_at string")
+    got = {r.name: (r.action, r.renamed, r.matched_remote_id) for r in sync_plan(local, remote).collect()}
+    assert got == {"a": ("up_to_date", False, "d1"), "b": ("push", True, "d2"), "c": ("push", False, "d3"),
+                   "dup": ("ambiguous", False, None), "new": ("missing", False, None)}
