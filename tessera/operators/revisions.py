@@ -56,11 +56,15 @@ def resolve_revisions(requests: DataFrame, scenarios: DataFrame, revisions: Data
     known = scenarios.select("scenario").distinct().withColumn("_known", F.lit(True))
     revs = (revisions.select(F.col("scenario").alias("_rs"), F.col("revision").alias("_rev")).distinct()
             .withColumn("_has", F.lit(True)))
+    from tessera.functions.parse import strip_ws
+
+    explicit = F.when(strip_ws(F.coalesce(F.col("revision"), F.lit(""))) != "", strip_ws(F.col("revision")))
     r = (requests.join(known, "scenario", "left").join(pointers, "scenario", "left")
-         .withColumn("_want", F.coalesce(F.col("revision"), F.col("latest"))))
+         .withColumn("_want", F.coalesce(explicit, F.col("latest"))))
     r = r.join(revs, (F.col("scenario") == F.col("_rs")) & (F.col("_want") == F.col("_rev")), "left")
+    # an explicit revision is looked up directly; only an implicit request needs the pointer
     status = (F.when(F.col("_known").isNull(), "missing_scenario")
-              .when(F.col("latest").isNull(), "no_revisions")
+              .when(F.col("_want").isNull(), "no_revisions")
               .when(F.col("_has").isNull(), "unknown_revision").otherwise("ok"))
     return r.select("request_id", "scenario", F.col("revision").alias("requested"),
                     F.when(status == "ok", F.col("_want")).alias("resolved"), status.alias("status"))

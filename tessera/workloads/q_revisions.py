@@ -64,7 +64,7 @@ req AS (SELECT c_custkey AS request_id, {_SCEN.format(k='c_custkey')} AS scenari
           CASE c_mktsegment WHEN 'BUILDING' THEN 'r001' WHEN 'MACHINERY' THEN 'draft' END AS revision FROM customer),
 r AS (SELECT req.*, s.scenario IS NOT NULL AS known, p.latest, coalesce(req.revision, p.latest) AS want
       FROM req LEFT JOIN scen s ON s.scenario = req.scenario LEFT JOIN ptr p ON p.scenario = req.scenario),
-st AS (SELECT r.*, CASE WHEN NOT known THEN 'missing_scenario' WHEN latest IS NULL THEN 'no_revisions'
+st AS (SELECT r.*, CASE WHEN NOT known THEN 'missing_scenario' WHEN want IS NULL THEN 'no_revisions'
          WHEN NOT EXISTS (SELECT 1 FROM existing e WHERE e.scenario = r.scenario AND e.revision = r.want)
          THEN 'unknown_revision' ELSE 'ok' END AS status FROM r)
 SELECT request_id, scenario, revision AS requested, CASE WHEN status = 'ok' THEN want END AS resolved, status FROM st""")

@@ -232,3 +232,16 @@ def test_sync_plan_rules(spark):
     got = {r.name: (r.action, r.renamed, r.matched_remote_id) for r in sync_plan(local, remote).collect()}
     assert got == {"a": ("up_to_date", False, "d1"), "b": ("push", True, "d2"), "c": ("push", False, "d3"),
                    "dup": ("ambiguous", False, None), "new": ("missing", False, None)}
+
+
+def test_resolve_revision_outcomes(spark):
+    from tessera.operators.revisions import resolve_revisions
+
+    scen = spark.createDataFrame([("a",), ("b",), ("c",)], "scenario string")
+    revs = spark.createDataFrame([("a", "r001"), ("a", "r002"), ("c", "draft")], "scenario string, revision string")
+    req = spark.createDataFrame([(1, "a", None), (2, "a", " r001 "), (3, "a", "r009"), (4, "b", None),
+                                 (5, "c", "draft"), (6, "zz", None), (7, "c", None)],
+                                "request_id int, scenario string, revision string")
+    got = {r.request_id: (r.status, r.resolved) for r in resolve_revisions(req, scen, revs).collect()}
+    assert got == {1: ("ok", "r002"), 2: ("ok", "r001"), 3: ("unknown_revision", None), 4: ("no_revisions", None),
+                   5: ("ok", "draft"), 6: ("missing_scenario", None), 7: ("no_revisions", None)}
