@@ -73,7 +73,8 @@ def resolve_revisions(requests: DataFrame, scenarios: DataFrame, revisions: Data
 def revision_history(revisions: DataFrame, pointers: DataFrame | None = None, page: int | None = None,
                      page_size: int = 20) -> DataFrame:
     """Revisions newest first by number, with the latest label, 12-char schema id and whether a
-    SQL script exists (any source other than a plain export).
+    SQL script exists (``has_sql`` from the catalog scan; without it, any source other than a
+    plain export).
 
     With ``page`` (0-based) only that page of each scenario's history is
     returned; positions come from the hot-group-safe ordered index.
@@ -83,7 +84,8 @@ def revision_history(revisions: DataFrame, pointers: DataFrame | None = None, pa
            .select("scenario", "revision", revision_number(F.col("revision")).alias("n"),
                    (F.col("revision") == F.col("latest")).alias("is_latest"),
                    F.substring("schema_fingerprint", 1, 12).alias("schema_short"), "source",
-                   (F.col("source") != "export").alias("has_sql")))
+                   (F.col("has_sql") if "has_sql" in revisions.columns
+                    else (F.col("source") != "export")).alias("has_sql")))
     if page is not None:
         out = (ordered_index(out.withColumn("_neg", -F.col("n")), ["scenario"], ["_neg", "revision"], name="_pos")
                .where((F.col("_pos") >= page * page_size) & (F.col("_pos") < (page + 1) * page_size))

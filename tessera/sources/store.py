@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tessera.functions.render import render_cells
 
 REVISION_RE = re.compile(r"r([0-9]+)")
+DATASET_SQL = "dataset.sql"  # the SQL script stored beside a revision's data
 
 
 # ----------------------------------------------------------------------- file-system helpers
@@ -339,14 +340,26 @@ def read_revision_catalog(spark: SparkSession, root: str) -> tuple[DataFrame, Da
     root_prefix = root.rstrip("/")
     scn = F.regexp_replace(path_scn, r"^.*?" + re.escape(root_prefix.split("://")[-1]) + "/", "")
     good = (df.where(F.col(CORRUPT).isNull() & (path_rev != ""))
-            .select(F.coalesce("scenario", scn).alias("scenario"), path_rev.alias("revision"),
+            .select(F.regexp_extract("_path", r"^(.*)/manifest\.json$", 1).alias("_dir"),
+                    F.coalesce("scenario", scn).alias("scenario"), path_rev.alias("revision"),
                     F.substring(path_rev, 2, 10).cast("int").alias("n"),
                     F.col("schemaFingerprint").alias("schema_fingerprint"),
                     F.try_to_timestamp("createdAt").alias("created_at"), "source", "tables",
                     F.col("rowCounts").alias("row_counts"), "description",
                     F.col("remoteId").alias("remote_id"), F.col("remoteUpdatedAt").alias("remote_updated_at")))
-    bad = (df.where(F.col(CORRUPT).isNotNull() | (path_rev == ""))
+    # a data field stays referenced next to the corrupt-record column (Spark refuses scans of that
+    # column alone)
+    corrupt = F.concat(F.col(CORRUPT), F.substring(F.coalesce(F.col("scenario"), F.lit("")), 1, 0))
+    bad = (df.where(corrupt.isNotNull() | (path_rev == ""))
            .select(F.col("_path").alias("path"), F.lit("unreadable manifest").alias("error")))
+    # revisions that carry the SQL script defining them: file presence only (the binaryFile listing
+    # prunes the content column, so no script is read); joined on the revision folder
+    sql_dirs = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                .option("pathGlobFilter", DATASET_SQL).load(root)
+                .select(F.regexp_extract("path", r"^(.*)/" + re.escape(DATASET_SQL) + "$", 1).alias("_dir"))
+                .where(F.col("_dir") != "").distinct().withColumn("has_sql", F.lit(True)))
+    good = (good.join(sql_dirs, "_dir", "left").withColumn("has_sql", F.coalesce("has_sql", F.lit(False)))
+            .drop("_dir"))
     return good, bad
 
 

@@ -245,3 +245,23 @@ def test_resolve_revision_outcomes(spark):
     got = {r.request_id: (r.status, r.resolved) for r in resolve_revisions(req, scen, revs).collect()}
     assert got == {1: ("ok", "r002"), 2: ("ok", "r001"), 3: ("unknown_revision", None), 4: ("no_revisions", None),
                    5: ("ok", "draft"), 6: ("missing_scenario", None), 7: ("no_revisions", None)}
+
+
+def test_revision_catalog_bad_manifests_and_sql_presence(spark):
+    from tessera.operators.revisions import revision_history
+
+    root = scratch_path(spark, "cat")
+    df = spark.createDataFrame([(1,)], "id int")
+    store.write_snapshot(spark, root, "a/x", {"t": df})
+    store.write_snapshot(spark, root, "a/x", {"t": df}, source="generate")
+    store.write_snapshot(spark, root, "b", {"t": df})
+    fs = store.FS(spark)
+    fs.write_text(f"{store.revision_dir(root, 'a/x', 'r002')}/{store.DATASET_SQL}", "INSERT INTO t VALUES (1);")
+    fs.write_text(f"{root}/broken/revisions/r001/manifest.json", "{oops")
+    good, bad = store.read_revision_catalog(spark, root)
+    rows = sorted((r.scenario, r.revision, r.n, r.has_sql, r.row_counts["t"]) for r in good.collect())
+    assert rows == [("a/x", "r001", 1, False, 1), ("a/x", "r002", 2, True, 1), ("b", "r001", 1, False, 1)]
+    assert [r.path.endswith("broken/revisions/r001/manifest.json") for r in bad.collect()] == [True]
+    hist = revision_history(good.withColumn("schema_fingerprint", F.lit("f" * 64))).collect()
+    assert [(r.scenario, r.revision, r.is_latest, r.has_sql) for r in hist] == [
+        ("a/x", "r002", True, True), ("a/x", "r001", False, False), ("b", "r001", True, False)]
