@@ -145,8 +145,9 @@ def sync_plan(local: DataFrame, remote: DataFrame, direction: str = "push") -> D
 
 
 def revision_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per (pair, table) between two revisions: ``new`` / ``removed`` / ``changed`` /
-    ``unchanged`` with row counts and the ``(cols: +a, -b)`` note.
+    """Per (pair, table) between two revisions: ``new`` / ``removed`` / ``changed`` (column set
+    differs; a row-count change alone is ``unchanged``, as the source prints it) / ``unchanged``
+    with row counts and the ``(cols: +a, -b)`` note. Inputs can come from A11's script stats.
 
     ``old`` / ``new``: (pair_id, table_name, row_count, columns array<string> in order).
     """
@@ -157,7 +158,7 @@ def revision_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     removed = F.coalesce(F.array_except("oc", "nc"), F.array().cast("array<string>"))
     note = column_note(added, removed)
     status = (F.when(F.col("oc").isNull(), "new").when(F.col("nc").isNull(), "removed")
-              .when((F.col("old_rows") != F.col("new_rows")) | (note != ""), "changed").otherwise("unchanged"))
+              .when(note != "", "changed").otherwise("unchanged"))
     return j.select("pair_id", "table_name", status.alias("status"), "old_rows", "new_rows",
                     F.when(F.col("oc").isNotNull() & F.col("nc").isNotNull(), note).otherwise(F.lit("")).alias("note"))
 

@@ -201,7 +201,7 @@ j AS (SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.table_name, n
       LEFT JOIN r ON r.pair_id = coalesce(o.pair_id, n.pair_id) AND r.table_name = coalesce(o.table_name, n.table_name))
 SELECT pair_id, table_name,
        CASE WHEN old_rows IS NULL THEN 'new' WHEN new_rows IS NULL THEN 'removed'
-            WHEN old_rows <> new_rows OR note <> '' THEN 'changed' ELSE 'unchanged' END AS status,
+            WHEN note <> '' THEN 'changed' ELSE 'unchanged' END AS status,
        old_rows, new_rows, note
 FROM j""")
 def q_j10(spark, sf_dir):
