@@ -179,9 +179,21 @@ def schema_inventory(schemas: DataFrame, datasets: DataFrame) -> DataFrame:
             .orderBy(F.col("recency").desc(), "short_id"))
 
 
-def lookup_schema(inventory: DataFrame, query: str) -> tuple[str, list[str]]:
-    """Resolve a schema by id prefix or display name: ('none' | 'one' | 'many', matching ids)."""
-    hits = (inventory.where(F.col("fingerprint").startswith(query) | (F.col("short_id") == query))
-            .select("short_id").limit(2).collect())
-    ids = [h.short_id for h in hits]
+def lookup_schema(inventory: DataFrame, ref: str) -> tuple[str, list[str]]:
+    """Resolve a schema reference: ('none' | 'one' | 'many', matching short ids).
+
+    The reference is trimmed and lower-cased and matches a prefix of the short
+    or full fingerprint, or a non-empty ``display_name`` (case-insensitive,
+    when the inventory has one). An empty reference resolves only when the
+    inventory holds exactly one schema. At most two rows reach the driver.
+    """
+    ref = (ref or "").strip().lower()
+    if not ref:
+        cond = F.lit(True)
+    else:
+        cond = F.lower("short_id").startswith(ref) | F.lower("fingerprint").startswith(ref)
+        if "display_name" in inventory.columns:
+            name = F.lower(F.trim(F.col("display_name")))
+            cond = cond | ((F.coalesce(name, F.lit("")) != "") & (name == F.lit(ref)))
+    ids = [h.short_id for h in inventory.where(cond).select("short_id").limit(2).collect()]
     return ("none" if not ids else "one" if len(ids) == 1 else "many"), ids

@@ -265,3 +265,17 @@ def test_revision_catalog_bad_manifests_and_sql_presence(spark):
     hist = revision_history(good.withColumn("schema_fingerprint", F.lit("f" * 64))).collect()
     assert [(r.scenario, r.revision, r.is_latest, r.has_sql) for r in hist] == [
         ("a/x", "r002", True, True), ("a/x", "r001", False, False), ("b", "r001", True, False)]
+
+
+def test_schema_lookup_rules(spark):
+    from tessera.operators.revisions import lookup_schema
+
+    inv = spark.createDataFrame([("abc123def456", "abc123def456" + "0" * 52, "Main"),
+                                 ("abd999000111", "abd999000111" + "1" * 52, "")],
+                                "short_id string, fingerprint string, display_name string")
+    assert lookup_schema(inv, " ABC ") == ("one", ["abc123def456"])
+    assert lookup_schema(inv, "ab")[0] == "many"
+    assert lookup_schema(inv, "main") == ("one", ["abc123def456"])
+    assert lookup_schema(inv, "zzz") == ("none", [])
+    assert lookup_schema(inv, "")[0] == "many"
+    assert lookup_schema(inv.limit(1), "")[0] == "one"
