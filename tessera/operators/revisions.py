@@ -93,19 +93,29 @@ def revision_history(revisions: DataFrame, pointers: DataFrame | None = None, pa
     return out.orderBy("scenario", F.col("n").desc())
 
 
-def catalog_status(latest: DataFrame, live: DataFrame, behind: DataFrame | None = None) -> DataFrame:
-    """Per scenario its latest revision's schema against the live schema of its database:
-    ``current`` (same fingerprint), ``outdated`` (different) or ``noschema`` (revision without
-    fingerprint or database unknown); ``behind`` from W5 when history is given.
+def catalog_status(latest: DataFrame, live: DataFrame, behind: DataFrame | None = None,
+                   summaries: DataFrame | None = None) -> DataFrame:
+    """Per scenario its latest revision's schema against the live schema of its database,
+    compared on the 12-character short ids as the source does: ``current``, ``outdated``,
+    ``noschema`` (the revision carries no fingerprint) or ``unknown`` (no live fingerprint for the
+    database). ``behind`` (W5) and ``summaries(db_id, from_fp, to_fp, summary)`` (A5 between the
+    stored and live schemas) are attached when given.
 
     ``latest(scenario, db_id, revision, schema_fingerprint)``, ``live(db_id, fingerprint)``.
     """
     j = latest.join(live.select("db_id", F.col("fingerprint").alias("live_fingerprint")), "db_id", "left")
-    status = (F.when(F.col("schema_fingerprint").isNull() | (F.col("schema_fingerprint") == "")
-                     | F.col("live_fingerprint").isNull(), "noschema")
-              .when(F.col("schema_fingerprint") == F.col("live_fingerprint"), "current").otherwise("outdated"))
-    out = j.select("scenario", "db_id", "revision", F.substring("schema_fingerprint", 1, 12).alias("schema_short"),
-                   F.substring("live_fingerprint", 1, 12).alias("live_short"), status.alias("status"))
+    stored_short = F.substring("schema_fingerprint", 1, 12)
+    live_short = F.substring("live_fingerprint", 1, 12)
+    status = (F.when(F.coalesce(F.col("schema_fingerprint"), F.lit("")) == "", "noschema")
+              .when(F.col("live_fingerprint").isNull(), "unknown")
+              .when(stored_short == live_short, "current").otherwise("outdated"))
+    out = j.select("scenario", "db_id", "revision", stored_short.alias("schema_short"), live_short.alias("live_short"),
+                   status.alias("status"), "schema_fingerprint", "live_fingerprint")
+    if summaries is not None:
+        s = summaries.select("db_id", F.col("from_fp").alias("schema_fingerprint"),
+                             F.col("to_fp").alias("live_fingerprint"), F.col("summary").alias("drift"))
+        out = out.join(s, ["db_id", "schema_fingerprint", "live_fingerprint"], "left")
+    out = out.drop("schema_fingerprint", "live_fingerprint")
     if behind is not None:
         out = out.join(behind.select("db_id", "revision", "behind"), ["db_id", "revision"], "left")
     return out

@@ -118,8 +118,9 @@ live AS (SELECT 'db' || CAST(user_id AS VARCHAR) AS db_id, arg_max(event_type, t
          FROM events GROUP BY user_id)
 SELECT l.scenario, l.db_id, l.revision, substr(l.schema_fingerprint, 1, 12) AS schema_short,
        substr(v.fingerprint, 1, 12) AS live_short,
-       CASE WHEN l.schema_fingerprint IS NULL OR v.fingerprint IS NULL THEN 'noschema'
-            WHEN l.schema_fingerprint = v.fingerprint THEN 'current' ELSE 'outdated' END AS status
+       CASE WHEN coalesce(l.schema_fingerprint, '') = '' THEN 'noschema' WHEN v.fingerprint IS NULL THEN 'unknown'
+            WHEN substr(l.schema_fingerprint, 1, 12) = substr(v.fingerprint, 1, 12) THEN 'current'
+            ELSE 'outdated' END AS status
 FROM latest l LEFT JOIN live v ON l.db_id = v.db_id""")
 def q_j7(spark, sf_dir):
     """Each customer scenario's latest revision checked against the live schema of its database
