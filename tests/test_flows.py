@@ -279,3 +279,19 @@ def test_schema_lookup_rules(spark):
     assert lookup_schema(inv, "zzz") == ("none", [])
     assert lookup_schema(inv, "")[0] == "many"
     assert lookup_schema(inv.limit(1), "")[0] == "one"
+
+
+def test_failed_write_leaves_no_revision(spark):
+    root = scratch_path(spark, "atomic")
+    ok = spark.createDataFrame([(1,)], "id int")
+    store.write_snapshot(spark, root, "s", {"t": ok})
+    bad = spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("boom"))).otherwise(F.col("id"))
+                                 .alias("id"))
+    with pytest.raises(Exception):
+        store.write_snapshot(spark, root, "s", {"a": ok, "b": bad})
+    assert store.latest_revision(spark, root, "s") == "r001"
+    good, _ = store.read_revision_catalog(spark, root)
+    assert [r.revision for r in good.collect()] == ["r001"]
+    assert not store.FS(spark).exists(store.revision_dir(root, "s", "r002"))
+    store.write_snapshot(spark, root, "s", {"t": ok})          # numbering continues cleanly
+    assert store.latest_revision(spark, root, "s") == "r002"
