@@ -346,3 +346,65 @@ def test_csv_round_trip_restores_typed_values(spark):
         assert g[1] in (w[1], exp_name), (i, g[1], w[1])
         assert g[2:5] == w[2:5], (i, g, w)
         assert g[5] == w[5], (i, g[5], w[5])
+
+
+def _contract_model(sql, populated):
+    """Python model of the script contract: comments stripped, wipes = TRUNCATE lists and DELETE
+    without WHERE, inserts = INSERT INTO targets, names normalised."""
+    out, i = [], 0
+    while i < len(sql):
+        if sql.startswith("--", i):
+            j = sql.find("\n", i)
+            if j < 0:
+                break
+            i = j
+            continue
+        if sql.startswith("/*", i):
+            j = sql.find("*/", i + 2)
+            if j < 0:
+                break
+            i = j + 2
+            continue
+        out.append(sql[i])
+        i += 1
+    s = "".join(out)
+    ident = r'(?:[A-Za-z_][A-Za-z0-9_]*|"[^"]+")'
+    ref = rf"(?:{ident}\.)?{ident}"
+
+    def norm(n):
+        n = n.strip().strip('"').lower()
+        if "." in n:
+            n = n[n.rfind(".") + 1:].strip('"')
+        return n
+    wiped, ins = set(), set()
+    for m in re.finditer(rf"(?i)\bTRUNCATE\s+(?:TABLE\s+)?(?:ONLY\s+)?({ref}(?:\s*,\s*{ref})*)", s):
+        wiped |= {norm(x) for x in m.group(1).split(",")}
+    for m in re.finditer(rf"(?i)\bDELETE\s+FROM\s+(?:ONLY\s+)?({ref})([^;]*)", s):
+        if not re.search(r"(?i)\bWHERE\b", m.group(2)):
+            wiped.add(norm(m.group(1)))
+    for m in re.finditer(rf"(?i)\bINSERT\s+INTO\s+(?:ONLY\s+)?({ref})", s):
+        ins.add(norm(m.group(1)))
+    return {t: (norm(t) in ins and norm(t) in wiped) for t in populated}
+
+
+def test_script_contract_matches_model(spark):
+    from tessera.operators import scripts as S
+
+    rng = random.Random(29)
+    names = ["users", "Orders", '"Items"', "public.users", 'public."Orders"', "items"]
+    pieces = [lambda n: f"INSERT INTO {n} VALUES (1);", lambda n: f"insert into {n} (a) values (2);",
+              lambda n: f"TRUNCATE TABLE {n} RESTART IDENTITY;", lambda n: f"TRUNCATE {n}, {rng.choice(names)};",
+              lambda n: f"DELETE FROM {n};", lambda n: f"DELETE FROM {n} WHERE id = 1;",
+              lambda n: f"-- TRUNCATE {n}\n", lambda n: f"/* DELETE FROM {n}; */", lambda n: "SELECT 1;"]
+    scripts, pops, want = [], [], {}
+    for k in range(40):
+        sql = "\n".join(rng.choice(pieces)(rng.choice(names)) for _ in range(rng.randint(1, 6)))
+        pop = sorted({rng.choice(["users", "orders", "items"]) for _ in range(2)})
+        scripts.append((f"s{k}", sql))
+        pops += [(f"s{k}", t, 1) for t in pop]
+        for t, ok in _contract_model(sql, pop).items():
+            want[(f"s{k}", t)] = ok
+    got = {(r.script_id, r.table_name): r.ok for r in S.script_contract_check(
+        spark.createDataFrame(scripts, "script_id string, sql string"),
+        spark.createDataFrame(pops, "script_id string, table_name string, rows int")).collect()}
+    assert got == want
