@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.session import register_driver_views, read_table
+from tessera.session import register_driver_views
 from tessera.workloads import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
