@@ -40,10 +40,28 @@ def _file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str,
     return (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(path))
 
 
-def stream_usage(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
+def _event_json_stream(spark: SparkSession, source: str, max_files: int) -> DataFrame:
+    """Usage-event JSON files as written by the test integration (camelCase fields); malformed
+    events and events without a state are skipped, as the batch reader (S5) does."""
+    from tessera.sources.usage_events import EVENT_SCHEMA
+
+    raw = (spark.readStream.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files)
+           .json(source))
+    return (raw.where(F.col("_corrupt_record").isNull() & F.col("state").isNotNull() & (F.col("state") != ""))
+            .select("state", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("title", F.lit("")).alias("title"),
+                    F.coalesce("project", F.lit("")).alias("project"), F.col("resetMode").alias("reset_mode"),
+                    F.try_to_timestamp("lastSeenAt").alias("last_seen_at"), F.col("testHash").alias("test_hash")))
+
+
+def stream_usage(spark: SparkSession, source: str, schema: T.StructType | None, out: str, checkpoint: str,
                  fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):
-    """Continuous latest-per-key usage; read with :func:`read_usage_latest`. Returns the query."""
-    ev = _file_stream(spark, source, schema, fmt, max_files_per_trigger)
+    """Continuous latest-per-key usage; read with :func:`read_usage_latest`. Returns the query.
+
+    ``fmt='event-json'`` reads the test integration's event files directly (``schema`` unused).
+    """
+    ev = (_event_json_stream(spark, source, max_files_per_trigger) if fmt == "event-json"
+          else _file_stream(spark, source, schema, fmt, max_files_per_trigger))
     latest = (ev.groupBy(*USAGE_KEY).agg(F.max(F.struct("last_seen_at", "test_hash", "reset_mode")).alias("_n"))
               .select(*USAGE_KEY, F.col("_n.reset_mode").alias("reset_mode"),
                       F.col("_n.last_seen_at").alias("last_seen_at"), F.col("_n.test_hash").alias("test_hash")))

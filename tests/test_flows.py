@@ -295,3 +295,24 @@ def test_failed_write_leaves_no_revision(spark):
     assert not store.FS(spark).exists(store.revision_dir(root, "s", "r002"))
     store.write_snapshot(spark, root, "s", {"t": ok})          # numbering continues cleanly
     assert store.latest_revision(spark, root, "s") == "r002"
+
+
+def test_stream_usage_reads_event_json_files(spark):
+    from tessera.operators.usage import latest_usage
+    from tessera.sources.usage_events import read_usage_events
+    from tessera.streaming import jobs
+
+    src = scratch_path(spark, "ev-json")
+    lines = ['{"testId":"a","state":"s1","file":"f","title":"t","project":"p","lastSeenAt":"2024-01-01T00:00:00Z",'
+             '"testHash":"h1"}',
+             '{"testId":"a","state":"s1","file":"f","title":"t","project":"p","lastSeenAt":"2024-01-02T00:00:00Z",'
+             '"testHash":"h2"}',
+             '{"testId":"b","state":"","file":"g","title":"t","lastSeenAt":"2024-01-03T00:00:00Z"}',
+             '{not json']
+    spark.createDataFrame([(line,) for line in lines], "v string").coalesce(1).write.text(src)
+    out, ck = scratch_path(spark, "ev-out"), scratch_path(spark, "ev-ck")
+    jobs.stream_usage(spark, src, None, out, ck, fmt="event-json").awaitTermination()
+    got = [(r.state, r.file, r.test_hash) for r in jobs.read_usage_latest(spark, out).collect()]
+    assert got == [("s1", "f", "h2")]
+    batch = latest_usage(read_usage_events(spark, src).drop("test_id"))
+    assert [(r.state, r.file, r.test_hash) for r in batch.collect()] == got
