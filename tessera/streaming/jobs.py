@@ -37,7 +37,14 @@ from tessera.sources import store
 
 
 def _file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str, max_files: int) -> DataFrame:
-    return (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(path))
+    r = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
+    if fmt == "csv":  # snapshot CSV: header, RFC 4180 quotes, cells kept verbatim, empty cells as ""
+        r = (r.option("header", True).option("escape", '"').option("multiLine", True)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .option("nullValue", "\u0001<null>\u0001").option("emptyValue", ""))
+        df = r.load(path)
+        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    return r.load(path)
 
 
 def _event_json_stream(spark: SparkSession, source: str, max_files: int) -> DataFrame:

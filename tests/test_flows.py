@@ -316,3 +316,20 @@ def test_stream_usage_reads_event_json_files(spark):
     assert got == [("s1", "f", "h2")]
     batch = latest_usage(read_usage_events(spark, src).drop("test_id"))
     assert [(r.state, r.file, r.test_hash) for r in batch.collect()] == got
+
+
+def test_stream_restore_from_csv_snapshot(spark):
+    from pyspark.sql import types as T
+
+    from tessera.streaming import jobs
+
+    root = scratch_path(spark, "xs")
+    df = spark.createDataFrame([(1, "@env:K", " pad "), (2, "x", None)], "id long, v string, w string")
+    store.write_snapshot(spark, root, "s", {"t": df}, fmt="csv")
+    src = f"{store.revision_dir(root, 's', 'r001')}/tables/t"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "v", "w")])
+    out, ck = scratch_path(spark, "xs-out"), scratch_path(spark, "xs-ck")
+    jobs.stream_restore(spark, src, schema, out, ck, {"K": "key"}, types={"id": "bigint", "v": "text", "w": "text"},
+                        fmt="csv").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("id", "v", "w").collect())
+    assert got == [(1, "key", " pad "), (2, "x", None)]
