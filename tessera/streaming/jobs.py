@@ -121,7 +121,8 @@ def stream_schema_history(spark: SparkSession, source: str, schema: T.StructType
         s = batch.sparkSession
         b = batch.withColumn("bucket", F.pmod(F.xxhash64("db_id"), F.lit(LOG_BUCKETS)))
         # sightings of this batch: one folder per batch and bucket, overwritten on retry
-        b.write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch_id={batch_id}")
+        # one file per bucket and batch (not one per task and bucket)
+        b.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch_id={batch_id}")
         touched = b.select("db_id", "bucket").distinct()
         buckets = sorted(r.bucket for r in touched.select("bucket").distinct().collect())  # <= LOG_BUCKETS ints
         log = s.read.parquet(log_path).where(F.col("bucket").isin(buckets))
