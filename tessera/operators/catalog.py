@@ -409,3 +409,64 @@ def assemble_schema(tables: DataFrame, columns: DataFrame, table_constraints: Da
               .groupBy("db_id", "table_name", "column_name").agg(F.first("allowed_values").alias("allowed_values")))
         res = res.join(av, ["db_id", "table_name", "column_name"], "left")
     return res
+
+
+# ----------------------------------------------------------------------- P10 (table DDL)
+
+def _quote(c: Column, q: str) -> Column:
+    return F.concat(F.lit(q), F.replace(c, F.lit(q), F.lit(q + q)), F.lit(q))
+
+
+def create_table_ddl(cols: DataFrame, dialect: str = "postgres", enums: DataFrame | None = None) -> DataFrame:
+    """P10: one ``CREATE TABLE`` statement per (db, table) from a catalog.
+
+    Columns in ordinal order: a ``nextval(`` default becomes SERIAL / BIGSERIAL / SMALLSERIAL
+    (PostgreSQL), an ``AUTO_INCREMENT`` default INT / BIGINT / SMALLINT AUTO_INCREMENT (MySQL);
+    other columns get their type (PostgreSQL: enum name, ``text[]`` for ARRAY, varchar(n);
+    MySQL: :func:`mysql_column_ddl_type`), ``NOT NULL`` and ``DEFAULT``. Then ``PRIMARY KEY`` over
+    the key columns and one ``UNIQUE`` per unique non-key column. One table's column list is
+    collected (bounded by the table's width).
+    """
+    pg = dialect == "postgres"
+    q = '"' if pg else "`"
+    t = F.lower(F.col("col_type"))
+    d = F.coalesce(F.col("col_default"), F.lit(""))
+    not_null = F.when(~F.coalesce(F.col("nullable"), F.lit(False)), F.lit(" NOT NULL")).otherwise(F.lit(""))
+    default = F.when(d != "", F.concat(F.lit(" DEFAULT "), d)).otherwise(F.lit(""))
+    src = cols
+    if pg:
+        auto = F.lower(d).contains("nextval(")
+        auto_type = (F.when(t == "bigint", "BIGSERIAL").when(t == "smallint", "SMALLSERIAL").otherwise("SERIAL"))
+        plain = (F.when((F.col("col_type") == "enum") & F.col("enum_name").isNotNull(), _quote(F.col("enum_name"), q))
+                 .when(F.col("col_type").startswith("ARRAY"), F.lit("text[]"))
+                 .when(F.col("col_type").isin("character varying", "varchar") & F.col("varchar_len").isNotNull(),
+                       F.format_string("varchar(%s)", F.col("varchar_len").cast("string")))
+                 .otherwise(F.col("col_type")))
+        col_def = F.when(auto, F.concat(auto_type, not_null)).otherwise(F.concat(plain, not_null, default))
+    else:
+        ev = None
+        if enums is not None:
+            vals = (enums.groupBy("db_id", "enum_name")
+                    .agg(F.sort_array(F.collect_list("enum_value")).alias("_enum_values")))
+            src = src.join(vals, ["db_id", "enum_name"], "left")
+            ev = F.col("_enum_values")
+        auto = F.upper(F.trim(d)) == "AUTO_INCREMENT"
+        auto_type = F.when(t == "bigint", "BIGINT").when(t.isin("smallint", "tinyint"), "SMALLINT").otherwise("INT")
+        col_def = (F.when(auto, F.concat(auto_type, F.lit(" AUTO_INCREMENT"), not_null))
+                   .otherwise(F.concat(mysql_column_ddl_type(F.col("col_type"), F.col("varchar_len"), ev),
+                                       not_null, default)))
+    name = _quote(F.col("column_name"), q)
+    per_col = F.struct(F.col("ordinal"), F.concat(name, F.lit(" "), col_def).alias("def"),
+                       F.when(F.coalesce(F.col("is_primary"), F.lit(False)), name).alias("pk"),
+                       F.when(F.coalesce(F.col("is_unique"), F.lit(False)) & ~F.coalesce(F.col("is_primary"), F.lit(False)),
+                              F.concat(F.lit("UNIQUE ("), name, F.lit(")"))).alias("uq"))
+    grouped = src.groupBy("db_id", "table_name").agg(F.sort_array(F.collect_list(per_col)).alias("_c"))
+    pks = F.filter(F.col("_c.pk"), lambda x: x.isNotNull())
+    parts = F.concat(F.col("_c.def"),
+                     F.when(F.size(pks) > 0, F.array(F.concat(F.lit("PRIMARY KEY ("), F.array_join(pks, ", "),
+                                                              F.lit(")")))).otherwise(F.array().cast("array<string>")),
+                     F.filter(F.col("_c.uq"), lambda x: x.isNotNull()))
+    tail = F.lit("\n)") if pg else F.lit("\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4")
+    ddl = F.concat(F.lit("CREATE TABLE "), _quote(F.col("table_name"), q), F.lit(" (\n  "),
+                   F.array_join(parts, ",\n  "), tail)
+    return grouped.select("db_id", "table_name", ddl.alias("ddl"))

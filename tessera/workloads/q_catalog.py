@@ -437,3 +437,40 @@ def q_g4(spark, sf_dir):
         "db_id", F.lit("r001").alias("revision"), F.col("fingerprint").alias("schema_fingerprint"))
     live = C.schema_fingerprint(live_cols, enums).select("db_id", "fingerprint")
     return D.sync_fingerprint(revisions, live, D.schema_diff(stored_cols, live_cols))
+
+
+_NL = "chr(10)"
+
+
+@query("p10_create_table_ddl", derived.cte("cat_new") + f""",
+c AS (
+  SELECT db_id, table_name, ordinal, '"' || replace(column_name, '"', '""') || '"' AS qn,
+         coalesce(is_primary, false) AS pk, coalesce(is_unique, false) AS uq,
+         '"' || replace(column_name, '"', '""') || '" ' ||
+         CASE WHEN lower(coalesce(col_default, '')) LIKE '%nextval(%' THEN
+                CASE lower(col_type) WHEN 'bigint' THEN 'BIGSERIAL' WHEN 'smallint' THEN 'SMALLSERIAL' ELSE 'SERIAL' END
+                || CASE WHEN NOT coalesce(nullable, false) THEN ' NOT NULL' ELSE '' END
+              ELSE
+                CASE WHEN col_type = 'enum' AND enum_name IS NOT NULL THEN '"' || replace(enum_name, '"', '""') || '"'
+                     WHEN starts_with(col_type, 'ARRAY') THEN 'text[]'
+                     WHEN col_type IN ('character varying', 'varchar') AND varchar_len IS NOT NULL
+                       THEN 'varchar(' || CAST(varchar_len AS VARCHAR) || ')'
+                     ELSE col_type END
+                || CASE WHEN NOT coalesce(nullable, false) THEN ' NOT NULL' ELSE '' END
+                || CASE WHEN coalesce(col_default, '') <> '' THEN ' DEFAULT ' || col_default ELSE '' END
+         END AS def
+  FROM cat_new),
+t AS (
+  SELECT db_id, table_name,
+         string_agg(def, ',' || {_NL} || '  ' ORDER BY ordinal) AS defs,
+         string_agg(CASE WHEN pk THEN qn END, ', ' ORDER BY ordinal) AS pks,
+         string_agg(CASE WHEN uq AND NOT pk THEN 'UNIQUE (' || qn || ')' END, ',' || {_NL} || '  ' ORDER BY ordinal) AS uqs
+  FROM c GROUP BY db_id, table_name)
+SELECT db_id, table_name,
+       'CREATE TABLE "' || replace(table_name, '"', '""') || '" (' || {_NL} || '  ' || defs
+       || coalesce(',' || {_NL} || '  PRIMARY KEY (' || pks || ')', '')
+       || coalesce(',' || {_NL} || '  ' || uqs, '') || {_NL} || ')' AS ddl
+FROM t""")
+def q_p10_ddl(spark, sf_dir):
+    _prep(spark, sf_dir, "cat_new")
+    return C.create_table_ddl(spark.table("cat_new"), "postgres")

@@ -154,3 +154,21 @@ def test_structured_classification_fixes_text_rules(spark):
     fixed = {r.column_name: r.category for r in D.classify_drift(ch, compat=False).collect()}
     assert text == {"a": "decision", "b": "auto", "c": "likely"}       # the source's text rules
     assert fixed == {"a": "auto", "b": "decision", "c": "breaking"}    # direction-aware
+
+
+def test_create_table_ddl(spark):
+    rows = [("d", "users", 1, "id", "bigint", None, False, "nextval('users_id_seq'::regclass)", True, False, False,
+             None, None, None),
+            ("d", "users", 2, "email", "character varying", 120, False, None, False, True, False, None, None, None),
+            ("d", "users", 3, "role", "enum", None, True, "'USER'::\"Role\"", False, False, False, "Role", None, None),
+            ("d", "users", 4, "tags", "ARRAY", None, True, None, False, False, False, None, None, None)]
+    cols = spark.createDataFrame(rows, SCHEMA_COLUMNS)
+    pg = C.create_table_ddl(cols).first().ddl
+    assert pg == ('CREATE TABLE "users" (\n  "id" BIGSERIAL NOT NULL,\n  "email" varchar(120) NOT NULL,\n'
+                  '  "role" "Role" DEFAULT \'USER\'::"Role",\n  "tags" text[],\n  PRIMARY KEY ("id"),\n'
+                  '  UNIQUE ("email")\n)')
+    my_rows = [("d", "t", 1, "id", "bigint", None, False, "AUTO_INCREMENT", True, False, False, None, None, None),
+               ("d", "t", 2, "ok", "boolean", None, True, "1", False, False, False, None, None, None)]
+    my = C.create_table_ddl(spark.createDataFrame(my_rows, SCHEMA_COLUMNS), "mysql").first().ddl
+    assert my == ("CREATE TABLE `t` (\n  `id` BIGINT AUTO_INCREMENT NOT NULL,\n  `ok` TINYINT(1) DEFAULT 1,\n"
+                  "  PRIMARY KEY (`id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4")
