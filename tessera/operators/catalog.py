@@ -470,3 +470,49 @@ def create_table_ddl(cols: DataFrame, dialect: str = "postgres", enums: DataFram
     ddl = F.concat(F.lit("CREATE TABLE "), _quote(F.col("table_name"), q), F.lit(" (\n  "),
                    F.array_join(parts, ",\n  "), tail)
     return grouped.select("db_id", "table_name", ddl.alias("ddl"))
+
+
+def assemble_schema_mysql(columns: DataFrame, key_column_usage: DataFrame,
+                          tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """J1, MySQL catalog shape -> (``schema_columns``, ``schema_enums``).
+
+    ``columns`` follow information_schema.COLUMNS (``data_type``, ``column_type``, ``is_nullable``,
+    ``column_default``, ``column_key``, ``extra``, ``character_maximum_length``,
+    ``ordinal_position``); ``key_column_usage`` rows with a ``referenced_table_name`` are the FKs
+    (one kept per column, trap Q9). ``column_key`` PRI / UNI give the key flags; ``extra``
+    auto_increment stores the ``AUTO_INCREMENT`` default sentinel and virtual / stored generated
+    marks generated columns; an inline ``enum('a',...)`` becomes the synthetic enum
+    ``<table>_<column>`` with its values (P12). With ``tables`` (``table_type``), only base
+    tables are extracted (trap Q24 fixed).
+    """
+    from tessera.functions.parse import enum_values, synthetic_enum_name
+
+    c = columns
+    if tables is not None:
+        c = c.join(tables.where(F.col("table_type") == "BASE TABLE").select("db_id", "table_name"),
+                   ["db_id", "table_name"], "left_semi")
+    fk = (key_column_usage.where(F.col("referenced_table_name").isNotNull())
+          .groupBy("db_id", "table_name", "column_name")
+          .agg(F.min(F.struct(F.col("referenced_table_name").alias("t"),
+                              F.col("referenced_column_name").alias("c"))).alias("_fk")))
+    c = c.join(fk, ["db_id", "table_name", "column_name"], "left")
+    extra = F.lower(F.coalesce(F.col("extra"), F.lit("")))
+    dt = F.col("data_type")
+    is_enum = dt == "enum"
+    enum_name = F.when(is_enum, synthetic_enum_name(F.col("table_name"), F.col("column_name")))
+    cols = c.select(
+        "db_id", "table_name", F.col("ordinal_position").cast("long").alias("ordinal"), "column_name",
+        F.when(is_enum, F.lit("enum")).otherwise(dt).alias("col_type"),
+        F.when(dt.isin("varchar", "char"), F.col("character_maximum_length").cast("int")).alias("varchar_len"),
+        (F.col("is_nullable") == "YES").alias("nullable"),
+        F.when(extra.contains("auto_increment"), F.lit("AUTO_INCREMENT")).otherwise(F.col("column_default"))
+        .alias("col_default"),
+        (F.col("column_key") == "PRI").alias("is_primary"), (F.col("column_key") == "UNI").alias("is_unique"),
+        (extra.contains("virtual generated") | extra.contains("stored generated")).alias("is_generated"),
+        enum_name.alias("enum_name"), F.col("_fk.t").alias("fk_table"), F.col("_fk.c").alias("fk_column"))
+    enums = (c.where(is_enum)
+             .select("db_id", enum_name.alias("enum_name"),
+                     F.explode_outer(F.coalesce(enum_values(F.col("column_type")), F.array().cast("array<string>")))
+                     .alias("enum_value"))
+             .where(F.col("enum_value").isNotNull()))
+    return cols, enums

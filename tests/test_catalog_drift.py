@@ -172,3 +172,30 @@ def test_create_table_ddl(spark):
     my = C.create_table_ddl(spark.createDataFrame(my_rows, SCHEMA_COLUMNS), "mysql").first().ddl
     assert my == ("CREATE TABLE `t` (\n  `id` BIGINT AUTO_INCREMENT NOT NULL,\n  `ok` TINYINT(1) DEFAULT 1,\n"
                   "  PRIMARY KEY (`id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4")
+
+
+def test_assemble_schema_mysql(spark):
+    cols = spark.createDataFrame([
+        ("d", "users", "id", 1, "bigint", "bigint", "NO", None, "PRI", "auto_increment", None),
+        ("d", "users", "email", 2, "varchar", "varchar(120)", "NO", None, "UNI", "", 120),
+        ("d", "users", "role", 3, "enum", "enum('USER','ADMIN')", "NO", "USER", "", "", None),
+        ("d", "users", "slug", 4, "varchar", "varchar(10)", "YES", None, "", "STORED GENERATED", 10),
+        ("d", "posts", "author", 1, "bigint", "bigint", "NO", None, "MUL", "", None),
+        ("d", "v_users", "id", 1, "bigint", "bigint", "NO", None, "", "", None)],
+        "db_id string, table_name string, column_name string, ordinal_position int, data_type string, "
+        "column_type string, is_nullable string, column_default string, column_key string, extra string, "
+        "character_maximum_length long")
+    kcu = spark.createDataFrame([("d", "posts", "author", "users", "id"), ("d", "users", "id", None, None)],
+                                "db_id string, table_name string, column_name string, referenced_table_name string, "
+                                "referenced_column_name string")
+    tables = spark.createDataFrame([("d", "users", "BASE TABLE"), ("d", "posts", "BASE TABLE"), ("d", "v_users", "VIEW")],
+                                   "db_id string, table_name string, table_type string")
+    out, enums = C.assemble_schema_mysql(cols, kcu, tables)
+    got = {(r.table_name, r.column_name): r for r in out.collect()}
+    assert set(got) == {("users", "id"), ("users", "email"), ("users", "role"), ("users", "slug"), ("posts", "author")}
+    assert got[("users", "id")].col_default == "AUTO_INCREMENT" and got[("users", "id")].is_primary
+    assert got[("users", "email")].is_unique and got[("users", "email")].varchar_len == 120
+    assert (got[("users", "role")].col_type, got[("users", "role")].enum_name) == ("enum", "users_role")
+    assert got[("users", "slug")].is_generated and not got[("users", "role")].is_generated
+    assert (got[("posts", "author")].fk_table, got[("posts", "author")].fk_column) == ("users", "id")
+    assert sorted((r.enum_name, r.enum_value) for r in enums.collect()) == [("users_role", "ADMIN"), ("users_role", "USER")]
