@@ -333,3 +333,18 @@ def test_stream_restore_from_csv_snapshot(spark):
                         fmt="csv").awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("id", "v", "w").collect())
     assert got == [(1, "key", " pad "), (2, "x", None)]
+
+
+def test_usage_event_reader_modes(spark):
+    from tessera.sources.usage_events import read_usage_events
+
+    src = scratch_path(spark, "ev-modes")
+    lines = ['{"testId":"a","state":"s","file":"f","title":"t","lastSeenAt":"2024-01-01T00:00:00Z"}',
+             '{"testId":"b","state":null,"file":"g","title":"t","lastSeenAt":"2024-01-01T00:00:00Z"}',
+             '{"state":"s","file":"h","title":"t","lastSeenAt":"2024-01-01T00:00:00Z"}',
+             '{"testId":"c","state":"","file":"i","title":"t"}', '{broken']
+    spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1).write.text(src)
+    go = sorted(r.file for r in read_usage_events(spark, src, mode="go").collect())
+    ts = sorted(r.file for r in read_usage_events(spark, src, mode="ts").collect())
+    assert go == ["f", "h"] and ts == ["f", "g", "i"]
+    assert read_usage_events(spark, scratch_path(spark, "missing")).count() == 0
