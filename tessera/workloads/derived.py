@@ -15,7 +15,7 @@ source table feeds the view):
   brand, one table per (type, noun), one column per part; the new version moves,
   drops, renames, retypes and re-flags columns by rules on the part attributes.
 * ``enum_old`` / ``enum_new``  part -> enum definitions per database.
-* ``revisions``  orders -> one revision per order, scenario per customer.
+* revisions (in ``q_revisions``)  orders -> one revision per order, scenario per customer.
 * ``observations``  events -> fingerprint sightings (db = user, fingerprint = event type).
 """
 
@@ -100,11 +100,6 @@ FROM part WHERE p_retailprice > 990 GROUP BY 1, 2, 3""",
     "enum_new": """
 SELECT p_brand AS db_id, 'kind_' || lower(p_type) AS enum_name, split_part(p_name, ' ', 2) AS enum_value
 FROM part WHERE p_retailprice > 985 GROUP BY 1, 2, 3""",
-    "revisions": """
-SELECT 'customers/c' || CAST(o_custkey AS STRING) AS scenario,
-       o_orderkey AS order_key, o_orderdate AS created_at, o_orderstatus AS status,
-       o_orderpriority AS schema_fingerprint_seed, o_totalprice AS total
-FROM orders""",
     "events_nulled": """
 SELECT event_id, ts,
        CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS user_id,
