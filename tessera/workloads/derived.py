@@ -236,3 +236,28 @@ SELECT db_id, table_name, ordinal, column_name, col_type, varchar_len,
        fk_table, fk_column
 FROM cat_new"""
 DEPENDS["cat_live"] = ["cat_new"]
+
+
+# MySQL-shaped information_schema.COLUMNS / KEY_COLUMN_USAGE decomposed from cat_new (input of the MySQL
+# variant of J1): enum columns become inline enum(...) types over the database's enum values.
+VIEWS.update({
+    "my_columns": """
+SELECT c.db_id, c.table_name, c.column_name, CAST(c.ordinal AS BIGINT) AS ordinal_position,
+       CASE WHEN c.enum_name IS NOT NULL THEN 'enum' WHEN c.col_type = 'varchar(255)' THEN 'varchar'
+            ELSE c.col_type END AS data_type,
+       CASE WHEN c.enum_name IS NOT NULL THEN 'enum(' || e.vals || ')' ELSE c.col_type END AS column_type,
+       CASE WHEN c.nullable THEN 'YES' ELSE 'NO' END AS is_nullable,
+       CASE WHEN c.col_default = '0' AND c.is_primary THEN NULL ELSE c.col_default END AS column_default,
+       CASE WHEN c.is_primary THEN 'PRI' WHEN c.is_unique THEN 'UNI' ELSE '' END AS column_key,
+       CASE WHEN c.is_primary AND c.col_default = '0' THEN 'auto_increment'
+            WHEN c.is_generated THEN 'STORED GENERATED' ELSE '' END AS extra,
+       CAST(c.varchar_len AS BIGINT) AS character_maximum_length
+FROM cat_new c
+LEFT JOIN (SELECT db_id, enum_name, string_agg('''' || enum_value || '''', ',') AS vals
+           FROM enum_new GROUP BY db_id, enum_name) e
+  ON e.db_id = c.db_id AND e.enum_name = c.enum_name""",
+    "my_key_column_usage": """
+SELECT db_id, table_name, column_name, fk_table AS referenced_table_name, fk_column AS referenced_column_name
+FROM cat_new WHERE fk_table IS NOT NULL""",
+})
+DEPENDS.update({"my_columns": ["cat_new", "enum_new"], "my_key_column_usage": ["cat_new"]})

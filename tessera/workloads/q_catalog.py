@@ -474,3 +474,57 @@ FROM t""")
 def q_p10_ddl(spark, sf_dir):
     _prep(spark, sf_dir, "cat_new")
     return C.create_table_ddl(spark.table("cat_new"), "postgres")
+
+
+@query("j1_assemble_schema_mysql", derived.cte("cat_new", "enum_new") + """,
+en AS (SELECT DISTINCT db_id, enum_name FROM enum_new)
+SELECT c.db_id, c.table_name, c.ordinal, c.column_name,
+       CASE WHEN en.enum_name IS NOT NULL THEN 'enum' WHEN c.col_type = 'varchar(255)' THEN 'varchar'
+            ELSE c.col_type END AS col_type,
+       CASE WHEN c.col_type = 'varchar(255)' THEN c.varchar_len END AS varchar_len,
+       c.nullable,
+       CASE WHEN c.is_primary AND c.col_default = '0' THEN 'AUTO_INCREMENT' ELSE c.col_default END AS col_default,
+       c.is_primary, c.is_unique AND NOT c.is_primary AS is_unique, c.is_generated,
+       CASE WHEN en.enum_name IS NOT NULL THEN c.table_name || '_' || c.column_name END AS enum_name,
+       c.fk_table, c.fk_column
+FROM cat_new c LEFT JOIN en ON en.db_id = c.db_id AND en.enum_name = c.enum_name""")
+def q_j1_mysql(spark, sf_dir):
+    """The fleet decomposed into MySQL's information_schema shape (inline enum types, column keys,
+    EXTRA flags) and reassembled."""
+    _prep(spark, sf_dir, "my_columns", "my_key_column_usage")
+    cols, _enums = C.assemble_schema_mysql(spark.table("my_columns"), spark.table("my_key_column_usage"))
+    return cols
+
+
+@query("p10_create_table_ddl_mysql", derived.cte("cat_new") + f""",
+c AS (
+  SELECT db_id, table_name, ordinal, '`' || replace(column_name, '`', '``') || '`' AS qn,
+         coalesce(is_primary, false) AS pk, coalesce(is_unique, false) AS uq,
+         '`' || replace(column_name, '`', '``') || '` ' ||
+         CASE WHEN upper(trim(coalesce(col_default, ''))) = 'AUTO_INCREMENT' THEN 'INT AUTO_INCREMENT'
+              ELSE CASE WHEN lower(col_type) IN ('text', 'longtext', 'mediumtext', 'tinytext') THEN upper(col_type)
+                        WHEN lower(col_type) IN ('integer', 'int4') THEN 'INT'
+                        WHEN lower(col_type) IN ('bigint', 'int8') THEN 'BIGINT'
+                        WHEN lower(col_type) IN ('boolean', 'bool') THEN 'TINYINT(1)'
+                        WHEN lower(col_type) IN ('numeric', 'decimal') THEN 'DECIMAL(18,6)'
+                        WHEN lower(col_type) LIKE '%timestamp%' THEN 'DATETIME(6)'
+                        WHEN lower(col_type) IN ('json', 'jsonb') THEN 'JSON'
+                        ELSE upper(col_type) END
+                   || CASE WHEN NOT coalesce(nullable, false) THEN ' NOT NULL' ELSE '' END
+                   || CASE WHEN coalesce(col_default, '') <> '' THEN ' DEFAULT ' || col_default ELSE '' END
+         END AS def
+  FROM cat_new),
+t AS (
+  SELECT db_id, table_name,
+         string_agg(def, ',' || {_NL} || '  ' ORDER BY ordinal) AS defs,
+         string_agg(CASE WHEN pk THEN qn END, ', ' ORDER BY ordinal) AS pks,
+         string_agg(CASE WHEN uq AND NOT pk THEN 'UNIQUE (' || qn || ')' END, ',' || {_NL} || '  ' ORDER BY ordinal) AS uqs
+  FROM c GROUP BY db_id, table_name)
+SELECT db_id, table_name,
+       'CREATE TABLE `' || replace(table_name, '`', '``') || '` (' || {_NL} || '  ' || defs
+       || coalesce(',' || {_NL} || '  PRIMARY KEY (' || pks || ')', '')
+       || coalesce(',' || {_NL} || '  ' || uqs, '') || {_NL} || ') ENGINE=InnoDB DEFAULT CHARSET=utf8mb4' AS ddl
+FROM t""")
+def q_p10_ddl_mysql(spark, sf_dir):
+    _prep(spark, sf_dir, "cat_new")
+    return C.create_table_ddl(spark.table("cat_new"), "mysql")
