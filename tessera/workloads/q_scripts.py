@@ -29,6 +29,11 @@ def q_a10(spark, sf_dir):
     the number of scripts grows with the data); per part a statement chosen by size: a
     schema-qualified INSERT, a TRUNCATE, a DELETE with WHERE (not a wipe) or a commented-out
     TRUNCATE before an INSERT."""
+    scripts, populated = _a10_corpus(spark, sf_dir)
+    return S.script_contract_check(scripts, populated, excluded=["PROMO"])
+
+
+def _a10_corpus(spark, sf_dir):
     _prep(spark, sf_dir)
     p = spark.table("part").withColumn(
         "script", F.concat(F.col("p_brand"), F.lit("/"), F.floor(F.col("p_partkey") / 40).cast("long").cast("string")))
@@ -42,7 +47,23 @@ def q_a10(spark, sf_dir):
     scripts = _assemble(p, "script", ["p_partkey"], stmt)
     populated = p.groupBy(F.col("script").alias("script_id"), t.alias("table_name")).agg(
         F.count_if(F.col("p_retailprice") > 950).alias("rows"))
-    return S.script_contract_check(scripts, populated, excluded=["PROMO"])
+    return scripts, populated
+
+
+@query("a10_script_contract_strict", """
+WITH p AS (SELECT p_brand || '/' || CAST(p_partkey // 40 AS VARCHAR) AS script_id, lower(p_type) AS table_name,
+             min(CASE WHEN p_size % 4 IN (0, 3) THEN p_partkey END) AS first_insert,
+             min(CASE WHEN p_size % 4 = 1 THEN p_partkey END) AS first_wipe,
+             count(*) FILTER (WHERE p_retailprice > 950) AS rows
+           FROM part GROUP BY 1, lower(p_type))
+SELECT script_id, table_name, first_insert IS NOT NULL AS has_insert, first_wipe IS NOT NULL AS has_wipe,
+       coalesce(first_wipe < first_insert, false) AS ok
+FROM p WHERE rows > 0 AND table_name <> 'promo'""")
+def q_a10_strict(spark, sf_dir):
+    """The A10 corpus checked with the optional strict rule: each table's first wipe must come
+    before its first INSERT."""
+    scripts, populated = _a10_corpus(spark, sf_dir)
+    return S.script_contract_check(scripts, populated, excluded=["PROMO"], strict_order=True)
 
 
 @query("a11_script_stats", """
