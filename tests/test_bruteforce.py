@@ -408,3 +408,55 @@ def test_script_contract_matches_model(spark):
         spark.createDataFrame(scripts, "script_id string, sql string"),
         spark.createDataFrame(pops, "script_id string, table_name string, rows int")).collect()}
     assert got == want
+
+
+def _pg_array_model(v):
+    if not ((v.startswith("[") and v.endswith("]")) or (v.startswith("{") and v.endswith("}"))) or len(v) < 2:
+        return v
+    if v.startswith("{"):
+        return v
+    fixed = v.replace("'", '"') if ("'" in v and '"' not in v) else v
+    try:
+        arr = json.loads(fixed)
+        ok = isinstance(arr, list) and "NaN" not in fixed and "Infinity" not in fixed
+    except ValueError:
+        ok = False
+    if ok:
+        def render(e):
+            if e is None:
+                return "NULL"
+            if isinstance(e, str):
+                return '"' + e.replace('"', '\\"') + '"'
+            return json.dumps(e, separators=(",", ":"))
+        return "{" + ",".join(render(e) for e in arr) + "}"
+    inner = v[1:-1]
+    parts, cur, inq = [], "", False
+    for ch in inner:
+        if ch == '"':
+            inq = not inq
+            cur += ch
+        elif ch == "," and not inq:
+            parts.append(cur.strip())
+            cur = ""
+        else:
+            cur += ch
+    if cur != "":
+        parts.append(cur.strip())
+    return "{" + ",".join(parts) + "}"
+
+
+def test_pg_array_matches_model(spark):
+    rng = random.Random(31)
+    atoms = ['"a"', "'b'", "1", "2.5", "null", "true", '"x,y"', "c", " d ", '"q\\"r"']
+    cases = set()
+    while len(cases) < 250:
+        items = [rng.choice(atoms) for _ in range(rng.randint(0, 4))]
+        body = ",".join(items) + ("," if rng.random() < .2 else "")
+        cases.add(rng.choice(["[{}]", "{{{}}}", "{}"]).format(body))
+    cases = sorted(cases)
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    got = {r.v: r.x for r in df.select("v", CO.to_pg_array(F.col("v")).alias("x")).collect()}
+    for c in cases:
+        if c == "":
+            continue
+        assert got[c] == _pg_array_model(c), c
