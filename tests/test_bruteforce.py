@@ -460,3 +460,30 @@ def test_pg_array_matches_model(spark):
         if c == "":
             continue
         assert got[c] == _pg_array_model(c), c
+
+
+def _enum_model(t):
+    if not t.lower().startswith("enum"):
+        return None
+    start, end = t.find("("), t.rfind(")")
+    if start == -1 or end == -1 or end <= start:
+        return None
+    vals = [p.strip().strip("'") for p in t[start + 1:end].split(",")]
+    vals = [v for v in vals if v != ""]
+    return vals or None
+
+
+def test_enum_values_match_model(spark):
+    from tessera.functions.parse import enum_values
+
+    rng = random.Random(37)
+    atoms = ["'a'", " 'b' ", "''", "c", "'d e'", "\t'f'\n", "'g"]
+    cases = {"varchar(10)", "enum", "ENUM()", "enum)(", "Enum('x')"}
+    while len(cases) < 200:
+        inner = ",".join(rng.choice(atoms) for _ in range(rng.randint(0, 4)))
+        cases.add(rng.choice(["enum({})", "ENUM({})", "enum ({}) ", "enum({}"]).format(inner))
+    cases = sorted(cases)
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    got = {r.v: r.x for r in df.select("v", enum_values(F.col("v")).alias("x")).collect()}
+    for c in cases:
+        assert got[c] == _enum_model(c), c
