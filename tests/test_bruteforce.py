@@ -487,3 +487,32 @@ def test_enum_values_match_model(spark):
     got = {r.v: r.x for r in df.select("v", enum_values(F.col("v")).alias("x")).collect()}
     for c in cases:
         assert got[c] == _enum_model(c), c
+
+
+def _strategy_model(default, typ):
+    s = default
+    i = s.rfind("::")
+    if i >= 0:
+        s = s[:i]
+    lower = s.strip().lower()
+    if "gen_random_uuid" in lower or "uuid_generate" in lower:
+        return "uuid"
+    dynamic = "(" in lower or lower in ("current_timestamp", "current_date", "current_time", "localtime",
+                                        "localtimestamp", "now")
+    if dynamic and ("time" in typ.lower() or "date" in typ.lower()):
+        return "timestamp"
+    return "default"
+
+
+def test_default_strategy_matches_model(spark):
+    from tessera.operators.catalog import default_strategy
+
+    rng = random.Random(41)
+    defaults = ["now()", " NOW ", "CURRENT_TIMESTAMP", "current_date", "'x'::text", "gen_random_uuid()",
+                "uuid_generate_v4()", "0", "nextval('s'::regclass)", "'a::b'::character varying", "localtime",
+                "'now'", "(1)", "\tcurrent_time\n"]
+    types = ["timestamp", "date", "text", "integer", "time with time zone", "Datetime"]
+    cases = sorted({(rng.choice(defaults), rng.choice(types)) for _ in range(150)})
+    df = spark.createDataFrame(cases, "d string, t string")
+    for r in df.select("d", "t", default_strategy(F.col("d"), F.col("t")).alias("x")).collect():
+        assert r.x == _strategy_model(r.d, r.t), (r.d, r.t, r.x)
