@@ -516,3 +516,20 @@ def test_default_strategy_matches_model(spark):
     df = spark.createDataFrame(cases, "d string, t string")
     for r in df.select("d", "t", default_strategy(F.col("d"), F.col("t")).alias("x")).collect():
         assert r.x == _strategy_model(r.d, r.t), (r.d, r.t, r.x)
+
+
+def test_marker_resolution_matches_model(spark):
+    from tessera.functions.markers import resolve_markers
+
+    rng = random.Random(43)
+    values = {"A": "1", "B_2": "two", "EMPTY": ""}
+    atoms = ["@env:A", "@env:B_2", "@env:EMPTY", "@env:a", "x@env:A", "@env:A ", "@env:A\n", "@ENV:A", "plain", "",
+             "@env:", "@env:A-B"]
+    rows = [(i, rng.choice(atoms), rng.choice(atoms)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, c1 string, c2 string")
+
+    def model(v):
+        m = re.fullmatch(r"@env:([A-Z0-9_]+)", v)
+        return values[m.group(1)] if m else v
+    got = {r.id: (r.c1, r.c2) for r in resolve_markers(df, values, use_process_env=False).collect()}
+    assert got == {i: (model(a), model(b)) for i, a, b in rows}
