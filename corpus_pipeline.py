@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, ngram_join, quality
+from tessera.llm import decontaminate, mixing, ngram_join, quality, sharding
 from tessera.llm.tables import durable, read
 
 
@@ -28,10 +28,22 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents before the horizon of the mix: sources to the temperature weights of their sizes."""
+    return mixing.keep_mixed(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard and slot."""
+    return sharding.shuffle(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontaminated", decontaminated),
+    ("mixed", mixed),
+    ("sharded", sharded),
 ]
 
 #: SQL can't express the Jaccard components or the mixing order; the tests compare with brute force.

@@ -199,7 +199,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield _hits(part, block.value)
+                yield _hits(part, Suffixes(*block.value))
 
     return rows.mapInArrow(run, _HITS_SQL)
 
@@ -207,8 +207,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
 def _load(items: DataFrame, window: int):
     """One block of the benchmark, at most about two times BLOCK_BYTES, broadcast to the tasks."""
     got = items.toArrow()
-    return items.sparkSession.sparkContext.broadcast(
-        item_suffixes(got.column("item_id").to_pylist(), got.column("text").to_pylist(), window))
+    block = item_suffixes(got.column("item_id").to_pylist(), got.column("text").to_pylist(), window)
+    return items.sparkSession.sparkContext.broadcast(tuple(vars(block).values()))
 
 
 def _united(rows: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _united(rows: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
         def run(batches, block=block):
             for batch in batches:
                 for part in slices(batch):
-                    got = _hits(part, block.value)
+                    got = _hits(part, Suffixes(*block.value))
                     yield pa.RecordBatch.from_arrays([*got.columns, column(part, "digest")], names=[*got.schema.names, "digest"])
 
         one = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")))).mapInArrow(run, _HITS_SQL + ", digest string")
@@ -253,7 +253,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block = _load(items, WINDOW)
 
         def run(batches, block=block):
-            b = block.value
+            b = Suffixes(*block.value)
             best = np.zeros(len(b.ids), np.int64)
             for batch in batches:
                 for part in slices(batch):
@@ -279,7 +279,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         def run(batches, block=block):
             for batch in batches:
                 for part in slices(batch):
-                    clean = pa.array(column(_hits(part, block.value), "n_hit").to_numpy() == 0)
+                    clean = pa.array(column(_hits(part, Suffixes(*block.value)), "n_hit").to_numpy() == 0)
                     yield pa.RecordBatch.from_arrays([column(part, "row").filter(clean)], names=["row"])
 
         kind = packed.schema["row"].dataType.simpleString()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, ngram_join, quality
+from tessera.llm import decontaminate, mixing, ngram_join, quality, sharding, substrings
 from tessera.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,27 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of each document under 3-word-shingle similarity 0.9."""
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document left after removing 13-word windows that start in a smaller document."""
+    left = substrings.deduplicate(read(spark, sf_dir, "documents"), with_text=False)
+    return left.withColumnRenamed("kept", "kept_sha256")
+
+
+@query()
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniform shuffle of all documents into 40 shards whose counts are at most one apart."""
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return sharding.shuffle(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of sources, and whether it lies before the horizon."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "place", "kept")
