@@ -19,22 +19,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         moved = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        near = edges.join(low, "u")
-        moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-    return moved.where("u > v").distinct()
+        return moved.where("u > v")
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionAll(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node that has a link to another; the label is the smallest node."""
-    now = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    before = None
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
     while True:
         now = durable(_star(_star(now, True), False), "edges")
-        sign = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(sign) == before:
+        # done when every node has one neighbour below it, which has none
+        open_ = now.select("u").unionAll(now.select("v").distinct()).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if open_.isEmpty():
             break
-        before = tuple(sign)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionAll(stars.select(F.col("label").alias("node"), "label").distinct())

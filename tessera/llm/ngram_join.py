@@ -16,11 +16,15 @@ shingles but keep segments long; a scheme uses as many exact segments as leave a
 empty one and costs the most candidates: the spare unit pays for leaving it out. A set with several
 empty segments signs each pair of them instead, which covers what one spare unit doesn't.
 
-Equal sets are one class from the start. Sets that share a signature form a group. Groups are
-resolved without listing their pairs: first every member is compared with the group's first member
-(exactly, on the whole sets); links give components; groups inside one component are done. Only
-in what is left are members of different components compared with each other. So every pair that could link is either
-compared or already connected.
+Equal sets are one class from the start. Sets that share a signature form a group, and a group is
+resolved without listing its pairs. Every member x is compared (whole sets) with the group's leader
+L, the member that shares most signatures with others. Members linked with L are connected; what is left are pairs
+(x, y) of one leader's members where x isn't linked with L. With
+D_x = x - L + (L - x) the difference of x and y is |D_x| + |D_y| - 2 |D_x & D_y|, so a link needs
+``o = (|D_x| + |D_y| - (r + s) / 19) / 2`` shared elements of D_x and D_y, and as x isn't linked with L
+o is 1 at least. So a prefix join on the differences (rarest elements of the leader's members first)
+finds all such pairs: copies with edits of their own share only what is common and don't meet.
+Each pair found is compared on the whole sets.
 
 Words are runs of non-white-space, A-Z lower-cased. Fewer than three words: the sequence is the one
 shingle; none (or null text): no set, linked with nothing. A null ``doc_id`` takes part as any other
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -193,7 +197,7 @@ def _sign(buckets: int):
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Sets that share a signature: (gid, node, leader); groups of the same sets are listed once."""
+    """Sets that share a signature: (gid, node, members); groups of the same sets are listed once."""
     sig = np.concatenate([np.frombuffer(x, _U) for x in table.column("sig").to_pylist()])
     node = np.concatenate([np.frombuffer(x, _U) for x in table.column("node").to_pylist()])
     order = np.lexsort((node, sig))
@@ -209,33 +213,89 @@ def _groups(table: pa.Table) -> pa.Table:
     keep = keep[n[keep] > 1]
     of = np.repeat(keep, n[keep])
     rows = np.repeat(start[keep] - np.append(0, np.cumsum(n[keep]))[:-1], n[keep]) + np.arange(len(of))
-    return pa.table({"gid": gid[of].view(np.int64), "node": node[rows].view(np.int64), "leader": node[start[of]].view(np.int64)})
+    return pa.table({"gid": gid[of].view(np.int64), "node": node[rows].view(np.int64), "members": n[of]})
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of candidate pairs with both sets, those with 100 * intersection >= 90 * union."""
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of the sorted x are in the sorted y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
+
+
+def _pairs(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    a, b = column(batch, "items_a"), column(batch, "items_b")
+    for i in range(batch.num_rows):
+        yield np.frombuffer(a[i].as_buffer(), _U), np.frombuffer(b[i].as_buffer(), _U)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both sets: whether 100 * intersection >= 90 * union."""
+    for batch in batches:
+        linked = []
+        for x, y in _pairs(batch):
+            if DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
+                linked.append(False)
+                continue
+            both = int(np.count_nonzero(_shared(x, y) if len(x) < len(y) else _shared(y, x)))
+            linked.append(DEN * both >= NUM * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([column(batch, "key_a"), column(batch, "key_b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, leader) with both sets: one row per element that only one of them has. ``most_x`` and
+    ``most_y``: the last place, rarest first, of a prefix in which x must share an element with a partner,
+    if x isn't linked with the leader (0: it is) or if the partner isn't."""
     for batch in batches:
-        a, b = column(batch, "items_a"), column(batch, "items_b")
-        ok = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = np.frombuffer(a[i].as_buffer(), _U), np.frombuffer(b[i].as_buffer(), _U)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int(np.count_nonzero(y[at] == x))
-            ok[i] = DEN * both >= NUM * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([column(batch, "key_a").filter(pa.array(ok)), column(batch, "key_b").filter(pa.array(ok))], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b: keys) among candidate pairs of nodes (x, y), compared on whole sets."""
-    side = lambda s, on: sets.select(F.col("node").alias(on), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "items")])
-    near = (F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM)
-    sized = pairs.join(sets.select(F.col("node").alias("x"), F.col("n").alias("n_a")), "x").join(
-        sets.select(F.col("node").alias("y"), F.col("n").alias("n_b")), "y").where(near).select("x", "y").distinct()
-    full = sized.join(side("a", "x"), "x").join(side("b", "y"), "y").where("key_a <> key_b")
-    return full.select("key_a", "items_a", "key_b", "items_b").mapInArrow(_linked, "a binary, b binary")
+        at, parts, size, most_x, most_y = [], [], [], [], []
+        linked = column(batch, "linked").to_pylist()
+        for i, (x, y) in enumerate(_pairs(batch)):
+            delta = np.concatenate([x[~_shared(x, y)], y[~_shared(y, x)]])
+            d = len(delta)
+            over = (DEN + NUM) * d - (DEN - NUM) * (len(x) + len(y))  # o >= over / 2 / (DEN + NUM)
+            at.append(np.full(d, i))
+            parts.append(delta)
+            size += [d]
+            most_x += [0 if linked[i] else d - max(1, -(-over // (2 * (DEN + NUM)))) + 1]
+            most_y += [d - max(1, -(-NUM * d // (NUM + DEN))) + 1]
+        if not parts:
+            continue
+        rows = pa.array(np.concatenate(at))
+        keep = [c.take(rows) for c in (column(batch, "key_a"), column(batch, "n_a"), column(batch, "key_b"), *map(pa.array, (size, most_x, most_y)))]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(parts).view(np.int64))],
+                                         names=["x", "n", "leader", "d", "most_x", "most_y", "element"])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, on: str) -> DataFrame:
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.col(on).alias(f"{on}_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "items") if c != on]), f"{on}_{s}")
+    return pairs
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, on: str) -> DataFrame:
+    """(a, b, linked) of candidate pairs given by ``on``_a and ``on``_b, on whole sets."""
+    full = _with_sets(pairs, sets, on).where("key_a <> key_b")
+    return full.select("key_a", "items_a", "key_b", "items_b").mapInArrow(_compare, "a binary, b binary, linked boolean")
+
+
+def _across(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key_a, key_b) of pairs of one leader's members that may link, one not linked with the leader."""
+    open_ = stars.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 AND NOT all").select("b")
+    pairs = stars.join(open_, "b", "left_semi").select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "linked")
+    rows = durable(_with_sets(pairs, sets, "key").select("key_a", "n_a", "items_a", "key_b", "items_b", "linked").mapInArrow(
+        _differences, "x binary, n long, leader binary, d long, most_x long, most_y long, element long"), "differences")
+    # an element that one member only has can't be shared; such elements rank first, so places count from the end
+    often = rows.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rank = F.row_number().over(Window.partitionBy("leader", "x").orderBy(F.desc("f"), "element"))
+    rows = rows.join(often, ["leader", "element"]).withColumn("place", F.col("d") - rank + 1).where("place <= greatest(most_x, most_y)")
+    part = lambda s: rows.where(f"place <= most_{s}").select("leader", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "d", "place")])
+    o = F.expr(f"ceil((d_x + d_y - (n_x + n_y) * {DEN - NUM} div {DEN + NUM}) / 2)")
+    near = F.expr(f"n_x * {DEN} >= n_y * {NUM} AND n_y * {DEN} >= n_x * {NUM} AND x_x <> x_y")
+    return part("x").join(part("y"), ["leader", "element"]).where(
+        near & (F.col("place_x") <= F.col("d_x") - o + 1) & (F.col("place_y") <= F.col("d_y") - o + 1)
+    ).select(F.least("x_x", "x_y").alias("key_a"), F.greatest("x_x", "x_y").alias("key_b")).distinct()
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,33 +308,21 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_docs = durable(rows.mapInArrow(_classes, "doc_id long, n_shingles long, node long, key binary"), "sets")
     groups = durable(
         rows.mapInArrow(_sign(buckets), "bucket long, sig binary, node binary").groupBy("bucket")
-        .applyInArrow(_groups, "gid long, node long, leader long"), "groups")
+        .applyInArrow(_groups, "gid long, node long, members long"), "groups")
 
-    wanted = groups.select("node").distinct()
+    known = groups.groupBy("node").agg(F.sum("members").alias("shared"))  # the candidates
     first = of_docs.where("n_shingles > 0").groupBy("key", "node").agg(F.min("doc_id").alias("doc_id"))
-    first = first.join(wanted, "node", "left_semi")
-    texts = rows.join(first.select("doc_id").distinct().withColumnRenamed("doc_id", "want"), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+    first = first.join(known, "node", "left_semi")
+    # the candidates grow with the corpus, so they are never broadcast to the texts
+    texts = rows.join(first.select(F.col("doc_id").alias("want")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
     sets = durable(texts.select("text").mapInArrow(_sets, "node long, key binary, n long, items binary")
-                   .join(wanted, "node", "left_semi").dropDuplicates(["key"]), "candidates")
-
-    links = durable(_verified(groups.where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct(), sets), "links")
-    label = components(links)
-
-    # members of groups that are not yet inside one component, compared across components
-    named = sets.select("node", "key", "n").join(label.withColumnRenamed("node", "key"), "key", "left").select(
-        "node", "n", F.coalesce("label", "key").alias("label"))
-    open_ = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("gid")
-    member = groups.join(open_, "gid", "left_semi").join(named, "node")
-    mixed = member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid")
-    member = member.join(mixed, "gid", "left_semi")
-    left = member.select("gid", "leader", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("l_x"))
-    right = member.select("gid", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("l_y"))
-    pairs = left.join(right, "gid").where(
-        (F.col("x") < F.col("y")) & (F.col("l_x") != F.col("l_y")) & (F.col("x") != F.col("leader")) & (F.col("y") != F.col("leader"))
-        & (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)).select("x", "y").distinct()
-    more = durable(_verified(pairs, sets), "links")
-    if not more.isEmpty():
-        label = components(links.unionAll(more))
+                   .join(known, "node", "left_semi").dropDuplicates(["key"]), "candidates")
+
+    leader = groups.join(known, "node").groupBy("gid").agg(F.max(F.struct("shared", "node")).alias("top")).select("gid", F.col("top.node").alias("node_b"))
+    pairs = groups.join(leader, "gid").where("node <> node_b").select(F.col("node").alias("node_a"), "node_b").distinct()
+    stars = durable(_compared(pairs, sets, "node"), "stars")
+    more = durable(_compared(_across(stars, sets), sets, "key"), "links")
+    label = components(stars.unionAll(more).where("linked"))
     return of_docs, label.withColumnRenamed("node", "key")
 
 
