@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, ngram_join, quality, sharding, substrings
+from tessera.llm import (
+    decontaminate,
+    html_content,
+    language_id,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    substrings,
+)
 from tessera.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +81,34 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of sources, and whether it lies before the horizon."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))
     return mixing.mix(docs).select("doc_id", "source", "block", "slot", "place", "kept")
+
+
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: matches of the fixed patterns, and tokens that pass the randomness battery."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    kinds = secret_scan.KINDS
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(secret_scan.span_list(kinds), 256).alias("base_sha256"), secret_scan.span_list((*kinds, "random")).alias("spans"))
+
+
+@query()
+def op4_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_content.extract(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: matches of the fixed patterns, and mentions found by context."""
+    found = pii.extract(read(spark, sf_dir, "documents"))
+    count = [F.size(F.expr(f"filter(spans, s -> s.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count, F.sha2(pii.span_list("spans"), 256).alias("base_sha256"), pii.span_list("spans", "found").alias("spans"))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by family first and then within it."""
+    docs = read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
