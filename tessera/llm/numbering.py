@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 100_000
+ROWS_PER_CHUNK = 10_000
 
 
 def chunk_bits(rows: int) -> int:

@@ -34,7 +34,7 @@ from tessera.llm.tables import text_bytes
 from tessera.llm.words import Words, column, joined, mix, split_words, text_buffers
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 8
 BUCKET_BYTES = 8 << 20
 ANCHORS_PER_GROUP = 1 << 20
 #: An anchor in more documents than this deals its windows one by one.
@@ -174,12 +174,12 @@ def _list_anchors(groups: int):
         stop = np.append(start[1:], len(anchor))
         one = np.where(doc[start] == doc[stop - 1], 1, 2).astype(np.int32) if len(start) else np.empty(0, np.int32)
         count = np.where(one == 1, 1, stop - start).astype(np.int32)
-        anchor, least = anchor[start], doc[start]
+        anchor = anchor[start]
         cut = _cuts(anchor, groups)
-        rows = [[i, key[0].as_py(), anchor[a:b].tobytes(), count[a:b].tobytes(), least[a:b].tobytes()]
+        rows = [[i, key[0].as_py(), anchor[a:b].tobytes(), count[a:b].tobytes()]
                 for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                        names=["part", "bucket", "anchors", "counts", "least"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                        names=["part", "bucket", "anchors", "counts"])
     return run
 
 
@@ -189,14 +189,10 @@ def _share_anchors(table: pa.Table) -> pa.Table:
     lists = [np.frombuffer(x, _U) for x in table.column("anchors").to_pylist()]
     anchor = np.concatenate(lists)
     count = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    least = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()])
     value, which = np.unique(anchor, return_inverse=True)
     total = np.bincount(which, weights=count, minlength=len(value))
-    low = np.full(len(value), _NO_DOC)
-    np.minimum.at(low, which, least)
-    # of one document that is spread over buckets (repeated rows): still one document
-    other = np.zeros(len(value), bool)
-    np.logical_or.at(other, which, (least != low[which]) | (count > 1))
+    # rows of one document share a bucket, so two buckets are two documents
+    other = total > 1
     out = []
     first = np.append(0, np.cumsum([len(x) for x in lists]))
     for i, b in enumerate(buckets.tolist()):
@@ -231,8 +227,8 @@ def _segments(w: Words, ids: np.ndarray, shared: np.ndarray, frequent: np.ndarra
 
 def _cut_segments(shards: int):
     def run(key, docs, answers):
-        names = ["shard", "bucket", "lengths", "words", "least", "many"]
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
+        names = ["shard", "bucket", "lengths", "alphabet", "words", "least", "many"]
+        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
         empty = pa.table([pa.array([], t) for t in kinds], names=names)
         if not docs.num_rows or not answers.num_rows:
             return empty
@@ -244,12 +240,8 @@ def _cut_segments(shards: int):
         if not len(at):
             return empty
         # equal segments once, with their smallest document and whether there is another
-        total = np.zeros(len(w.hash) + 1, _U)
-        power = np.cumprod(np.full(len(w.hash) + 1, 0x9E3779B97F4A7C15, _U))
-        np.cumsum(w.hash * power[:-1], out=total[1:])
         length = n + WINDOW - 1
-        inverse = np.cumprod(np.full(len(w.hash) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), _U))
-        value = mix((total[at + length] - total[at]) * inverse[at] + length.astype(_U))
+        value = _segment_keys(w.hash, at, length)
         doc = ids[w.text_of()[at]]
         order = np.lexsort((doc, value, to))
         at, length, to, value, doc = at[order], length[order], to[order], value[order], doc[order]
@@ -263,8 +255,8 @@ def _cut_segments(shards: int):
         rows = []
         for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
             if b > a:
-                take = np.repeat(at[a:b] - np.append(0, np.cumsum(length[a:b]))[:-1], length[a:b]) + np.arange(length[a:b].sum())
-                rows.append((s, key[0].as_py(), length[a:b].astype(np.int32).tobytes(), w.hash[take].tobytes(), doc[a:b].tobytes(), many[a:b].tobytes()))
+                alphabet, number = np.unique(w.hash[_spread(at[a:b], length[a:b])], return_inverse=True)
+                rows.append((s, key[0].as_py(), length[a:b].astype(np.int32).tobytes(), alphabet.tobytes(), number.astype(_number(len(alphabet))).tobytes(), doc[a:b].tobytes(), many[a:b].tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
     return run
 
@@ -274,47 +266,81 @@ def _windows_of(h: np.ndarray) -> np.ndarray:
     return Words(h, h, h, h, np.array([0, len(h)])).windows(WINDOW)[1]
 
 
+def _segment_keys(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of words ``h[start:start+length]``."""
+    base = 0x9E3779B97F4A7C15
+    total = np.zeros(len(h) + 1, _U)
+    np.cumsum(h * np.cumprod(np.full(len(h), base, _U)), out=total[1:])
+    down = np.cumprod(np.full(len(h) + 1, pow(base, -1, 1 << 64), _U))
+    return mix((total[start + length] - total[start]) * down[start] + length.astype(_U))
+
+
+def _number(n: int) -> type:
+    """The type that numbers ``n`` words."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+
+
 def _search_shard(table: pa.Table) -> pa.Table:
-    """The smallest document of every window that occurs more than once, for each bucket that asked."""
+    """The smallest document of every window that occurs more than once, for each bucket that asked.
+
+    Equal segments of several buckets are indexed and searched once."""
     col = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-    buckets = table.column("bucket").to_numpy()
     lengths, least, many = col("lengths", np.int32), col("least", np.int64), col("many", bool)
-    bucket = np.repeat(buckets, [len(x) for x in lengths])
-    length, doc, twice = np.concatenate(lengths).astype(np.int64), np.concatenate(least), np.concatenate(many)
-    h = np.concatenate(col("words", _U))
-    alphabet, number = np.unique(h, return_inverse=True)
-    of = np.repeat(np.arange(len(length)), length)
-    place = np.arange(len(h)) + of  # a 0 after every segment
-    text = np.zeros(len(h) + len(length), np.int64)
+    asked = np.repeat(table.column("bucket").to_numpy(), [len(x) for x in lengths])
+    length, doc, many = np.concatenate(lengths).astype(np.int64), np.concatenate(least), np.concatenate(many)
+    alphabets = col("alphabet", _U)
+    h = np.concatenate([a[np.frombuffer(x, _number(len(a)))] for a, x in zip(alphabets, table.column("words").to_pylist(), strict=True)])
+    start = np.append(0, np.cumsum(length))[:-1]
+    _, one, which, times = np.unique(_segment_keys(h, start, length), return_index=True, return_inverse=True, return_counts=True)
+    owner = np.full(len(one), _NO_DOC)
+    np.minimum.at(owner, which, doc)
+    twice = times > 1
+    np.logical_or.at(twice, which, many)
+
+    # the index: segments one after another, a 0 behind each
+    size = length[one]
+    words = h[_spread(start[one], size)]
+    alphabet, number = np.unique(words, return_inverse=True)
+    of = np.repeat(np.arange(len(one)), size)
+    place = np.arange(len(words)) + of
+    text = np.zeros(len(words) + len(one), np.int64)
     text[place] = number + 1
     index = FMIndex(text, len(alphabet))
-    # every window of every segment
-    start = np.append(0, np.cumsum(length))[:-1]
-    n = length - WINDOW + 1
-    seg = np.repeat(np.arange(len(length)), n)
-    word = start[seg] + np.arange(len(seg)) - np.repeat(np.append(0, np.cumsum(n))[:-1], n)
+    windows = size - WINDOW + 1
+    first = np.append(0, np.cumsum(size))[:-1]
+    seg, word = np.repeat(np.arange(len(one)), windows), _spread(first, windows)
     lo, hi = index.search(place[word] + WINDOW, WINDOW)
-    hit = np.flatnonzero((hi - lo > 1) | twice[seg])
-    if not len(hit):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["bucket", "windows", "least"])
-    # intervals of equal length are equal or apart: the smallest document of each
-    owner = np.zeros(len(text), np.int64)
-    owner[place] = of
-    by_suffix = np.append(doc, _NO_DOC)[np.where(text[index.sa] > 0, owner[index.sa], -1)]
-    single = hi[hit] - lo[hit] <= 1
-    left, which = np.unique(lo[hit][~single], return_inverse=True)
-    smallest = doc[seg[hit]].copy()
-    if len(left):
+    # intervals of one length are equal or apart: the smallest document of each
+    smallest = owner[seg]
+    wide = np.flatnonzero(hi - lo > 1)
+    if len(wide):
+        left, group = np.unique(lo[wide], return_inverse=True)
         right = np.empty(len(left), np.int64)
-        right[which] = hi[hit][~single]
-        edge = np.stack([left, right], axis=1).ravel()
-        low = np.minimum.reduceat(np.append(by_suffix, _NO_DOC), edge)[::2]
-        smallest[~single] = low[which]
-    value = _windows_of(h)[word[hit]]
-    to = bucket[seg[hit]]
-    order = np.lexsort((value, to))
+        right[group] = hi[wide]
+        inside = np.zeros(len(text), np.int64)
+        inside[place] = of
+        by_suffix = np.append(np.where(text[index.sa] > 0, owner[inside[index.sa]], _NO_DOC), _NO_DOC)
+        smallest[wide] = np.minimum.reduceat(by_suffix, np.stack([left, right], axis=1).ravel())[::2][group]
+    value = _windows_of(words)[word]
+
+    # every bucket hears of the windows of its segments that another document may have first
+    base = np.append(0, np.cumsum(windows))[:-1]
+    n = windows[which]
+    back = _spread(base[which], n)
+    ask = np.repeat(np.arange(len(which)), n)
+    news = (smallest[back] < doc[ask]) | many[ask]
+    to, value, smallest = asked[ask[news]], value[back[news]], smallest[back[news]]
+    order = np.lexsort((smallest, value, to))
     to, value, smallest = to[order], value[order], smallest[order]
-    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    new = np.ones(len(to), bool)
+    new[1:] = (to[1:] != to[:-1]) | (value[1:] != value[:-1])
+    to, value, smallest = to[new], value[new], smallest[new]
+    cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.empty(0, np.int64)
     stop = np.append(cut[1:], len(to))
     return pa.table({"bucket": pa.array(to[cut]), "windows": pa.array([value[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary()),
                      "least": pa.array([smallest[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary())})
@@ -362,10 +388,10 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spread = spread.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(buckets))).otherwise(
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("long"))
-    anchors = spread.groupBy("bucket").applyInArrow(_list_anchors(parts), "part long, bucket long, anchors binary, counts binary, least binary")
+    anchors = spread.groupBy("bucket").applyInArrow(_list_anchors(parts), "part long, bucket long, anchors binary, counts binary")
     shared = anchors.groupBy("part").applyInArrow(_share_anchors, "bucket long, anchors binary, frequent binary")
     cut = spread.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
-        _cut_segments(buckets), "shard long, bucket long, lengths binary, words binary, least binary, many binary")
+        _cut_segments(buckets), "shard long, bucket long, lengths binary, alphabet binary, words binary, least binary, many binary")
     found = cut.groupBy("shard").applyInArrow(_search_shard, "bucket long, windows binary, least binary")
     return spread.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
         _remove(with_text), "doc_id long, n_words long, n_removed long, kept string")
