@@ -19,6 +19,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import scratch_path
+
 MARKER_RE = r"^@env:([A-Z0-9_]+)\z"
 
 
@@ -66,24 +68,26 @@ def resolve_markers(df: DataFrame, values: Mapping[str, str], env: str = "", tab
 
     Missing keys are found first with one distinct aggregate over the marker
     cells (the marker fast path: a table without markers is returned as is);
-    when any is missing the job fails listing key, env, table and column.
+    when any is missing the job fails. All of them are written to a table that
+    the error names, with its first ones; no key found in the data is collected.
     """
     cols = [c for c in (columns or df.columns) if dict(df.dtypes)[c] == "string"]
-    found = marker_keys(df, cols).collect() if (check_missing or use_process_env) else None
-    if found is not None and not found:
-        return df
-    keys = sorted({r.key for r in found}) if found else None
-    vals = effective_values(values, keys, use_process_env)
-    if check_missing and found:
-        missing = sorted({(r.key, r.column_name) for r in found if r.key not in vals})
-        if missing:
-            listing = "; ".join(f"key {k} (env {env or '-'}, table {table or '-'}, column {c})" for k, c in missing)
-            raise ValueError(f"missing environment values for markers: {listing}")
+    vals = effective_values(values, os.environ, use_process_env)
+    if check_missing or use_process_env:
+        if not has_any_marker(df, cols):
+            return df
+    if check_missing:
+        missing = marker_keys(df, cols).where(~F.col("key").isin(list(vals)))  # configured keys: configuration-sized
+        first = missing.orderBy("key", "column_name").limit(20).collect()
+        if first:
+            path = scratch_path(df.sparkSession, "missing-markers")
+            missing.write.parquet(path)
+            listing = "; ".join(f"key {r.key} (env {env or '-'}, table {table or '-'}, column {r.column_name})" for r in first)
+            raise ValueError(f"missing environment values for markers: {listing}; all of them in {path}")
     m = _values_map(vals)
-    marker_cols = {r.column_name for r in found} if found else set(cols)
     out = []
     for c in df.columns:
-        if c in marker_cols:
+        if c in cols:
             col = F.col(c)
             out.append(F.when(is_marker(col), F.element_at(m, marker_key(col))).otherwise(col).alias(c))
         else:

@@ -4,8 +4,9 @@ validate -> publish, all-or-nothing per target.
 Per target: the revision's schema fingerprint must equal the target's (when
 the target's is known); every table has its ``@env:`` markers resolved with
 the target's environment values; CSV revisions are typed with the catalog's
-column types; optional checks (key, null, FK violations) run as Spark jobs
-and any violation fails the target; finally every table is written to a new
+column types, and a cell that its type can't hold fails the target; optional
+checks (key, null, FK violations) run as Spark jobs and any violation fails the
+target. Rejected cells and violations are written whole to a folder named in the error; finally every table is written to a new
 version folder and the target's pointer is flipped once (trap Q16 fixed: no
 target ever holds a half-restored table set). Targets run in order and the
 first failure stops the rest unless ``continue_on_error``.
@@ -13,6 +14,7 @@ first failure stops the rest unless ``continue_on_error``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,15 @@ from tessera.functions.coerce import coerce_table
 from tessera.functions.markers import resolve_markers
 from tessera.sources import store
 
+def _fail_on_rows(bad: DataFrame, target: str, what: str) -> None:
+    """Raise when ``bad`` has rows, after writing all of them beside the target."""
+    if bad.isEmpty():
+        return
+    path = f"{target.rstrip('/')}-problems/{uuid.uuid4().hex[:12]}"
+    bad.write.parquet(path)
+    raise ValueError(f"{what}: {bad.sparkSession.read.parquet(path).count()} listed in {path}")
+
+
 Check = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
@@ -42,9 +53,9 @@ def restore_snapshot(spark: SparkSession, root: str, scenario: str, targets: lis
             continue
         try:
             live = (target_fingerprints or {}).get(target)
-            if live and manifest.get("schemaFingerprint") and live != manifest["schemaFingerprint"]:
-                raise ValueError(f"schema mismatch: revision {manifest['schemaFingerprint'][:12]} "
-                                 f"vs target {live[:12]}")
+            stored = manifest.get("schemaFingerprint") or ""
+            if live and live != stored:
+                raise ValueError(f"schema mismatch: revision {stored or 'without fingerprint'} vs target {live}")
             vals = (env_values or {}).get(target, {})
             prepared = {}
             for name, df in source_tables.items():
@@ -58,16 +69,18 @@ def restore_snapshot(spark: SparkSession, root: str, scenario: str, targets: lis
                     df = df.drop(store.CORRUPT)
                 t = resolve_markers(df, vals, env=target, table=name)
                 if manifest.get("format") == "csv" and types and name in types:
-                    t = coerce_table(t, types[name], dialect).drop("_rejects")
+                    typed = coerce_table(t, types[name], dialect)
+                    rejects = (typed.where(F.size("_rejects") > 0).select(F.explode("_rejects").alias("r"))
+                               .select(F.lit(name).alias("table_name"), "r.column_name", "r.raw"))
+                    _fail_on_rows(rejects, target, f"table {name}: cells that their type can't hold")
+                    t = typed.drop("_rejects")
                 prepared[name] = t
             for check in checks or []:
-                bad = check(prepared)
-                if bad.limit(1).count() > 0:
-                    raise ValueError("validation failed: " + "; ".join(str(r.asDict()) for r in bad.limit(5).collect()))
+                _fail_on_rows(check(prepared), target, "validation failed")
             _, counts = store.publish_tables(spark, target, prepared)
             results.append((target, "ok", rev, len(counts), sum(counts.values()), ""))
         except Exception as e:  # noqa: BLE001 - reported per target
-            results.append((target, "failed", rev, 0, 0, str(e)[:2000]))
+            results.append((target, "failed", rev, 0, 0, str(e)))
             stop = not continue_on_error
     return spark.createDataFrame(results, "target string, status string, revision string, tables int, rows long, "
                                           "error string")

@@ -3,7 +3,7 @@
 The library never owns the cluster; it only reads what the session says. The
 shared folder used for lineage cuts and written intermediate tables comes from
 ``spark.checkpoint.dir``. A private folder is created only when that setting is
-unset (tests, a laptop), never when a cluster names one.
+unset on a ``local`` master (tests, a laptop); any other master without it is an error.
 """
 
 from __future__ import annotations
@@ -67,7 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")  # one machine: tests, a laptop
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -19,6 +19,7 @@ Hadoop FileSystem of the session, never through a machine-local folder.
 
 from __future__ import annotations
 
+import csv
 import datetime as _dt
 import json
 from concurrent.futures import ThreadPoolExecutor
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from tessera.functions.render import render_cells
 
 REVISION_RE = re.compile(r"r([0-9]+)")
+SEGMENT_RE = re.compile(r"[A-Za-z0-9._-]+")
 DATASET_SQL = "dataset.sql"  # the SQL script stored beside a revision's data
 
 
@@ -61,11 +63,22 @@ class FS:
         """Atomically create an empty marker file; False when it already exists."""
         try:
             return bool(self._fs(path).createNewFile(self._p(path)))
-        except Exception:  # noqa: BLE001 - an existing file raises on some stores
-            return False
-
-    def rename(self, src: str, dst: str) -> bool:
-        return bool(self._fs(src).rename(self._p(src), self._p(dst)))
+        except Exception:  # an existing file raises on some stores; anything else is an error
+            if self.exists(path):
+                return False
+            raise
+
+    def rename(self, src: str, dst: str) -> None:
+        if not self._fs(src).rename(self._p(src), self._p(dst)):
+            raise OSError(f"can't rename {src} to {dst}")
+
+    def replace(self, src: str, dst: str) -> None:
+        """Rename over an existing file in one step: a reader finds the old file or the new one."""
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.spark.sparkContext._gateway.new_array(options, 1)
+        over[0] = options.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs(dst).makeQualified(self._p(dst)).toUri(), self._conf)
+        context.rename(self._fs(src).makeQualified(self._p(src)), self._fs(dst).makeQualified(self._p(dst)), over)
 
     def delete(self, path: str) -> None:
         if self.exists(path):
@@ -76,15 +89,39 @@ class FS:
             return []
         return [s.getPath().getName() for s in self._fs(path).listStatus(self._p(path)) if s.isDirectory()]
 
+    def list_files(self, path: str) -> list[str]:
+        """Data files under a folder (or the file itself), hidden and marker files left out, sorted."""
+        fs, p = self._fs(path), self._p(path)
+        if not fs.getFileStatus(p).isDirectory():
+            return [path]
+        out, found = [], fs.listFiles(p, True)
+        while found.hasNext():
+            f = found.next().getPath()
+            if f.getName()[:1] not in ("_", "."):
+                out.append(f.toString())
+        return sorted(out)
+
+    def first_record(self, path: str) -> list[str]:
+        """Cells of a CSV file's first record (which may span lines), empty for an empty file."""
+        stream = self._fs(path).open(self._p(path))
+        try:
+            reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+
+            def lines():
+                while (line := reader.readLine()) is not None:
+                    yield line + "\n"
+
+            return next(csv.reader(lines()), [])
+        finally:
+            stream.close()
+
     def write_text(self, path: str, text: str) -> None:
         """Write a small file through a temporary name and a rename."""
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
         out = self._fs(tmp).create(self._p(tmp), True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
-        if self.exists(path):
-            self._fs(path).delete(self._p(path), False)
-        self.rename(tmp, path)
+        self.replace(tmp, path)
 
     def read_text(self, path: str) -> str | None:
         if not self.exists(path):
@@ -105,8 +142,21 @@ def parse_revision_id(name: str) -> int | None:
     return int(m.group(1)) if m else None
 
 
+def scenario_path(scenario: str) -> str:
+    """A scenario's canonical path: relative segments of letters, digits, ``.``, ``_`` and ``-``;
+    repeated slashes count once. Empty, absolute and upward paths and other characters are errors."""
+    name = (scenario or "").strip()
+    segments = [s for s in name.split("/") if s]
+    if not segments or name.startswith("/") or name.endswith("/"):
+        raise ValueError(f"scenario path {scenario!r} must be relative and name at least one segment")
+    for s in segments:
+        if s in (".", "..") or not SEGMENT_RE.fullmatch(s):
+            raise ValueError(f"scenario path {scenario!r} has the invalid segment {s!r}")
+    return "/".join(segments)
+
+
 def scenario_dir(root: str, scenario: str) -> str:
-    return f"{root.rstrip('/')}/{scenario.strip('/')}"
+    return f"{root.rstrip('/')}/{scenario_path(scenario)}"
 
 
 def revision_dir(root: str, scenario: str, rev: str) -> str:
@@ -149,7 +199,10 @@ def write_snapshot(spark: SparkSession, root: str, scenario: str, tables: Mappin
             "rowCounts": counts, "description": description,
         }
         fs.write_text(f"{rdir}/manifest.json", json.dumps(manifest, sort_keys=False))
-        fs.write_text(f"{scenario_dir(root, scenario)}/latest", rev)
+        # the pointer only moves forward: a slower writer of an older revision leaves it
+        newest = parse_revision_id((fs.read_text(f"{scenario_dir(root, scenario)}/latest") or "").strip())
+        if newest is None or newest < n:
+            fs.write_text(f"{scenario_dir(root, scenario)}/latest", rev)
     except Exception:
         fs.delete(staging)
         fs.delete(rdir)
@@ -189,6 +242,12 @@ def read_manifest(spark: SparkSession, root: str, scenario: str, rev: str) -> di
     return json.loads(text) if text else None
 
 
+def update_manifest(spark: SparkSession, root: str, scenario: str, rev: str, **fields) -> None:
+    """Replace fields of a committed revision's manifest; its tables stay as they are."""
+    manifest = read_manifest(spark, root, scenario, rev) or {}
+    FS(spark).write_text(f"{revision_dir(root, scenario, rev)}/manifest.json", json.dumps(manifest | fields))
+
+
 def latest_revision(spark: SparkSession, root: str, scenario: str) -> str | None:
     text = FS(spark).read_text(f"{scenario_dir(root, scenario)}/latest")
     return text.strip() if text else None
@@ -229,15 +288,38 @@ _NULL_SENTINEL = "\u0001<null>\u0001"
 
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """S1 scan: header-bound text columns (RFC 4180 quotes, multi-line cells) plus ``_corrupt_record``
-    for ragged rows. Every empty cell reads as ``""`` (trap Q3: Spark reads an unquoted
+    """S1 scan: text columns bound by header name, file by file (RFC 4180 quotes, multi-line cells), plus
+    ``_corrupt_record`` for ragged rows. Every empty cell reads as ``""`` (trap Q3: Spark reads an unquoted
     empty cell as null, the source reads it as an empty string)."""
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    frames = [_read_csv_files(spark, files, header) for header, files in sorted(_files_by_header(spark, path).items())]
+    if not frames:
+        raise LookupError(f"no CSV files under {path!r}")
+    out = frames[0]
+    for f in frames[1:]:  # a column that some files lack reads as empty there
+        out = out.unionByName(f, allowMissingColumns=True)
+    names = [c for c in out.columns if c != CORRUPT]
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], CORRUPT)
+
+
+def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """CSV files by their header record; files are listed and their first records read by the driver's threads."""
+    fs = FS(spark)
+    files = fs.list_files(path)
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        headers = list(pool.map(fs.first_record, files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for f, h in zip(files, headers, strict=True):
+        if h:
+            out.setdefault(tuple(h), []).append(f)
+    return out
+
+
+def _read_csv_files(spark: SparkSession, files: list[str], header: tuple[str, ...]) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in header) + f", `{CORRUPT}` string"
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("nullValue", _NULL_SENTINEL).option("emptyValue", "").csv(path))
+          .option("nullValue", _NULL_SENTINEL).option("emptyValue", "").csv(files))
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], CORRUPT)
 
 
@@ -272,33 +354,32 @@ def read_snapshot(spark: SparkSession, path: str, table: str, types: Mapping[str
 
 # ----------------------------------------------------------------------- S6
 
-# Preview rows (default, maximum), scanned-row cap, preview line cap (bytes).
-PREVIEW_DEFAULT, PREVIEW_MAX, COUNT_CAP, LINE_CAP = 5, 50, 10_000, 256 * 1024
+# Fixed value: preview rows unless asked otherwise.
+PREVIEW_DEFAULT = 5
 
 
 def preview_snapshot(tables: Mapping[str, DataFrame], order_by: Mapping[str, list[str]] | None = None,
                      n: int = PREVIEW_DEFAULT) -> DataFrame:
-    """Per table the first ``n`` rows (clamped to 1..50) as export text, the row count capped
-    at 10,000, a ``truncated`` flag and the bytes of the table's files; preview lines are cut at
-    256 KiB. Counts are data rows (the source counted raw lines, header included).
+    """Per table the first ``n`` rows as whole export text lines, the exact row count, ``truncated``
+    (the table has more rows than shown) and the bytes of the table's files. Counts are data
+    rows (the source counted raw lines, header included).
 
     With ``order_by`` the first rows are the smallest keys (a distributed
-    top-k), otherwise the first rows in file order. The capped count scans
-    at most 10,001 rows.
+    top-k), otherwise the first rows in file order.
     """
-    n = max(1, min(int(n or PREVIEW_DEFAULT), PREVIEW_MAX))
+    if int(n) < 1:
+        raise ValueError("a preview needs at least one row")
     frames = []
     for name in sorted(tables):
         df = tables[name]
         keys = (order_by or {}).get(name)
         head = df.orderBy(*keys).limit(n) if keys else df.limit(n)
-        capped = df.limit(COUNT_CAP + 1).count()  # scans at most COUNT_CAP + 1 rows
+        rows = df.count()  # Parquet answers from the footers
         text = render_cells(head)
-        line = F.substring(F.concat_ws(",", *[F.col(c) for c in text.columns]), 1, LINE_CAP)
+        line = F.concat_ws(",", *[F.col(c) for c in text.columns])
         frames.append(text.select(
             F.lit(name).alias("table_name"), line.alias("row_text"),
-            F.lit(min(capped, COUNT_CAP)).cast("long").alias("row_count"),
-            F.lit(capped > COUNT_CAP).alias("truncated"),
+            F.lit(rows).cast("long").alias("row_count"), F.lit(rows > n).alias("truncated"),
             F.lit(_input_bytes(df)).cast("long").alias("bytes")))
     out = frames[0]
     for f in frames[1:]:
@@ -342,7 +423,7 @@ def read_revision_catalog(spark: SparkSession, root: str) -> tuple[DataFrame, Da
     good = (df.where(F.col(CORRUPT).isNull() & (path_rev != ""))
             .select(F.regexp_extract("_path", r"^(.*)/manifest\.json$", 1).alias("_dir"),
                     F.coalesce("scenario", scn).alias("scenario"), path_rev.alias("revision"),
-                    F.substring(path_rev, 2, 10).cast("int").alias("n"),
+                    F.regexp_extract(path_rev, "r([0-9]+)", 1).cast("long").alias("n"),
                     F.col("schemaFingerprint").alias("schema_fingerprint"),
                     F.try_to_timestamp("createdAt").alias("created_at"), "source", "tables",
                     F.col("rowCounts").alias("row_counts"), "description",

@@ -36,8 +36,13 @@ from tessera.operators.usage import USAGE_KEY
 from tessera.sources import store
 
 
-def _file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str, max_files: int) -> DataFrame:
-    r = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
+def _limited(reader, max_files: int | None):
+    """Files per micro-batch only as the caller asks; by default a batch takes all that is new."""
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+
+
+def _file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str, max_files: int | None) -> DataFrame:
+    r = _limited(spark.readStream.schema(schema).format(fmt), max_files)
     if fmt == "csv":  # snapshot CSV: header, RFC 4180 quotes, cells kept verbatim, empty cells as ""
         r = (r.option("header", True).option("escape", '"').option("multiLine", True)
              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -47,14 +52,13 @@ def _file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str,
     return r.load(path)
 
 
-def _event_json_stream(spark: SparkSession, source: str, max_files: int) -> DataFrame:
+def _event_json_stream(spark: SparkSession, source: str, max_files: int | None) -> DataFrame:
     """Usage-event JSON files as written by the test integration (camelCase fields); malformed
     events and events without a state are skipped, as the batch reader (S5) does."""
     from tessera.sources.usage_events import EVENT_SCHEMA
 
-    raw = (spark.readStream.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files)
-           .json(source))
+    raw = _limited(spark.readStream.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
+                   .option("columnNameOfCorruptRecord", "_corrupt_record"), max_files).json(source)
     return (raw.where(F.col("_corrupt_record").isNull() & F.col("state").isNotNull() & (F.col("state") != ""))
             .select("state", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("title", F.lit("")).alias("title"),
                     F.coalesce("project", F.lit("")).alias("project"), F.col("resetMode").alias("reset_mode"),
@@ -62,7 +66,7 @@ def _event_json_stream(spark: SparkSession, source: str, max_files: int) -> Data
 
 
 def stream_usage(spark: SparkSession, source: str, schema: T.StructType | None, out: str, checkpoint: str,
-                 fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):
+                 fmt: str = "parquet", max_files_per_trigger: int | None = None, available_now: bool = True):
     """Continuous latest-per-key usage; read with :func:`read_usage_latest`. Returns the query.
 
     ``fmt='event-json'`` reads the test integration's event files directly (``schema`` unused).
@@ -89,10 +93,15 @@ def read_usage_latest(spark: SparkSession, out: str) -> DataFrame:
     root = out.rstrip("/")
     parts = []
     fs = store.FS(spark)
+    folded = None
     if fs.exists(f"{root}/base/_current"):
         parts.append(store.read_published(spark, f"{root}/base", "usage_latest"))
+        folded = store.read_published(spark, f"{root}/base", "folded").first()["batch_id"]
     if fs.exists(f"{root}/deltas"):
-        parts.append(spark.read.parquet(f"{root}/deltas").drop("batch_id"))
+        deltas = spark.read.parquet(f"{root}/deltas")
+        if folded is not None:  # batches that the base holds: their folders are pruned
+            deltas = deltas.where(F.col("batch_id") > folded)
+        parts.append(deltas.drop("batch_id"))
     if not parts:
         raise LookupError(f"no usage state under {out!r}")
     union = parts[0]
@@ -102,16 +111,20 @@ def read_usage_latest(spark: SparkSession, out: str) -> DataFrame:
 
 
 def compact_usage(spark: SparkSession, out: str) -> None:
-    """Publish the current fold as the new base. Deltas folded in stay valid (the fold is
-    idempotent), so they can be removed afterwards by the caller at leisure."""
-    store.publish_tables(spark, f"{out.rstrip('/')}/base", {"usage_latest": read_usage_latest(spark, out)})
+    """Publish the current fold as the new base, with the last batch that it holds; readers then take
+    newer deltas only. Batches are written in order, so a delta that is there has all before it; one that
+    lands while this runs is newer than the recorded batch and is read again, which changes nothing."""
+    root = out.rstrip("/")
+    batches = [int(d.split("=")[1]) for d in store.FS(spark).list_dirs(f"{root}/deltas") if d.startswith("batch_id=")]
+    last = spark.createDataFrame([(max(batches, default=None),)], "batch_id long")
+    store.publish_tables(spark, f"{root}/base", {"usage_latest": read_usage_latest(spark, out), "folded": last})
 
 
 LOG_BUCKETS = 64
 
 
 def stream_schema_history(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
-                          fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):
+                          fmt: str = "parquet", max_files_per_trigger: int | None = None, available_now: bool = True):
     """Continuous W4; read with :func:`read_schema_history`. Returns the query."""
     obs = _file_stream(spark, source, schema, fmt, max_files_per_trigger).select("db_id", "fingerprint", "seen_at")
     root = out.rstrip("/")
@@ -143,24 +156,51 @@ def read_schema_history(spark: SparkSession, out: str) -> DataFrame:
 
 def stream_restore(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
                    values: Mapping[str, str], types: Mapping[str, str] | None = None, dialect: str = "postgres",
-                   fmt: str = "parquet", max_files_per_trigger: int = 1, available_now: bool = True):
-    """Marker resolution (+ optional coercion) on a stream, appended to Parquet at ``out``.
+                   fmt: str = "parquet", max_files_per_trigger: int | None = None, available_now: bool = True):
+    """Marker resolution (+ optional coercion) on a stream; read with :func:`read_restored`.
 
-    Unknown keys resolve to NULL on a stream (there is no whole-table check
-    before the first row is written); the batch path fails instead.
+    A row with a marker that has no value, or with a cell that its type can't
+    hold, goes whole to the reject sink (:func:`read_rejected`, with the
+    reasons) instead of the data; the batch path fails instead, which a stream can't
+    do before its first row is written. A retried micro-batch overwrites its own folders.
     """
     src = _file_stream(spark, source, schema, fmt, max_files_per_trigger)
     m = _values_map(values)
-    cols = []
+    reason = "struct<column_name:string,raw:string>"
+    cols, unknown = [], []
     for f in src.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
+            missing = is_marker(c) & F.element_at(m, marker_key(c)).isNull()
+            unknown.append(F.when(missing, F.struct(F.lit(f.name).alias("column_name"), c.alias("raw")).cast(reason)))
             c = F.when(is_marker(c), F.element_at(m, marker_key(c))).otherwise(c)
         cols.append(c.alias(f.name))
-    resolved = src.select(*cols)
+    problems = F.filter(F.array(*unknown), lambda x: x.isNotNull()) if unknown else F.array().cast(f"array<{reason}>")
+    resolved = src.select(*cols, problems.alias("_unknown"))
+    rejected = F.lit(None).cast(f"array<{reason}>")
     if types:
-        resolved = coerce_table(resolved, types, dialect).drop("_rejects")
-    w = (resolved.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-         .outputMode("append"))
+        resolved = coerce_table(resolved, types, dialect)
+        rejected = F.transform("_rejects", lambda r: F.struct(r["column_name"], r["raw"]).cast(reason))
+    resolved = resolved.withColumn("_problems", F.concat("_unknown", F.coalesce(rejected, F.array().cast(f"array<{reason}>"))))
+    extra = [c for c in ("_unknown", "_rejects") if c in resolved.columns]
+    resolved = resolved.drop(*extra)
+    root = out.rstrip("/")
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        good = F.size("_problems") == 0
+        batch.where(good).drop("_problems").write.mode("overwrite").parquet(f"{root}/data/batch_id={batch_id}")
+        batch.where(~good).write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch_id}")
+
+    w = resolved.writeStream.option("checkpointLocation", checkpoint).foreachBatch(split)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def read_restored(spark: SparkSession, out: str) -> DataFrame:
+    """Rows restored so far."""
+    return spark.read.parquet(f"{out.rstrip('/')}/data").drop("batch_id")
+
+
+def read_rejected(spark: SparkSession, out: str) -> DataFrame:
+    """Rows held back so far; ``_problems`` lists column and raw cell."""
+    return spark.read.parquet(f"{out.rstrip('/')}/rejects").drop("batch_id")

@@ -67,23 +67,23 @@ _PREVIEW_KEYS = {"customer": ["c_custkey"], "nation": ["n_nationkey"], "orders":
 
 
 @query("s6_preview_snapshot", f"""
-SELECT table_name, row_text, row_count, row_count_all > 10000 AS truncated FROM (
+SELECT table_name, row_text, row_count, row_count > 5 AS truncated FROM (
   SELECT 'customer' AS table_name,
          concat_ws(',', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR),
                    c_mktsegment) AS row_text,
-         least(count(*) OVER (), 10000) AS row_count, count(*) OVER () AS row_count_all,
+         count(*) OVER () AS row_count,
          row_number() OVER (ORDER BY c_custkey) AS rn FROM customer
   UNION ALL
   SELECT 'nation', concat_ws(',', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)),
-         least(count(*) OVER (), 10000), count(*) OVER (), row_number() OVER (ORDER BY n_nationkey) FROM nation
+         count(*) OVER (), row_number() OVER (ORDER BY n_nationkey) FROM nation
   UNION ALL
   SELECT 'orders', concat_ws(',', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
                    CAST(o_totalprice AS VARCHAR), {_TS_SQL.format(c='o_orderdate')}, o_orderpriority),
-         least(count(*) OVER (), 10000), count(*) OVER (), row_number() OVER (ORDER BY o_orderkey) FROM orders
+         count(*) OVER (), row_number() OVER (ORDER BY o_orderkey) FROM orders
   UNION ALL
   SELECT 'part', concat_ws(',', CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR),
                    CAST(p_retailprice AS VARCHAR)),
-         least(count(*) OVER (), 10000), count(*) OVER (), row_number() OVER (ORDER BY p_partkey) FROM part
+         count(*) OVER (), row_number() OVER (ORDER BY p_partkey) FROM part
 ) x WHERE rn <= 5""")
 def q_s6(spark, sf_dir):
     _prep(spark, sf_dir)
@@ -115,10 +115,10 @@ def q_s3(spark, sf_dir):
 
 
 @query("s4_read_revision_catalog", """
-SELECT 'priority/' || o_orderpriority AS scenario, 'r001' AS revision, 1 AS n, count(*) AS orders_rows
+SELECT 'priority/' || replace(o_orderpriority, ' ', '_') AS scenario, 'r001' AS revision, 1 AS n, count(*) AS orders_rows
 FROM orders GROUP BY o_orderpriority
 UNION ALL
-SELECT 'priority/' || o_orderpriority, 'r002', 2, count(*) FROM orders
+SELECT 'priority/' || replace(o_orderpriority, ' ', '_'), 'r002', 2, count(*) FROM orders
 WHERE o_orderstatus = 'F' GROUP BY o_orderpriority""")
 def q_s4(spark, sf_dir):
     """One scenario per order priority with two revisions (all orders, then the finished ones);
@@ -129,8 +129,9 @@ def q_s4(spark, sf_dir):
     prios = [r[0] for r in orders.select("o_orderpriority").distinct().collect()]  # a handful of scenarios
     for p in sorted(prios):
         part = orders.where(F.col("o_orderpriority") == p)
-        store.write_snapshot(spark, root, f"priority/{p}", {"orders": part})
-        store.write_snapshot(spark, root, f"priority/{p}", {"orders": part.where(F.col("o_orderstatus") == "F")})
+        scenario = f"priority/{p.replace(' ', '_')}"
+        store.write_snapshot(spark, root, scenario, {"orders": part})
+        store.write_snapshot(spark, root, scenario, {"orders": part.where(F.col("o_orderstatus") == "F")})
     store.FS(spark).write_text(f"{root}/broken/revisions/r001/manifest.json", "{not json")
     good, _bad = store.read_revision_catalog(spark, root)
     return good.select("scenario", "revision", "n", F.col("row_counts")["orders"].alias("orders_rows"))

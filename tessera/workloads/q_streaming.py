@@ -46,4 +46,4 @@ def q_x3(spark, sf_dir):
     src = _split_files(cm, scratch_path(spark, "crm-src"), key="c_custkey")
     out, ckpt = scratch_path(spark, "crm-out"), scratch_path(spark, "crm-ckpt")
     jobs.stream_restore(spark, src, cm.schema, out, ckpt, env_values()).awaitTermination()
-    return spark.read.parquet(out).select(*[F.col(c) for c in cm.columns])
+    return jobs.read_restored(spark, out).select(*[F.col(c) for c in cm.columns])
