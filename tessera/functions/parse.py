@@ -11,18 +11,20 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-# First value region of a CHECK clause: IN (...) or ANY (ARRAY[...]).
-_REGION_RE = r"(?i)(?:\bIN\s*\(([^)]+)\)|ANY\s*\(\s*ARRAY\[([^\]]+)\]\s*\))"
-_QUOTED_RE = r"'([^']*)'"
+def _quoted(region: Column) -> Column:
+    """Texts between pairs of single quotes: every second piece, the last one only if its quote closes."""
+    pieces = F.split(region, "'")
+    return F.filter(pieces, lambda _, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
 
 
 def allowed_values(check_clause: Column) -> Column:
     """Quoted strings of the first ``IN (...)`` or ``ANY (ARRAY[...])`` region of a CHECK
     clause; null when the clause has no region or the region has no quoted value."""
-    in_region = F.regexp_extract(check_clause, _REGION_RE, 1)
-    arr_region = F.regexp_extract(check_clause, _REGION_RE, 2)
-    region = F.when(in_region != "", in_region).otherwise(arr_region)
-    vals = F.regexp_extract_all(region, F.lit(_QUOTED_RE), 1)
+    listed, array = r"(?i)\bin\s*\(([^)]+)\)", r"(?i)any\s*\(\s*array\[([^\]]+)\]\s*\)"
+    at_list, at_array = F.regexp_instr(check_clause, F.lit(listed)), F.regexp_instr(check_clause, F.lit(array))
+    in_list = (at_list > 0) & ((at_array == 0) | (at_list < at_array))
+    region = F.when(in_list, F.regexp_extract(check_clause, listed, 1)).otherwise(F.regexp_extract(check_clause, array, 1))
+    vals = _quoted(region)
     return F.when(F.size(vals) > 0, vals)
 
 

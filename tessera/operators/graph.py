@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 
-def fk_load_order(edges: DataFrame, tables: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def fk_load_order(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """``tables(db_id, table_name, input_pos)``, ``edges(db_id, child, parent)`` ->
     ``(db_id, table_name, input_pos, level, in_cycle, kahn_key)`` in load order.
 
@@ -41,7 +41,7 @@ def fk_load_order(edges: DataFrame, tables: DataFrame, max_rounds: int | None =
                         .withColumn("kahn_key", F.lit(None).cast("array<bigint>")))
     e = cut_lineage(e)
     level = 0
-    while max_rounds is None or level < max_rounds:
+    while True:
         # per child: how many parents are still unplaced, and the key of the last-processed parent
         # (highest level, then largest key) among the placed ones
         pstate = nodes.select("db_id", F.col("table_name").alias("parent"), F.col("level").alias("_pl"),

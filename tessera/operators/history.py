@@ -23,7 +23,8 @@ def schema_history(observations: DataFrame, summaries: DataFrame | None = None)
     ``summaries(db_id, from_fp, to_fp, summary)`` (A5 between stored schemas)
     is attached as the diff from the previous fingerprint when given.
     """
-    obs = observations.select("db_id", "fingerprint", "seen_at")
+    # a sighting reported twice is one sighting: the predecessor needs a total order
+    obs = observations.select("db_id", "fingerprint", "seen_at").distinct()
     spans = obs.groupBy("db_id", "fingerprint").agg(F.min("seen_at").alias("first_seen"),
                                                     F.max("seen_at").alias("last_seen"))
     versions = ordered_index(spans, ["db_id"], ["first_seen", "fingerprint"], name="_v")

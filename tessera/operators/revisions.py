@@ -96,7 +96,7 @@ def revision_history(revisions: DataFrame, pointers: DataFrame | None = None, pa
 def catalog_status(latest: DataFrame, live: DataFrame, behind: DataFrame | None = None,
                    summaries: DataFrame | None = None) -> DataFrame:
     """Per scenario its latest revision's schema against the live schema of its database,
-    compared on the 12-character short ids as the source does: ``current``, ``outdated``,
+    compared on the full fingerprints (the 12-character short ids are for display): ``current``, ``outdated``,
     ``noschema`` (the revision carries no fingerprint) or ``unknown`` (no live fingerprint for the
     database). ``behind`` (W5) and ``summaries(db_id, from_fp, to_fp, summary)`` (A5 between the
     stored and live schemas) are attached when given.
@@ -108,7 +108,7 @@ def catalog_status(latest: DataFrame, live: DataFrame, behind: DataFrame | None
     live_short = F.substring("live_fingerprint", 1, 12)
     status = (F.when(F.coalesce(F.col("schema_fingerprint"), F.lit("")) == "", "noschema")
               .when(F.col("live_fingerprint").isNull(), "unknown")
-              .when(stored_short == live_short, "current").otherwise("outdated"))
+              .when(F.col("schema_fingerprint") == F.col("live_fingerprint"), "current").otherwise("outdated"))
     out = j.select("scenario", "db_id", "revision", stored_short.alias("schema_short"), live_short.alias("live_short"),
                    status.alias("status"), "schema_fingerprint", "live_fingerprint")
     if summaries is not None:
@@ -134,9 +134,10 @@ def sync_plan(local: DataFrame, remote: DataFrame, direction: str = "push") -> D
     (``push`` / ``pull``) names the transfer for datasets that are not up to date.
     """
     stable = "remote_scenario_id" in local.columns and "scenario_id" in remote.columns
-    by_id = remote.select(F.col("id").alias("_id"), F.col("name").alias("_id_name"),
-                          F.col("updated_at").alias("_id_upd"),
-                          (F.col("scenario_id") if stable else F.col("id")).alias("_sid"))
+    # several remote datasets with one stable id: the smallest (id, name, time) stands for them
+    first = F.min(F.struct(F.col("id"), F.col("name"), F.col("updated_at")))
+    by_id = (remote.groupBy((F.col("scenario_id") if stable else F.col("id")).alias("_sid")).agg(first.alias("r"))
+             .select("_sid", F.col("r.id").alias("_id"), F.col("r.name").alias("_id_name"), F.col("r.updated_at").alias("_id_upd")))
     names = remote.groupBy(F.col("name").alias("_nm")).agg(
         F.count(F.lit(1)).alias("_n_named"), F.min("id").alias("_nm_id"), F.min("updated_at").alias("_nm_upd"))
     local_key = F.col("remote_scenario_id") if stable else F.col("remote_id")
@@ -189,13 +190,13 @@ def schema_inventory(schemas: DataFrame, datasets: DataFrame) -> DataFrame:
             .orderBy(F.col("recency").desc(), "short_id"))
 
 
-def lookup_schema(inventory: DataFrame, ref: str) -> tuple[str, list[str]]:
-    """Resolve a schema reference: ('none' | 'one' | 'many', matching short ids).
+def lookup_schema(inventory: DataFrame, ref: str) -> tuple[str, DataFrame]:
+    """Resolve a schema reference: ('none' | 'one' | 'many', all matching rows).
 
     The reference is trimmed and lower-cased and matches a prefix of the short
     or full fingerprint, or a non-empty ``display_name`` (case-insensitive,
     when the inventory has one). An empty reference resolves only when the
-    inventory holds exactly one schema. At most two rows reach the driver.
+    inventory holds exactly one schema. Only the number of matches reaches the driver.
     """
     ref = (ref or "").strip().lower()
     if not ref:
@@ -205,5 +206,6 @@ def lookup_schema(inventory: DataFrame, ref: str) -> tuple[str, list[str]]:
         if "display_name" in inventory.columns:
             name = F.lower(F.trim(F.col("display_name")))
             cond = cond | ((F.coalesce(name, F.lit("")) != "") & (name == F.lit(ref)))
-    ids = [h.short_id for h in inventory.where(cond).select("short_id").limit(2).collect()]
-    return ("none" if not ids else "one" if len(ids) == 1 else "many"), ids
+    found = inventory.where(cond)
+    n = found.count()
+    return ("none" if not n else "one" if n == 1 else "many"), found
