@@ -9,7 +9,7 @@ rows is ever generated beyond what the keys match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHANGE_KINDS = ("table_added", "table_removed", "column_added", "column_removed", "column_changed",
@@ -79,22 +79,14 @@ def diff_with_meta(old: DataFrame, new: DataFrame) -> DataFrame:
     an FK row when the reference target changed. Enum and varchar length are
     not compared (trap Q10).
     """
-    ot = old.select("db_id", "table_name").distinct().withColumn("_o", F.lit(True))
-    nt = new.select("db_id", "table_name").distinct().withColumn("_n", F.lit(True))
-    tables = ot.join(nt, ["db_id", "table_name"], "full_outer")
-    table_changes = (tables.where(F.col("_o").isNull() | F.col("_n").isNull())
-                     .select("db_id",
-                             F.when(F.col("_o").isNull(), F.lit("table_added")).otherwise(F.lit("table_removed")).alias("kind"),
-                             "table_name", F.lit("").alias("column_name"), F.lit("").alias("detail"),
-                             F.lit(0).alias("seq")))
-    both = tables.where(F.col("_o").isNotNull() & F.col("_n").isNotNull()).select("db_id", "table_name")
-
-    def side(df, tag):
-        return df.join(both, ["db_id", "table_name"], "left_semi").select(
-            "db_id", "table_name", "column_name",
-            F.struct(*[F.col(c) for c in _CMP]).alias(tag))
-
-    cols = side(old, "o").join(side(new, "n"), ["db_id", "table_name", "column_name"], "full_outer")
+    # both sides tagged in one frame: a row per column with what each side has, then the table's presence
+    attributes = F.struct(*[F.col(c) for c in _CMP])
+    sides = old.select("db_id", "table_name", "column_name", attributes.alias("o")).unionByName(
+        new.select("db_id", "table_name", "column_name", attributes.alias("n")), allowMissingColumns=True)
+    table = Window.partitionBy("db_id", "table_name")
+    cols = (sides.groupBy("db_id", "table_name", "column_name").agg(F.max("o").alias("o"), F.max("n").alias("n"))
+            .withColumn("_old", F.max(F.col("o").isNotNull()).over(table)).withColumn("_new", F.max(F.col("n").isNotNull()).over(table))
+            .withColumn("_i", F.row_number().over(table.orderBy("column_name"))))
     o, n = F.col("o"), F.col("n")
     added, removed, present = o.isNull(), n.isNull(), o.isNotNull() & n.isNotNull()
 
@@ -120,21 +112,21 @@ def diff_with_meta(old: DataFrame, new: DataFrame) -> DataFrame:
                  .otherwise(F.concat(old_ref, F.lit(" -> "), new_ref)))
     fk_kind = (F.when(o.fk_table.isNull(), F.lit("fk_added")).when(n.fk_table.isNull(), F.lit("fk_removed"))
                .otherwise(F.lit("fk_changed")))
+    both = F.col("_old") & F.col("_new")
+    table_kind = F.when(F.col("_old"), F.lit("table_removed")).otherwise(F.lit("table_added"))
     candidates = F.array(
-        _change("column_added", describe, 1, added),
-        _change("fk_added", new_ref, 2, added & n.fk_table.isNotNull()),
-        _change("column_removed", None, 1, removed),
+        F.when(~both & (F.col("_i") == 1), F.struct(table_kind.alias("kind"), F.lit("").alias("detail"), F.lit(0).alias("seq"))),
+        _change("column_added", describe, 1, both & added),
+        _change("fk_added", new_ref, 2, both & added & n.fk_table.isNotNull()),
+        _change("column_removed", None, 1, both & removed),
         _change("column_changed", bits, 1, present & (bits != "")),
         F.when(present & fk_differs, F.struct(fk_kind.alias("kind"), fk_detail.alias("detail"), F.lit(2).alias("seq"))),
     )
-    col_changes = (cols.select("db_id", "table_name", "column_name", "o", "n",
-                               F.explode(F.filter(candidates, lambda x: x.isNotNull())).alias("c"))
-                   .select("db_id", F.col("c.kind").alias("kind"), "table_name", "column_name",
-                           F.col("c.detail").alias("detail"), F.col("c.seq").alias("seq"), "o", "n"))
-    meta = cols.schema["o"].dataType
-    table_changes = (table_changes.withColumn("o", F.lit(None).cast(meta))
-                     .withColumn("n", F.lit(None).cast(meta)))
-    return table_changes.unionByName(col_changes)
+    whole = F.col("c.seq") == 0  # a change of the whole table
+    return (cols.select("db_id", "table_name", "column_name", "o", "n", F.explode(F.filter(candidates, lambda x: x.isNotNull())).alias("c"))
+            .select("db_id", F.col("c.kind").alias("kind"), "table_name", F.when(whole, "").otherwise(F.col("column_name")).alias("column_name"),
+                    F.col("c.detail").alias("detail"), F.col("c.seq").alias("seq"),
+                    *[F.when(~whole, F.col(side)).alias(side) for side in ("o", "n")]))
 
 
 def change_text(kind: Column, table: Column, column: Column, detail: Column) -> Column:

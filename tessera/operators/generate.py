@@ -11,6 +11,8 @@ beyond what the join planner decides from measured sizes.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -38,7 +40,9 @@ class ColumnSpec:
 
 def uuid_from_index(i: Column, salt: int = 0) -> Column:
     """A UUID-shaped literal derived from the index (stable across runs)."""
-    return F.format_string("%08x-0000-4000-8000-%012x", i + F.lit(salt), i)
+    j = i + F.lit(salt)
+    bits = lambda c, shift, n: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    return F.format_string("%08x-%04x-4%03x-8%03x-%012x", bits(j, 0, 32), bits(j, 32, 16), bits(j, 48, 12), bits(i, 48, 12), bits(i, 0, 48))
 
 
 def _expr(spec: ColumnSpec, i: Column) -> Column:
@@ -52,7 +56,7 @@ def _expr(spec: ColumnSpec, i: Column) -> Column:
         for w in spec.weights:
             acc += w / total
             cum.append(acc)
-        u = F.pmod(F.xxhash64(i, F.lit(spec.name)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+        u = F.pmod(F.xxhash64(i, F.lit(spec.name)), F.lit(1 << 53)) / F.lit(float(1 << 53))
         idx = F.size(F.filter(F.array(*[F.lit(c) for c in cum[:-1]]), lambda c: c <= u)) + 1
         return F.element_at(F.array(*[F.lit(v) for v in spec.values]), idx)
     if spec.kind == "format":
@@ -79,7 +83,8 @@ def generate_rows(spark: SparkSession, n: int, columns: Sequence[ColumnSpec], pa
         if n_parents == 0:
             out = out.withColumn(c.name, F.lit(None).cast(c.parent.schema[c.parent_key].dataType))
             continue
-        pick = F.pmod(F.col("i") * F.lit(PICK_MULTIPLIER), F.lit(n_parents))
+        # both factors reduced first: the product stays below 2^63 for up to 3e9 parents, any i
+        pick = F.pmod(F.pmod(F.col("i"), F.lit(n_parents)) * F.lit(PICK_MULTIPLIER % n_parents), F.lit(n_parents))
         out = (out.withColumn("_pidx", pick).join(indexed, "_pidx", "left")
                .withColumnRenamed("_pk", c.name).drop("_pidx"))
     return out
@@ -87,22 +92,30 @@ def generate_rows(spark: SparkSession, n: int, columns: Sequence[ColumnSpec], pa
 
 def derive_revision(spark: SparkSession, base: Mapping[str, DataFrame], statements: Mapping[str, str],
                     populated: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """Base tables as temp views; each statement (a SELECT) defines the full new content of its
+    """Base tables under their names; each statement (a SELECT) defines the full new content of its
     table. Every populated base table must be redefined (the script contract as a plan check);
     a missing one or a failing statement raises before anything is written. Tables not
     redefined and empty are carried over unchanged."""
-    from tessera.session import forget_driver_views
-
+    # the names are bound inside each statement, so the session's own views stay as they are
+    views = {name: f"base_{uuid.uuid4().hex[:12]}" for name in base}
     for name, df in base.items():
-        df.createOrReplaceTempView(name)
-    forget_driver_views(spark)  # views of these names now hold the base revision
+        df.createOrReplaceTempView(views[name])
+    bound = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
     required = list(populated) if populated is not None else list(base)
     missing = sorted(t for t in required if t not in statements)
     if missing:
         raise ValueError(f"statements do not redefine populated tables: {', '.join(missing)}")
-    out = {name: spark.sql(sql) for name, sql in statements.items()}
+    def run(sql: str) -> DataFrame:
+        if not views:
+            return spark.sql(sql)
+        own = re.match(r"\s*with\s+(?!recursive\b)", sql, re.I)
+        return spark.sql(f"WITH {bound}, {sql[own.end():]}" if own else f"WITH {bound} {sql}")
+
+    out = {name: run(sql) for name, sql in statements.items()}
     for name, df in out.items():
         df.schema  # analysis errors surface here, before any write  # noqa: B018
+    for view in views.values():
+        spark.catalog.dropTempView(view)  # the analysed statements hold their inputs
     for name, df in base.items():
         out.setdefault(name, df)
     return out
@@ -112,11 +125,13 @@ def apply_refresh_plan(tables: Mapping[str, DataFrame], plan: Sequence[Mapping],
                        | None = None, now: str = "2024-01-01 00:00:00") -> dict[str, DataFrame]:
     """Execute drift suggestions on table data.
 
-    ``plan`` rows (from J4 for one database, collected: schema-sized) carry
-    table_name, column_name, category, op, op_strategy, op_value and the new
-    column's type (``col_type``, optional). Supported: drop_column,
-    rename_column (from ``op_value``), add_column (constant / default /
-    timestamp / uuid), and type widening (``widen`` with ``col_type``). A
+    ``plan`` rows (from J4 for one database, collected: schema-sized, with the
+    new columns' types and defaults from :func:`typed_plan`) carry table_name,
+    column_name, category, op, op_strategy, op_value, ``spark_type`` and
+    ``col_default``. Supported: drop_column, rename_column (from ``op_value``),
+    add_column (constant / default / timestamp / uuid, in the column's type; an
+    empty constant is null but for text), and type widening (``widen``). A
+    default that isn't a literal can't be evaluated here and raises. A
     change without an operation in category decision or breaking raises,
     listing them. UUID fills derive from the row key so re-runs give the same
     values.
@@ -143,6 +158,7 @@ def apply_refresh_plan(tables: Mapping[str, DataFrame], plan: Sequence[Mapping],
             df = df.withColumnRenamed(p["op_value"], c)
         elif op == "add_column":
             strat = p.get("op_strategy") or "constant"
+            kind = p.get("spark_type") or "string"
             if strat == "timestamp":
                 v = F.to_timestamp(F.lit(now))
             elif strat == "uuid":
@@ -151,16 +167,44 @@ def apply_refresh_plan(tables: Mapping[str, DataFrame], plan: Sequence[Mapping],
                 v = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                                 F.substring(h, 17, 4), F.substring(h, 21, 12))
             elif strat == "default":
-                v = F.lit(p.get("default_value"))
+                v = F.lit(static_default(p.get("col_default"), f"{t}.{c}")).cast(kind)
             else:
-                v = F.lit(p.get("op_value") or "")
+                v = F.lit(p.get("op_value") or ("" if kind == "string" else None)).cast(kind)
             df = df.withColumn(c, v)
         elif op == "widen":
-            df = df.withColumn(c, F.col(c).cast(p["spark_type"]))
+            df = df.withColumn(c, F.col(c).cast(p.get("spark_type") or "string"))
         out[t] = df
     return out
 
 
+def typed_plan(classified: DataFrame, new: DataFrame, db_id: str | None = None) -> list[dict]:
+    """J4's rows of one database with the new columns' Spark type and default, ready to apply: a likely
+    change of a column's type becomes a ``widen``."""
+    from tessera.operators.catalog import map_column_types
+
+    keys = ["db_id", "table_name", "column_name"]
+    types = map_column_types(new).select(*keys, "spark_type").join(new.select(*keys, "col_default"), keys)
+    widen = (F.col("kind") == "column_changed") & (F.col("category") == "likely") & F.col("detail").contains("type changed")
+    rows = classified.join(types, keys, "left").withColumn("op", F.when(widen, "widen").otherwise(F.col("op")))
+    if db_id is not None:
+        rows = rows.where(F.col("db_id") == db_id)
+    return [r.asDict() for r in rows.orderBy(*keys, "seq").collect()]
+
+
+def static_default(default: str | None, column: str = "") -> str | None:
+    """Text of a literal default: casts and quotes taken off; null for NULL."""
+    text = re.sub(r"(?:::[A-Za-z_ \[\]\".0-9]+(?:\([0-9, ]*\))?)+\s*$", "", default or "").strip()
+    while text.startswith("(") and text.endswith(")"):
+        text = text[1:-1].strip()
+    if text.upper() in ("", "NULL"):
+        return None
+    if len(text) > 1 and text[0] == text[-1] == "'":
+        return text[1:-1].replace("''", "'")
+    if re.fullmatch(r"[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?|true|false|[tfyn01]", text, re.I):
+        return text
+    raise ValueError(f"default of {column} isn't a literal: {default}")
+
+
 def _affinity(a: str, b: str) -> int:
     """Common prefix + common suffix length (case-insensitive)."""
     a, b = a.lower(), b.lower()
@@ -183,7 +227,8 @@ def _one_rename_per_source(plan: Sequence[Mapping]) -> list[dict]:
             k = (p["table_name"], p["op_value"])
             cur = best.get(k)
             cand = p["column_name"]
-            if cur is None or (_affinity(cand, k[1]), -ord(cand[0])) > (_affinity(cur, k[1]), -ord(cur[0])):
+            rank = lambda name: (-_affinity(name, k[1]), name)
+            if cur is None or rank(cand) < rank(cur):
                 best[k] = cand
     out = []
     for p in plan:

@@ -12,7 +12,7 @@ source table feeds the view):
 
 * ``usage_events``  events -> usage sightings (state = event type, one test file per user).
 * ``cat_old`` / ``cat_new``  part -> a fleet of schema catalogs, one database per
-  brand, one table per (type, noun), one column per part; the new version moves,
+  brand and block of 2,000 part keys (so databases grow in number, not in size), one table per (type, noun), one column per part; the new version moves,
   drops, renames, retypes and re-flags columns by rules on the part attributes.
 * ``enum_old`` / ``enum_new``  part -> enum definitions per database.
 * revisions (in ``q_revisions``)  orders -> one revision per order, scenario per customer.
@@ -30,7 +30,7 @@ _TYPE_BY_SIZE = """CASE p_size % 8 WHEN 0 THEN 'integer' WHEN 1 THEN 'text' WHEN
 
 _CAT_BASE = f"""
 SELECT p_partkey, p_name, p_type, p_size, p_retailprice,
-       p_brand AS db_id,
+       p_brand || '-' || CAST(p_partkey - p_partkey % 2000 AS STRING) AS db_id,
        CASE WHEN p_size >= 49 THEN lower(p_type) || '_legacy'
             ELSE lower(p_type) || '_' || split_part(p_name, ' ', 2) END AS table_name,
        split_part(p_name, ' ', 1) || '_' || CAST(p_partkey AS STRING) AS column_name,
@@ -95,10 +95,10 @@ SELECT db_id, table_name, CAST(p_partkey AS BIGINT) AS ordinal,
 FROM cat_base
 WHERE p_size < 49 AND NOT (split_part(p_name, ' ', 1) = 'red' AND p_size > 40)""",
     "enum_old": """
-SELECT p_brand AS db_id, 'kind_' || lower(p_type) AS enum_name, split_part(p_name, ' ', 2) AS enum_value
+SELECT p_brand || '-' || CAST(p_partkey - p_partkey % 2000 AS STRING) AS db_id, 'kind_' || lower(p_type) AS enum_name, split_part(p_name, ' ', 2) AS enum_value
 FROM part WHERE p_retailprice > 990 GROUP BY 1, 2, 3""",
     "enum_new": """
-SELECT p_brand AS db_id, 'kind_' || lower(p_type) AS enum_name, split_part(p_name, ' ', 2) AS enum_value
+SELECT p_brand || '-' || CAST(p_partkey - p_partkey % 2000 AS STRING) AS db_id, 'kind_' || lower(p_type) AS enum_name, split_part(p_name, ' ', 2) AS enum_value
 FROM part WHERE p_retailprice > 985 GROUP BY 1, 2, 3""",
     "events_nulled": """
 SELECT event_id, ts,

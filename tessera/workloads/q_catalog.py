@@ -337,15 +337,16 @@ def q_u1(spark, sf_dir):
 @query("j5_missing_objects", derived.cte("cat_old", "cat_new", "enum_old", "enum_new") + ","
        + INVENTORY_SQL.format(v="old") + "," + INVENTORY_SQL.format(v="new") + """,
 tabs AS (SELECT db_id, table_name FROM cat_new UNION SELECT db_id, table_name FROM cat_old),
-fkp AS (SELECT DISTINCT c.db_id, c.table_name || '_' || c.column_name || '_fkey' AS name,
-          EXISTS (SELECT 1 FROM tabs t WHERE t.db_id = c.db_id AND t.table_name = c.fk_table) AS parent_known
-        FROM cat_new c WHERE c.fk_table IS NOT NULL)
+fkp AS (SELECT DISTINCT c.db_id, c.table_name || '_' || c.column_name || '_fkey' AS name
+        FROM cat_new c JOIN tabs t ON t.db_id = c.db_id AND t.table_name = c.fk_table)
 SELECT w.db_id, w.kind, w.name, 'create' AS action FROM inv_new w
-WHERE NOT EXISTS (SELECT 1 FROM inv_old e WHERE e.db_id = w.db_id AND e.kind = w.kind AND e.name = w.name)
-  AND (w.kind <> 'fk' OR EXISTS (SELECT 1 FROM fkp WHERE fkp.db_id = w.db_id AND fkp.name = w.name AND fkp.parent_known))
+LEFT JOIN inv_old e ON e.db_id = w.db_id AND e.kind = w.kind AND e.name = w.name
+LEFT JOIN fkp ON fkp.db_id = w.db_id AND fkp.name = w.name
+WHERE e.name IS NULL AND (w.kind <> 'fk' OR fkp.name IS NOT NULL)
 UNION ALL
 SELECT e.db_id, e.kind, e.name, 'truncate' FROM inv_old e
-WHERE e.kind = 'table' AND EXISTS (SELECT 1 FROM inv_new w WHERE w.db_id = e.db_id AND w.kind = 'table' AND w.name = e.name)""")
+JOIN inv_new w ON w.db_id = e.db_id AND w.kind = 'table' AND w.name = e.name
+WHERE e.kind = 'table'""")
 def q_j5(spark, sf_dir):
     _prep(spark, sf_dir, "cat_old", "cat_new", "enum_old", "enum_new")
     old, new = spark.table("cat_old"), spark.table("cat_new")

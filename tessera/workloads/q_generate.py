@@ -49,13 +49,15 @@ def q_g2(spark, sf_dir):
 
 @query("g3_apply_refresh_plan", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority AS o_priority, '' AS o_comment,
+       CAST(7 AS BIGINT) AS o_retries, 'it''s new' AS o_label, CAST(NULL AS BIGINT) AS o_weight,
        substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-'
          || substr(h, 21, 12) AS o_uid,
        TIMESTAMP '2024-01-01 00:00:00' AS o_synced_at
 FROM (SELECT *, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) x""")
 def q_g3(spark, sf_dir):
-    """The orders table's schema drifts (price dropped, priority renamed, three columns added);
-    J4's suggestions are applied to the data."""
+    """The orders table's schema drifts (price dropped, priority renamed, customer key widened, columns
+    added with each kind of fill: constant, null, literal default, UUID, time); J4's suggestions are
+    applied to the data."""
     _prep(spark, sf_dir)
     orders = spark.table("orders")
     types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "text", "o_totalprice": "numeric",
@@ -66,13 +68,16 @@ def q_g3(spark, sf_dir):
                 None, None, None)
     old = spark.createDataFrame([row(c, i, types[c]) for i, c in enumerate(orders.columns)], SCHEMA_COLUMNS)
     kept = [c for c in orders.columns if c not in ("o_totalprice", "o_orderpriority")]
+    old = old.withColumn("col_type", F.when(F.col("column_name") == "o_custkey", "integer").otherwise(F.col("col_type")))
     new_rows = [row(c, i, types[c]) for i, c in enumerate(kept)]
     new_rows += [row("o_priority", 10, "text"), row("o_comment", 11, "text", nullable=True),
                  row("o_uid", 12, "uuid", default="gen_random_uuid()"),
-                 row("o_synced_at", 13, "timestamp with time zone", default="now()")]
+                 row("o_synced_at", 13, "timestamp with time zone", default="now()"),
+                 row("o_retries", 14, "integer", default="7"), row("o_label", 15, "text", default="'it''s new'::text"),
+                 row("o_weight", 16, "bigint", nullable=True)]
     new = spark.createDataFrame(new_rows, SCHEMA_COLUMNS)
     changes = D.schema_diff(old, new)
-    plan = [r.asDict() for r in D.classify_drift(changes, old, new).collect()]  # one table's changes
+    plan = G.typed_plan(D.classify_drift(changes, old, new), new, "shop")  # one table's changes
     out = G.apply_refresh_plan({"orders": orders}, plan, key_cols={"orders": ["o_orderkey"]})
     return out["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_priority",
-                                "o_comment", "o_uid", "o_synced_at")
+                                "o_comment", "o_uid", "o_synced_at", "o_retries", "o_label", "o_weight")

@@ -25,7 +25,7 @@ def _existing(spark):
     name = F.concat(F.lit("r"), F.lpad(((F.col("o_orderkey") % 997) + 1).cast("string"), 3, "0"))
     scen = F.concat(F.lit("customers/c"), F.col("o_custkey").cast("string"))
     existing = (o.where(F.col("o_orderstatus") == "F").select(scen.alias("scenario"), name.alias("revision"))
-                .unionByName(o.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 50000))
+                .unionByName(o.where(F.col("o_orderstatus") == "P")
                              .select(scen.alias("scenario"), F.lit("draft").alias("revision"))))
     return existing
 
@@ -34,7 +34,7 @@ def _existing(spark):
 WITH existing AS (
   SELECT {_SCEN.format(k='o_custkey')} AS scenario, {_EXISTING_NAME} AS revision FROM orders WHERE o_orderstatus = 'F'
   UNION ALL
-  SELECT {_SCEN.format(k='o_custkey')}, 'draft' FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 50000),
+  SELECT {_SCEN.format(k='o_custkey')}, 'draft' FROM orders WHERE o_orderstatus = 'P'),
 top AS (SELECT scenario, max(CAST(substr(revision, 2) AS BIGINT)) AS mx FROM existing
         WHERE regexp_matches(revision, '^r[0-9]+$') GROUP BY scenario),
 new AS (SELECT {_SCEN.format(k='o_custkey')} AS scenario, o_orderkey AS order_key, o_orderdate AS created_at
@@ -56,7 +56,7 @@ def q_w2(spark, sf_dir):
 WITH existing AS (
   SELECT {_SCEN.format(k='o_custkey')} AS scenario, {_EXISTING_NAME} AS revision FROM orders WHERE o_orderstatus = 'F'
   UNION ALL
-  SELECT {_SCEN.format(k='o_custkey')}, 'draft' FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 50000),
+  SELECT {_SCEN.format(k='o_custkey')}, 'draft' FROM orders WHERE o_orderstatus = 'P'),
 scen AS (SELECT DISTINCT {_SCEN.format(k='o_custkey')} AS scenario FROM orders),
 ptr AS (SELECT scenario, arg_max(revision, CAST(substr(revision, 2) AS BIGINT)) AS latest FROM existing
         WHERE regexp_matches(revision, '^r[0-9]+$') GROUP BY scenario),
