@@ -159,7 +159,7 @@ def test_generate_pools_refs_and_preview_bytes(spark):
 
     prev = store.preview_snapshot({"nation": spark.read.parquet(f"{SF}/nation.parquet")}, {"nation": ["n_nationkey"]})
     r = prev.collect()
-    assert len(r) == 5 and r[0].row_count == 25 and not r[0].truncated and r[0].bytes > 0
+    assert len(r) == 5 and r[0].row_count == 25 and r[0].truncated and r[0].bytes > 0
 
 
 def test_restore_csv_types_checks_and_failure_modes(spark):
