@@ -21,10 +21,6 @@ def _union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _key_text(cols: list[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
-
-
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """A1: data rows per table, tables sorted by name (one job, one scan per table)."""
     frames = [df.select(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
@@ -41,25 +37,24 @@ def key_violations(df: DataFrame, table: str, primary_key: Iterable[str],
     columns, key_value, dup_count.
     """
     pk = list(primary_key)
-    frames = []
+
+    def rule(kind: str, cols: list[str], key: Column, applies: Column) -> Column:
+        return F.when(applies, F.struct(F.lit(kind).alias("kind"), F.lit(",".join(cols)).alias("columns"), key.alias("key")))
+
+    def text(cols: list[str]) -> Column:
+        return F.array(*[F.col(c).cast("string") for c in cols])
+
+    rules = []
     if pk:
-        dup = (df.groupBy(*pk).agg(F.count(F.lit(1)).alias("dup_count")).where("dup_count > 1")
-               .select(F.lit(table).alias("table_name"), F.lit("pk_duplicate").alias("kind"),
-                       F.lit(",".join(pk)).alias("columns"), _key_text(pk).alias("key_value"), "dup_count"))
         any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
-        nulls = (df.where(any_null).agg(F.count(F.lit(1)).alias("dup_count")).where("dup_count > 0")
-                 .select(F.lit(table).alias("table_name"), F.lit("pk_null").alias("kind"),
-                         F.lit(",".join(pk)).alias("columns"), F.lit(None).cast("string").alias("key_value"),
-                         "dup_count"))
-        frames += [dup, nulls]
-    for c in unique:
-        if c in pk:
-            continue
-        frames.append(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("dup_count"))
-                      .where("dup_count > 1")
-                      .select(F.lit(table).alias("table_name"), F.lit("unique_duplicate").alias("kind"),
-                              F.lit(c).alias("columns"), F.col(c).cast("string").alias("key_value"), "dup_count"))
-    return _union_all(frames)
+        rules = [rule("pk_duplicate", pk, text(pk), F.lit(True)), rule("pk_null", pk, F.array().cast("array<string>"), any_null)]
+    rules += [rule("unique_duplicate", [c], text([c]), F.col(c).isNotNull()) for c in unique if c not in pk]
+    # every row states the key of each rule it takes part in: one scan, one shuffle after partial counts
+    keys = df.select(F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("r")).select("r.*")
+    found = keys.groupBy("kind", "columns", "key").agg(F.count(F.lit(1)).alias("dup_count"))
+    shown = F.concat_ws("|", F.transform("key", lambda k: F.coalesce(k, F.lit("NULL"))))
+    return found.where((F.col("dup_count") > 1) | (F.col("kind") == "pk_null")).select(
+        F.lit(table).alias("table_name"), "kind", "columns", F.when(F.col("kind") != "pk_null", shown).alias("key_value"), "dup_count")
 
 
 def null_violations(df: DataFrame, table: str, not_null: Iterable[str]) -> DataFrame:

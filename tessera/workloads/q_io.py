@@ -98,7 +98,7 @@ def q_s10(spark, sf_dir):
     _prep(spark, sf_dir, "cat_new", "enum_new")
     path = scratch_path(spark, "schemas")
     SD.write_schema_docs(spark.table("cat_new"), path, spark.table("enum_new"))
-    cols, _enums = SD.read_schema_docs(spark, path)
+    cols, _enums, _bad = SD.read_schema_docs(spark, path)
     return cols.select("db_id", "table_name", "column_name", "col_type", "nullable", "col_default", "is_primary",
                        "is_unique", "is_generated", "enum_name", "fk_table", "fk_column")
 
@@ -110,7 +110,7 @@ def q_s3(spark, sf_dir):
     _prep(spark, sf_dir, "cat_new", "enum_new")
     path = scratch_path(spark, "schemas")
     SD.write_schema_docs(spark.table("cat_new"), path, spark.table("enum_new"))
-    _cols, enums = SD.read_schema_docs(spark, path)
+    _cols, enums, _bad = SD.read_schema_docs(spark, path)
     return enums
 
 

@@ -352,3 +352,19 @@ def test_usage_event_reader_modes(spark):
     ts = sorted(r.file for r in read_usage_events(spark, src, mode="ts").collect())
     assert go == ["f", "h"] and ts == ["f", "g", "i"]
     assert read_usage_events(spark, scratch_path(spark, "missing")).count() == 0
+
+
+def test_schema_documents_keep_allowed_values_and_report_bad_ones(spark, tmp_path):
+    from tessera.sources import schema_docs as SD
+
+    schema = ("db_id string, table_name string, ordinal long, column_name string, col_type string, varchar_len int, nullable boolean, "
+              "col_default string, is_primary boolean, is_unique boolean, is_generated boolean, enum_name string, fk_table string, "
+              "fk_column string, allowed_values array<string>")
+    rows = [("d", "t", 1, "s", "text", None, False, None, False, False, False, None, None, None, ["a", "b"])]
+    path = str(tmp_path / "docs")
+    SD.write_schema_docs(spark.createDataFrame(rows, schema), path)
+    (tmp_path / "docs" / "broken.json").write_text("{not json\n")
+    cols, _, bad = SD.read_schema_docs(spark, path)
+    assert [(r.column_name, r.allowed_values) for r in cols.collect()] == [("s", ["a", "b"])]
+    got = bad.collect()
+    assert len(got) == 1 and got[0].path.endswith("broken.json") and got[0].document == "{not json"
