@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import LOWER, SPACE, column, slices, text_buffers
 
-PER_LANGUAGE = 600
+PER_LANGUAGE = 300
 ORDERS = (2, 3, 4)
-BITS = 13
+BITS = 12
 SLICE_BYTES = 1 << 20
-ROUNDS = 300
+ROUNDS = 120
 PENALTY = 1e-4
 
 _LETTERS = np.zeros(256, bool)
@@ -64,7 +64,7 @@ def ngram_places(off: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """Square roots of the relative n-gram frequencies, one row per text (rows have length 1 per order)."""
+    """Relative n-gram frequencies, one row per text, a block of columns per order."""
     out = np.zeros((len(texts), len(ORDERS) << BITS), np.float32)
     for i, t in enumerate(texts):
         off, raw = text_buffers(pa.array([t], pa.large_string()))
@@ -184,7 +184,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    rows = sample(docs, per_language).orderBy("lang", "text").limit(4 * per_language * 64).toArrow()
+    rows = sample(docs, per_language).orderBy("lang", "text").toArrow()
     keep = [(t, k) for t, k in zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), strict=True) if any(c.isalpha() for c in t)]
     return Model([t for t, _ in keep], [k for _, k in keep])
 
