@@ -63,6 +63,58 @@ def q_s8(spark, sf_dir):
     return store.read_published(spark, target, "customer")
 
 
+@query("s1_snapshot_rejects", """
+SELECT 'orders' AS table_name, 'o_orderpriority' AS column_name, o_orderpriority AS raw FROM orders
+UNION ALL
+SELECT 'orders', 'o_orderstatus', o_orderstatus FROM orders WHERE o_orderstatus <> 'F'""")
+def q_s1_rejects(spark, sf_dir):
+    """Orders read back with types that the priority never fits and the status only sometimes: the cells
+    that their type can't hold."""
+    _prep(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    store.write_snapshot(spark, root, "shop/csv", {"orders": spark.table("orders")}, fmt="csv")
+    types = {**ORDERS_PG_TYPES, "o_orderpriority": "integer", "o_orderstatus": "boolean"}
+    _typed, rejects, _warn = store.read_snapshot(
+        spark, f"{store.revision_dir(root, 'shop/csv', 'r001')}/tables/orders", "orders", types)
+    return rejects
+
+
+@query("s8_restore_outcomes", """
+WITH c AS (SELECT count(*) AS n FROM customer)
+SELECT 1 AS run, 1 AS place, 'ok' AS status, 1 AS tables, n AS rows, '' AS reason FROM c
+UNION ALL SELECT 1, 2, 'failed', 0, 0, 'schema mismatch'
+UNION ALL SELECT 1, 3, 'ok', 1, n, '' FROM c
+UNION ALL SELECT 2, 1, 'failed', 0, 0, 'schema mismatch'
+UNION ALL SELECT 2, 2, 'skipped', 0, 0, 'previous target failed'
+UNION ALL SELECT 3, 1, 'failed', 0, 0, 'validation failed'
+UNION ALL SELECT 4, 1, 'failed', 0, 0, 'table customer'
+UNION ALL SELECT 4, 2, 'ok', 1, n, '' FROM c""")
+def q_s8_outcomes(spark, sf_dir):
+    """Status per target of four restores of one CSV revision: a target with another schema (going on, then
+    stopping), a failed key check, and a column whose cells don't fit its type (then a revision that does)."""
+    from tessera.operators.integrity import key_violations
+
+    _prep(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    customer = spark.table("customer")
+    store.write_snapshot(spark, root, "crm/all", {"customer": customer}, fmt="csv", schema_fingerprint="a" * 64)
+    types = {"c_custkey": "bigint", "c_name": "text", "c_nationkey": "integer", "c_acctbal": "numeric", "c_mktsegment": "text"}
+    wrong = {"customer": {**types, "c_name": "integer"}}
+    duplicated = lambda t: key_violations(t["customer"], "customer", ["c_nationkey"])
+
+    def run(number, places, bad=(), **kw):
+        targets = [scratch_path(spark, "target") for _ in range(places)]
+        prints = {t: ("b" if i + 1 in bad else "a") * 64 for i, t in enumerate(targets)}
+        rows = restore_snapshot(spark, root, "crm/all", targets, target_fingerprints=prints, **kw).collect()  # a row per target
+        return [(number, i + 1, r.status, r.tables, r.rows, r.error.split(":")[0]) for i, r in enumerate(rows)]
+
+    fit = {"customer": types}
+    out = run(1, 3, bad=(2,), types=fit, continue_on_error=True) + run(2, 2, bad=(1,), types=fit)
+    out += run(3, 1, types=fit, checks=[duplicated]) + run(4, 1, types=wrong)
+    out += [(4, 2, *r[2:]) for r in run(4, 1, types=fit)]
+    return spark.createDataFrame(out, "run int, place int, status string, tables int, rows long, reason string")
+
+
 _PREVIEW_KEYS = {"customer": ["c_custkey"], "nation": ["n_nationkey"], "orders": ["o_orderkey"], "part": ["p_partkey"]}
 
 
