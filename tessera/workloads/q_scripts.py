@@ -1,4 +1,4 @@
-"""Registered script-corpus queries: scripts assembled from part / nation / region rows."""
+"""Registered script-corpus queries: scripts assembled from part and customer rows."""
 
 from __future__ import annotations
 
@@ -66,17 +66,28 @@ def q_a10_strict(spark, sf_dir):
     return S.script_contract_check(scripts, populated, excluded=["PROMO"], strict_order=True)
 
 
+def _blocks(spark):
+    """Rows and their groups for the scripts: customers (in the role of nations) in blocks of 50 keys (in the role
+    of regions), so scripts grow in number with the table and not in size."""
+    block = F.floor(F.col("c_custkey") / 50).cast("long")
+    rows = spark.table("customer").select(F.col("c_custkey").alias("n_nationkey"), F.col("c_name").alias("n_name"), block.alias("n_regionkey"))
+    groups = rows.select(F.col("n_regionkey").alias("r_regionkey")).distinct()
+    return rows, groups.withColumn("r_name", F.concat(F.lit("BLOCK_"), F.col("r_regionkey").cast("string")))
+
+
 @query("a11_script_stats", """
+WITH nation AS (SELECT c_custkey AS n_nationkey, c_name AS n_name, c_custkey // 50 AS n_regionkey FROM customer),
+region AS (SELECT DISTINCT n_regionkey AS r_regionkey, 'BLOCK_' || CAST(n_regionkey AS VARCHAR) AS r_name FROM nation)
 SELECT 'region-' || CAST(n_regionkey AS VARCHAR) AS script_id, 'nation' AS table_name,
        'n_nationkey,n_name' AS columns, count(*) AS row_count
 FROM nation GROUP BY n_regionkey
 UNION ALL
 SELECT 'region-' || CAST(r_regionkey AS VARCHAR), 'region', 'r_regionkey,r_name', 1 FROM region""")
 def q_a11(spark, sf_dir):
-    """Per region a script: a first (superseded) nation block, the region row, then one multi-row
+    """Per block of customers a script: a first (superseded) nation block, the region row, then one multi-row
     nation INSERT whose tuples contain nested parentheses."""
     _prep(spark, sf_dir)
-    n, r = spark.table("nation"), spark.table("region")
+    n, r = _blocks(spark)
     tuples = (n.groupBy("n_regionkey")
               .agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.format_string(
                   "(%d, '%s (n)')", F.col("n_nationkey"), F.col("n_name")).alias("t")))).alias("_t"))
@@ -92,7 +103,9 @@ def q_a11(spark, sf_dir):
 
 
 @query("t3_reorder_scripts", """
-WITH k AS (SELECT n_regionkey AS rk, count(*) AS cnt FROM nation GROUP BY n_regionkey),
+WITH nation AS (SELECT c_custkey AS n_nationkey, c_name AS n_name, c_custkey // 50 AS n_regionkey FROM customer),
+region AS (SELECT DISTINCT n_regionkey AS r_regionkey, 'BLOCK_' || CAST(n_regionkey AS VARCHAR) AS r_name FROM nation),
+k AS (SELECT n_regionkey AS rk, count(*) AS cnt FROM nation GROUP BY n_regionkey),
 st AS (
   SELECT 'region-' || CAST(r_regionkey AS VARCHAR) AS script_id, 0 AS new_pos, 'SET search_path = public;' AS statement
   FROM region
@@ -110,10 +123,10 @@ st AS (
          'UPDATE "nation" SET n_name = lower(n_name) WHERE n_regionkey = ' || CAST(rk AS VARCHAR) || ';' FROM k)
 SELECT script_id, new_pos, statement FROM st""")
 def q_t3(spark, sf_dir):
-    """Per region a script with a preamble, nation INSERTs, an UPDATE and the region INSERT last
+    """Per block of customers a script with a preamble, nation INSERTs, an UPDATE and the region INSERT last
     (its value holds a semicolon inside quotes); reordered so region rows load before nations."""
     _prep(spark, sf_dir)
-    n, r = spark.table("nation"), spark.table("region")
+    n, r = _blocks(spark)
     stmts = (r.select(F.col("r_regionkey").alias("rk"), F.lit(0).alias("p"), F.lit(0).alias("k"),
                       F.lit("SET search_path = public;").alias("s"))
              .unionByName(n.select(F.col("n_regionkey").alias("rk"), F.lit(1).alias("p"), F.col("n_nationkey").alias("k"),
