@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         now = durable(_star(_star(now, True), False), "edges")
         # done when every node has one neighbour below it, which has none
-        open_ = now.select("u").unionAll(now.select("v").distinct()).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(now.select("v", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1")
         if open_.isEmpty():
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -315,8 +315,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = first.join(known, "node", "left_semi")
     # the candidates grow with the corpus, so they are never broadcast to the texts
     texts = rows.join(first.select(F.col("doc_id").alias("want")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-    sets = durable(texts.select("text").mapInArrow(_sets, "node long, key binary, n long, items binary")
-                   .join(known, "node", "left_semi").dropDuplicates(["key"]), "candidates")
+    sets = durable(texts.select("text").mapInArrow(_sets, "node long, key binary, n long, items binary").dropDuplicates(["key"]), "candidates")
 
     leader = groups.join(known, "node").groupBy("gid").agg(F.max(F.struct("shared", "node")).alias("top")).select("gid", F.col("top.node").alias("node_b"))
     pairs = groups.join(leader, "gid").where("node <> node_b").select(F.col("node").alias("node_a"), "node_b").distinct()
