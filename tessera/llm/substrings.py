@@ -6,7 +6,7 @@ and documents are streamed past the shards by backward search: a window's interv
 occurrences, and the smallest document of the interval decides.
 
 So that no document has to be searched in every shard, text is dealt to shards by content. A window's
-anchor is the smallest hash among its runs of ``ANCHOR`` words; equal windows have equal anchors.
+anchor is the smallest hash among its runs of about six words; equal windows have equal anchors.
 1. Documents are dealt to buckets of a few MB. Every bucket lists its anchors.
 2. An anchor that occurs in one document only can't hold a repeated window. The others go back to
    their buckets, marked if very frequent.
@@ -34,7 +34,9 @@ from tessera.llm.tables import text_bytes
 from tessera.llm.words import Words, column, joined, mix, split_words, text_buffers
 
 WINDOW = 13
-ANCHOR = 8
+#: Words of an anchor in corpora of up to 100 GB; one more for every factor of 32, so that words meet by
+#: chance as rarely in a large corpus. The length changes how text is dealt, never what is found.
+ANCHOR = 6
 BUCKET_BYTES = 8 << 20
 ANCHORS_PER_GROUP = 1 << 20
 #: An anchor in more documents than this deals its windows one by one.
@@ -129,17 +131,22 @@ class FMIndex:
 # -- anchors and segments ----------------------------------------------------------------------
 
 
-def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
+def anchor_words(size: int) -> int:
+    """Words of an anchor for a corpus of ``size`` bytes."""
+    return min(WINDOW - 2, ANCHOR + max(0, (size.bit_length() - 32) // 5))
+
+
+def _anchors(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, anchor) of every window."""
-    at, h = w.windows(ANCHOR)
+    at, h = w.windows(k)
     full = np.full(len(w.hash), ~_U(0))
     full[at] = h
     at, _ = w.windows(WINDOW)
     if not len(at):
         return at, np.empty(0, _U)
-    low = full[: len(full) - (WINDOW - ANCHOR)].copy()
-    for j in range(1, WINDOW - ANCHOR + 1):
-        np.minimum(low, full[j : len(full) - (WINDOW - ANCHOR) + j], out=low)
+    low = full[: len(full) - (WINDOW - k)].copy()
+    for j in range(1, WINDOW - k + 1):
+        np.minimum(low, full[j : len(full) - (WINDOW - k) + j], out=low)
     return at, low[at]
 
 
@@ -158,10 +165,10 @@ def _cuts(keys: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, at), len(keys))
 
 
-def _list_anchors(groups: int):
+def _list_anchors(groups: int, k: int):
     def run(key, table):
         w, ids, _ = _bucket(table)
-        at, anchor = _anchors(w)
+        at, anchor = _anchors(w, k)
         new = np.ones(len(at), bool)
         owner = w.text_of()[at] if len(at) else at
         new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
@@ -204,15 +211,15 @@ def _share_anchors(table: pa.Table) -> pa.Table:
                     names=["bucket", "anchors", "frequent"])
 
 
-def _segments(w: Words, ids: np.ndarray, shared: np.ndarray, frequent: np.ndarray):
+def _segments(w: Words, ids: np.ndarray, shared: np.ndarray, frequent: np.ndarray, k: int):
     """(first window, windows, key) of each segment: consecutive windows around one shared anchor."""
-    at, anchor = _anchors(w)
+    at, anchor = _anchors(w, k)
     if not len(at) or not len(shared):
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, _U),)
-    k = np.searchsorted(shared, anchor)
-    k[k == len(shared)] = 0
-    ok = (shared[k] == anchor) & (ids[w.text_of()[at]] != _NO_DOC)
-    at, anchor, often = at[ok], anchor[ok], frequent[k[ok]]
+    found = np.searchsorted(shared, anchor)
+    found[found == len(shared)] = 0
+    ok = (shared[found] == anchor) & (ids[w.text_of()[at]] != _NO_DOC)
+    at, anchor, often = at[ok], anchor[ok], frequent[found[ok]]
     if not len(at):
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, _U),)
     new = np.ones(len(at), bool)
@@ -225,7 +232,7 @@ def _segments(w: Words, ids: np.ndarray, shared: np.ndarray, frequent: np.ndarra
     return at[start], n, np.where(often[start], own[at[start]], mix(anchor[start]))
 
 
-def _cut_segments(shards: int):
+def _cut_segments(shards: int, k: int):
     def run(key, docs, answers):
         names = ["shard", "bucket", "lengths", "alphabet", "words", "least", "many"]
         kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
@@ -236,7 +243,7 @@ def _cut_segments(shards: int):
         shared = np.concatenate([np.frombuffer(x, _U) for x in answers.column("anchors").to_pylist()])
         frequent = np.concatenate([np.frombuffer(x, bool) for x in answers.column("frequent").to_pylist()])
         order = np.argsort(shared)
-        at, n, to = _segments(w, ids, shared[order], frequent[order])
+        at, n, to = _segments(w, ids, shared[order], frequent[order], k)
         if not len(at):
             return empty
         # equal segments once, with their smallest document and whether there is another
@@ -385,13 +392,14 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     rows, size = text_bytes(docs)
     buckets = max(1, size // BUCKET_BYTES)
     parts = max(1, size // (25 * ANCHORS_PER_GROUP))  # about one anchor in 25 bytes
+    k = anchor_words(size)
     spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spread = spread.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(buckets))).otherwise(
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("long"))
-    anchors = spread.groupBy("bucket").applyInArrow(_list_anchors(parts), "part long, bucket long, anchors binary, counts binary")
+    anchors = spread.groupBy("bucket").applyInArrow(_list_anchors(parts, k), "part long, bucket long, anchors binary, counts binary")
     shared = anchors.groupBy("part").applyInArrow(_share_anchors, "bucket long, anchors binary, frequent binary")
     cut = spread.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
-        _cut_segments(buckets), "shard long, bucket long, lengths binary, alphabet binary, words binary, least binary, many binary")
+        _cut_segments(buckets, k), "shard long, bucket long, lengths binary, alphabet binary, words binary, least binary, many binary")
     found = cut.groupBy("shard").applyInArrow(_search_shard, "bucket long, windows binary, least binary")
     return spread.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
         _remove(with_text), "doc_id long, n_words long, n_removed long, kept string")
