@@ -3,6 +3,7 @@
 import collections
 import random
 import zlib
+from fractions import Fraction
 
 import pytest
 
@@ -72,6 +73,31 @@ def test_schedule_deviates_by_less_than_a_block():
         assert had == share
 
 
+def test_blocks_follow_the_target_weights_over_the_whole_table():
+    """A hot source of a third among 1,000, far over 10,000 blocks: within a block of the exact weights at every slot."""
+    weights = {"hot": 0.5} | {f"s{k:03}": 0.001 for k in range(1000)}
+    share = mixing.apportion(weights)
+    w = [Fraction(x) / sum(map(Fraction, weights.values())) for x in (weights[s] for s in share)]
+    hot = list(share).index("hot")
+    blocks = [10_000 if k == hot else 20 for k in range(len(w))]
+    found = list(mixing.steps(list(share.values()), blocks))
+    assert len(found) == sum(blocks) == 30_000
+    done = 0
+    for slot, k, i in found:
+        assert int(i / w[k]) <= slot < -(-(i + 1) // w[k])
+        done += k == hot
+        assert abs(done - w[hot] * (slot + 1)) < 1
+    assert mixing.apportion({"a": 1 / 3, "b": 1 / 3, "c": 1e-6}, 10_000) == {"a": 5000, "b": 5000}  # none is reserved
+
+
+def test_slots_go_on_from_any_state():
+    share, blocks = [5, 1, 7], [9, 40, 3]
+    whole, taken = list(mixing.steps(share, blocks)), [0, 0, 0]
+    for j, (slot, k, i) in enumerate(whole):
+        assert list(mixing.steps(share, blocks, slot, taken)) == whole[j:]
+        taken[k] = i + 1
+
+
 def test_mix_places_every_document_once(spark):
     docs = documents(spark)
     rows = mixing.mix(docs, alive=0, block_rows=2).collect()
