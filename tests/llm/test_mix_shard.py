@@ -98,6 +98,24 @@ def test_slots_go_on_from_any_state():
         taken[k] = i + 1
 
 
+@pytest.mark.parametrize("sizes", [{"hot": 3200, **{f"s{k}": 320 for k in range(19)}}, {f"s{k}": 6400 // k for k in range(1, 21)}])
+def test_kept_set_has_the_target_weights(spark, sizes):
+    weights = mixing.temperature_weights(sizes)
+    share = mixing.apportion(weights)
+    blocks = [-(-sizes[s] // 16) for s in share]
+    horizon = mixing.horizon_of(list(share.values()), blocks, 1.0)
+    kept = dict(zip(share, mixing.held(list(share.values()), blocks, horizon), strict=True))
+    total, low = sum(weights.values()), min(sizes.values())
+    assert sum(kept.values()) == horizon  # no slot is empty
+    assert all(abs(kept[s] - horizon * weights[s] / total) < 1 for s in sizes)
+    assert all(abs(kept[s] * 16 / sizes[s] - (low / sizes[s]) ** 0.3) * sizes[s] <= 48 for s in sizes)  # share dropped: 1 - (m / n) ** 0.3
+    ids = [s for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, f"t{i}", s) for i, s in enumerate(ids)], "doc_id long, text string, source string")
+    stage = collections.Counter(r.source for r in mixing.keep_mixed(docs).collect())
+    column = collections.Counter(r.source for r in mixing.mix(docs).where("kept").collect())
+    assert stage == column and all(16 * kept[s] - 15 <= stage[s] <= 16 * kept[s] for s in sizes)
+
+
 def test_mix_places_every_document_once(spark):
     docs = documents(spark)
     rows = mixing.mix(docs, alive=0, block_rows=2).collect()
