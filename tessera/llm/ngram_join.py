@@ -163,7 +163,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             _, _, one, key, n = _keyed(part)
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(n.astype(np.int64)), pa.array(one), key], names=["doc_id", "n_shingles", "node", "key"])
+            more = [x for x in part.schema.names if x not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(n.astype(np.int64)), pa.array(one), key, *[column(part, x) for x in more]],
+                                             names=["doc_id", "n_shingles", "node", "key", *more])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,14 +300,18 @@ def _across(stars: DataFrame, sets: DataFrame) -> DataFrame:
     ).select(F.least("x_x", "x_y").alias("key_a"), F.greatest("x_x", "x_y").alias("key_b")).distinct()
 
 
-def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _digest():
+    return F.xxhash64(F.col("text").cast("string"), F.length("text"))
+
+
+def linked_classes(docs: DataFrame, with_digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, key; labels: key, label of every class linked to another)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, size = text_bytes(rows)
     buckets = 1
     while buckets * SIGNATURES_PER_BUCKET * 24 < size:  # about one signature in 24 bytes of text
         buckets *= 2
-    of_docs = durable(rows.mapInArrow(_classes, "doc_id long, n_shingles long, node long, key binary"), "sets")
+    of_docs = durable((rows.withColumn("digest", _digest()) if with_digest else rows).mapInArrow(_classes, "doc_id long, n_shingles long, node long, key binary" + ", digest long" * with_digest), "sets")
     groups = durable(
         rows.mapInArrow(_sign(buckets), "bucket long, sig binary, node binary").groupBy("bucket")
         .applyInArrow(_groups, "gid long, node long, members long"), "groups")
@@ -336,14 +342,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input's rows, all columns, without those of which a near copy with a smaller id stays.
-
-    A document given in several equal rows stays once."""
-    found = durable(near_duplicates(docs), "found")
-    spare = found.where("not (component_id <=> doc_id)").select(F.col("doc_id").alias("_spare")).distinct()
-    kept = docs.join(spare, F.col("doc_id").eqNullSafe(F.col("_spare")), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    """The input's rows, all columns, without those of which a near copy stays.
+
+    A row is told apart by its id and text. Of each component one row stays: the one with the smallest id (null ids come
+    last), among equal ids the one with the smallest digest of the text. So a text goes only if a copy of it stays, whatever other
+    texts share its id. A document given in several rows of equal id and text stays once; rows without words
+    are copies of nothing else."""
+    of_docs, label = linked_classes(docs, with_digest=True)
+    rows = durable(of_docs.join(label, "key", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "key").alias("label")), "found")
+    member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = rows.where("n_shingles > 0").groupBy("label").agg(F.min(member).alias("first"))
+    spare = rows.join(first, "label").where(member != F.col("first")).select(F.col("doc_id").alias("_spare"), F.col("digest").alias("_of")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_spare")) & (_digest() == F.col("_of"))
+    kept = docs.join(spare, same, "left_anti")
+    again = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_spare"), F.col("digest").alias("_of"))
     if again.isEmpty():
         return kept
-    twice = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return kept.join(again, twice, "left_anti").unionAll(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(again, same, "left_anti").unionAll(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -78,6 +78,22 @@ def test_keep_one_keeps_one_of_each_group_and_all_columns(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({d for d, c in want if d == c and d is not None})
 
 
+def test_keep_one_by_row_with_null_and_repeated_ids(spark):
+    text = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "abcdefg"}
+    near = {x: t.replace(f"{x}39", "other") for x, t in text.items()}
+    rows = [
+        (1, text["a"]), (None, near["a"]), (None, text["b"]), (None, text["c"]),  # b and c are copies of nothing
+        (5, near["d"]), (5, text["e"]), (2, text["d"]),  # one text of id 5 is a copy, the other isn't
+        (9, text["f"]), (9, near["f"]), (None, text["g"]), (None, near["g"]),  # near copies that share an id, or have none
+        (None, ""), (None, None), (7, text["e"] + " z"), (7, text["e"] + " z"),
+    ]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) == 9
+    assert {(1, text["a"]), (None, text["b"]), (None, text["c"]), (5, text["e"]), (2, text["d"]), (None, ""), (None, None)} - set(got) == set()
+    assert [d for d, t in got if t in (text["f"], near["f"])] == [9]
+    assert [d for d, t in got if t in (text["g"], near["g"])] == [None]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(4, 400), st.floats(0, 0.12))
 def test_similar_sets_share_a_signature(seed, size, share):
