@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return ngram_join.keep_one(docs)
+    """One document of each component of near copies: similarity 0.8 of five-word shingles or more."""
+    return ngram_join.keep_one(docs, ngram_join.COPIES)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by universe partitioning and the pigeonhole principle (exact).
 
-A document's set is its distinct 3-word shingles. Two sets of r <= s shingles reach the similarity 0.9
-only if they differ in at most (r + s) / 19 shingles. Sizes fall into bands; a band's scheme cuts the
+A document's set is its distinct k-word shingles. Two sets of r <= s shingles reach the similarity num / den
+only if they differ in at most (r + s) (den - num) / (den + num) shingles. A ``Law`` holds k, num and den and what follows from them:
+``OP8`` (3 words, 0.9) for the query, ``COPIES`` (5 words, 0.8) for the pipeline's stage. Sizes fall into bands; a band's scheme cuts the
 universe of shingles by hash into m segments and gives segment i a budget t_i of 1 (must be equal) or
 2 (may differ by one shingle), with ``sum t_i = H + 2`` where H is the largest difference that the
 band allows. If two similar sets differed in every segment by t_i or more, they would differ in more
@@ -12,21 +13,23 @@ one if it can be the larger partner there.
 
 Allocation by cost: exact signatures cost one row a unit, one-deletion neighbourhoods as many as the segment has
 shingles but keep segments long; a scheme uses as many exact segments as leave about
-``SEGMENT`` shingles in each, and neighbourhoods for the rest. An empty segment agrees with every other
+``segment`` shingles in each and neighbourhoods for the rest. An empty segment agrees with every other
 empty one and costs the most candidates: the spare unit pays for leaving it out. A set with several
-empty segments signs each pair of them instead, which covers what one spare unit doesn't.
+empty segments signs each pair of them instead, which covers what one spare unit doesn't. A law without ``segment``
+has exact segments only, so many that a set occupies more than H of them: of H + 1 occupied ones one agrees. The few sets that
+occupy no more share one signature of their scheme.
 
 Equal sets are one class from the start. Sets that share a signature form a group, and a group is
 resolved without listing its pairs. Every member x is compared (whole sets) with the group's leader
 L, the member that shares most signatures with others. Members linked with L are connected; what is left are pairs
 (x, y) of one leader's members where x isn't linked with L. With
 D_x = x - L + (L - x) the difference of x and y is |D_x| + |D_y| - 2 |D_x & D_y|, so a link needs
-``o = (|D_x| + |D_y| - (r + s) / 19) / 2`` shared elements of D_x and D_y, and as x isn't linked with L
+``o = (|D_x| + |D_y| - (r + s) (den - num) / (den + num)) / 2`` shared elements of D_x and D_y, and as x isn't linked with L
 o is 1 at least. So a prefix join on the differences (rarest elements of the leader's members first)
 finds all such pairs: copies with edits of their own share only what is common and don't meet.
 Each pair found is compared on the whole sets.
 
-Words are runs of non-white-space, A-Z lower-cased. Fewer than three words: the sequence is the one
+Words are runs of non-white-space, A-Z lower-cased. Fewer than k words: the sequence is the one
 shingle; none (or null text): no set, linked with nothing. A null ``doc_id`` takes part as any other
 and is never the smallest id unless alone. Repeated rows belong to one class. Other columns are ignored.
 """
@@ -44,28 +47,55 @@ from tessera.llm.components import components
 from tessera.llm.tables import durable, text_bytes
 from tessera.llm.words import Words, column, mix, slices, split_words, text_buffers
 
-SHINGLE = 3
-SEGMENT = 7
 BAND = 1.2
-#: Similarity 0.9: 100 * intersection >= 90 * union, sets differ in (r + s) / 19 at most.
-NUM, DEN = 90, 100
 SIGNATURES_PER_BUCKET = 1 << 20
 
-_STARTS = [1]
-while _STARTS[-1] < 1 << 40:
-    _STARTS.append(max(_STARTS[-1] + 1, int(_STARTS[-1] * BAND)))
-STARTS = np.array(_STARTS)
-_TOP = STARTS[1:] - 1
-PARTNER = _TOP * DEN // NUM  # the largest size that can link with a set of the band
-LIMIT = (_TOP + PARTNER) * (DEN - NUM) // (DEN + NUM)  # H
-UNITS = LIMIT + 2
-SEGMENTS = np.maximum((UNITS + 1) // 2, np.minimum(UNITS, STARTS[:-1] // SEGMENT))
-LOOSE = UNITS - SEGMENTS  # segments with budget 2, the first ones
+
+class Law:
+    """Words of a shingle, the similarity num / den, and the bands and schemes that follow from them.
+
+    ``segment``: shingles that exact segments are to have; None: exact segments only, more of them than H by as many as are left empty."""
+
+    def __init__(self, shingle: int, num: int, den: int, segment: int | None = None):
+        self.shingle, self.num, self.den = shingle, num, den
+        # a set's partners lie in its own band or the next one
+        starts = [1]
+        while starts[-1] < 1 << 40:
+            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND), (starts[-1] - 1) * den // num + 1))
+        self.starts = np.array(starts)
+        top = self.starts[1:] - 1
+        self.partner = top * den // num  # the largest size that can link with a set of the band
+        self.limit = (top + self.partner) * (den - num) // (den + num)  # H
+        self.units = self.limit + 2
+        low = (self.units + 1) // 2
+        if segment:
+            self.segments = np.maximum(low, np.minimum(self.units, self.starts[:-1] // segment))
+        else:
+            # the fewest exact segments of which a set of the band hardly ever occupies H or fewer (four deviations)
+            m, n = self.limit + 1, self.starts[:-1]
+            while True:
+                a = n / m
+                mean, spread = -m * np.expm1(-a), np.sqrt(np.maximum(0, m * (np.exp(-a) - (1 + a) * np.exp(-2 * a))))
+                short = (mean - 4 * spread < self.limit + 1) & (m < 4 * n)
+                if not short.any():
+                    break
+                m = m + short * np.maximum(1, m // 64)
+            self.units = self.segments = m
+        self.loose = self.units - self.segments  # segments with budget 2, the first ones
+        self.spare = segment is not None  # one unit pays for an empty segment
+        self.text_bytes = 24 if segment else 8  # text for one signature, about
+
+
+#: op8's: similarity 0.9 of 3-word shingles, 100 * intersection >= 90 * union, sets differ in (r + s) / 19 at most.
+OP8 = Law(3, 90, 100, segment=7)
+#: The stage's: similarity 0.8 of 5-word shingles, sets differ in (r + s) / 9 at most.
+COPIES = Law(5, 80, 100)
+STARTS, LIMIT = OP8.starts, OP8.limit
 
 _U = np.uint64
 
 
-def shingle_sets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, hashes): text i has the sorted distinct shingles ``hashes[first[i]:first[i+1]]``."""
     n = w.counts
     at, h = w.windows(k)
@@ -98,18 +128,18 @@ def set_keys(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sums(mix(h + _U(0x1234567)), first), _sums(mix(h ^ _U(0x5DEECE66D5DEECE6)), first)
 
 
-def signatures(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(first: np.ndarray, h: np.ndarray, law: Law = OP8) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) rows of all sets under their schemes."""
     size = np.diff(first)
-    band = np.searchsorted(STARTS, size, side="right") - 1
+    band = np.searchsorted(law.starts, size, side="right") - 1
     sets = np.arange(len(size))
-    own = sets[(size > 0) & (LIMIT[np.maximum(band, 0)] > 0)]
-    low = sets[(band > 0) & (size <= PARTNER[np.maximum(band - 1, 0)]) & (LIMIT[np.maximum(band - 1, 0)] > 0)]
+    own = sets[(size > 0) & (law.limit[np.maximum(band, 0)] > 0)]
+    low = sets[(band > 0) & (size <= law.partner[np.maximum(band - 1, 0)]) & (law.limit[np.maximum(band - 1, 0)] > 0)]
     entry = np.concatenate([own, low])
     scheme = np.concatenate([band[own], band[low] - 1])
     if not len(entry):
         return np.empty(0, np.int64), np.empty(0, _U)
-    m, loose = SEGMENTS[scheme], LOOSE[scheme]
+    m, loose = law.segments[scheme], law.loose[scheme]
     base = np.append(0, np.cumsum(m))
     n = size[entry]
     of = np.repeat(np.arange(len(entry)), n)
@@ -132,6 +162,11 @@ def signatures(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray
     who = [entry[slot_entry[exact]], entry[of[near]]]
     sig = [mix(total[exact] + seed[exact]), mix(total[slot[near]] - value[near] + seed[slot[near]])]
     gaps = np.bincount(slot_entry[empty], minlength=len(entry))
+    if not law.spare:  # sets of H occupied segments at most may agree in empty ones only, then both are such
+        few = np.flatnonzero(m - gaps <= law.limit[scheme])
+        who.append(entry[few])
+        sig.append(mix(scheme[few].astype(_U) + _U(99)))
+        gaps = gaps * 0
     for e in np.flatnonzero(gaps > 1).tolist():  # each pair of empty segments
         s = seed[base[e] : base[e + 1]][empty[base[e] : base[e + 1]]]
         i, j = np.triu_indices(len(s), 1)
@@ -140,9 +175,9 @@ def signatures(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(who), np.concatenate(sig)
 
 
-def _text_sets(part) -> tuple[np.ndarray, np.ndarray]:
+def _text_sets(part, law: Law) -> tuple[np.ndarray, np.ndarray]:
     off, raw = text_buffers(column(part, "text"))
-    return shingle_sets(split_words(off, raw, lower=True))
+    return shingle_sets(split_words(off, raw, lower=True), law.shingle)
 
 
 def _binary(first: np.ndarray, raw: np.ndarray) -> pa.Array:
@@ -151,41 +186,45 @@ def _binary(first: np.ndarray, raw: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
 
 
-def _keyed(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    first, h = _text_sets(part)
+def _keyed(part, law: Law) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    first, h = _text_sets(part, law)
     one, two = set_keys(first, h)
     both = np.empty(2 * len(one), _U)
     both[::2], both[1::2] = one, two
     return first, h, one.view(np.int64), _binary(np.arange(len(one) + 1) * 2, both), np.diff(first)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            _, _, one, key, n = _keyed(part)
-            more = [x for x in part.schema.names if x not in ("doc_id", "text")]
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(n.astype(np.int64)), pa.array(one), key, *[column(part, x) for x in more]],
-                                             names=["doc_id", "n_shingles", "node", "key", *more])
+def _classes(law: Law):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                _, _, one, key, n = _keyed(part, law)
+                more = [x for x in part.schema.names if x not in ("doc_id", "text")]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(n.astype(np.int64)), pa.array(one), key, *[column(part, x) for x in more]],
+                                                 names=["doc_id", "n_shingles", "node", "key", *more])
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            first, h, one, key, n = _keyed(part)
-            yield pa.RecordBatch.from_arrays([pa.array(one), key, pa.array(n.astype(np.int64)), _binary(first, h)], names=["node", "key", "n", "items"])
+def _sets(law: Law):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                first, h, one, key, n = _keyed(part, law)
+                yield pa.RecordBatch.from_arrays([pa.array(one), key, pa.array(n.astype(np.int64)), _binary(first, h)], names=["node", "key", "n", "items"])
+    return run
 
 
-def _sign(buckets: int):
+def _sign(buckets: int, law: Law):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                first, h = _text_sets(part)
+                first, h = _text_sets(part, law)
                 one, two = set_keys(first, h)
                 # equal sets of this slice sign once
                 _, keep = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True)
                 alone = np.zeros(len(one), bool)
                 alone[keep] = True
-                who, sig = signatures(first, h)
+                who, sig = signatures(first, h, law)
                 ok = alone[who]
                 who, sig = who[ok], sig[ok]
                 order = np.argsort(sig)
@@ -233,41 +272,45 @@ def _pairs(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.frombuffer(a[i].as_buffer(), _U), np.frombuffer(b[i].as_buffer(), _U)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both sets: whether 100 * intersection >= 90 * union."""
-    for batch in batches:
-        linked = []
-        for x, y in _pairs(batch):
-            if DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
-                linked.append(False)
-                continue
-            both = int(np.count_nonzero(_shared(x, y) if len(x) < len(y) else _shared(y, x)))
-            linked.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([column(batch, "key_a"), column(batch, "key_b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+def _compare(law: Law):
+    """Pairs with both sets: whether den * intersection >= num * union."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in _pairs(batch):
+                if law.den * min(len(x), len(y)) < law.num * max(len(x), len(y)):
+                    linked.append(False)
+                    continue
+                both = int(np.count_nonzero(_shared(x, y) if len(x) < len(y) else _shared(y, x)))
+                linked.append(law.den * both >= law.num * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([column(batch, "key_a"), column(batch, "key_b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+    return run
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differences(law: Law):
     """Pairs (x, leader) with both sets: one row per element that only one of them has. ``most_x`` and
     ``most_y``: the last place, rarest first, of a prefix in which x must share an element with a partner,
     if x isn't linked with the leader (0: it is) or if the partner isn't."""
-    for batch in batches:
-        at, parts, size, most_x, most_y = [], [], [], [], []
-        linked = column(batch, "linked").to_pylist()
-        for i, (x, y) in enumerate(_pairs(batch)):
-            delta = np.concatenate([x[~_shared(x, y)], y[~_shared(y, x)]])
-            d = len(delta)
-            over = (DEN + NUM) * d - (DEN - NUM) * (len(x) + len(y))  # o >= over / 2 / (DEN + NUM)
-            at.append(np.full(d, i))
-            parts.append(delta)
-            size += [d]
-            most_x += [0 if linked[i] else d - max(1, -(-over // (2 * (DEN + NUM)))) + 1]
-            most_y += [d - max(1, -(-NUM * d // (NUM + DEN))) + 1]
-        if not parts:
-            continue
-        rows = pa.array(np.concatenate(at))
-        keep = [c.take(rows) for c in (column(batch, "key_a"), column(batch, "n_a"), column(batch, "key_b"), *map(pa.array, (size, most_x, most_y)))]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(parts).view(np.int64))],
-                                         names=["x", "n", "leader", "d", "most_x", "most_y", "element"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, parts, size, most_x, most_y = [], [], [], [], []
+            linked = column(batch, "linked").to_pylist()
+            for i, (x, y) in enumerate(_pairs(batch)):
+                delta = np.concatenate([x[~_shared(x, y)], y[~_shared(y, x)]])
+                d = len(delta)
+                over = (law.den + law.num) * d - (law.den - law.num) * (len(x) + len(y))  # o >= over / 2 / (law.den + law.num)
+                at.append(np.full(d, i))
+                parts.append(delta)
+                size += [d]
+                most_x += [0 if linked[i] else d - max(1, -(-over // (2 * (law.den + law.num)))) + 1]
+                most_y += [d - max(1, -(-law.num * d // (law.num + law.den))) + 1]
+            if not parts:
+                continue
+            rows = pa.array(np.concatenate(at))
+            keep = [c.take(rows) for c in (column(batch, "key_a"), column(batch, "n_a"), column(batch, "key_b"), *map(pa.array, (size, most_x, most_y)))]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(parts).view(np.int64))],
+                                             names=["x", "n", "leader", "d", "most_x", "most_y", "element"])
+    return run
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, on: str) -> DataFrame:
@@ -276,25 +319,25 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, on: str) -> DataFrame:
     return pairs
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, on: str) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, on: str, law: Law) -> DataFrame:
     """(a, b, linked) of candidate pairs given by ``on``_a and ``on``_b, on whole sets."""
     full = _with_sets(pairs, sets, on).where("key_a <> key_b")
-    return full.select("key_a", "items_a", "key_b", "items_b").mapInArrow(_compare, "a binary, b binary, linked boolean")
+    return full.select("key_a", "items_a", "key_b", "items_b").mapInArrow(_compare(law), "a binary, b binary, linked boolean")
 
 
-def _across(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(stars: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     """(key_a, key_b) of pairs of one leader's members that may link, one not linked with the leader."""
     open_ = stars.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 AND NOT all").select("b")
     pairs = stars.join(open_, "b", "left_semi").select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "linked")
     rows = durable(_with_sets(pairs, sets, "key").select("key_a", "n_a", "items_a", "key_b", "items_b", "linked").mapInArrow(
-        _differences, "x binary, n long, leader binary, d long, most_x long, most_y long, element long"), "differences")
+        _differences(law), "x binary, n long, leader binary, d long, most_x long, most_y long, element long"), "differences")
     # an element that one member only has can't be shared; such elements rank first, so places count from the end
     often = rows.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     rank = F.row_number().over(Window.partitionBy("leader", "x").orderBy(F.desc("f"), "element"))
     rows = rows.join(often, ["leader", "element"]).withColumn("place", F.col("d") - rank + 1).where("place <= greatest(most_x, most_y)")
     part = lambda s: rows.where(f"place <= most_{s}").select("leader", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "d", "place")])
-    o = F.expr(f"ceil((d_x + d_y - (n_x + n_y) * {DEN - NUM} div {DEN + NUM}) / 2)")
-    near = F.expr(f"n_x * {DEN} >= n_y * {NUM} AND n_y * {DEN} >= n_x * {NUM} AND x_x <> x_y")
+    o = F.expr(f"ceil((d_x + d_y - (n_x + n_y) * {law.den - law.num} div {law.den + law.num}) / 2)")
+    near = F.expr(f"n_x * {law.den} >= n_y * {law.num} AND n_y * {law.den} >= n_x * {law.num} AND x_x <> x_y")
     return part("x").join(part("y"), ["leader", "element"]).where(
         near & (F.col("place_x") <= F.col("d_x") - o + 1) & (F.col("place_y") <= F.col("d_y") - o + 1)
     ).select(F.least("x_x", "x_y").alias("key_a"), F.greatest("x_x", "x_y").alias("key_b")).distinct()
@@ -304,16 +347,16 @@ def _digest():
     return F.xxhash64(F.col("text").cast("string"), F.length("text"))
 
 
-def linked_classes(docs: DataFrame, with_digest: bool = False) -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, law: Law = OP8, with_digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, key; labels: key, label of every class linked to another)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, size = text_bytes(rows)
     buckets = 1
-    while buckets * SIGNATURES_PER_BUCKET * 24 < size:  # about one signature in 24 bytes of text
+    while buckets * SIGNATURES_PER_BUCKET * law.text_bytes < size:
         buckets *= 2
-    of_docs = durable((rows.withColumn("digest", _digest()) if with_digest else rows).mapInArrow(_classes, "doc_id long, n_shingles long, node long, key binary" + ", digest long" * with_digest), "sets")
+    of_docs = durable((rows.withColumn("digest", _digest()) if with_digest else rows).mapInArrow(_classes(law), "doc_id long, n_shingles long, node long, key binary" + ", digest long" * with_digest), "sets")
     groups = durable(
-        rows.mapInArrow(_sign(buckets), "bucket long, sig binary, node binary").groupBy("bucket")
+        rows.mapInArrow(_sign(buckets, law), "bucket long, sig binary, node binary").groupBy("bucket")
         .applyInArrow(_groups, "gid long, node long, members long"), "groups")
 
     known = groups.groupBy("node").agg(F.sum("members").alias("shared"))  # the candidates
@@ -321,19 +364,19 @@ def linked_classes(docs: DataFrame, with_digest: bool = False) -> tuple[DataFram
     first = first.join(known, "node", "left_semi")
     # the candidates grow with the corpus, so they are never broadcast to the texts
     texts = rows.join(first.select(F.col("doc_id").alias("want")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-    sets = durable(texts.select("text").mapInArrow(_sets, "node long, key binary, n long, items binary").dropDuplicates(["key"]), "candidates")
+    sets = durable(texts.select("text").mapInArrow(_sets(law), "node long, key binary, n long, items binary").dropDuplicates(["key"]), "candidates")
 
     leader = groups.join(known, "node").groupBy("gid").agg(F.max(F.struct("shared", "node")).alias("top")).select("gid", F.col("top.node").alias("node_b"))
     pairs = groups.join(leader, "gid").where("node <> node_b").select(F.col("node").alias("node_a"), "node_b").distinct()
-    stars = durable(_compared(pairs, sets, "node"), "stars")
-    more = durable(_compared(_across(stars, sets), sets, "key"), "links")
+    stars = durable(_compared(pairs, sets, "node", law), "stars")
+    more = durable(_compared(_across(stars, sets, law), sets, "key", law), "links")
     label = components(stars.unionAll(more).where("linked"))
     return of_docs, label.withColumnRenamed("node", "key")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, law: Law = OP8) -> DataFrame:
     """Per document: doc_id, n_shingles, and component_id, the smallest doc_id reachable by links."""
-    of_docs, label = linked_classes(docs)
+    of_docs, label = linked_classes(docs, law)
     named = of_docs.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     some = F.col("n_shingles") > 0
     smallest = named.where(some).groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -341,14 +384,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionAll(of_docs.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, law: Law = COPIES) -> DataFrame:
     """The input's rows, all columns, without those of which a near copy stays.
 
     A row is told apart by its id and text. Of each component one row stays: the one with the smallest id (null ids come
     last), among equal ids the one with the smallest digest of the text. So a text goes only if a copy of it stays, whatever other
     texts share its id. A document given in several rows of equal id and text stays once; rows without words
     are copies of nothing else."""
-    of_docs, label = linked_classes(docs, with_digest=True)
+    of_docs, label = linked_classes(docs, law, with_digest=True)
     rows = durable(of_docs.join(label, "key", "left").select("doc_id", "digest", "n_shingles", F.coalesce("label", "key").alias("label")), "found")
     member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = rows.where("n_shingles > 0").groupBy("label").agg(F.min(member).alias("first"))

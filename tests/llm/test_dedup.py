@@ -94,6 +94,29 @@ def test_keep_one_by_row_with_null_and_repeated_ids(spark):
     assert [d for d, t in got if t in (text["g"], near["g"])] == [None]
 
 
+def test_keep_one_takes_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    two = [*words[:30], "x", *words[31:60], "y", *words[61:]]  # 86 / 106 on five words, 92 / 104 on three
+    three = [*words[:20], "x", *words[21:50], "y", *words[51:80], "z", *words[81:]]  # 81 / 111 on five words
+    rows = [(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(three))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {1, 3}
+    assert {r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {1, 2, 3}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 600), st.floats(0, 0.25))
+def test_sets_similar_under_the_stage_share_a_signature(seed, size, share):
+    rnd = random.Random(seed)
+    a = set(rnd.sample(range(10**9), size))
+    b = (a - set(rnd.sample(sorted(a), int(rnd.random() * share * size)))) | set(rnd.sample(range(10**9, 2 * 10**9), int(rnd.random() * share * size)))
+    if not b or len(a & b) * 100 < 80 * len(a | b) or a == b:
+        return
+    arrays = [np.sort(np.array(sorted(x), np.uint64)) for x in (a, b)]
+    who, sig = ngram_join.signatures(np.array([0, len(a), len(a) + len(b)]), np.concatenate(arrays), ngram_join.COPIES)
+    assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(4, 400), st.floats(0, 0.12))
 def test_similar_sets_share_a_signature(seed, size, share):
