@@ -11,6 +11,7 @@ from tessera.llm import (
     decontaminate,
     html_content,
     language_id,
+    merkle,
     mixing,
     ngram_join,
     pii,
@@ -112,3 +113,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by family first and then within it."""
     docs = read(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
+
+
+@query(merkle.oracle())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that the proof gives for half of them tampered with."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    torn = F.when(altered, merkle.leaf({"text": F.translate("text", "\n", "")}))
+    tree = merkle.manifest(read(spark, sf_dir, "documents"), torn)
+    folded = tree.withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text().cast("binary"), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
