@@ -19,6 +19,7 @@ from tessera.llm import (
     secret_scan,
     sharding,
     substrings,
+    whitening,
 )
 from tessera.llm.tables import read
 
@@ -124,3 +125,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = tree.withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf")))
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text().cast("binary"), 256).alias("proof_sha256"),
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the first 16 components."""
+    rows = whitening.usable(read(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
