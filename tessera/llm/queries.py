@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
+    byte_repeats,
     decontaminate,
     html_content,
     language_id,
@@ -132,3 +133,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of every embedding on the first 16 components."""
     rows = whitening.usable(read(spark, sf_dir, "embeddings"))
     return whitening.whiten(rows, whitening.fit(rows))
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document left after removing 400-byte strings that start more than once."""
+    left = byte_repeats.deduplicate(read(spark, sf_dir, "documents"), with_text=False)
+    return left.withColumnRenamed("kept", "kept_sha256")
