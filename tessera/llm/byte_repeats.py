@@ -46,6 +46,8 @@ BUCKET_BYTES = 8 << 20
 ANCHORS_PER_GROUP = 1 << 20
 #: An anchor in more different segments than this deals its windows one by one.
 FREQUENT = 5000
+#: Shards for each bucket: small ones, as a merge reaches all over its suffixes.
+SHARDS = 4
 #: Text of one transform within a shard.
 PIECE_BYTES = 1 << 18
 _CHUNK = 1 << 17
@@ -360,6 +362,14 @@ def transform(texts: list[bytes]) -> Transform:
     return Transform(hashes[_heads(hashes)] if len(hashes) else hashes, firsts, np.where(inside, symbol[before], 0), np.where(inside, rank[before], -1), ends, rank)
 
 
+def _in_order(number: np.ndarray) -> np.ndarray:
+    """Where the numbers stand when sorted, equal ones in their order: number and place in one integer, sorted."""
+    key = number.astype(np.int64) << 32
+    key |= np.arange(len(number))
+    key.sort()
+    return (key & 0xFFFFFFFF).astype(np.int32)
+
+
 def merge(parts: list[Transform], depth: int = DEPTH) -> list[np.ndarray]:
     """For each transform and each of its suffixes in sorted order: the symbols, up to ``depth``, that it has in common with
     some other suffix of the collection."""
@@ -368,15 +378,15 @@ def merge(parts: list[Transform], depth: int = DEPTH) -> list[np.ndarray]:
     alphabet = alphabet[_heads(alphabet)] if len(alphabet) else alphabet
     numbers = [np.append(0, np.searchsorted(alphabet, p.alphabet) + 1).astype(np.int32) for p in parts]
     before = np.concatenate([k[p.bwt] for k, p in zip(numbers, parts, strict=True)])
-    back = np.concatenate([p.back + o for p, o in zip(parts, offset, strict=False)])  # where there is a symbol before
+    back = np.concatenate([p.back + np.int32(o) for p, o in zip(parts, offset, strict=False)])  # where there is a symbol before
     common = np.zeros(offset[-1], np.int8)
 
     # the interleave for one symbol: each transform has its suffixes in that order already
     first = np.concatenate([k[p.firsts] for k, p in zip(numbers, parts, strict=True)])
-    order = np.concatenate([np.arange(o + p.ends, o + len(p.bwt)) for o, p in zip(offset, parts, strict=False)])
+    order = np.concatenate([np.arange(o + p.ends, o + len(p.bwt), dtype=np.int32) for o, p in zip(offset, parts, strict=False)])
     again = np.bincount(first, minlength=len(alphabet) + 1) > 1
     some = np.flatnonzero(again[first])
-    some = some[np.argsort(first[some], kind="stable")]
+    some = some[_in_order(first[some])]
     head, order = (_heads(first[some]) if len(some) else np.empty(0, bool)), order[some]
     for h in range(1, depth + 1):
         single = head & np.append(head[1:], True)
@@ -386,7 +396,7 @@ def merge(parts: list[Transform], depth: int = DEPTH) -> list[np.ndarray]:
             break
         symbol = before[order]
         some = np.flatnonzero(symbol)
-        to = some[np.argsort(symbol[some], kind="stable")]
+        to = some[_in_order(symbol[some])]
         head = _heads(symbol[to], block[to]) if len(to) else np.empty(0, bool)
         order = back[order[to]]
     return np.split(common, offset[1:-1])
@@ -490,7 +500,7 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     anchors = by_bucket.applyInArrow(_list_anchors(parts), listed).groupBy("part").applyInArrow(_share(0), news)
     windows = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_list_windows(parts), listed).groupBy("part").applyInArrow(_share(1), news)
     cut = by_bucket.cogroup(anchors.unionAll(windows).groupBy("bucket")).applyInArrow(
-        _cut_segments(buckets), "shard long, bucket long, lengths binary, text binary, places binary, at binary")
+        _cut_segments(buckets * SHARDS), "shard long, bucket long, lengths binary, text binary, places binary, at binary")
     found = cut.groupBy("shard").applyInArrow(_merge_shard, "bucket long, row binary, start binary, end binary")
     return by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(
         _remove(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if with_text else 'string'}")
