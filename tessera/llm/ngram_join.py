@@ -20,7 +20,8 @@ has exact segments only, so many that a set occupies more than H of them: of H +
 occupy no more share one signature of their scheme.
 
 Equal sets are one class from the start. Sets that share a signature form a group, and a group is
-resolved without listing its pairs. Every member x is compared (whole sets) with the group's leader
+resolved without listing its pairs. Under a law of exact segments a set shares all its signatures but H with each similar
+set, so a member that shares fewer with others leaves its groups first. Every member x is compared (whole sets) with the group's leader
 L, the member that shares most signatures with others. Members linked with L are connected; what is left are pairs
 (x, y) of one leader's members where x isn't linked with L. With
 D_x = x - L + (L - x) the difference of x and y is |D_x| + |D_y| - 2 |D_x & D_y|, so a link needs
@@ -128,8 +129,9 @@ def set_keys(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sums(mix(h + _U(0x1234567)), first), _sums(mix(h ^ _U(0x5DEECE66D5DEECE6)), first)
 
 
-def signatures(first: np.ndarray, h: np.ndarray, law: Law = OP8) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) rows of all sets under their schemes."""
+def signatures(first: np.ndarray, h: np.ndarray, law: Law = OP8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, need) rows of all sets under their schemes. ``need``: how many signatures of the scheme the
+    set shares with each set that it is similar to, at least."""
     size = np.diff(first)
     band = np.searchsorted(law.starts, size, side="right") - 1
     sets = np.arange(len(size))
@@ -138,7 +140,7 @@ def signatures(first: np.ndarray, h: np.ndarray, law: Law = OP8) -> tuple[np.nda
     entry = np.concatenate([own, low])
     scheme = np.concatenate([band[own], band[low] - 1])
     if not len(entry):
-        return np.empty(0, np.int64), np.empty(0, _U)
+        return np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.uint16)
     m, loose = law.segments[scheme], law.loose[scheme]
     base = np.append(0, np.cumsum(m))
     n = size[entry]
@@ -159,20 +161,24 @@ def signatures(first: np.ndarray, h: np.ndarray, law: Law = OP8) -> tuple[np.nda
     empty = strict & (count == 0)
     exact = np.flatnonzero(~empty)
     near = np.flatnonzero(part < loose[of])
-    who = [entry[slot_entry[exact]], entry[of[near]]]
+    by = [slot_entry[exact], of[near]]
     sig = [mix(total[exact] + seed[exact]), mix(total[slot[near]] - value[near] + seed[slot[near]])]
     gaps = np.bincount(slot_entry[empty], minlength=len(entry))
+    need = np.ones(len(entry), np.int64)
     if not law.spare:  # sets of H occupied segments at most may agree in empty ones only, then both are such
+        # similar sets differ in H segments at most, so all but H of those that one of them occupies agree
+        need = np.clip(m - gaps - law.limit[scheme], 1, 0xFFFF)
         few = np.flatnonzero(m - gaps <= law.limit[scheme])
-        who.append(entry[few])
+        by.append(few)
         sig.append(mix(scheme[few].astype(_U) + _U(99)))
         gaps = gaps * 0
     for e in np.flatnonzero(gaps > 1).tolist():  # each pair of empty segments
         s = seed[base[e] : base[e + 1]][empty[base[e] : base[e + 1]]]
         i, j = np.triu_indices(len(s), 1)
-        who.append(np.full(len(i), entry[e]))
+        by.append(np.full(len(i), e))
         sig.append(mix(s[i] + mix(s[j])))
-    return np.concatenate(who), np.concatenate(sig)
+    by = np.concatenate(by)
+    return entry[by], np.concatenate(sig), need[by].astype(np.uint16)
 
 
 def _text_sets(part, law: Law) -> tuple[np.ndarray, np.ndarray]:
@@ -224,37 +230,49 @@ def _sign(buckets: int, law: Law):
                 _, keep = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True)
                 alone = np.zeros(len(one), bool)
                 alone[keep] = True
-                who, sig = signatures(first, h, law)
+                who, sig, need = signatures(first, h, law)
                 ok = alone[who]
-                who, sig = who[ok], sig[ok]
+                who, sig, need = who[ok], sig[ok], need[ok]
                 order = np.argsort(sig)
-                sig, node = sig[order], one[who[order]]
+                sig, node, need = sig[order], one[who[order]], need[order]
                 edge = np.searchsorted(sig, (np.arange(buckets, dtype=object) * (2**64 // buckets)).astype(_U)) if buckets > 1 else np.zeros(1, np.int64)
                 edge = np.append(edge, len(sig))
                 full = np.flatnonzero(np.diff(edge))
                 cut = np.append(edge[full], len(sig))
-                yield pa.RecordBatch.from_arrays([pa.array(full), _binary(cut, sig), _binary(cut, node)], names=["bucket", "sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(full), _binary(cut, sig), _binary(cut, node), _binary(cut, need)], names=["bucket", "sig", "node", "need"])
     return run
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """Sets that share a signature: (gid, node, members); groups of the same sets are listed once."""
-    sig = np.concatenate([np.frombuffer(x, _U) for x in table.column("sig").to_pylist()])
-    node = np.concatenate([np.frombuffer(x, _U) for x in table.column("node").to_pylist()])
+    """Sets that share a signature: (gid, node, need, members, times); groups of the same sets are listed once, with the number of their signatures."""
+    sig, node, need = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("sig", _U), ("node", _U), ("need", np.uint16)))
     order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    sig, node, need = sig[order], node[order], need[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
+    sig, node, need = sig[new], node[new], need[new]
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
     n = np.diff(np.append(start, len(sig)))
     first = np.append(start, len(sig))
-    gid = mix(_sums(mix(node), first) + n.astype(_U))
-    _, keep = np.unique(gid, return_index=True)
+    gid = mix(_sums(mix(node ^ mix(need.astype(_U))), first) + n.astype(_U))
+    _, keep, times = np.unique(gid, return_index=True, return_counts=True)
+    times = times[n[keep] > 1]
     keep = keep[n[keep] > 1]
     of = np.repeat(keep, n[keep])
     rows = np.repeat(start[keep] - np.append(0, np.cumsum(n[keep]))[:-1], n[keep]) + np.arange(len(of))
-    return pa.table({"gid": gid[of].view(np.int64), "node": node[rows].view(np.int64), "members": n[of]})
+    return pa.table({"gid": gid[of].view(np.int64), "node": node[rows].view(np.int64), "need": need[rows].astype(np.int32), "members": n[of],
+                     "times": np.repeat(times, n[keep])})
+
+
+def _supported(groups: DataFrame) -> DataFrame:
+    """The groups without members that share fewer signatures with others than they do with any set that they are similar to. What goes
+    takes support from others, so this is done twice; any number of times is exact."""
+    for _ in range(2):
+        enough = groups.groupBy("node", "need").agg(F.sum("times").alias("have")).where("have >= need").select("node", "need")
+        groups = groups.join(enough, ["node", "need"], "left_semi")
+        several = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
+        groups = groups.join(several, "gid", "left_semi")
+    return groups
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -307,7 +325,7 @@ def _differences(law: Law):
             if not parts:
                 continue
             rows = pa.array(np.concatenate(at))
-            keep = [c.take(rows) for c in (column(batch, "key_a"), column(batch, "n_a"), column(batch, "key_b"), *map(pa.array, (size, most_x, most_y)))]
+            keep = [c.take(rows) for c in (column(batch, "x"), column(batch, "n_a").cast(pa.int32()), column(batch, "leader"), *(pa.array(c, pa.int32()) for c in (size, most_x, most_y)))]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(parts).view(np.int64))],
                                              names=["x", "n", "leader", "d", "most_x", "most_y", "element"])
     return run
@@ -326,11 +344,12 @@ def _compared(pairs: DataFrame, sets: DataFrame, on: str, law: Law) -> DataFrame
 
 
 def _across(stars: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
-    """(key_a, key_b) of pairs of one leader's members that may link, one not linked with the leader."""
-    open_ = stars.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 AND NOT all").select("b")
-    pairs = stars.join(open_, "b", "left_semi").select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "linked")
-    rows = durable(_with_sets(pairs, sets, "key").select("key_a", "n_a", "items_a", "key_b", "items_b", "linked").mapInArrow(
-        _differences(law), "x binary, n long, leader binary, d long, most_x long, most_y long, element long"), "differences")
+    """(key_a, key_b) of pairs of one leader's members that may link, one not linked with the leader. ``stars``: written
+    rows (a, b, linked) with a number x."""
+    open_ = stars.groupBy("b").agg(F.min("x").alias("leader"), F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 AND NOT all").select("b", "leader")
+    pairs = stars.join(open_, "b").select("x", "leader", F.col("a").alias("key_a"), F.col("b").alias("key_b"), "linked")
+    rows = durable(_with_sets(pairs, sets, "key").select("x", "leader", "n_a", "items_a", "items_b", "linked").mapInArrow(
+        _differences(law), "x long, n int, leader long, d int, most_x int, most_y int, element long"), "differences")
     # an element that one member only has can't be shared; such elements rank first, so places count from the end
     often = rows.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     rank = F.row_number().over(Window.partitionBy("leader", "x").orderBy(F.desc("f"), "element"))
@@ -338,9 +357,12 @@ def _across(stars: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     part = lambda s: rows.where(f"place <= most_{s}").select("leader", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "d", "place")])
     o = F.expr(f"ceil((d_x + d_y - (n_x + n_y) * {law.den - law.num} div {law.den + law.num}) / 2)")
     near = F.expr(f"n_x * {law.den} >= n_y * {law.num} AND n_y * {law.den} >= n_x * {law.num} AND x_x <> x_y")
-    return part("x").join(part("y"), ["leader", "element"]).where(
+    met = part("x").join(part("y"), ["leader", "element"]).where(
         near & (F.col("place_x") <= F.col("d_x") - o + 1) & (F.col("place_y") <= F.col("d_y") - o + 1)
-    ).select(F.least("x_x", "x_y").alias("key_a"), F.greatest("x_x", "x_y").alias("key_b")).distinct()
+    ).select("x_x", "x_y").distinct()
+    for s in "xy":
+        met = met.join(stars.select(F.col("x").alias(f"x_{s}"), F.col("a").alias(f"a_{s}")), f"x_{s}")
+    return met.select(F.least("a_x", "a_y").alias("key_a"), F.greatest("a_x", "a_y").alias("key_b")).distinct()
 
 
 def _digest():
@@ -356,8 +378,10 @@ def linked_classes(docs: DataFrame, law: Law = OP8, with_digest: bool = False) -
         buckets *= 2
     of_docs = durable((rows.withColumn("digest", _digest()) if with_digest else rows).mapInArrow(_classes(law), "doc_id long, n_shingles long, node long, key binary" + ", digest long" * with_digest), "sets")
     groups = durable(
-        rows.mapInArrow(_sign(buckets, law), "bucket long, sig binary, node binary").groupBy("bucket")
-        .applyInArrow(_groups, "gid long, node long, members long"), "groups")
+        rows.mapInArrow(_sign(buckets, law), "bucket long, sig binary, node binary, need binary").groupBy("bucket")
+        .applyInArrow(_groups, "gid long, node long, need int, members long, times long"), "groups")
+    if not law.spare:
+        groups = durable(_supported(groups), "supported")
 
     known = groups.groupBy("node").agg(F.sum("members").alias("shared"))  # the candidates
     first = of_docs.where("n_shingles > 0").groupBy("key", "node").agg(F.min("doc_id").alias("doc_id"))
@@ -368,9 +392,9 @@ def linked_classes(docs: DataFrame, law: Law = OP8, with_digest: bool = False) -
 
     leader = groups.join(known, "node").groupBy("gid").agg(F.max(F.struct("shared", "node")).alias("top")).select("gid", F.col("top.node").alias("node_b"))
     pairs = groups.join(leader, "gid").where("node <> node_b").select(F.col("node").alias("node_a"), "node_b").distinct()
-    stars = durable(_compared(pairs, sets, "node", law), "stars")
+    stars = durable(_compared(pairs, sets, "node", law).withColumn("x", F.monotonically_increasing_id()), "stars")
     more = durable(_compared(_across(stars, sets, law), sets, "key", law), "links")
-    label = components(stars.unionAll(more).where("linked"))
+    label = components(stars.drop("x").unionAll(more).where("linked"))
     return of_docs, label.withColumnRenamed("node", "key")
 
 

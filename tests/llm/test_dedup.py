@@ -18,15 +18,15 @@ def words(text):
     return (text or "").encode().split()
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = lower_az(text).encode().split()
     if not w:
         return frozenset()
-    return frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def brute_components(rows):
-    sets = [shingles(r[1]) for r in rows]
+def brute_components(rows, k=3, percent=90):
+    sets = [shingles(r[1], k) for r in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -37,7 +37,7 @@ def brute_components(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[find(i)] = find(j)
     out = []
     for i, a in enumerate(sets):
@@ -64,6 +64,29 @@ def test_near_duplicates_in_a_large_family_of_edited_copies(spark):
     assert collections.Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_the_stages_law_in_families_that_share_lines(spark):
+    """Five words and 0.8, among texts that share a line or a passage but are no copies, chains of edits and tiny texts."""
+    rnd = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(16))
+    passage = " ".join(f"passage{i}" for i in range(60))
+    rows = []
+    for i in range(150):
+        own = [f"w{rnd.randint(0, 3000)}" for _ in range(rnd.randint(3, 60))]
+        rows.append(" ".join([*own[: len(own) // 2], line if i % 2 else passage, *own[len(own) // 2:]]))
+    base = rows[0].split()
+    for i in range(80):  # edits that add up, so that ends of the chain are no copies of each other
+        base[rnd.randrange(len(base))] = f"e{i}"
+        rows.append(" ".join(base))
+    rows += [" ".join(f"t{j}" for j in range(n)) + (" x" if n % 2 else "") for n in range(1, 30)]
+    rows = [(i, t, "en", "s", "") for i, t in enumerate(rows)]
+    want = brute_components(rows, 5, 80)
+    assert want != brute_components(rows)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), ngram_join.COPIES).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
+    kept = {r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {c for _, _, c in want}
+
+
 def test_empty_table(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     assert ngram_join.keep_one(empty(spark)).count() == 0
@@ -74,7 +97,7 @@ def test_keep_one_keeps_one_of_each_group_and_all_columns(spark):
     rows = corpus()
     kept = ngram_join.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
-    want = {(d, c) for d, _, c in brute_components(rows)}
+    want = {(d, c) for d, _, c in brute_components(rows, 5, 80)}
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({d for d, c in want if d == c and d is not None})
 
 
@@ -113,8 +136,12 @@ def test_sets_similar_under_the_stage_share_a_signature(seed, size, share):
     if not b or len(a & b) * 100 < 80 * len(a | b) or a == b:
         return
     arrays = [np.sort(np.array(sorted(x), np.uint64)) for x in (a, b)]
-    who, sig = ngram_join.signatures(np.array([0, len(a), len(a) + len(b)]), np.concatenate(arrays), ngram_join.COPIES)
-    assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+    who, sig, need = ngram_join.signatures(np.array([0, len(a), len(a) + len(b)]), np.concatenate(arrays), ngram_join.COPIES)
+    both = set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+    assert both
+    # in some scheme the two share as many as each of them needs
+    needs = [collections.Counter(need[(who == i) & np.isin(sig, list(both))].tolist()) for i in (0, 1)]
+    assert all(any(n >= k for k, n in c.items()) for c in needs)
 
 
 @settings(max_examples=60, deadline=None)
@@ -129,7 +156,7 @@ def test_similar_sets_share_a_signature(seed, size, share):
         return
     arrays = [np.sort(np.array(sorted(x), np.uint64)) for x in (a, b)]
     first = np.array([0, len(a), len(a) + len(b)])
-    who, sig = ngram_join.signatures(first, np.concatenate(arrays))
+    who, sig, _ = ngram_join.signatures(first, np.concatenate(arrays))
     mine, other = set(sig[who == 0].tolist()), set(sig[who == 1].tolist())
     assert ngram_join.LIMIT[np.searchsorted(ngram_join.STARTS, min(len(a), len(b)), side="right") - 1] == 0 or mine & other
 

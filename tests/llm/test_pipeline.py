@@ -26,7 +26,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 
     two = corpus_pipeline.near_duplicates(spark, one, sf)
     left = [(r.doc_id, r.text, r.lang, r.source) for r in one.collect()]
-    want = {d for d, _, c in brute_components(left) if d == c and d is not None}
+    want = {d for d, _, c in brute_components(left, 5, 80) if d == c and d is not None}
     assert {r.doc_id for r in two.where("doc_id is not null").collect()} == want
 
     three = corpus_pipeline.decontaminated(spark, two, sf)
