@@ -21,7 +21,7 @@ occupy no more share one signature of their scheme.
 
 Equal sets are one class from the start. Sets that share a signature form a group, and a group is
 resolved without listing its pairs. Under a law of exact segments a set shares all its signatures but H with each similar
-set, so a member that shares fewer with others leaves its groups first. Every member x is compared (whole sets) with the group's leader
+set, so a member that shares fewer with others leaves its groups first, and the others leave their largest groups. Every member x is compared (whole sets) with the group's leader
 L, the member that shares most signatures with others. Members linked with L are connected; what is left are pairs
 (x, y) of one leader's members where x isn't linked with L. With
 D_x = x - L + (L - x) the difference of x and y is |D_x| + |D_y| - 2 |D_x & D_y|, so a link needs
@@ -264,15 +264,26 @@ def _groups(table: pa.Table) -> pa.Table:
                      "times": np.repeat(times, n[keep])})
 
 
+def _several(groups: DataFrame) -> DataFrame:
+    """Groups of two members or more, with their number."""
+    several = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return groups.drop("members").join(several.select("gid", F.col("n").alias("members")), "gid")
+
+
 def _supported(groups: DataFrame) -> DataFrame:
-    """The groups without members that share fewer signatures with others than they do with any set that they are similar to. What goes
-    takes support from others, so this is done twice; any number of times is exact."""
+    """The entries that a similar pair can't do without.
+
+    A member that shares fewer signatures with others than it needs goes; that takes support from others, so it is done
+    twice (any number of times is exact). Of the k signatures left to a member, a partner has all but k - need. So with all signatures in
+    one order, smallest groups first, the first one that the two have in common is among the first k - need + 1 of each: the rest,
+    the large groups, aren't needed."""
     for _ in range(2):
         enough = groups.groupBy("node", "need").agg(F.sum("times").alias("have")).where("have >= need").select("node", "need")
-        groups = groups.join(enough, ["node", "need"], "left_semi")
-        several = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
-        groups = groups.join(several, "gid", "left_semi")
-    return groups
+        groups = _several(groups.join(enough, ["node", "need"], "left_semi"))
+    own = Window.partitionBy("node", "need")
+    before = F.sum("times").over(own.orderBy("members", "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("times")
+    first = groups.withColumn("spare", F.sum("times").over(own) - F.col("need")).withColumn("before", before).where("before <= spare")
+    return _several(first.drop("spare", "before"))
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -306,28 +317,30 @@ def _compare(law: Law):
 
 
 def _differences(law: Law):
-    """Pairs (x, leader) with both sets: one row per element that only one of them has. ``most_x`` and
-    ``most_y``: the last place, rarest first, of a prefix in which x must share an element with a partner,
-    if x isn't linked with the leader (0: it is) or if the partner isn't."""
+    """Pairs (x, leader) with both sets: one row per element that only one of them has, as a hash of leader and element. The first
+    row of an x tells its size n, the number d of its rows, and ``most_x`` and ``most_y``: the last place, rarest first, of a prefix in
+    which x must share an element with a partner, if x isn't linked with the leader (0: it is) or if the partner isn't."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, parts, size, most_x, most_y = [], [], [], [], []
-            linked = column(batch, "linked").to_pylist()
+            at, parts, facts = [], [], []
+            linked, leader = column(batch, "linked").to_pylist(), column(batch, "leader").to_numpy().astype(_U)
             for i, (x, y) in enumerate(_pairs(batch)):
                 delta = np.concatenate([x[~_shared(x, y)], y[~_shared(y, x)]])
                 d = len(delta)
                 over = (law.den + law.num) * d - (law.den - law.num) * (len(x) + len(y))  # o >= over / 2 / (law.den + law.num)
                 at.append(np.full(d, i))
-                parts.append(delta)
-                size += [d]
-                most_x += [0 if linked[i] else d - max(1, -(-over // (2 * (law.den + law.num)))) + 1]
-                most_y += [d - max(1, -(-law.num * d // (law.num + law.den))) + 1]
+                parts.append(mix(delta ^ mix(leader[i : i + 1])))
+                facts.append((len(x), d, 0 if linked[i] else d - max(1, -(-over // (2 * (law.den + law.num)))) + 1,
+                              d - max(1, -(-law.num * d // (law.num + law.den))) + 1))
             if not parts:
                 continue
-            rows = pa.array(np.concatenate(at))
-            keep = [c.take(rows) for c in (column(batch, "x"), column(batch, "n_a").cast(pa.int32()), column(batch, "leader"), *(pa.array(c, pa.int32()) for c in (size, most_x, most_y)))]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(parts).view(np.int64))],
-                                             names=["x", "n", "leader", "d", "most_x", "most_y", "element"])
+            at = np.concatenate(at)
+            first = np.ones(len(at), bool)
+            first[1:] = at[1:] != at[:-1]
+            rows = pa.array(np.where(first, at, 0), mask=~first)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "x").take(pa.array(at)), *(pa.array(c, pa.int32()).take(rows) for c in zip(*facts, strict=True)),
+                 pa.array(np.concatenate(parts).view(np.int64))], names=["x", "n", "d", "most_x", "most_y", "element"])
     return run
 
 
@@ -348,16 +361,18 @@ def _across(stars: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     rows (a, b, linked) with a number x."""
     open_ = stars.groupBy("b").agg(F.min("x").alias("leader"), F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 AND NOT all").select("b", "leader")
     pairs = stars.join(open_, "b").select("x", "leader", F.col("a").alias("key_a"), F.col("b").alias("key_b"), "linked")
-    rows = durable(_with_sets(pairs, sets, "key").select("x", "leader", "n_a", "items_a", "items_b", "linked").mapInArrow(
-        _differences(law), "x long, n int, leader long, d int, most_x int, most_y int, element long"), "differences")
+    rows = durable(_with_sets(pairs, sets, "key").select("x", "leader", "items_a", "items_b", "linked").mapInArrow(
+        _differences(law), "x long, n int, d int, most_x int, most_y int, element long"), "differences")
     # an element that one member only has can't be shared; such elements rank first, so places count from the end
-    often = rows.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    rank = F.row_number().over(Window.partitionBy("leader", "x").orderBy(F.desc("f"), "element"))
-    rows = rows.join(often, ["leader", "element"]).withColumn("place", F.col("d") - rank + 1).where("place <= greatest(most_x, most_y)")
-    part = lambda s: rows.where(f"place <= most_{s}").select("leader", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "d", "place")])
+    often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("f"), "element"))
+    facts = rows.where("n is not null").drop("element")
+    rows = (rows.select("x", "element").join(often, "element").withColumn("rank", rank).drop("f").join(facts, "x")
+            .withColumn("place", F.col("d") - F.col("rank") + 1).where("place <= greatest(most_x, most_y)"))
+    part = lambda s: rows.where(f"place <= most_{s}").select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "d", "place")])
     o = F.expr(f"ceil((d_x + d_y - (n_x + n_y) * {law.den - law.num} div {law.den + law.num}) / 2)")
     near = F.expr(f"n_x * {law.den} >= n_y * {law.num} AND n_y * {law.den} >= n_x * {law.num} AND x_x <> x_y")
-    met = part("x").join(part("y"), ["leader", "element"]).where(
+    met = part("x").join(part("y"), "element").where(
         near & (F.col("place_x") <= F.col("d_x") - o + 1) & (F.col("place_y") <= F.col("d_y") - o + 1)
     ).select("x_x", "x_y").distinct()
     for s in "xy":
