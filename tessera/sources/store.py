@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.render import render_cells
+from tessera.sources.csv_records import csv_records
 
 REVISION_RE = re.compile(r"r([0-9]+)")
 SEGMENT_RE = re.compile(r"[A-Za-z0-9._-]+")
@@ -289,9 +290,9 @@ _NULL_SENTINEL = "\u0001<null>\u0001"
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     """S1 scan: text columns bound by header name, file by file (RFC 4180 quotes, multi-line cells), plus
-    ``_corrupt_record`` for ragged rows. Every empty cell reads as ``""`` (trap Q3: Spark reads an unquoted
-    empty cell as null, the source reads it as an empty string)."""
-    frames = [_read_csv_files(spark, files, header) for header, files in sorted(_files_by_header(spark, path).items())]
+    ``_corrupt_record`` for ragged rows. A file of any size is read by many tasks (:mod:`csv_records`). Every empty
+    cell reads as ``""`` (trap Q3: Spark reads an unquoted empty cell as null, the source reads it as an empty string)."""
+    frames = [_parsed(records, header) for header, records in sorted(csv_records(spark, path, FS(spark).first_record), key=lambda x: x[0])]
     if not frames:
         raise LookupError(f"no CSV files under {path!r}")
     out = frames[0]
@@ -301,26 +302,13 @@ def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names], CORRUPT)
 
 
-def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """CSV files by their header record; files are listed and their first records read by the driver's threads."""
-    fs = FS(spark)
-    files = fs.list_files(path)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(fs.first_record, files))
-    out: dict[tuple[str, ...], list[str]] = {}
-    for f, h in zip(files, headers, strict=True):
-        if h:
-            out.setdefault(tuple(h), []).append(f)
-    return out
-
-
-def _read_csv_files(spark: SparkSession, files: list[str], header: tuple[str, ...]) -> DataFrame:
+def _parsed(records: DataFrame, header: list[str]) -> DataFrame:
+    """Cells of whole records."""
     schema = ", ".join(f"`{c}` string" for c in header) + f", `{CORRUPT}` string"
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("nullValue", _NULL_SENTINEL).option("emptyValue", "").csv(files))
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], CORRUPT)
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE",
+               "columnNameOfCorruptRecord": CORRUPT, "nullValue": _NULL_SENTINEL, "emptyValue": ""}
+    cells = records.select(F.from_csv("text", schema, options).alias("r")).select("r.*")
+    return cells.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header], CORRUPT)
 
 
 def read_snapshot(spark: SparkSession, path: str, table: str, types: Mapping[str, str],
