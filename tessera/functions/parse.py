@@ -11,21 +11,26 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def _quoted(region: Column) -> Column:
-    """Texts between pairs of single quotes: every second piece, the last one only if its quote closes."""
-    pieces = F.split(region, "'")
-    return F.filter(pieces, lambda _, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
-
-
 def allowed_values(check_clause: Column) -> Column:
-    """Quoted strings of the first ``IN (...)`` or ``ANY (ARRAY[...])`` region of a CHECK
-    clause; null when the clause has no region or the region has no quoted value."""
-    listed, array = r"(?i)\bin\s*\(([^)]+)\)", r"(?i)any\s*\(\s*array\[([^\]]+)\]\s*\)"
-    at_list, at_array = F.regexp_instr(check_clause, F.lit(listed)), F.regexp_instr(check_clause, F.lit(array))
-    in_list = (at_list > 0) & ((at_array == 0) | (at_list < at_array))
-    region = F.when(in_list, F.regexp_extract(check_clause, listed, 1)).otherwise(F.regexp_extract(check_clause, array, 1))
-    vals = _quoted(region)
-    return F.when(F.size(vals) > 0, vals)
+    """Quoted strings of the first value list of a CHECK clause, ``IN (...)`` or ``ANY (ARRAY[...])``; null when the
+    clause has none or the list has no quoted value.
+
+    A clause splits at its quotes into code (every second piece) and values (the pieces between). The list is looked for
+    in the code alone, with a quote mark standing for each value, so words and brackets inside values mean nothing: the
+    marks between the opening bracket and the next closing one are the list's values, the marks before it count those of
+    earlier text."""
+    pieces = F.split(check_clause, "'")
+    every_second = lambda parity: F.filter(pieces, lambda _, i: i % 2 == parity)
+    code = F.lower(F.array_join(every_second(0), "'"))
+    code = F.regexp_replace(code, r"\s*([(\[])\s*", "$1")  # no space around opening brackets
+    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("'"), F.lit("")))
+    word_in, any_array = F.regexp_instr(code, F.lit(r"\bin\(")), F.instr(code, "any(array[")
+    is_in = (word_in > 0) & ((any_array == 0) | (word_in < any_array))
+    begin = F.when(is_in, word_in + len("in(")).when(any_array > 0, any_array + len("any(array["))
+    rest = F.substring(code, begin, F.length(code))
+    size = F.when(is_in, F.instr(rest, ")")).otherwise(F.instr(rest, "]")) - 1
+    count = F.when(size > 0, marks(F.substring(rest, F.lit(1), size)))
+    return F.when(count > 0, F.slice(every_second(1), marks(F.substring(code, F.lit(1), begin - 1)) + 1, F.greatest(count, F.lit(0))))
 
 
 def enum_values(col_type: Column) -> Column:

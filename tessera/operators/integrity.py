@@ -38,23 +38,25 @@ def key_violations(df: DataFrame, table: str, primary_key: Iterable[str],
     """
     pk = list(primary_key)
 
-    def rule(kind: str, cols: list[str], key: Column, applies: Column) -> Column:
-        return F.when(applies, F.struct(F.lit(kind).alias("kind"), F.lit(",".join(cols)).alias("columns"), key.alias("key")))
-
-    def text(cols: list[str]) -> Column:
-        return F.array(*[F.col(c).cast("string") for c in cols])
-
-    rules = []
+    def repeated(kind: str, cols: list[str], rows: DataFrame) -> DataFrame:
+        # grouped by the columns in their own types: narrow keys, and the scan reads these columns only
+        keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(cols)]
+        found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("dup_count")).where("dup_count > 1")
+        shown = F.concat_ws("|", *[F.coalesce(F.col(f"k{i}").cast("string"), F.lit("NULL")) for i in range(len(cols))])
+        return found.select(F.lit(table).alias("table_name"), F.lit(kind).alias("kind"), F.lit(",".join(cols)).alias("columns"),
+                            shown.alias("key_value"), "dup_count")
+
+    frames = []
     if pk:
         any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
-        rules = [rule("pk_duplicate", pk, text(pk), F.lit(True)), rule("pk_null", pk, F.array().cast("array<string>"), any_null)]
-    rules += [rule("unique_duplicate", [c], text([c]), F.col(c).isNotNull()) for c in unique if c not in pk]
-    # every row states the key of each rule it takes part in: one scan, one shuffle after partial counts
-    keys = df.select(F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("r")).select("r.*")
-    found = keys.groupBy("kind", "columns", "key").agg(F.count(F.lit(1)).alias("dup_count"))
-    shown = F.concat_ws("|", F.transform("key", lambda k: F.coalesce(k, F.lit("NULL"))))
-    return found.where((F.col("dup_count") > 1) | (F.col("kind") == "pk_null")).select(
-        F.lit(table).alias("table_name"), "kind", "columns", F.when(F.col("kind") != "pk_null", shown).alias("key_value"), "dup_count")
+        frames = [repeated("pk_duplicate", pk, df),
+                  df.where(any_null).agg(F.count(F.lit(1)).alias("dup_count")).where("dup_count > 0").select(
+                      F.lit(table).alias("table_name"), F.lit("pk_null").alias("kind"), F.lit(",".join(pk)).alias("columns"),
+                      F.lit(None).cast("string").alias("key_value"), "dup_count")]
+    frames += [repeated("unique_duplicate", [c], df.where(F.col(c).isNotNull())) for c in unique if c not in pk]
+    if not frames:
+        raise ValueError("no key to check")
+    return _union_all(frames)
 
 
 def null_violations(df: DataFrame, table: str, not_null: Iterable[str]) -> DataFrame:
