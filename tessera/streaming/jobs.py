@@ -9,11 +9,11 @@
   ``max(struct)`` (:func:`read_usage_latest`); :func:`compact_usage` folds them
   into a new base. Work per micro-batch grows with the changed keys, not with
   the total state.
-* X2 ``stream_schema_history``: ``previous`` depends on order, so each
-  micro-batch appends its sightings to a log bucketed by database and
-  recomputes W4 only for the databases it touched, reading only their buckets;
-  their new history rows go to ``history/batch_id=N`` and readers keep, per
-  database, the rows of the newest batch that touched it.
+* X2 ``stream_schema_history``: the state is the history itself, one row per (database, fingerprint). A micro-batch whose sightings of
+  a database are newer than all before is merged into that database's rows from its last sighting on; only the rows that change are
+  written, to ``state/batch_id=N``. A database with a late sighting is computed again from the log of sightings, which nothing else
+  reads. Rows and log are cut into buckets by database, and every few batches the rows are folded into a new base, so a
+  batch reads the buckets it touches of the base and of few deltas.
 * X3 ``stream_restore``: marker resolution and coercion are stateless column
   expressions applied to the stream and appended to a Parquet sink.
 
@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from tessera.functions.coerce import coerce_table
 from tessera.functions.markers import _values_map, is_marker, marker_key
 from tessera.operators.history import schema_history
+from tessera.operators.sequence import ordered_index
 from tessera.operators.usage import USAGE_KEY
+from tessera.session import cut_lineage
 from tessera.sources import store
 
 
@@ -120,7 +122,22 @@ def compact_usage(spark: SparkSession, out: str) -> None:
     store.publish_tables(spark, f"{root}/base", {"usage_latest": read_usage_latest(spark, out), "folded": last})
 
 
-LOG_BUCKETS = 64
+#: Bytes of source files for one bucket of the history's state and log, and the fewest buckets.
+BUCKET_BYTES, FEWEST_BUCKETS = 256 << 20, 64
+#: Micro-batches between two folds of the history's state.
+FOLD_EVERY = 32
+_HISTORY = ["db_id", "fingerprint", "version", "first_seen", "last_seen", "previous"]
+
+
+def _buckets(spark: SparkSession, source: str, root: str) -> int:
+    """Number of buckets of a stream's state: from the volume of the source when the stream first starts, then fixed."""
+    fs = store.FS(spark)
+    if (text := fs.read_text(f"{root}/buckets")) is None:
+        size = sum(fs._fs(f).getFileStatus(fs._p(f)).getLen() for f in fs.list_files(source)) if fs.exists(source) else 0
+        text = str(max(FEWEST_BUCKETS, size // BUCKET_BYTES))
+        fs.mkdirs(root)
+        fs.write_text(f"{root}/buckets", text)
+    return int(text)
 
 
 def stream_schema_history(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
@@ -128,30 +145,91 @@ def stream_schema_history(spark: SparkSession, source: str, schema: T.StructType
     """Continuous W4; read with :func:`read_schema_history`. Returns the query."""
     obs = _file_stream(spark, source, schema, fmt, max_files_per_trigger).select("db_id", "fingerprint", "seen_at")
     root = out.rstrip("/")
-    log_path, hist_path = f"{root}/log", f"{root}/history"
+    buckets = _buckets(spark, source, root)
+    bucket = F.pmod(F.xxhash64("db_id"), F.lit(buckets)).cast("int").alias("bucket")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        b = batch.withColumn("bucket", F.pmod(F.xxhash64("db_id"), F.lit(LOG_BUCKETS)))
-        # sightings of this batch: one folder per batch and bucket, overwritten on retry
-        # one file per bucket and batch (not one per task and bucket)
-        b.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch_id={batch_id}")
-        touched = b.select("db_id", "bucket").distinct()
-        buckets = sorted(r.bucket for r in touched.select("bucket").distinct().collect())  # <= LOG_BUCKETS ints
-        log = s.read.parquet(log_path).where(F.col("bucket").isin(buckets))
-        fresh = schema_history(log.join(touched.select("db_id"), "db_id", "left_semi").drop("bucket", "batch_id"))
-        fresh.write.mode("overwrite").parquet(f"{hist_path}/batch_id={batch_id}")
+        log_path = f"{root}/log"
+        # one folder per batch, overwritten on a retry; one file per bucket
+        batch.select("*", bucket).distinct().repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch_id={batch_id}")
+        seen = s.read.schema(batch.select("*", bucket).schema).parquet(f"{log_path}/batch_id={batch_id}")
+        touched = sorted(r.bucket for r in seen.select("bucket").distinct().collect())  # a number per bucket
+        state = _history_state(s, root, batch_id, touched)
+        rows = _merged_history(seen.drop("bucket"), state, lambda: s.read.parquet(log_path).where(
+            F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id)).drop("bucket", "batch_id"))
+        rows.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/batch_id={batch_id}")
+        if batch_id % FOLD_EVERY == FOLD_EVERY - 1:
+            compact_schema_history(s, root, batch_id)
 
     w = obs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def _merged_history(seen: DataFrame, state: DataFrame | None, log) -> DataFrame:
+    """History rows that the sightings ``seen`` change. ``state``: the history rows before; ``log()``: all sightings."""
+    if state is None:
+        return schema_history(seen)
+    state = state.join(seen.select("db_id").distinct(), "db_id", "left_semi")
+    last = state.groupBy("db_id").agg(F.max(F.struct(F.col("last_seen").alias("seen_at"), "fingerprint")).alias("last"), F.max("version").alias("known"))
+    seen = seen.join(last, "db_id", "left").withColumn("here", F.struct("seen_at", "fingerprint"))
+    late = cut_lineage(seen.where("here < last").select("db_id").distinct())
+    new = seen.join(late, "db_id", "left_anti").where("last IS NULL OR here > last").select("db_id", "fingerprint", "seen_at")
+    # in order: the history of the new sightings behind the last one before them
+    begin = last.join(new.select("db_id").distinct(), "db_id", "left_semi").select("db_id", "last.fingerprint", "last.seen_at")
+    part = schema_history(new.unionByName(begin))
+    known = state.select("db_id", "fingerprint", *[F.col(c).alias(f"old_{c}") for c in ("version", "first_seen", "previous")])
+    part = cut_lineage(part.join(known, ["db_id", "fingerprint"], "left"))
+    old = part.where("old_version IS NOT NULL").select("db_id", "fingerprint", F.col("old_version").alias("version"), F.col("old_first_seen").alias("first_seen"),
+                                                       "last_seen", F.col("old_previous").alias("previous"))
+    fresh = ordered_index(part.where("old_version IS NULL"), ["db_id"], ["version"], "place").join(last.select("db_id", "known"), "db_id", "left")
+    fresh = fresh.select("db_id", "fingerprint", (F.coalesce("known", F.lit(0)) + F.col("place") + 1).alias("version"), "first_seen", "last_seen", "previous")
+    rows = old.unionByName(fresh)
+    if late.isEmpty():
+        return rows
+    return rows.unionByName(schema_history(log().join(late, "db_id", "left_semi")))
+
+
+def _history_state(spark: SparkSession, root: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """History rows after the batches before ``before`` (all), of some buckets (all): of each database and fingerprint the newest."""
+    fs, parts, folded = store.FS(spark), [], -1
+    if fs.exists(f"{root}/base/_current"):
+        folded = store.read_published(spark, f"{root}/base", "folded").first()["batch_id"]
+        if before is None or folded < before:
+            parts.append(store.read_published(spark, f"{root}/base", "history").withColumn("batch_id", F.lit(folded)))
+        else:
+            folded = -1  # a retried batch that the base holds already
+    batches = [int(d.split("=")[1]) for d in fs.list_dirs(f"{root}/state") if d.startswith("batch_id=")]
+    if any(b > folded and (before is None or b < before) for b in batches):
+        deltas = spark.read.parquet(f"{root}/state").where(F.col("batch_id") > folded)
+        parts.append(deltas if before is None else deltas.where(F.col("batch_id") < before))
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    newest = rows.groupBy("db_id", "fingerprint").agg(F.max(F.struct("batch_id", *_HISTORY[2:], "bucket")).alias("r"))
+    return newest.select("db_id", "fingerprint", *[f"r.{c}" for c in (*_HISTORY[2:], "bucket")])
+
+
+def compact_schema_history(spark: SparkSession, out: str, batch_id: int | None = None) -> None:
+    """Publish the history so far as the new base, cut by bucket, with the last batch that it holds."""
+    root = out.rstrip("/")
+    if batch_id is None:
+        batch_id = max((int(d.split("=")[1]) for d in store.FS(spark).list_dirs(f"{root}/state") if d.startswith("batch_id=")), default=None)
+    if batch_id is None:
+        return
+    rows = _history_state(spark, root, batch_id + 1)
+    store.publish_tables(spark, f"{root}/base", {"history": rows.repartitionByRange("bucket"), "folded": spark.createDataFrame([(batch_id,)], "batch_id long")})
+
+
 def read_schema_history(spark: SparkSession, out: str) -> DataFrame:
-    """Per database the history rows written by the newest micro-batch that touched it."""
-    h = spark.read.parquet(f"{out.rstrip('/')}/history")
-    newest = h.groupBy("db_id").agg(F.max("batch_id").alias("batch_id"))
-    return h.join(newest, ["db_id", "batch_id"], "left_semi").drop("batch_id")
+    """The history after all batches: one row per database and fingerprint."""
+    rows = _history_state(spark, out.rstrip("/"))
+    if rows is None:
+        raise LookupError(f"no history under {out!r}")
+    return rows.select(*_HISTORY)
 
 
 def stream_restore(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,

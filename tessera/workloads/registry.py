@@ -73,3 +73,4 @@ from tessera.workloads import q_revisions  # noqa: E402,F401
 from tessera.workloads import q_scripts  # noqa: E402,F401
 from tessera.workloads import q_streaming  # noqa: E402,F401
 from tessera.workloads import q_generate  # noqa: E402,F401
+from tessera.workloads import q_versions  # noqa: E402,F401
