@@ -81,3 +81,52 @@ def q_g3(spark, sf_dir):
     out = G.apply_refresh_plan({"orders": orders}, plan, key_cols={"orders": ["o_orderkey"]})
     return out["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_priority",
                                 "o_comment", "o_uid", "o_synced_at", "o_retries", "o_label", "o_weight")
+
+
+#: table: (driver table whose number of rows it takes, key columns, columns: name, type, null, unique, enum, reference)
+_SHOP = {
+    "customer": ("customer", ["c_custkey"], [("c_custkey", "bigint"), ("c_name", "varchar", False, True), ("c_segment", "enum", False, False, "Segment"), ("c_referrer", "bigint", True, False, None, "customer.c_custkey")]),
+    "supplier": ("supplier", ["s_suppkey"], [("s_suppkey", "integer"), ("s_email", "text", False, True)]),
+    "part": ("part", ["p_partkey"], [("p_partkey", "uuid"), ("p_name", "text"), ("p_size", "integer", True)]),
+    "orders": ("orders", ["o_orderkey"], [("o_orderkey", "bigint"), ("o_custkey", "bigint", False, False, None, "customer.c_custkey"), ("o_date", "date")]),
+    "order_note": ("orders", ["n_id"], [("n_id", "bigint"), ("n_orderkey", "bigint", False, True, None, "orders.o_orderkey"), ("n_text", "text", True)]),
+    "lineitem": ("lineitem", ["l_orderkey", "l_linenumber"], [
+        ("l_orderkey", "bigint", False, False, None, "orders.o_orderkey"), ("l_linenumber", "integer"),
+        ("l_partkey", "uuid", False, False, None, "part.p_partkey"), ("l_suppkey", "integer", True, False, None, "supplier.s_suppkey")]),
+}
+_REFERENCES = [(t, c[0], *c[5].split(".")) for t, (_, _, cols) in _SHOP.items() for c in cols if len(c) > 5]
+
+
+@query("g1_generate_schema", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) AS distinct_keys, 0 AS duplicates, 0 AS nulls, 0 AS lost_references FROM {like}"
+    for t, (like, _, _) in _SHOP.items()))
+def q_g1_schema(spark, sf_dir):
+    """A whole schema generated at the sizes of the driver tables, with the violations of its keys, required columns and references."""
+    from tessera.operators import integrity as I
+    from tessera.operators.generate_schema import generate_schema
+
+    _prep(spark, sf_dir)
+    rows = {t: spark.table(like).count() for t, (like, _, _) in _SHOP.items()}
+    schema = []
+    for t, (_, keys, cols) in _SHOP.items():
+        for i, c in enumerate(cols):
+            name, kind, null, unique, enum, ref = (*c, *(False, False, None, None)[len(c) - 2:])
+            target = ref.split(".") if ref else (None, None)
+            schema.append(("shop", t, i, name, kind, 25 if kind == "varchar" else None, null, None, name in keys, unique, False, enum, *target))
+    tables = generate_schema(spark, spark.createDataFrame(schema, SCHEMA_COLUMNS), rows, {"Segment": ["AUTO", "FURNITURE", "TRAVEL"]})
+    measures = ("row_count", "distinct_keys", "duplicates", "nulls", "lost_references")
+    found = None
+    for t, df in tables.items():
+        _, keys, cols = _SHOP[t]
+        unique = [c[0] for c in cols if len(c) > 3 and c[3]]
+        needed = [c[0] for c in cols if len(c) < 3 or not c[2]]
+        number = lambda name, n: {m: n if m == name else F.lit(0) for m in measures}
+        one = F.count(F.lit(1))
+        parts = [df.groupBy(*keys).agg(one.alias("n")).agg(*[c.alias(m) for m, c in {**number("", 0), "row_count": F.sum("n"), "distinct_keys": one}.items()])]
+        parts += [bad.agg(*[c.alias(m) for m, c in number(name, one).items()]) for name, bad in (
+            ("duplicates", I.key_violations(df, t, keys, unique)), ("nulls", I.null_violations(df, t, needed)),
+            *(("lost_references", I.fk_violations(df, t, c, tables[p], p, pc)) for table, c, p, pc in _REFERENCES if table == t))]
+        for part in parts:
+            part = part.select(F.lit(t).alias("table_name"), *measures)
+            found = part if found is None else found.unionByName(part)
+    return found.groupBy("table_name").agg(*[F.sum(m).alias(m) for m in measures])
