@@ -6,22 +6,24 @@ listing every missing (key, env, column). The header is never touched and the
 source table is never modified (a new DataFrame is returned). ``\\z`` anchors
 the end so a trailing newline does not match (trap Q5).
 
-Environment values enter as a ``map<string,string>`` literal: the value set
-of one environment is configuration, bounded by the number of keys, never by
-the data.
+Environment values are secrets as often as not, so they never stand in a plan: they enter as
+one row of a small local table, read by a scalar subquery. The process environment is asked only for
+keys that a marker can name and that occur in the table.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_path
+from tessera.session import cut_lineage, scratch_path
 
 MARKER_RE = r"^@env:([A-Z0-9_]+)\z"
+_KEY = re.compile("[A-Z0-9_]+")
 
 
 def is_marker(c: Column) -> Column:
@@ -33,21 +35,23 @@ def marker_key(c: Column) -> Column:
 
 
 def _values_map(values: Mapping[str, str]) -> Column:
+    """A map literal: for streams, whose plans take no subquery."""
     if not values:
         return F.create_map().cast("map<string,string>")
     return F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])
 
 
-def effective_values(values: Mapping[str, str], keys: Iterable[str] | None = None,
-                     use_process_env: bool = True) -> dict[str, str]:
-    """Environment values plus process fallbacks for ``keys``: an empty configured value counts as
+def values_column(spark: SparkSession, values: Mapping[str, str]) -> Column:
+    """The values as one map, read from a local table: no key or value stands in the plan."""
+    return spark.createDataFrame([(dict(values),)], "known map<string,string>").scalar()
+
+
+def effective_values(values: Mapping[str, str], use_process_env: bool = True) -> dict[str, str]:
+    """Environment values plus process fallbacks for keys that a marker can name: an empty configured value counts as
     set, an empty process variable as missing (trap Q17)."""
-    out = dict(values)
-    if use_process_env and keys is not None:
-        for k in keys:
-            if k not in out and os.environ.get(k, ""):
-                out[k] = os.environ[k]
-    return out
+    if not use_process_env:
+        return dict(values)
+    return {k: v for k, v in os.environ.items() if v and _KEY.fullmatch(k)} | dict(values)
 
 
 def marker_keys(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -72,19 +76,22 @@ def resolve_markers(df: DataFrame, values: Mapping[str, str], env: str = "", tab
     the error names, with its first ones; no key found in the data is collected.
     """
     cols = [c for c in (columns or df.columns) if dict(df.dtypes)[c] == "string"]
-    vals = effective_values(values, os.environ, use_process_env)
+    spark, known = df.sparkSession, effective_values(values, use_process_env)
     if check_missing or use_process_env:
-        if not has_any_marker(df, cols):
+        keys = cut_lineage(marker_keys(df, cols))  # the one pass over the cells before the replacement
+        if keys.isEmpty():
             return df
-    if check_missing:
-        missing = marker_keys(df, cols).where(~F.col("key").isin(list(vals)))  # configured keys: configuration-sized
-        first = missing.orderBy("key", "column_name").limit(20).collect()
-        if first:
-            path = scratch_path(df.sparkSession, "missing-markers")
-            missing.write.parquet(path)
-            listing = "; ".join(f"key {r.key} (env {env or '-'}, table {table or '-'}, column {r.column_name})" for r in first)
-            raise ValueError(f"missing environment values for markers: {listing}; all of them in {path}")
-    m = _values_map(vals)
+        names = spark.createDataFrame([(k,) for k in known], "name string")
+        if check_missing:
+            missing = keys.join(names, F.col("key") == F.col("name"), "left_anti")
+            first = missing.orderBy("key", "column_name").limit(20).collect()
+            if first:
+                path = scratch_path(spark, "missing-markers")
+                missing.write.parquet(path)
+                raise ValueError(missing_text([(r.key, r.column_name) for r in first], env, table, path))
+        used = keys.join(names, F.col("key") == F.col("name"), "left_semi").select("key").distinct().collect()  # known keys at most
+        known = {r.key: known[r.key] for r in used}
+    m = values_column(spark, known)
     out = []
     for c in df.columns:
         if c in cols:
@@ -95,6 +102,12 @@ def resolve_markers(df: DataFrame, values: Mapping[str, str], env: str = "", tab
     return df.select(*out)
 
 
+def missing_text(first: list[tuple[str, str]], env: str, table: str, path: str) -> str:
+    """The error for markers without a value: the first of them, and where all are listed."""
+    listing = "; ".join(f"key {key} (env {env or '-'}, table {table or '-'}, column {column})" for key, column in first)
+    return f"missing environment values for markers: {listing}; all of them in {path}"
+
+
 def marker_audit(df: DataFrame, key_cols: list[str], values: Mapping[str, str], table: str = "",
                  columns: Iterable[str] | None = None) -> DataFrame:
     """One row per replaced cell: table_name, row key, column_name, key, value.
@@ -103,7 +116,7 @@ def marker_audit(df: DataFrame, key_cols: list[str], values: Mapping[str, str],
     position, which has no meaning on a distributed store.
     """
     cols = [c for c in (columns or df.columns) if dict(df.dtypes)[c] == "string" and c not in key_cols]
-    m = _values_map(values)
+    m = values_column(df.sparkSession, values)
     stacked = F.explode(F.array(*[F.when(is_marker(F.col(c)), F.struct(F.lit(c).alias("column_name"),
                                                                          marker_key(F.col(c)).alias("key")))
                                   for c in cols])).alias("m")

@@ -1,15 +1,14 @@
-"""Restore a revision into one or more targets (S8): resolve -> guard -> markers -> coerce ->
-validate -> publish, all-or-nothing per target.
-
-Per target: the revision's schema fingerprint must equal the target's (when
-the target's is known); every table has its ``@env:`` markers resolved with
-the target's environment values; CSV revisions are typed with the catalog's
-column types, and a cell that its type can't hold fails the target; optional
-checks (key, null, FK violations) run as Spark jobs and any violation fails the
-target. Rejected cells and violations are written whole to a folder named in the error; finally every table is written to a new
-version folder and the target's pointer is flipped once (trap Q16 fixed: no
-target ever holds a half-restored table set). Targets run in order and the
-first failure stops the rest unless ``continue_on_error``.
+"""Restore a revision into one or more targets (S8): resolve -> guard -> write and check -> validate -> publish,
+all-or-nothing per target.
+
+Per target: the revision's schema fingerprint must equal the target's (when the target's is known). Then one pass a
+table resolves ``@env:`` markers with the target's environment values, types CSV cells with the catalog's
+column types, writes the good rows to a new version folder and counts the others: rows with a wrong number of cells,
+markers without a value, cells that their type can't hold. Any such row fails the target; only then a second pass lists
+all of them in a folder that the error names. Optional checks (key, null, FK violations) run on the tables just written, and any
+violation fails the target. The target's pointer is flipped last, once (trap Q16 fixed: no target ever
+holds a half-restored table set). Targets run in order and the first failure stops the rest unless
+``continue_on_error``.
 """
 
 from __future__ import annotations
@@ -17,13 +16,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.coerce import coerce_table
-from tessera.functions.markers import resolve_markers
+from tessera.functions.markers import effective_values, is_marker, marker_key, missing_text, values_column
 from tessera.sources import store
 
+
 def _fail_on_rows(bad: DataFrame, target: str, what: str) -> None:
     """Raise when ``bad`` has rows, after writing all of them beside the target."""
     if bad.isEmpty():
@@ -33,6 +33,51 @@ def _fail_on_rows(bad: DataFrame, target: str, what: str) -> None:
     raise ValueError(f"{what}: {bad.sparkSession.read.parquet(path).count()} listed in {path}")
 
 
+_PROBLEM = "struct<kind:string,column_name:string,raw:string>"
+
+
+def _checked(df: DataFrame, values: Mapping[str, str], types: Mapping[str, str] | None, dialect: str) -> DataFrame:
+    """The restored columns, and in ``_problems`` what is wrong with the row."""
+    def problem(kind: str, column: str | None, raw: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(column).cast("string").alias("column_name"), raw.alias("raw")).cast(_PROBLEM)
+
+    columns = df.dtypes
+    df = df.withColumn("_known", values_column(df.sparkSession, effective_values(values)))  # a subquery can't stand inside a lambda
+    known, cols, found = F.col("_known"), [], []
+    for name, kind in columns:
+        c = F.col(f"`{name}`")
+        if name == store.CORRUPT:
+            found.append(F.when(c.isNotNull(), problem("ragged", None, c)))
+            continue
+        if kind == "string":
+            value = F.element_at(known, marker_key(c))
+            found.append(F.when(is_marker(c) & value.isNull(), problem("marker", name, c)))
+            c = F.when(is_marker(c), value).otherwise(c)
+        cols.append(c.alias(name))
+    problems = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast(f"array<{_PROBLEM}>")
+    out = df.select(*cols, problems.alias(store.PROBLEMS))
+    if types is None:
+        return out
+    typed = coerce_table(out, types, dialect)
+    rejects = F.transform("_rejects", lambda r: problem("cell", None, r["raw"]).withField("column_name", r["column_name"]))
+    return typed.withColumn(store.PROBLEMS, F.concat(store.PROBLEMS, rejects)).drop("_rejects")
+
+
+def _problem_text(table: str, checked: DataFrame, target: str) -> str:
+    """The error for a table with bad rows, after writing all problems beside the target."""
+    path = f"{target.rstrip('/')}-problems/{uuid.uuid4().hex[:12]}"
+    listed = checked.select(F.explode(store.PROBLEMS).alias("p")).select(F.lit(table).alias("table_name"), "p.*")
+    listed.write.partitionBy("kind").parquet(path)
+    written = checked.sparkSession.read.parquet(path)
+    kinds = {r.kind: r["count"] for r in written.groupBy("kind").count().collect()}
+    if "ragged" in kinds:
+        return f"table {table}: rows with a wrong number of cells: {kinds['ragged']} listed in {path}"
+    if "marker" in kinds:
+        first = written.where("kind = 'marker'").select(marker_key(F.col("raw")).alias("key"), "column_name").distinct().orderBy("key", "column_name").limit(20)
+        return missing_text([tuple(r) for r in first.collect()], target, table, path)
+    return f"table {table}: cells that their type can't hold: {kinds['cell']} listed in {path}"
+
+
 Check = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
@@ -56,28 +101,18 @@ def restore_snapshot(spark: SparkSession, root: str, scenario: str, targets: lis
             stored = manifest.get("schemaFingerprint") or ""
             if live and live != stored:
                 raise ValueError(f"schema mismatch: revision {stored or 'without fingerprint'} vs target {live}")
-            vals = (env_values or {}).get(target, {})
-            prepared = {}
-            for name, df in source_tables.items():
-                if store.CORRUPT in df.columns:
-                    # a ragged CSV row is an error, as for the source's loader (not silently dropped);
-                    # the first data column stays referenced, Spark refuses corrupt-column-only scans
-                    first = [c for c in df.columns if c != store.CORRUPT][0]
-                    flag = F.concat(F.col(store.CORRUPT), F.substring(F.col(first), 1, 0))
-                    if df.where(flag.isNotNull()).limit(1).count():
-                        raise ValueError(f"table {name}: rows with a wrong number of cells")
-                    df = df.drop(store.CORRUPT)
-                t = resolve_markers(df, vals, env=target, table=name)
-                if manifest.get("format") == "csv" and types and name in types:
-                    typed = coerce_table(t, types[name], dialect)
-                    rejects = (typed.where(F.size("_rejects") > 0).select(F.explode("_rejects").alias("r"))
-                               .select(F.lit(name).alias("table_name"), "r.column_name", "r.raw"))
-                    _fail_on_rows(rejects, target, f"table {name}: cells that their type can't hold")
-                    t = typed.drop("_rejects")
-                prepared[name] = t
-            for check in checks or []:
-                _fail_on_rows(check(prepared), target, "validation failed")
-            _, counts = store.publish_tables(spark, target, prepared)
+            typed = manifest.get("format") == "csv"
+            prepared = {name: _checked(df, (env_values or {}).get(target, {}), (types or {}).get(name) if typed else None, dialect)
+                        for name, df in source_tables.items()}
+
+            def verify(tables: Mapping[str, DataFrame], place: str = target) -> None:
+                for check in checks or []:
+                    _fail_on_rows(check(tables), place, "validation failed")
+
+            try:
+                _, counts = store.publish_tables(spark, target, prepared, verify)
+            except store.BadRows as bad:
+                raise ValueError(_problem_text(bad.table, prepared[bad.table], target)) from bad
             results.append((target, "ok", rev, len(counts), sum(counts.values()), ""))
         except Exception as e:  # noqa: BLE001 - reported per target
             results.append((target, "failed", rev, 0, 0, str(e)))

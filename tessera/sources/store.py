@@ -25,7 +25,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -213,8 +213,26 @@ def write_snapshot(spark: SparkSession, root: str, scenario: str, tables: Mappin
         spark.createDataFrame([], "table_name string, row_count long")
 
 
+#: Column of a table to be written that lists what is wrong with a row.
+PROBLEMS = "_problems"
+
+
+class BadRows(Exception):
+    """A table had rows with problems; the good ones were written."""
+
+    def __init__(self, table: str, rows: int):
+        super().__init__(f"table {table}: {rows} rows with problems")
+        self.table, self.rows = table, rows
+
+
 def _write_one(name: str, df: DataFrame, target: str, fmt: str) -> int:
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:6]}")
+    if PROBLEMS in df.columns:  # the same pass counts the bad rows and writes the good ones
+        df = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.size(PROBLEMS) > 0).alias("bad"))
+        df.where(F.size(PROBLEMS) == 0).drop(PROBLEMS).write.mode("error").parquet(target)
+        if obs.get["bad"]:
+            raise BadRows(name, int(obs.get["bad"]))
+        return int(obs.get["rows"])
     df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     if fmt == "csv":
         # Spark's CSV writer trims cell whitespace unless told not to; snapshot text is kept verbatim
@@ -434,14 +452,18 @@ def read_revision_catalog(spark: SparkSession, root: str) -> tuple[DataFrame, Da
 
 # ----------------------------------------------------------------------- S8 publish
 
-def publish_tables(spark: SparkSession, target: str, tables: Mapping[str, DataFrame]) -> tuple[str, dict[str, int]]:
+def publish_tables(spark: SparkSession, target: str, tables: Mapping[str, DataFrame],
+                   verify: Callable[[Mapping[str, DataFrame]], None] | None = None) -> tuple[str, dict[str, int]]:
     """Replace every table of ``target`` at once: write all into a fresh version folder, then flip
-    ``<target>/_current``. Readers resolve the pointer, so they see the old set or the new set."""
+    ``<target>/_current``. Readers resolve the pointer, so they see the old set or the new set. ``verify``
+    gets the written tables before the flip and raises to stop it; rows with problems (:data:`PROBLEMS`) raise :class:`BadRows`."""
     fs = FS(spark)
     version = f"v-{_dt.datetime.now(_dt.timezone.utc).strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
     vdir = f"{target.rstrip('/')}/{version}"
     try:
         counts = _write_tables(tables, vdir, "parquet")
+        if verify:
+            verify({t: spark.read.parquet(f"{vdir}/{t}") for t in tables})
         fs.write_text(f"{vdir}/_tables.json", json.dumps({"tables": sorted(tables), "rowCounts": counts}))
         fs.write_text(f"{target.rstrip('/')}/_current", version)
     except Exception:

@@ -425,7 +425,7 @@ def test_restore_fails_on_cells_that_do_not_fit_and_lists_them(spark):
     rows = restore_snapshot(spark, root, "a/b", targets, types=types, continue_on_error=True, target_fingerprints={targets[1]: "f2"}).collect()
     assert [r.status for r in rows] == ["failed"] * 3 and "schema mismatch" in rows[1].error
     path = rows[0].error.split(" listed in ")[1]
-    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("t", "id", "notanint")]
+    assert [(r.table_name, r.kind, r.column_name, r.raw) for r in spark.read.parquet(path).collect()] == [("t", "cell", "id", "notanint")]
     ok = restore_snapshot(spark, root, "a/b", targets, types={"t": {"id": "text", "name": "text"}}).collect()
     assert [r.status for r in ok] == ["ok"] * 3
 
@@ -464,3 +464,31 @@ def test_marker_resolution_matches_model(spark):
         return values[m.group(1)] if m else v
     got = {r.id: (r.c1, r.c2) for r in resolve_markers(df, values, use_process_env=False).collect()}
     assert got == {i: (model(a), model(b)) for i, a, b in rows}
+
+
+def test_restore_lists_every_kind_of_bad_row_and_hides_values(spark, monkeypatch, capsys):
+    from tessera.functions.markers import resolve_markers
+    from tessera.plans import seed
+    from tessera.session import scratch_path
+    from tessera.sources import store
+
+    monkeypatch.setenv("TESSERA_UNRELATED", "value-of-no-concern")
+    monkeypatch.setenv("TESSERA_ASKED", "value-from-process")
+    root, target = scratch_path(spark, "store"), scratch_path(spark, "target")
+    df = spark.createDataFrame([("1", "@env:KNOWN"), ("2", "@env:LOST"), ("x", "@env:TESSERA_ASKED")], "id string, name string")
+    store.write_snapshot(spark, root, "a/b", {"t": df, "u": df.limit(1)}, fmt="csv")
+    values = {target: {"KNOWN": "secret-value"}}
+    failed = seed.restore_snapshot(spark, root, "a/b", [target], env_values=values, types={"t": {"id": "integer", "name": "text"}}).first()
+    assert failed.status == "failed" and "key LOST" in failed.error and "column name" in failed.error
+    listed = spark.read.parquet(failed.error.split("all of them in ")[1]).collect()
+    assert sorted((r.kind, r.column_name, r.raw) for r in listed) == [("cell", "id", "x"), ("marker", "name", "@env:LOST")]
+    assert not store.FS(spark).exists(f"{target}/_current")
+    values[target]["LOST"] = "found"
+    assert seed.restore_snapshot(spark, root, "a/b", [target], env_values=values, types={"t": {"id": "text", "name": "text"}}).first().rows == 4
+    got = {r.id: r.name for r in store.read_published(spark, target, "t").collect()}
+    assert got == {"1": "secret-value", "2": "found", "x": "value-from-process"}
+    for plan in (seed._checked(df, values[target], {"id": "text"}, "postgres"), resolve_markers(df, values[target])):
+        plan.explain(True)
+        shown = capsys.readouterr().out
+        assert "value" in shown or shown
+        assert not any(v in shown for v in ("secret-value", "value-of-no-concern", "value-from-process", "found,"))
