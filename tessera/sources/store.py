@@ -3,14 +3,16 @@
 Layout under a store root (any Hadoop-compatible URI: HDFS, S3A, ABFS, file):
 
     <root>/<scenario>/revisions/rNNN/tables/<table>/part-*      table data (parquet or csv)
-    <root>/<scenario>/revisions/rNNN/manifest.json              written last: the commit marker
-    <root>/<scenario>/latest                                    pointer to the newest revision, flipped last
+    <root>/<scenario>/revisions/rNNN/manifest.json              written last: the revision is whole
+    <root>/<scenario>/commits/NNNNNNNNNNNN                      one empty file for each committed revision; the newest is the pointer
+    <root>/<scenario>/latest                                    the pointer as text, for readers that know no commits
 
 A revision is immutable. Its tables are written by Spark jobs into a staging
 folder; only when every table is written is the staging folder moved into
-place, then the manifest is written, then the pointer flipped. A reader that
+place, then the manifest is written, then the commit file is created. A reader that
 goes through the manifest or the pointer therefore sees a revision whole or
-not at all, and a failed or killed export leaves nothing visible. Row counts
+not at all, and a failed or killed export leaves nothing visible. Commit files are only ever added,
+so no writer, however late, can move the pointer back. Row counts
 come from ``DataFrame.observe`` during the write, so the data is read once.
 
 Metadata operations (list, rename, small manifest files) go through the
@@ -90,6 +92,12 @@ class FS:
             return []
         return [s.getPath().getName() for s in self._fs(path).listStatus(self._p(path)) if s.isDirectory()]
 
+    def list_names(self, path: str) -> list[tuple[str, bool]]:
+        """(name, whether a folder) of what is in a folder, none if it doesn't exist."""
+        if not self.exists(path):
+            return []
+        return [(s.getPath().getName(), bool(s.isDirectory())) for s in self._fs(path).listStatus(self._p(path))]
+
     def list_files(self, path: str) -> list[str]:
         """Data files under a folder (or the file itself), hidden and marker files left out, sorted."""
         fs, p = self._fs(path), self._p(path)
@@ -200,10 +208,10 @@ def write_snapshot(spark: SparkSession, root: str, scenario: str, tables: Mappin
             "rowCounts": counts, "description": description,
         }
         fs.write_text(f"{rdir}/manifest.json", json.dumps(manifest, sort_keys=False))
-        # the pointer only moves forward: a slower writer of an older revision leaves it
-        newest = parse_revision_id((fs.read_text(f"{scenario_dir(root, scenario)}/latest") or "").strip())
-        if newest is None or newest < n:
-            fs.write_text(f"{scenario_dir(root, scenario)}/latest", rev)
+        commits = f"{scenario_dir(root, scenario)}/commits"
+        fs.mkdirs(commits)
+        fs.claim(f"{commits}/{n:012d}")
+        fs.write_text(f"{scenario_dir(root, scenario)}/latest", latest_revision(spark, root, scenario) or rev)
     except Exception:
         fs.delete(staging)
         fs.delete(rdir)
@@ -268,7 +276,12 @@ def update_manifest(spark: SparkSession, root: str, scenario: str, rev: str, **f
 
 
 def latest_revision(spark: SparkSession, root: str, scenario: str) -> str | None:
-    text = FS(spark).read_text(f"{scenario_dir(root, scenario)}/latest")
+    """The newest committed revision; of a store without commit files, what its ``latest`` file says."""
+    fs = FS(spark)
+    numbers = [int(name) for name, _ in fs.list_names(f"{scenario_dir(root, scenario)}/commits") if name.isdigit()]
+    if numbers:
+        return revision_id(max(numbers))
+    text = fs.read_text(f"{scenario_dir(root, scenario)}/latest")
     return text.strip() if text else None
 
 
@@ -410,46 +423,59 @@ def _input_bytes(df: DataFrame) -> int | None:
 def read_revision_catalog(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Every revision manifest under ``root`` as a ``revisions`` DataFrame, plus the bad ones.
 
-    Manifests are read in one distributed JSON scan (multi-line, permissive);
-    scenario and revision come from the file path. Unreadable manifests are
-    returned in the second frame with their path and error text, never
-    aborting the walk.
+    Folders are walked level by level, several at a time, down to the revisions; a revision's own folder is listed, its tables never
+    are, so the work grows with the revisions and not with their data files. Manifests are read in one distributed
+    JSON scan (multi-line, permissive). Unreadable manifests are returned in the second frame with
+    their path and error text, never aborting the walk.
     """
+    root = root.rstrip("/")
+    found = _revision_folders(FS(spark), root)
+    listed = spark.createDataFrame([(f"{scenario}/revisions/{rev}", scenario, rev, has_sql) for scenario, rev, has_sql in found],
+                                   "place string, path_scenario string, revision string, has_sql boolean")
     schema = ("scenario string, revision string, schemaFingerprint string, createdAt string, source string, "
               "format string, tables array<string>, services array<string>, rowCounts map<string,bigint>, "
               "description string, remoteId string, remoteUpdatedAt string, _corrupt_record string")
+    paths = [f"{root}/{scenario}/revisions/{rev}/manifest.json" for scenario, rev, _ in found]
     df = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "manifest.json").json(root)
-          .withColumn("_path", F.col("_metadata.file_path")))
-    path_rev = F.regexp_extract("_path", r"/revisions/(r[0-9]+)/manifest\.json$", 1)
-    path_scn = F.regexp_extract("_path", r"^(.*)/revisions/r[0-9]+/manifest\.json$", 1)
-    root_prefix = root.rstrip("/")
-    scn = F.regexp_replace(path_scn, r"^.*?" + re.escape(root_prefix.split("://")[-1]) + "/", "")
-    good = (df.where(F.col(CORRUPT).isNull() & (path_rev != ""))
-            .select(F.regexp_extract("_path", r"^(.*)/manifest\.json$", 1).alias("_dir"),
-                    F.coalesce("scenario", scn).alias("scenario"), path_rev.alias("revision"),
-                    F.regexp_extract(path_rev, "r([0-9]+)", 1).cast("long").alias("n"),
-                    F.col("schemaFingerprint").alias("schema_fingerprint"),
-                    F.try_to_timestamp("createdAt").alias("created_at"), "source", "tables",
-                    F.col("rowCounts").alias("row_counts"), "description",
-                    F.col("remoteId").alias("remote_id"), F.col("remoteUpdatedAt").alias("remote_updated_at")))
+          .option("columnNameOfCorruptRecord", CORRUPT).json(paths) if paths else spark.createDataFrame([], schema))
+    # the folder below the root, as the walk names it
+    path = F.col("_metadata.file_path") if paths else F.lit("")
+    df = df.withColumn("_path", F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).drop("revision")
+    df = df.withColumn("place", F.regexp_extract("_path", re.escape(root.split("://")[-1]) + "/(.*)/manifest\\.json$", 1)).join(listed, "place")
+    good = df.where(F.col(CORRUPT).isNull()).select(
+        F.coalesce("scenario", "path_scenario").alias("scenario"), "revision",
+        F.regexp_extract("revision", "r([0-9]+)", 1).cast("long").alias("n"),
+        F.col("schemaFingerprint").alias("schema_fingerprint"),
+        F.try_to_timestamp("createdAt").alias("created_at"), "source", "tables",
+        F.col("rowCounts").alias("row_counts"), "description",
+        F.col("remoteId").alias("remote_id"), F.col("remoteUpdatedAt").alias("remote_updated_at"), "has_sql")
     # a data field stays referenced next to the corrupt-record column (Spark refuses scans of that
     # column alone)
     corrupt = F.concat(F.col(CORRUPT), F.substring(F.coalesce(F.col("scenario"), F.lit("")), 1, 0))
-    bad = (df.where(corrupt.isNotNull() | (path_rev == ""))
-           .select(F.col("_path").alias("path"), F.lit("unreadable manifest").alias("error")))
-    # revisions that carry the SQL script defining them: file presence only (the binaryFile listing
-    # prunes the content column, so no script is read); joined on the revision folder
-    sql_dirs = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                .option("pathGlobFilter", DATASET_SQL).load(root)
-                .select(F.regexp_extract("path", r"^(.*)/" + re.escape(DATASET_SQL) + "$", 1).alias("_dir"))
-                .where(F.col("_dir") != "").distinct().withColumn("has_sql", F.lit(True)))
-    good = (good.join(sql_dirs, "_dir", "left").withColumn("has_sql", F.coalesce("has_sql", F.lit(False)))
-            .drop("_dir"))
+    bad = df.where(corrupt.isNotNull()).select(F.col("_path").alias("path"), F.lit("unreadable manifest").alias("error"))
     return good, bad
 
 
+def _revision_folders(fs: FS, root: str) -> list[tuple[str, str, bool]]:
+    """(scenario, revision, whether it has a SQL script) of every revision with a manifest."""
+    out: list[tuple[str, str, bool]] = []
+    level = [""]
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        while level:
+            below = []
+            names = list(pool.map(lambda p: fs.list_names(f"{root}/{p}".rstrip("/")), level))
+            for place, found in zip(level, names, strict=True):
+                folders = [n for n, is_dir in found if is_dir and n[:1] not in ("_", ".")]
+                if place.endswith("/revisions"):
+                    revs = [r for r in folders if parse_revision_id(r)]
+                    inside = pool.map(lambda r, place=place: {n for n, _ in fs.list_names(f"{root}/{place}/{r}")}, revs)
+                    out += [(place.removesuffix("/revisions"), r, DATASET_SQL in files) for r, files in zip(revs, inside, strict=True) if "manifest.json" in files]
+                else:
+                    below += [f"{place}/{n}".lstrip("/") for n in folders if n != "commits"]
+            level = below
+    return sorted(out)
+
+
 # ----------------------------------------------------------------------- S8 publish
 
 def publish_tables(spark: SparkSession, target: str, tables: Mapping[str, DataFrame],

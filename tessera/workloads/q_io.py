@@ -3,6 +3,8 @@ folder under the shared checkpoint folder and reads it back."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 
@@ -167,26 +169,27 @@ def q_s3(spark, sf_dir):
 
 
 @query("s4_read_revision_catalog", """
-SELECT 'priority/' || replace(o_orderpriority, ' ', '_') AS scenario, 'r001' AS revision, 1 AS n, count(*) AS orders_rows
-FROM orders GROUP BY o_orderpriority
-UNION ALL
-SELECT 'priority/' || replace(o_orderpriority, ' ', '_'), 'r002', 2, count(*) FROM orders
-WHERE o_orderstatus = 'F' GROUP BY o_orderpriority""")
+SELECT 'months/' || strftime(o_orderdate, '%Y') || '/' || strftime(o_orderdate, '%m') AS scenario, 'r' || lpad(CAST(k AS VARCHAR), 3, '0') AS revision, k AS n,
+       count(*) AS orders_rows, k = 2 AS has_sql
+FROM (SELECT o_orderdate, o_orderkey % 3 + 1 AS k FROM orders) o GROUP BY ALL""")
 def q_s4(spark, sf_dir):
-    """One scenario per order priority with two revisions (all orders, then the finished ones);
-    a broken manifest is added and reported separately, not fatal."""
+    """A catalog with one scenario per order month and up to three revisions, whose manifests state the month's
+    orders; a broken manifest, data files and other folders lie beside them."""
     _prep(spark, sf_dir)
     root = scratch_path(spark, "store")
-    orders = spark.table("orders")
-    prios = [r[0] for r in orders.select("o_orderpriority").distinct().collect()]  # a handful of scenarios
-    for p in sorted(prios):
-        part = orders.where(F.col("o_orderpriority") == p)
-        scenario = f"priority/{p.replace(' ', '_')}"
-        store.write_snapshot(spark, root, scenario, {"orders": part})
-        store.write_snapshot(spark, root, scenario, {"orders": part.where(F.col("o_orderstatus") == "F")})
-    store.FS(spark).write_text(f"{root}/broken/revisions/r001/manifest.json", "{not json")
+    fs = store.FS(spark)
+    month = F.concat(F.lit("months/"), F.date_format("o_orderdate", "yyyy/MM")).alias("scenario")
+    rows = spark.table("orders").groupBy(month, (F.col("o_orderkey") % 3 + 1).alias("n")).count().collect()  # a manifest each
+    for r in rows:
+        at = store.revision_dir(root, r.scenario, store.revision_id(r.n))
+        fs.write_text(f"{at}/manifest.json", json.dumps({"scenario": r.scenario, "tables": ["orders"], "rowCounts": {"orders": r["count"]}}))
+        if r.n == 2:
+            fs.write_text(f"{at}/{store.DATASET_SQL}", "SELECT 1;")
+    fs.write_text(f"{root}/broken/revisions/r001/manifest.json", "{not json")
+    fs.write_text(f"{root}/broken/revisions/r001/tables/orders/manifest.json", "{}")
+    fs.write_text(f"{root}/broken/revisions/draft/manifest.json", "{}")
     good, _bad = store.read_revision_catalog(spark, root)
-    return good.select("scenario", "revision", "n", F.col("row_counts")["orders"].alias("orders_rows"))
+    return good.select("scenario", "revision", "n", F.col("row_counts")["orders"].alias("orders_rows"), "has_sql")
 
 
 @query("s5_read_usage_events", derived.cte("usage_events") + """

@@ -368,3 +368,38 @@ def test_schema_documents_keep_allowed_values_and_report_bad_ones(spark, tmp_pat
     assert [(r.column_name, r.allowed_values) for r in cols.collect()] == [("s", ["a", "b"])]
     got = bad.collect()
     assert len(got) == 1 and got[0].path.endswith("broken.json") and got[0].document == "{not json"
+
+
+def test_a_slow_writer_never_moves_the_pointer_back(spark, monkeypatch):
+    """The first writer of a scenario finishes after a second one, which has written two newer revisions."""
+    root = scratch_path(spark, "store")
+    df = spark.range(3)
+    real, inside = store._write_tables, []
+
+    def slow(tables, base, fmt, parallel=4):
+        if not inside:
+            inside.append(1)
+            for _ in range(2):
+                store.write_snapshot(spark, root, "s", {"t": df})
+            assert store.latest_revision(spark, root, "s") == "r003"
+        return real(tables, base, fmt, parallel)
+
+    monkeypatch.setattr(store, "_write_tables", slow)
+    store.write_snapshot(spark, root, "s", {"t": df})
+    assert store.latest_revision(spark, root, "s") == "r003"
+    assert (store.FS(spark).read_text(f"{store.scenario_dir(root, 's')}/latest") or "").strip() == "r003"
+    assert [r.revision for r in store.read_revision_catalog(spark, root)[0].orderBy("n").collect()] == ["r001", "r002", "r003"]
+
+
+def test_the_catalog_walk_never_lists_tables(spark, monkeypatch):
+    root = scratch_path(spark, "store")
+    for scenario in ("a", "a/b+c", "a/b+c/d"):
+        store.write_snapshot(spark, root, scenario.replace("+", "."), {"t": spark.range(3)})
+    seen = []
+    real = store.FS.list_names
+    monkeypatch.setattr(store.FS, "list_names", lambda self, path: seen.append(path) or real(self, path))
+    good, bad = store.read_revision_catalog(spark, root)
+    assert sorted((r.scenario, r.revision, r.has_sql) for r in good.collect()) == [("a", "r001", False), ("a/b.c", "r001", False), ("a/b.c/d", "r001", False)]
+    assert bad.count() == 0 and seen and not any("/tables" in p for p in seen)
+    empty, none = store.read_revision_catalog(spark, scratch_path(spark, "nothing"))
+    assert empty.count() == 0 and none.count() == 0
