@@ -1,6 +1,8 @@
 """Secret scan, personal data, page text and language identification."""
 
 import collections
+import time
+import math
 import random
 import re
 
@@ -120,6 +122,56 @@ def test_extract_returns_every_page(spark):
     assert html_content.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+BODY = "<p>" + "The council met on Monday, and the mayor spoke at length about the bridge. " * 4 + "</p>"
+BODY_TEXT = ("The council met on Monday, and the mayor spoke at length about the bridge. " * 4).strip()
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="overflow-hidden">%s</div>', '<div style="overflow:hidden">%s</div>', '<div class="page has-sidebar">%s</div>', '<div class="col side-by-side">%s</div>',
+    '<div id="search-results">%s</div>', '<div class="widget article-body">%s</div>', '<article class="post-notice-of-change">%s</article>',
+    '<svg viewBox="0 0 1 1"/>%s', "<svg><text>no text</text></svg>%s", '<div data-x="a > b" title=\'<b>\'>%s</div>', '<div hidden="until-found">%s</div>',
+    "<section><header><nav>no</nav></header>%s</section>", "<div><div hidden>hidden words</div>%s</div>", '<!-- no -- > no --><![CDATA[no]]>%s',
+    '<div><form>search for</form>%s<div style="display: none">no</div></div>'])
+def test_articles_stay_whatever_their_wrapper_is_called(wrapper):
+    page = f"<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav>{wrapper % BODY}<footer>Imprint</footer></body></html>"
+    assert html_content.main_text(page) == BODY_TEXT
+
+
+def test_captions_and_all_articles_stay_and_comments_go():
+    page = f"<body><article>{BODY}<figure><figcaption>A caption.</figcaption></figure></article><article>{BODY}</article><div class='comments'><p>Nice one!</p></div></body>"
+    assert html_content.main_text(page) == f"{BODY_TEXT} A caption. {BODY_TEXT}"
+
+
+def test_hostile_pages_take_linear_time():
+    start = time.time()
+    for part, n in (("<b ", 1_700_000), ("<div>", 1_000_000), ("<a href='", 600_000), ('<x "', 1_000_000), ("<!--", 1_200_000), ("<svg>", 1_000_000), ("<![CDATA[", 500_000),
+                    ("<script", 700_000), ("</div>", 800_000), ("<table><tr><td>", 300_000), ('<p ="', 900_000), ("<", 5_000_000)):
+        html_content.main_text(part * n)
+    html_content.main_text("<div class='" + "a " * 2_500_000 + "'>x")
+    assert time.time() - start < 60
+
+
+def plain_ratios(found):
+    """The fused ratios, block by block as they are defined."""
+    paths = ["/".join(tag for tag, _ in path) for path, *_ in found]
+    marks = [sum(c in ".,;:!?…。，、；：！？" for c in t) for _, t, *_ in found]
+    def mean(values, i):
+        same = [v for v, p in zip(values, paths) if p == paths[i]]
+        return sum(same) / len(same)
+    ratio = [mean([max(0, len(t) - k) for _, t, k, *_ in found], i) for i in range(len(found))]
+    points = [mean(marks, i) + 1 / paths.count(paths[i]) for i in range(len(found))]
+    def smooth(x, i):
+        near = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 2), min(len(x), i + 3))}
+        return sum(x[j] * w for j, w in near.items()) / sum(near.values())
+    return [smooth(ratio, i) * math.log1p(smooth(points, i)) * min(1, max(0, len(t) - k) / max(1, len(t)) + 0.01) for i, (_, t, k, *_) in enumerate(found)]
+
+
+def test_path_ratios_equal_their_definition():
+    found = html_content.blocks(PAGE + BODY * 3 + "<ul><li><a href=x>one</a><li>two, three</ul>")
+    assert len(found) > 5
+    assert html_content.path_ratios(found).tolist() == pytest.approx(plain_ratios(found))
+
+
 LANGS = {"aa": ["tion", "the", "ing", "and"], "ab": ["tion", "the", "ung", "und"], "ba": ["eau", "que", "les", "ment"], "bb": ["cion", "que", "los", "mente"]}
 
 
