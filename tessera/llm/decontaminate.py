@@ -122,25 +122,41 @@ def _match(text: np.ndarray, at: np.ndarray, other: np.ndarray, start: np.ndarra
     return n
 
 
-def search_shard(words: Words, block: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window hits (first word, words, item) and each item's longest match in the shard."""
+def _verbatim(at: np.ndarray, start: np.ndarray, item: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each hit the words of the verbatim match that it is part of: hits one word further on, in the text and in the item, go on with it."""
+    order = np.lexsort((at, at - start, item))
+    a, d, i = at[order], (at - start)[order], item[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)
+    run = np.cumsum(new) - 1
+    out = np.empty(len(a), np.int64)
+    out[order] = (np.bincount(run) - 1 + need[order][new])[run] if len(a) else 0
+    return out
+
+
+def search_shard(words: Words, block: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window hits (first word, words, item), each item's longest match in the shard, and the words of each hit's whole match."""
     none = np.empty(0, np.int64)
     longest = np.zeros(len(block.ids), np.int64)
     text, sa = shard_array(words, block)
     if not len(sa) or not len(block.at):
-        return none, none, none, longest
+        return none, none, none, longest, none
     q = np.arange(len(block.at))
     place = _search(text, sa, block, q, np.full(len(q), DEPTH), False)
     for near in (place - 1, place):
         ok = (near >= 0) & (near < len(sa))
         np.maximum.at(longest, block.item[q[ok]], _match(text, sa[near[ok]], block.text, block.at[q[ok]]))
-    q = np.flatnonzero((block.need > 0) & (block.need <= DEPTH))
+    # neighbours have the longest match of fewer than DEPTH words; longer ones are runs of hits
+    q = np.flatnonzero(block.need > 0)
     lo, hi = (_search(text, sa, block, q, block.need[q], right) for right in (False, True))
     n = hi - lo
     which = np.repeat(np.arange(len(q)), n)
     at = sa[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     first = at - np.searchsorted(words.first + np.arange(len(words.first)), at, side="right") + 1
-    return first, block.need[q][which], block.item[q][which], longest
+    need, item = block.need[q][which], block.item[q][which]
+    whole = _verbatim(at, block.at[q][which], item, need)
+    np.maximum.at(longest, item, whole)
+    return first, need, item, longest, whole
 
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()),
@@ -151,7 +167,7 @@ _HITS_SQL = "doc_id long, n_words long, n_hit long, longest long, hits array<str
 def _hits(part, block: Suffixes) -> pa.RecordBatch:
     off, raw = text_buffers(column(part, "text"))
     w = split_words(off, raw, NOT_ALNUM, lower=True)
-    first, n, item, _ = search_shard(w, block)
+    first, n, item, _, whole = search_shard(w, block)
     cover = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(cover, first, 1)
     np.add.at(cover, first + n, -1)
@@ -171,7 +187,7 @@ def _hits(part, block: Suffixes) -> pa.RecordBatch:
                 hits[d].append({"first": a - int(w.first[d]), "last": stop - 1 - int(w.first[d])})
             a, d = stop, d + 1
     longest = np.zeros(part.num_rows, np.int64)
-    np.maximum.at(longest, doc, n)
+    np.maximum.at(longest, doc, whole)
     return pa.RecordBatch.from_arrays(
         [column(part, "doc_id").cast(pa.int64()), pa.array(w.counts), pa.array(total[w.first[1:]] - total[w.first[:-1]]),
          pa.array(longest), pa.array(hits, _HITS.field("hits").type), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], schema=_HITS)
@@ -189,7 +205,8 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[Dat
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, the hit word ranges, the items with an occurring window."""
+    """Per document: n_words, n_hit, the hit word ranges, the items with an occurring window, and ``longest``, the words of its longest verbatim
+    match with an item (0 where none is as long as a window)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = benchmark_blocks(benchmark, limit)
     if len(blocks) > 1:
@@ -205,6 +222,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
 
 
 def _load(items: DataFrame, window: int):
+    if not 1 <= window <= DEPTH:
+        raise ValueError(f"a window has 1 to {DEPTH} words")
+    return _broadcast(items, window)
+
+
+def _broadcast(items: DataFrame, window: int):
     """One block of the benchmark, at most about two times BLOCK_BYTES, broadcast to the tasks."""
     got = items.toArrow()
     block = item_suffixes(got.column("item_id").to_pylist(), got.column("text").to_pylist(), window)

@@ -1,8 +1,11 @@
 """Rule ledger and benchmark decontamination against brute force."""
 
 import collections
+import random
 import re
 
+import pytest
+
 from tessera.llm import decontaminate, quality
 from tests.llm.fixtures import corpus, documents, empty, lower_az
 
@@ -102,3 +105,35 @@ def test_longest_matches_and_locations(spark):
     docs = spark.createDataFrame([(1, "so Alpha, beta gamma. then alpha beta"), (2, "gamma delta alpha"), (3, "x alpha beta gamma delta y")], "doc_id long, text string")
     assert {r.item_id: r.longest for r in decontaminate.longest_matches(docs, bench).collect()} == {"1": 4, "2": 0}
     assert [tuple(r) for r in decontaminate.locations(docs, bench).collect()] == [(3, 1, 4, ["1"])]
+
+
+def test_longest_verbatim_matches_of_long_passages_and_ties(spark):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randint(0, 60)}" for _ in range(400)]
+    passage = words[:60]
+    bench = [("whole", " ".join(passage)), ("tail", " ".join([*passage[:20], *words[100:140]])), ("short", "one two three"), ("same", "la " * 40)]
+    texts = [" ".join(passage), " ".join([*words[200:230], *passage, *words[230:260]]), " ".join([*passage[:25], "x", *passage[25:]]), " ".join(passage[:9]),
+             " ".join([*passage[:20], *words[100:133], "end"]), "la " * 25, "one two three four", "nothing", None, ""]
+    texts += [" ".join([*passage[:16], f"t{i}", *words[300:320]]) for i in range(30)]
+
+    def common(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))]
+            best = max(best, *row)
+        return best
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items_ = spark.createDataFrame(bench, "item_id string, text string")
+    got = {r.doc_id: r.longest for r in decontaminate.scan(docs, items_).collect()}
+    for i, t in enumerate(texts):
+        per_item = [(common((t or "").split(), b.split()), min(10, len(b.split()))) for _, b in bench]
+        assert got[i] == max((n for n, need in per_item if n >= need), default=0), i
+    longest = {r.item_id: r.longest for r in decontaminate.longest_matches(docs, items_).collect()}
+    assert longest == {k: max(common((t or "").split(), b.split()) for t in texts) for k, b in bench}
+
+
+def test_windows_have_a_bound(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="window"):
+        decontaminate.scan(docs, spark.createDataFrame([("i", "a")], "item_id string, text string"), window=20)
