@@ -101,7 +101,7 @@ def _mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     for kind, a, b in base:
         left, right = around(a, b)
         out.append({"kind": KINDS[kind], "start": a, "end": b, "name": text[a:b], "left": left, "right": right})
-    k = 0
+    k = reach = 0
     for a, b in words:
         word = text[a:b]
         if not any(c.isdigit() or c == "@" for c in word):
@@ -111,9 +111,10 @@ def _mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             continue
         a += word.index(core)
         b = a + len(core)
-        while k < len(taken) and taken[k][1] <= a:
+        while k < len(taken) and taken[k][0] < b:  # spans that begin before the word's end
+            reach = max(reach, taken[k][1])
             k += 1
-        if any(x < b and a < y for x, y in taken[k : k + 8]) or any(x < b and a < y for x, y in taken):
+        if reach > a:
             continue
         left, right = around(a, b)
         out.append({"kind": None, "start": a, "end": b, "name": core, "left": left, "right": right})

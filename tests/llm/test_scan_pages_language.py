@@ -172,6 +172,21 @@ def test_path_ratios_equal_their_definition():
     assert html_content.path_ratios(found).tolist() == pytest.approx(plain_ratios(found))
 
 
+def test_many_mentions_in_one_text_take_linear_time():
+    """Candidates next to base spans of all kinds: none overlaps a span, and a text of a hundred thousand mentions is quick."""
+    text = "mail a1@ex.com id4711 1.2.3.4 ref99x card 4111 1111 1111 1111 now4 " * 10
+    base = pii.base_spans(text)
+    spans = [(a, b) for _, a, b in base]
+    got = [(m["start"], m["end"]) for m in pii._mentions(text, base) if m["kind"] is None]
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\s]+", text)]
+    want = [(a, b) for a, b in words if any(c.isdigit() or c == "@" for c in text[a:b]) and b - a > 3 and not any(x < b and a < y for x, y in spans)]
+    assert got == want and len(got) == 30
+    start = time.time()
+    long_text = text * 2500
+    assert len(pii._mentions(long_text, pii.base_spans(long_text))) > 100_000
+    assert time.time() - start < 30
+
+
 LANGS = {"aa": ["tion", "the", "ing", "and"], "ab": ["tion", "the", "ung", "und"], "ba": ["eau", "que", "les", "ment"], "bb": ["cion", "que", "los", "mente"]}
 
 
