@@ -88,10 +88,12 @@ SELECT db_id, table_name, CAST(p_partkey AS BIGINT) AS ordinal,
             ELSE col_default END AS col_default,
        CASE WHEN p_size = 2 AND p_retailprice > 990 THEN true ELSE is_primary END AS is_primary,
        CASE WHEN split_part(p_name, ' ', 1) = 'large' AND p_size % 10 = 3 THEN false ELSE is_unique END AS is_unique,
-       is_generated, enum_name,
+       CASE WHEN p_size IN (11, 22) THEN NOT is_generated ELSE is_generated END AS is_generated, enum_name,
        CASE WHEN split_part(p_name, ' ', 1) = 'red' AND p_size % 9 = 5 THEN lower(p_type) || '_anvil'
+            WHEN p_size = 13 THEN NULL WHEN p_size = 31 THEN lower(p_type) || '_legacy'
             ELSE fk_table END AS fk_table,
-       CASE WHEN split_part(p_name, ' ', 1) = 'red' AND p_size % 9 = 5 THEN 'id' ELSE fk_column END AS fk_column
+       CASE WHEN split_part(p_name, ' ', 1) = 'red' AND p_size % 9 = 5 THEN 'id' WHEN p_size = 13 THEN NULL
+            WHEN p_size = 40 THEN 'code' ELSE fk_column END AS fk_column
 FROM cat_base
 WHERE p_size < 49 AND NOT (split_part(p_name, ' ', 1) = 'red' AND p_size > 40)""",
     "enum_old": """
