@@ -184,6 +184,39 @@ def q_j9(spark, sf_dir):
     return RV.sync_plan(local, remote)
 
 
+@query("j9_sync_pull", """
+WITH loc AS (
+  SELECT 'ds-' || CAST(o_orderkey AS VARCHAR) AS name, 'rid-' || CAST(o_orderkey AS VARCHAR) AS remote_id,
+         CASE WHEN o_orderstatus = 'F' THEN 'sc-' || CAST(o_orderkey AS VARCHAR) WHEN o_orderstatus = 'O' THEN '' END AS remote_scenario_id,
+         strftime(o_orderdate, '%Y-%m-%d') AS remote_updated_at
+  FROM orders),
+rem AS (
+  SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'moved-' ELSE 'rid-' END || CAST(o_orderkey AS VARCHAR) AS id, 'sc-' || CAST(o_orderkey AS VARCHAR) AS scenario_id,
+         CASE WHEN o_totalprice > 300000 THEN 'renamed-' ELSE 'ds-' END || CAST(o_orderkey AS VARCHAR) AS name,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN '2000-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_at
+  FROM orders WHERE o_orderkey % 4 <> 0),
+j AS (SELECT l.*, r.id AS rid_, r.name AS id_name, r.updated_at AS id_upd, nn.id AS nm_id, nn.updated_at AS nm_upd
+      FROM loc l LEFT JOIN rem r ON l.remote_scenario_id = r.scenario_id LEFT JOIN rem nn ON l.name = nn.name),
+k AS (SELECT *, coalesce(rid_, nm_id) AS mid, CASE WHEN rid_ IS NOT NULL THEN id_upd ELSE nm_upd END AS mupd FROM j)
+SELECT name, mid AS matched_remote_id,
+  CASE WHEN mid IS NULL THEN 'missing' WHEN remote_id = mid AND remote_updated_at = mupd THEN 'up_to_date' ELSE 'pull' END AS action,
+  (rid_ IS NOT NULL AND id_name <> name) AS renamed
+FROM k""")
+def q_j9_pull(spark, sf_dir):
+    """The pull direction, matched by scenario id where a dataset knows its own, else by name."""
+    _prep(spark, sf_dir)
+    o = spark.table("orders")
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    local = o.select(F.concat(F.lit("ds-"), key).alias("name"), F.concat(F.lit("rid-"), key).alias("remote_id"),
+                     F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("sc-"), key)).when(F.col("o_orderstatus") == "O", F.lit("")).alias("remote_scenario_id"),
+                     day.alias("remote_updated_at"))
+    remote = o.where(F.col("o_orderkey") % 4 != 0).select(
+        F.concat(F.when(F.col("o_orderkey") % 11 == 0, "moved-").otherwise("rid-"), key).alias("id"), F.concat(F.lit("sc-"), key).alias("scenario_id"),
+        F.concat(F.when(F.col("o_totalprice") > 300000, "renamed-").otherwise("ds-"), key).alias("name"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("2000-01-01")).otherwise(day).alias("updated_at"))
+    return RV.sync_plan(local, remote, direction="pull")
+
+
 @query("j10_revision_delta", derived.cte("cat_old", "cat_new") + """,
 o AS (SELECT db_id AS pair_id, table_name, count(*) AS old_rows FROM cat_old GROUP BY db_id, table_name),
 n AS (SELECT db_id AS pair_id, table_name, count(*) AS new_rows FROM cat_new GROUP BY db_id, table_name),
@@ -218,16 +251,17 @@ def q_j10(spark, sf_dir):
 
 
 @query("a12_schema_inventory", """
-WITH s AS (SELECT sha256(o_orderpriority) AS fingerprint, min(o_orderdate) AS schema_time FROM orders
-           GROUP BY o_orderpriority),
-d AS (SELECT sha256(o_orderpriority) AS fingerprint, count(*) AS datasets, max(o_orderdate) AS newest FROM orders
-      WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority)
+WITH s AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS fingerprint, min(o_orderdate) AS schema_time FROM orders
+           GROUP BY o_custkey),
+d AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS fingerprint, count(*) AS datasets, max(o_orderdate) AS newest FROM orders
+      WHERE o_orderstatus <> 'P' GROUP BY o_custkey)
 SELECT substr(s.fingerprint, 1, 12) AS short_id, s.fingerprint, coalesce(d.datasets, 0) AS datasets,
-       greatest(s.schema_time, d.newest) AS recency
+       coalesce(greatest(s.schema_time, d.newest), s.schema_time) AS recency
 FROM s LEFT JOIN d ON s.fingerprint = d.fingerprint""")
 def q_a12(spark, sf_dir):
+    """A stored schema for each customer with orders, and its datasets."""
     _prep(spark, sf_dir)
-    o = spark.table("orders").withColumn("fingerprint", F.sha2("o_orderpriority", 256))
+    o = spark.table("orders").withColumn("fingerprint", F.sha2(F.col("o_custkey").cast("string"), 256))
     return RV.schema_inventory(o.select("fingerprint", F.col("o_orderdate").alias("created_at")),
                                o.where(F.col("o_orderstatus") != "P")
                                .select("fingerprint", F.col("o_orderdate").alias("created_at")))
