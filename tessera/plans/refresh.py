@@ -37,6 +37,8 @@ def refresh_revision(spark: SparkSession, root: str, scenario: str, old_cols: Da
     old_cols = exclude_tables(old_cols, excluded or [])
     live_cols = exclude_tables(live_cols, excluded or [])
     databases = old_cols.select("db_id").union(live_cols.select("db_id")).distinct()
+    if live_fp.select("db_id").distinct().count() > 1:
+        raise ValueError("a revision belongs to one database: name it with db_id")
     if old_fp.exceptAll(live_fp).isEmpty() and live_fp.exceptAll(old_fp).isEmpty():
         return D.drift_report(D.classify_drift(D.schema_diff(old_cols, old_cols), old_cols, old_cols), databases), None
 
