@@ -12,8 +12,8 @@ runs above and below the alphabet's middle, and the correlation of neighbours. F
 combines the three p-values into a score: near 0 for words, spread over 0..1 for random keys.
 
 False-discovery control by length. Short words pass such tests more easily than long ones, so the score
-a word reaches is estimated for each length band from decoys: the letters of every text with the separators
-taken out, one piece of a band's length from every ``DECOY_STRIDE`` of them. A candidate's
+a word reaches is counted for each length band on decoys: all characters of every whole text that a candidate
+may have, cut into consecutive pieces of the bands' lengths in turn, so that each character is in one. A candidate's
 p-value is the share of its band's decoys that score at least as high; Benjamini and Hochberg's
 procedure over the band's candidates, on a histogram of 1,000 score bins, gives the lowest score at which
 the expected share of words among the discoveries is at most ``RATE``.
@@ -24,6 +24,8 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +38,16 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PART = r"[A-Za-z0-9+/_=-]+"
 BANDS = (20, 24, 32, 48)
 RATE = 0.01
 BINS = 1000
-DECOY_STRIDE = 512
 
 _LOW = "abcdefghijklmnopqrstuvwxyz"
 _UP = _LOW.upper()
 _NUM = "0123456789"
+#: Code of the character that stands for an alphabet's first one; the others follow.
+_ZERO = 48
 #: encoding -> (pattern of a whole token, alphabet); the first that fits is taken.
 ENCODINGS = {
     "decimal": ("[0-9]+", _NUM),
@@ -92,23 +96,30 @@ def _assigned(rows: DataFrame) -> DataFrame:
 
 def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
     """Adds ``encoding`` and ``score``, the combined p-value of the three tests (0 where none fits)."""
-    fit = body = None
+    fit = size = index = halves = None
     t = F.rtrim(F.col(token), F.lit("="))
     t = F.when(F.length(t) >= 8, t).otherwise(F.lit("00000000"))  # too short to test: scores 0
     for name, (pattern, alphabet) in ENCODINGS.items():
-        ok = t.rlike(f"^{pattern}$")
+        k, ok, is_ = len(alphabet), F.col("_t").rlike(f"^{pattern}$"), F.col("encoding") == name
+        coded = F.translate("_t", alphabet, "".join(chr(_ZERO + i) for i in range(k)))
+        half = F.translate("_t", alphabet, "".join("H" if 2 * i >= k else "L" for i in range(k)))
         fit = F.when(ok, name) if fit is None else fit.when(ok, name)
-        body = F.when(ok, alphabet) if body is None else body.when(ok, alphabet)
-    df = tokens.withColumn("_t", t).withColumn("encoding", fit).withColumn("_abc", body)
-    df = df.withColumn("_x", F.expr("transform(sequence(1, length(_t)), i -> cast(instr(_abc, substring(_t, i, 1)) - 1 as double))"))
-    df = df.withColumn("_n", F.length("_t").cast("double")).withColumn("_k", F.length("_abc").cast("double"))
+        size = F.when(is_, float(k)) if size is None else size.when(is_, float(k))
+        index = F.when(is_, coded) if index is None else index.when(is_, coded)
+        halves = F.when(is_, half) if halves is None else halves.when(is_, half)
+    df = tokens.withColumn("_t", t).withColumn("encoding", fit).withColumns({"_k": size, "_u": index, "_halves": halves})
+    df = df.withColumn("_c", F.split("_u", ""))
+    df = df.withColumn("_x", F.expr(f"transform(_c, c -> cast(ascii(c) - {_ZERO} as double))"))
+    df = df.withColumn("_n", F.length("_t").cast("double"))
     df = df.withColumn("_mean", F.expr("aggregate(_x, 0D, (a, v) -> a + v) / _n"))
+    without = lambda part, of: f"cast(length({of}) - length(replace({of}, {part}, '')) as double)"
     df = df.withColumns({
-        "_squares": F.expr("aggregate(array_distinct(_x), 0D, (a, v) -> a + pow(size(filter(_x, y -> y = v)), 2))"),
-        "_high": F.expr("cast(size(filter(_x, v -> v >= _k / 2)) as double)"),
-        "_runs": F.expr("1D + size(filter(sequence(1, greatest(1, cast(_n as int) - 1)), i -> _n > 1 AND (_x[i] >= _k / 2) <> (_x[i - 1] >= _k / 2)))"),
+        # string functions where they do, not lambdas over places: all text comes through here
+        "_squares": F.expr(f"aggregate(array_distinct(_c), 0D, (a, c) -> a + pow({without('c', '_u')}, 2))"),
+        "_high": F.expr(without("'H'", "_halves")),
+        "_runs": F.expr(f"1D + ({without("'HL'", '_halves')} + {without("'LH'", '_halves')}) / 2"),
         "_spread": F.expr("aggregate(_x, 0D, (a, v) -> a + (v - _mean) * (v - _mean))"),
-        "_pairs": F.expr("aggregate(sequence(1, greatest(1, cast(_n as int) - 1)), 0D, (a, i) -> a + coalesce((_x[i] - _mean) * (_x[i - 1] - _mean), 0D))"),
+        "_pairs": F.expr("aggregate(sequence(1, size(_x) - 1), 0D, (a, i) -> a + (_x[i] - _mean) * (_x[i - 1] - _mean))"),
     })
     free = F.col("_k") - 1
     chi = F.col("_squares") * F.col("_k") / F.col("_n") - F.col("_n")
@@ -143,11 +154,34 @@ def _band(length: Column) -> Column:
     return out
 
 
+def histogram(scored: DataFrame, name: str) -> DataFrame:
+    """(band, bin, ``name``): how many rows have a score in the bin."""
+    return scored.groupBy("band", F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias(name))
+
+
+def decoys(docs: DataFrame) -> DataFrame:
+    """(band, decoy): all candidate characters of each text, cut into pieces of the bands' lengths in turn.
+
+    A text's hash says which length comes first. Its last piece ends with it, and begins in the one before if too few
+    characters are left; a text shorter than the piece gives the longest one it has."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    letters = docs.select(F.array_join(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), "").alias("letters"))
+    # blocks of one piece for each band; a text's last block is up to twice as long
+    size, turns = sum(BANDS), []
+    for i in range(len(BANDS)):
+        lengths = (BANDS[i:] + BANDS[:i]) * 2
+        turns.append("array(" + ", ".join(f"struct({sum(lengths[:j])} as at, {b} as band)" for j, b in enumerate(lengths)) + ")")
+    blocks = letters.select(F.expr(f"pmod(xxhash64(letters), {len(BANDS)}) + 1").cast("int").alias("turn"),
+                            F.explode(F.expr(f"regexp_extract_all(letters, '.{{{size}}}(?=.{{{size}}})|.+', 0)")).alias("block"))
+    blocks = blocks.select("turn", "block", F.length("block").alias("n")).where(F.col("n") >= BANDS[0])
+    pieces = blocks.select("block", "n", F.explode(F.expr(f"filter(element_at(array({', '.join(turns)}), turn), p -> p.at < n)")).alias("p"))
+    pieces = pieces.select("block", "n", "p.at", F.when(F.col("p.band") <= F.col("n"), F.col("p.band")).otherwise(_band(F.col("n"))).alias("band"))
+    return pieces.select("band", F.expr("substring(block, least(at, n - band) + 1, band)").alias("decoy"))
+
+
 def thresholds(candidates: DataFrame, decoys: DataFrame, rate: float = RATE) -> DataFrame:
     """(band, least): the lowest score bin at which the band's discoveries keep the rate."""
-    bin_ = F.floor(F.col("score") * BINS).cast("int")
-    count = lambda df, c: df.groupBy("band", bin_.alias("bin")).agg(F.count(F.lit(1)).alias(c))
-    table = count(candidates, "n").withColumn("m", F.lit(0)).unionByName(count(decoys, "m").withColumn("n", F.lit(0)))
+    table = histogram(candidates, "n").withColumn("m", F.lit(0)).unionByName(histogram(decoys, "m").withColumn("n", F.lit(0)))
     table = table.groupBy("band", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     above = Window.partitionBy("band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("band")
@@ -163,26 +197,18 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = _spans(_spans(_assigned(rows), "access", ACCESS), "hex", HEX)
     rows = _spans(rows, "tokens", CANDIDATE)
-    # decoys: the letters of the whole text without separators, one from every DECOY_STRIDE of them
-    letters = F.translate("text", " \t\n\r\u000b\u000c.,;:!?\"'()[]|", "")
-    rows = rows.withColumn("_letters", letters)
-    pieces = f"if(length(_letters) < {DECOY_STRIDE}, array(_letters), regexp_extract_all(_letters, '(?s).{{{DECOY_STRIDE}}}', 0))"
-    band = f"element_at(array({', '.join(map(str, BANDS))}), cast(pmod(xxhash64(p, i), {len(BANDS)}) as int) + 1)"
-    rows = rows.withColumn("decoys", F.expr(f"transform({pieces}, (p, i) -> substring(p, 1, {band}))"))
     token = "transform(tokens, s -> named_struct('start', s.start, 'end', s.end, 'token', substring(text, s.start + 1, s.end - s.start)))"
-    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "assign", "access", "hex", F.expr(token).alias("tokens"), "decoys")
+    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "assign", "access", "hex", F.expr(token).alias("tokens"))
     kept = durable(rows, "scanned")
 
     tokens = kept.select("row_id", F.explode("tokens").alias("t")).select("row_id", "t.*")
     scored = durable(battery(tokens).withColumn("band", _band(F.length("token"))), "scored")
-    decoys = kept.select(F.explode("decoys").alias("decoy")).where(F.col("decoy").rlike("^[A-Za-z0-9+/_=-]+$")).withColumn("band", F.length("decoy"))
-    decoys = battery(decoys.where(F.col("band").isin(*BANDS)), "decoy")
-    least = thresholds(scored, decoys, rate)  # a row for each band
+    least = durable(thresholds(scored, battery(decoys(docs), "decoy"), rate), "thresholds")  # a row for each band
     found = scored.join(F.broadcast(least), "band").where(F.floor(F.col("score") * BINS) >= F.col("least"))
     found = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("end")))).alias("random"))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     base = "concat(assign, access, hex)"
-    return kept.drop("tokens", "decoys").join(found, "row_id", "left").withColumn("random", F.coalesce("random", none)).withColumn(
+    return kept.drop("tokens").join(found, "row_id", "left").withColumn("random", F.coalesce("random", none)).withColumn(
         "random", F.expr(f"filter(random, r -> NOT exists({base}, b -> b.start < r.end AND r.start < b.end))")).drop("row_id")
 
 
