@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import NOT_ALNUM, Words, column, slices, split_words, text_buffers
+from tessera.llm.words import NOT_ALNUM, Words, column, row_slices, slices, split_words, text_buffers
 
 WINDOW = 10
 DEPTH = 16
@@ -296,14 +296,14 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     for items in benchmark_blocks(benchmark):
         block = _load(items, window)
         names = out.columns
-        packed = out.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-                            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        packed = out.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
 
         def run(batches, block=block):
             for batch in batches:
-                for part in slices(batch):
+                for part in row_slices(batch):
                     clean = pa.array(column(_hits(part, Suffixes(*block.value)), "n_hit").to_numpy() == 0)
                     yield pa.RecordBatch.from_arrays([column(part, "row").filter(clean)], names=["row"])
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
         kind = packed.schema["row"].dataType.simpleString()
         out = packed.mapInArrow(run, f"row {kind}").select("row.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import column, mix, slices, split_words, text_buffers
+from tessera.llm.words import ROW_SLICE_BYTES, column, mix, row_slices, slices, split_words, text_buffers
 
 REPEAT_WINDOW = 8
 
@@ -119,7 +119,7 @@ def _repeat_words(words) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=ROW_SLICE_BYTES):
             off, raw = text_buffers(column(part, "text"))
             w = split_words(off, raw)
             inside = np.zeros(len(raw) + 1, np.int8)
@@ -179,16 +179,16 @@ def keep_clean(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
     The measurements of a row travel with it, so no join back is needed."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-                         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = packed.select("row").schema
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    schema = packed.schema
     cols = ", ".join(f"{c} long" for c in MEASURES)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in row_slices(batch):
                 m = pa.Table.from_batches(list(_measure(iter([part])))).combine_chunks()
                 yield pa.RecordBatch.from_arrays([column(part, "row"), *[column(m, c) for c in MEASURES]], names=["row", *MEASURES])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     kind = schema["row"].dataType.simpleString()
     kept = packed.mapInArrow(run, f"row {kind}, {cols}").withColumn("failed", failed_bits())

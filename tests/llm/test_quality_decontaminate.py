@@ -3,10 +3,13 @@
 import collections
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, quality
+from tessera.llm.words import row_slices
 from tests.llm.fixtures import corpus, documents, empty, lower_az
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -137,3 +140,22 @@ def test_windows_have_a_bound(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(ValueError, match="window"):
         decontaminate.scan(docs, spark.createDataFrame([("i", "a")], "item_id string, text string"), window=20)
+
+
+def test_stages_of_whole_rows_hold_little_in_python(spark):
+    text = " ".join(f"word{i % 977}" for i in range(200))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8000)), "text": [text] * 8000})
+    row = pa.StructArray.from_arrays(batch.columns, names=["Doc_id", "Text"])
+    for read in (lambda: quality._measure(iter([batch])), lambda: row_slices(pa.RecordBatch.from_arrays([row], names=["row"]))):
+        tracemalloc.start()
+        parts = 0
+        for part in read():
+            assert part.num_rows <= 1000
+            parts += part.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert parts == 8000 and peak < 60 << 20, peak
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    for out in (quality.keep_clean(docs), decontaminate.keep_uncontaminated(docs, spark.createDataFrame([("a", "x y")], "item_id string, text string"))):
+        assert "AS text" not in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]  # each text is sent once, in its row
+        assert out.count() <= 1
