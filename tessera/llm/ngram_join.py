@@ -367,8 +367,9 @@ def _across(stars: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("f"), "element"))
     facts = rows.where("n is not null").drop("element")
-    rows = (rows.select("x", "element").join(often, "element").withColumn("rank", rank).drop("f").join(facts, "x")
-            .withColumn("place", F.col("d") - F.col("rank") + 1).where("place <= greatest(most_x, most_y)"))
+    # written, as both sides of the join read it and the shuffles that rank the elements can go
+    rows = durable(rows.select("x", "element").join(often, "element").withColumn("rank", rank).drop("f").join(facts, "x")
+                   .withColumn("place", F.col("d") - F.col("rank") + 1).where("place <= greatest(most_x, most_y)"), "prefixes")
     part = lambda s: rows.where(f"place <= most_{s}").select("element", *[F.col(c).alias(f"{c}_{s}") for c in ("x", "n", "d", "place")])
     o = F.expr(f"ceil((d_x + d_y - (n_x + n_y) * {law.den - law.num} div {law.den + law.num}) / 2)")
     near = F.expr(f"n_x * {law.den} >= n_y * {law.num} AND n_y * {law.den} >= n_x * {law.num} AND x_x <> x_y")
