@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +137,26 @@ def test_long_texts_of_one_letter_stay_fast():
     cut = B._cut_segments(1)((pa.scalar(0),), table, news)
     out = B._remove(True)((pa.scalar(0),), table, B._merge_shard(cut))
     assert out.column("n_removed").to_pylist() == [2_000_000, 1_000_000] and time.time() - start < 60
+
+
+def test_removal_takes_little_memory():
+    text = sentence(random.Random(8), 3000).encode()
+    n, size = 200, len(text)
+    docs = pa.table({"doc_id": range(n), "key": range(n), "text": [text.decode()] * n})
+    ranges = [(i, s, s + W) for i in range(n) for s in (0, 100, 100 + W, 900 + W, size - W)]
+    answers = B._rows([(0, *(np.array(x, np.int32).tobytes() for x in zip(*ranges, strict=True)))], *B._TELL)
+    tracemalloc.start()
+    try:
+        out = B._remove(False)((pa.scalar(0),), docs, answers)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    left = text[100 + 2 * W : 900 + W] + text[900 + 2 * W : -W]
+    assert {(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in out.to_pylist()} == {(size, size - len(left), 3, hashlib.sha256(left).hexdigest())}
+    assert peak < 4 * n * size
+
+
+def test_touching_ranges_join_within_a_row_only():
+    got = B._joined_ranges(*np.array([[1, 900, 1400], [0, 0, 500], [1, 500, 900], [0, 100, 450], [2, 1401, 1900], [2, 2000, 2500]]).T)
+    assert [x.tolist() for x in got] == [[0, 1, 2, 2], [0, 500, 1401, 2000], [500, 1400, 1900, 2500]]
+    assert [x.tolist() for x in B._joined_ranges(*[np.empty(0, np.int64)] * 3)] == [[], [], []]
